@@ -2,24 +2,56 @@
 
 from __future__ import annotations
 
+import importlib.util
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from loomspan.llm.common import shipped
+from loomspan.llm.langid import languages
+from loomspan.llm.mixing import mixed
 from loomspan.llm.near_dedup import near_duplicates
+from loomspan.llm.pieces import round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str = "piece_bpe_32k.model") -> str:
+    """Path of a public vocabulary file; LOOMSPAN_TOKENIZERS names another folder."""
+    folder = os.environ.get("LOOMSPAN_TOKENIZERS")
+    if folder is None:
+        found = importlib.util.find_spec("public_tokenizers")
+        folder = os.path.dirname(found.origin) if found and found.origin else "/opt/tokenizers"
+    return os.path.join(folder, name)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; fold 2 of 4 is held out of training."""
+    return languages(table(shipped(spark), sf_dir, "documents"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece counts, id digests and round trips of every document."""
+    return round_trip(table(shipped(spark), sf_dir, "documents"), tokenizer())
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slot for every document; sources are tempered by the power 0.7."""
+    return mixed(table(shipped(spark), sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes: five words, Jaccard similarity of 0.75 or more."""
     return near_duplicates(table(shipped(spark), sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_language_id": op4_language_id,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op9_mix_sources": op9_mix_sources,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 
