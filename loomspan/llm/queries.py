@@ -13,6 +13,7 @@ from loomspan.llm.langid import languages
 from loomspan.llm.mixing import mixed
 from loomspan.llm.near_dedup import near_duplicates
 from loomspan.llm.pieces import round_trip
+from loomspan.llm.secret_scan import digest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,11 @@ def tokenizer(name: str = "piece_bpe_32k.model") -> str:
     return os.path.join(folder, name)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base spans, and runs that the character models take for random."""
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; fold 2 of 4 is held out of training."""
     return languages(table(shipped(spark), sf_dir, "documents"))
@@ -49,6 +55,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": op2_secret_scan,
     "op4_language_id": op4_language_id,
     "op6_sentencepiece": op6_sentencepiece,
     "op9_mix_sources": op9_mix_sources,
