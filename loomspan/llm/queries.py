@@ -14,6 +14,8 @@ from loomspan.llm.mixing import mixed
 from loomspan.llm.near_dedup import near_duplicates
 from loomspan.llm.pieces import round_trip
 from loomspan.llm.secret_scan import digest
+from loomspan.llm.sharding import sharded
+from loomspan.llm.simhash import compared
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,11 @@ def tokenizer(name: str = "piece_bpe_32k.model") -> str:
     return os.path.join(folder, name)
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of every text and its edited text; near fingerprints of every 50th document."""
+    return compared(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: base spans, and runs that the character models take for random."""
     return digest(table(spark, sf_dir, "documents"))
@@ -44,6 +51,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(shipped(spark), sf_dir, "documents"), tokenizer())
 
 
+def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards along a Hilbert curve."""
+    return sharded(table(shipped(spark), sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A slot for every document; sources are tempered by the power 0.7."""
     return mixed(table(shipped(spark), sf_dir, "documents"))
@@ -55,11 +67,13 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_document_fingerprints": op1_document_fingerprints,
     "op2_secret_scan": op2_secret_scan,
     "op4_language_id": op4_language_id,
     "op6_sentencepiece": op6_sentencepiece,
-    "op9_mix_sources": op9_mix_sources,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_mix_sources": op9_mix_sources,
+    "op10_hilbert_sharding": op10_hilbert_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {}
