@@ -12,6 +12,7 @@ from loomspan.llm.common import shipped
 from loomspan.llm.langid import languages
 from loomspan.llm.mixing import mixed
 from loomspan.llm.near_dedup import near_duplicates
+from loomspan.llm.neighbours import nearest
 from loomspan.llm.pieces import round_trip
 from loomspan.llm.secret_scan import digest
 from loomspan.llm.sharding import sharded
@@ -41,6 +42,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every 20th vector."""
+    return nearest(table(shipped(spark), sf_dir, "embeddings"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; fold 2 of 4 is held out of training."""
     return languages(table(shipped(spark), sf_dir, "documents"))
@@ -69,6 +75,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_secret_scan": op2_secret_scan,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_language_id": op4_language_id,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
