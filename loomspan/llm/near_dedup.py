@@ -51,8 +51,9 @@ class Shingler:
         known = self.known
         if len(known) > 1_000_000:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh64_intdigest(w)
+        for w in words:
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         k = min(self.width, len(words))
         out = np.full(len(h) - k + 1, np.uint64(k))
