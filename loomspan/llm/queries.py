@@ -14,7 +14,8 @@ from loomspan.llm.mixing import mixed
 from loomspan.llm.near_dedup import near_duplicates
 from loomspan.llm.neighbours import nearest
 from loomspan.llm.pieces import round_trip
-from loomspan.llm.secret_scan import digest
+from loomspan.llm.repeats import digest as repeats_digest
+from loomspan.llm.secret_scan import digest as secrets_digest
 from loomspan.llm.sharding import sharded
 from loomspan.llm.simhash import compared
 
@@ -39,7 +40,7 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: base spans, and runs that the character models take for random."""
-    return digest(table(spark, sf_dir, "documents"))
+    return secrets_digest(table(spark, sf_dir, "documents"))
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +68,11 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(shipped(spark), sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the bytes of repeated strings of 400 bytes."""
+    return repeats_digest(table(shipped(spark), sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes: five words, Jaccard similarity of 0.75 or more."""
     return near_duplicates(table(shipped(spark), sf_dir, "documents"))
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_language_id": op4_language_id,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_hilbert_sharding": op10_hilbert_sharding,
