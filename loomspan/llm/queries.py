@@ -14,6 +14,7 @@ from loomspan.llm.mixing import mixed
 from loomspan.llm.near_dedup import near_duplicates
 from loomspan.llm.neighbours import nearest
 from loomspan.llm.pieces import round_trip
+from loomspan.llm.pitman_yor import scored
 from loomspan.llm.repeats import digest as repeats_digest
 from loomspan.llm.secret_scan import digest as secrets_digest
 from loomspan.llm.sharding import sharded
@@ -53,6 +54,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(shipped(spark), sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document; fold 0 of 10 is held out of training."""
+    return scored(table(shipped(spark), sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece counts, id digests and round trips of every document."""
     return round_trip(table(shipped(spark), sf_dir, "documents"), tokenizer())
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_language_id": op4_language_id,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
