@@ -35,6 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 DAY0 = "1990-01-01"
+#: Order and line don't tell line items apart; with part, supplier and quantity they do.
+ITEM_ID = (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("long")
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         begin.alias("b"),
         (begin + F.col("l_quantity").cast("long") - 1).alias("e"),
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("score"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+        ITEM_ID.alias("id"),
         F.col("l_returnflag").alias("flag"),
         F.lit(4000).cast("long").alias("size"),
     )
@@ -54,7 +56,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ITEMS = f"""WITH iv AS (SELECT l_suppkey AS seq, date_diff('day', DATE '{DAY0}', CAST(l_shipdate AS DATE)) AS b,
   date_diff('day', DATE '{DAY0}', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS BIGINT) - 1 AS e,
-  CAST(round(l_extendedprice * 100) AS BIGINT) AS score, l_orderkey * 10 + l_linenumber AS id, l_returnflag AS flag,
+  CAST(round(l_extendedprice * 100) AS BIGINT) AS score, (((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS id, l_returnflag AS flag,
   CAST(4000 AS BIGINT) AS size FROM lineitem)"""
 CUTS = """, cuts AS (SELECT seq, pt, lead(pt) OVER (PARTITION BY seq ORDER BY pt) - pt AS len FROM
   (SELECT seq, b AS pt FROM iv UNION SELECT seq, e + 1 FROM iv)),
@@ -166,7 +168,7 @@ def interval_resolved_sequential(spark, d):
 @query()
 def interval_alignment_overlap(spark, d):
     """Both sides of an alignment: supplier and part positions of line items."""
-    rows = items(spark, d).join(table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("tseq")), "id")
+    rows = items(spark, d).join(table(spark, d, "lineitem").select(ITEM_ID.alias("id"), F.col("l_partkey").alias("tseq")), "id")
     rows = rows.withColumn("e", F.col("e") + 1)
     return intervals.alignment_overlap(rows, id="id", sides={"Q": ("seq", "b", "e"), "T": ("tseq", "b", "e")}, score="score").select("id", "Qalgorbp", "Talgorbp")
 

@@ -26,8 +26,14 @@ def local_session(cores: int | str = "*", memory: str = "16g", partitions: int =
     return spark
 
 
+#: Rows of a batch that a Python worker holds, where the session has Spark's default: rows may be whole documents.
+BATCH_ROWS = 1000
+
+
 def shipped(spark: SparkSession) -> SparkSession:
-    """Sends this package's source to the executors' Python workers, once a session."""
+    """Sends this package's source to the executors' Python workers, once a session, and keeps their batches small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if not getattr(spark.sparkContext, "_loomspan_shipped", False):
         package = Path(__file__).resolve().parent
         archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/{package.name}", "zip", package.parent, package.name)
