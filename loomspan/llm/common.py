@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspan.session import shipped  # noqa: F401
+
 #: Rows of a one-column id table up to which a join side is broadcast (8 bytes each); beyond it Spark shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -36,16 +36,6 @@ def sized(ids: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
 
 
-def shipped(spark: SparkSession) -> SparkSession:
-    """Sends this package's source to the executors' Python workers, once a session."""
-    if not getattr(spark.sparkContext, "_loomspan_shipped", False):
-        package = Path(__file__).resolve().parents[1]
-        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/{package.name}", "zip", package.parent, package.name)
-        spark.sparkContext.addPyFile(archive)
-        spark.sparkContext._loomspan_shipped = True
-    return spark
-
-
 def or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -59,7 +49,6 @@ def components(edges: DataFrame) -> DataFrame:
     links = written(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
     )
-    last = None
     while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
@@ -78,12 +67,12 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         links = written(small)
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last:
+        # done when links are stars: no node has two centres, and no centre has a centre
+        roles = links.select(F.col("u").alias("n"), F.lit(1).alias("leaf"), F.lit(0).alias("hub")).unionAll(links.select("v", F.lit(0), F.lit(1)))
+        if roles.groupBy("n").agg(F.sum("leaf").alias("a"), F.max("hub").alias("b")).where("a + b > 1").isEmpty():
             return links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
                 links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
-        last = now
 
 
 def ranked(df: DataFrame, order: list, rank: str, size: str | None = None, before: str | None = None) -> DataFrame:

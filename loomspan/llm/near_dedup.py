@@ -6,8 +6,12 @@ by fixed probe sequences, so that short documents band as well as long ones. Ban
 collision-corrected Jaccard estimate with a wide margin and the set sizes discard hopeless ones, and the rest are
 confirmed on the full shingle sets.
 
-No bucket is expanded into all its pairs: equal sets are merged first, each bucket then links its members to its smallest
-one, and only members that are still in different components are compared with the bucket's largest component.
+No bucket is expanded into all its pairs: equal sets are merged first, and each bucket links its members to its smallest
+one. In buckets that still hold several components, rounds of random hubs follow, each comparing a member with one other.
+What is left is settled by prefix filtering: with shingles in one fixed order, two sets that reach the threshold share one of
+their first n - ceil(t n) + 1. The order is from rare to common, so documents that share no more than a common passage
+don't meet. Of those that meet, members outside a shingle's largest component are queries against the others: as pairs in
+small neighbourhoods, in blocks in large ones.
 """
 
 from __future__ import annotations
@@ -27,6 +31,12 @@ BUCKETS = 1 << BUCKET_BITS
 ROWS = 4
 #: The estimate may not discard pairs of small sets; above, it must fall this far below the threshold to do so.
 ESTIMATE_FROM, MARGIN = 64, 0.35
+#: Rounds in which a bucket's members meet random hubs, each of about so many members.
+ROUNDS, SALTED = 1, 16
+#: Cells of the table of shingle counts that orders shingles from rare to common.
+CELLS = 1 << 18
+#: Pairs of a component's neighbourhood above which it is compared in blocks of at most SIDE by SIDE documents (on average).
+PAIRS, SIDE = 1 << 12, 256
 _PROBES = np.random.default_rng(8).integers(0, BUCKETS, (BUCKETS, 512))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,7 +59,7 @@ class Shingler:
         if not words:
             return np.empty(0, np.uint64)
         known = self.known
-        if len(known) > 1_000_000:
+        if len(known) > 200_000:
             known.clear()
         for w in words:
             if w not in known:
@@ -114,18 +124,84 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets reach the threshold."""
-    ids = written(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
+def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc_id, hashes) of the documents in ids (written): their shingle sets as sorted 64-bit hashes."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(width)
         for part in parts:
             yield pd.DataFrame({"doc_id": part["doc_id"], "hashes": [shingles(t).tobytes() for t in part["text"]]})
 
-    sets = written(
-        docs.select(F.col("doc_id").cast("long"), "text").join(sized(ids), "doc_id", "left_semi").mapInPandas(run, "doc_id long, hashes binary")
-    )
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(sized(ids), "doc_id", "left_semi")
+    return written(rows.mapInPandas(run, "doc_id long, hashes binary"))
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, rep): the prefix of each document's shingles, rarest first by a bounded table of counts of hash cells."""
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(CELLS, np.int64)
+        for part in parts:
+            for x in part["hashes"]:
+                np.add.at(total, np.frombuffer(x, np.uint64) % np.uint64(CELLS), 1)
+        cell = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": cell, "n": total[cell]})
+
+    counts = sets.mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    held = np.zeros(CELLS, np.int64)
+    held[counts["cell"].to_numpy()] = counts["n"]
+    held = sets.sparkSession.sparkContext.broadcast(held)
+
+    def first(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            keys = []
+            for x in part["hashes"]:
+                x = np.frombuffer(x, np.uint64)
+                order = np.lexsort((x, held.value[x % np.uint64(CELLS)]))
+                keys.append(x[order[: len(x) - -(-percent * len(x) // 100) + 1]].view(np.int64))
+            yield pd.DataFrame({"rep": part["doc_id"], "keys": keys})
+
+    return sets.mapInPandas(first, "rep long, keys array<long>").select(F.explode("keys").alias("key"), "rep")
+
+
+def _grid(lab: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The confirmed pairs (u, v) between members with c != label (queries) and all members of other components, of each label.
+
+    lab: (label, rep, c, blocks, chunks). Members are cut into blocks and queries into chunks of bounded size; a task
+    holds one of each and gives back links only.
+    """
+    lab = lab.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    block, chunk = F.pmod(F.hash("rep"), "blocks").cast("int"), F.pmod(F.hash("rep"), "chunks").cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = lab.select("label", block.alias("block"), upto("chunks").alias("chunk"), "rep", "c", "hashes")
+    asked = lab.where("c != label").select("label", upto("blocks").alias("block"), chunk.alias("chunk"), "rep", "c", "hashes")
+    asked = asked.toDF("q_label", "q_block", "q_chunk", "q_rep", "q_c", "q_hashes")
+
+    def run(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(x) and len(q):
+            held = [np.frombuffer(b, np.uint64) for b in x["hashes"]]
+            sizes = np.array([len(h) for h in held])
+            known, place = np.unique(np.concatenate(held), return_inverse=True)
+            starts = np.r_[0, np.cumsum(sizes)[:-1]]
+            reps, comps = x["rep"].to_numpy(), x["c"].to_numpy()
+            for i, c, b in zip(q["q_rep"], q["q_c"], q["q_hashes"]):
+                b = np.frombuffer(b, np.uint64)
+                at = np.minimum(np.searchsorted(known, b), len(known) - 1)
+                flag = np.zeros(len(known), np.int64)
+                flag[at[known[at] == b]] = 1
+                both = np.add.reduceat(flag[place], starts)
+                near = (100 * both >= percent * (sizes + len(b) - both)) & (comps != c)
+                out += [(min(i, j), max(i, j)) for j in reps[near]]
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    cells = members.groupBy("label", "block", "chunk").cogroup(asked.groupBy("q_label", "q_block", "q_chunk"))
+    return cells.applyInPandas(run, "u long, v long").distinct()
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (u, v) whose full shingle sets reach the threshold."""
+    sets = _sets(docs, written(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()), width)
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -176,20 +252,55 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     links = written(_confirmed(stars, docs, width, percent))
     found = written(components(links))
 
-    placed = members.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = written(placed.select("key", "rep", F.coalesce("component", "rep").alias("c")))
-    per = placed.groupBy("key", "c").agg(F.count("*").alias("m"))
-    mixed_keys = per.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("m", "c")).alias("top")).where("n > 1").select("key", F.col("top.c").alias("top"))
-    inside = placed.join(mixed_keys, "key")
-    few = inside.where("c != top").select("key", F.col("rep").alias("u"), F.col("c").alias("cu"))
-    across = few.join(inside.select("key", F.col("rep").alias("v"), F.col("c").alias("cv"), "top"), "key")
-    across = across.where((F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("top")) | (F.col("u") < F.col("v"))))
-    pairs = across.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
-    rest = hopeful(pairs)
-    if not rest.isEmpty():
+    def confirmed(pairs: DataFrame) -> bool:
+        """Confirms pairs not seen before; True if that joined components."""
+        nonlocal seen, links, found
+        rest = hopeful(pairs.distinct().join(seen, ["u", "v"], "left_anti"))
+        seen = seen.union(rest)
+        if rest.isEmpty():
+            return False
         more = written(_confirmed(rest, docs, width, percent))
+        if more.isEmpty():
+            return False
+        links = links.union(more)
+        found = written(components(links))
+        return True
+
+    def divided(rows: DataFrame) -> DataFrame:
+        """Of (key, rep): the rows of keys with several components, with the component, the key's rows and its largest component."""
+        placed = rows.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+        placed = placed.select("key", "rep", F.coalesce("component", "rep").alias("c"))
+        per = placed.groupBy("key", "c").agg(F.count("*").alias("m"))
+        split = per.groupBy("key").agg(F.count("*").alias("n"), F.sum("m").alias("m"), F.max(F.struct("m", "c")).alias("top"))
+        return written(placed.join(split.where("n > 1").select("key", "m", F.col("top.c").alias("top")), "key"))
+
+    seen, few = stars, divided(members)
+    for turn in range(1, ROUNDS + 1):
+        if few.isEmpty():
+            break
+        salt = F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("m") / SALTED))
+        salted = few.withColumns({"salt": salt, "h": F.xxhash64("rep", F.lit(-turn))})
+        hubs = salted.groupBy("key", "salt").agg(F.min(F.struct("h", "rep", "c")).alias("hub"))
+        pairs = salted.join(hubs, ["key", "salt"]).where("c != hub.c")
+        confirmed(pairs.select(F.least("rep", "hub.rep").alias("u"), F.greatest("rep", "hub.rep").alias("v")))
+        few = divided(few.select("key", "rep"))
+    if not few.isEmpty():
+        sets = _sets(docs, written(few.select(F.col("rep").alias("doc_id")).distinct()), width)
+        few = divided(_prefixes(sets, percent))
+        lab = written(few.select(F.col("top").alias("label"), "rep", "c").distinct())
+        size = lab.groupBy("label").agg(F.count("*").alias("m"), F.count_if(F.col("c") != F.col("label")).alias("o"))
+        large = F.col("o") * F.col("m") > PAIRS
+        size = size.where(large).select("label", *[F.ceil(F.col(x) / SIDE).cast("int").alias(n) for x, n in (("m", "blocks"), ("o", "chunks"))])
+        size = written(size)
+        more = written(_grid(lab.join(size, "label"), sets, percent))
         if not more.isEmpty():
-            found = written(components(links.union(more)))
+            links = links.union(more)
+            found = written(components(links))
+        few = few.join(size, few["top"] == size["label"], "left_anti")
+        odd = few.where("c != top").select("key", F.col("rep").alias("u"), F.col("c").alias("cu"))
+        across = odd.join(few.select("key", F.col("rep").alias("v"), F.col("c").alias("cv"), "top"), "key")
+        across = across.where((F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("top")) | (F.col("u") < F.col("v"))))
+        confirmed(across.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
     named = classes.select("set_id", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("set_id", F.coalesce("component", "rep").alias("component_id"))
     out = marks.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
