@@ -7,8 +7,8 @@ result exactly if each neighbouring pair of pieces is the merge result of its ow
 weigh 0 for such pairs and infinity for others. For unigram models the arcs weigh minus the piece's score. The input is
 composed with the machines lazily, character by character, and the shortest path in the tropical semiring is taken.
 
-Text is cut only where no piece can span (before a run of U+2581 and around line breaks and tabs); paths of short segments
-are remembered, so a corpus costs one composition for each distinct segment and worker.
+Text is cut only where no piece can span (before a run of U+2581 and, if the vocabulary never joins them, between letters
+and other characters); paths of short segments are remembered, so a corpus costs one composition for each distinct segment and worker.
 """
 
 from __future__ import annotations
@@ -54,11 +54,36 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the segment hash's base and of its inverse, modulo 2^64."""
+    if not _POWERS or len(_POWERS[0]) < n + 1:
+        m = max(n + 1, 1 << 18)
+        back = np.uint64(pow(int(_ODD), -1, 1 << 64))
+        _POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(m, base)]) for base in (_ODD, back)]
+    return _POWERS
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def _hash(text: str) -> int:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return int(_mix((_mix(codes) * _powers(len(codes))[0][: len(codes)]).sum(keepdims=True) + np.uint64(len(text)))[0])
+
+
 class Pieces:
     """The compiled machines of one model file."""
 
     REMEMBERED = 48  # characters of the longest segment whose path is remembered
-    ROOM = 700_000  # remembered segments, and pairs; beyond, memory is cleared
+    ROOM = 150_000  # remembered segments, and pairs; beyond, memory is cleared
+    TOGETHER = 128  # texts whose new segments are composed at once
 
     def __init__(self, model: bytes):
         self.kind, self.dummy, self.unk = UNIGRAM, True, 0
@@ -87,14 +112,32 @@ class Pieces:
             for p, _, kind in pieces
         ]
         self.longest = max(map(len, self.id), default=1)
-        joined = "".join(self.id)
-        loose = "".join(c for c in "\n\t\r" if c not in joined)
-        inner = any(SPACE in p.lstrip(SPACE) for p in self.id)
-        cut = f"[{loose}]|" if loose else ""
-        self.cut = None if inner else re.compile(f"{cut}{SPACE}*[^{SPACE}{loose}]+|{SPACE}+")
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.cut = self._cuts()
+        lengths: dict[str, set[int]] = {}
+        for p in self.id:
+            if len(p) > 1:
+                lengths.setdefault(p[-2:], set()).add(len(p))
+        self.lengths = {end: sorted(n, reverse=True) for end, n in lengths.items()}
+        hashes = np.array([_hash(p) for p in self.id], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.hash_id = hashes[order], np.array(list(self.id.values()), np.int64)[order]
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[hashes >> np.uint64(42)] = True
+        self.seen_keys, self.seen_ok = np.full(1 << 18, -1, np.int64), np.zeros(1 << 18, bool)
+        self.pairs: dict[str, dict[str, bool]] = {"": {}}
+        self.known_pairs = 0
         self.paths: dict[str, bytes] = {}
 
+    def _cuts(self) -> re.Pattern | None:
+        """Matches the segments of a text: no piece spans two of them."""
+        if any(SPACE in p.lstrip(SPACE) for p in self.id):
+            return None
+        letter = re.compile(r"[^\W\d_]")
+        inside = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
+        if any(a != SPACE and bool(letter.match(a)) != bool(letter.match(b)) for a, b in inside):
+            return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        return re.compile(f"{SPACE}*[^\\W\\d_]+|{SPACE}*(?:(?!{SPACE})[\\W\\d_])+|{SPACE}+")
+
     def _merged(self, text: str) -> list[str]:
         """Merges of highest score, leftmost first; used on one or two pieces at a time."""
         parts, get = list(text), self.score.get
@@ -111,11 +154,11 @@ class Pieces:
 
     def _accepts(self, left: str, right: str) -> bool:
         """Whether right may follow left; an empty left stands for the segment's start."""
-        got = self.pairs.get((left, right))
+        follows = self.pairs.setdefault(left, {})
+        got = follows.get(right)
         if got is None:
-            if len(self.pairs) > self.ROOM:
-                self.pairs.clear()
-            got = self.pairs[left, right] = self._merged(left + right) == ([left, right] if left else [right])
+            self.known_pairs += 1
+            got = follows[right] = self._merged(left + right) == ([left, right] if left else [right])
         return got
 
     def _shortest(self, seg: str) -> list[str]:
@@ -135,19 +178,27 @@ class Pieces:
                 cuts.append(seg[back[j] : j])
                 j = back[j]
             return cuts[::-1]
-        last: list[str] = [""] * (n + 1)  # of each reachable state, the piece of its only arc of finite weight
+        if self.known_pairs > self.ROOM:
+            self.pairs, self.known_pairs = {"": {}}, 0
+            pairs = self.pairs
+        last: list[str] = [""] * (n + 1)  # of each state, the piece of its only arc of finite weight
+        follows: list[dict[str, bool]] = [pairs[""]] * (n + 1)  # and what the acceptor says of pieces after it
+        lengths, none = self.lengths, ()
         for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
-                piece = seg[i:j]
-                if piece not in score:
-                    if i < j - 1:
-                        continue
-                    last[j] = piece
-                    break
-                ok = pairs.get((last[i], piece))
-                if ok if ok is not None else self._accepts(last[i], piece):
-                    last[j] = piece
-                    break
+            for k in lengths.get(seg[j - 2 : j], none) if j > 1 else none:
+                if k <= j:
+                    piece = seg[j - k : j]
+                    if piece in score:
+                        ok = follows[j - k].get(piece)
+                        if ok if ok is not None else self._accepts(last[j - k], piece):
+                            break
+            else:
+                piece = seg[j - 1]
+            last[j] = piece
+            got = pairs.get(piece)
+            if got is None:
+                got = pairs[piece] = {}
+            follows[j] = got
         out, j = [], n
         while j:
             out.append(last[j])
@@ -166,20 +217,102 @@ class Pieces:
                 ids.append(self.unk)
         return np.array(ids, "<i4").tobytes()
 
+    def _accepted(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """The acceptor's answers for arrays of piece numbers (before: -1 at a segment's start), through a table of recent ones."""
+        key = ((before + 1) << 24) | piece
+        slot = (_mix(key.astype(np.uint64)) >> np.uint64(46)).astype(np.int64)
+        ok = self.seen_ok[slot]
+        new = np.flatnonzero(self.seen_keys[slot] != key)
+        if len(new):
+            ask, back = np.unique(key[new], return_inverse=True)
+            names = self.text
+            told = np.fromiter((self._accepts(names[(k >> 24) - 1] if k >> 24 else "", names[k & 0xFFFFFF]) for k in ask.tolist()), bool, len(ask))
+            ok[new] = told[back]
+            self.seen_keys[slot[new]], self.seen_ok[slot[new]] = key[new], ok[new]
+            # two keys of one slot in one call: the table may only hold what belongs together
+            wrong = self.seen_keys[slot[new]] != key[new]
+            self.seen_keys[slot[new][wrong]] = -1
+        return ok
+
+    def _paths(self, segs: list[str]) -> list[bytes | None]:
+        """Shortest paths of many segments at once, position by position; None where a character is in no piece."""
+        if not segs:
+            return []
+        size = np.array(list(map(len, segs)))
+        order = np.argsort(-size, kind="stable")
+        codes = np.frombuffer("".join(segs).encode("utf-32-le", "surrogatepass"), np.uint32)
+        start = (np.cumsum(size) - size)[order]
+        size = size[order]
+        up, down = _powers(len(codes))
+        sums = np.r_[np.uint64(0), np.cumsum(_mix(codes.astype(np.uint64)) * up[: len(codes)])]
+        last = np.full(len(codes) + 1, -1, np.int64)  # of the state after each character: its arc's piece
+        step = np.zeros(len(codes) + 1, np.int64)
+        lost = np.zeros(len(segs), bool)
+        for j in range(1, int(size[0]) + 1):
+            rows = np.arange(int(np.searchsorted(-size, -j, "right")))
+            end = start[rows] + j
+            for k in range(min(j, self.longest), 0, -1):
+                if not len(rows):
+                    break
+                h = _mix((sums[end] - sums[end - k]) * down[end - k] + np.uint64(k))
+                at = np.flatnonzero(self.maybe[h >> np.uint64(42)])
+                if not len(at):
+                    continue
+                place = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+                hit = self.hashes[place] == h[at]
+                at, piece = at[hit], self.hash_id[place[hit]]
+                if k > 1 and len(at):
+                    before = np.full(len(at), -1) if j == k else last[end[at] - k - 1]
+                    good = self._accepted(before, piece)
+                    at, piece = at[good], piece[good]
+                last[end[at] - 1], step[end[at] - 1] = piece, k
+                left = np.ones(len(rows), bool)
+                left[at] = False
+                rows, end = rows[left], end[left]
+            lost[rows] = True
+            last[end - 1], step[end - 1] = -1, 1
+        found = []
+        rows, end = np.arange(len(segs)), start + size
+        while len(rows):
+            found.append((rows, end - 1, last[end - 1]))
+            end = end - step[end - 1]
+            go = end > start[rows]
+            rows, end = rows[go], end[go]
+        row, where, piece = (np.concatenate(x) for x in zip(*found))
+        by = np.lexsort((where, row))
+        data, counts = piece[by].astype("<i4").tobytes(), np.bincount(row, minlength=len(segs))
+        ends = np.cumsum(counts) * 4
+        out: list[bytes | None] = [None] * len(segs)
+        for r, (o, a, b) in enumerate(zip(order.tolist(), (ends - counts * 4).tolist(), ends.tolist())):
+            if not lost[r]:
+                out[o] = data[a:b]
+        return out
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Piece ids of each text; none for a null or empty one."""
+        out = []
+        for a in range(0, len(texts), self.TOGETHER):
+            lists = []
+            for text in texts[a : a + self.TOGETHER]:
+                text = ((SPACE if self.dummy else "") + text.replace(" ", SPACE)) if text else ""
+                lists.append(self.cut.findall(text) if self.cut else [text] if text else [])
+            if len(self.paths) > self.ROOM:
+                self.paths.clear()
+            paths = self.paths
+            new = list({s for segs in lists for s in segs if s not in paths})
+            long: dict[str, bytes] = {}
+            if self.kind == BPE:
+                short = [s for s in new if len(s) <= self.REMEMBERED]
+                paths.update((s, p) for s, p in zip(short, self._paths(short)) if p is not None)
+            for seg in new:
+                if seg not in paths:
+                    (paths if len(seg) <= self.REMEMBERED else long)[seg] = self._path(seg)
+            for segs in lists:
+                out.append(np.frombuffer(b"".join([paths[s] if s in paths else long[s] for s in segs]), "<i4"))
+        return out
+
     def encode(self, text: str | None) -> np.ndarray:
-        """Piece ids; none for a null or empty text."""
-        if not text:
-            return np.empty(0, "<i4")
-        text = (SPACE if self.dummy else "") + text.replace(" ", SPACE)
-        segs = self.cut.findall(text) if self.cut else [text]
-        paths = self.paths
-        if len(paths) > self.ROOM:
-            paths.clear()
-        long = {}
-        for seg in {s for s in segs if s not in paths}:
-            (paths if len(seg) <= self.REMEMBERED else long)[seg] = self._path(seg)
-        get = paths.__getitem__ if not long else lambda s: paths[s] if s in paths else long[s]
-        return np.frombuffer(b"".join(map(get, segs)), "<i4")
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; U+2581 becomes a space, the dummy prefix goes, broken byte runs become U+FFFD."""
@@ -213,7 +346,7 @@ def encoded(docs: DataFrame, model_file: str, text: str = "text", ids: str = "id
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = _compiled(name)
         for part in parts:
-            yield pd.Series([model.encode(t) for t in part], dtype=object)
+            yield pd.Series(model.encode_all(part.tolist()), dtype=object)
 
     return docs.withColumn(ids, run(F.col(text)))
 
