@@ -82,7 +82,7 @@ BASE = {"assign": (ASSIGN, _long_value), "access": (ACCESS, _all_good), "hex": (
 
 
 def trained(docs: DataFrame) -> list[float]:
-    """Log-likelihood ratio of each pair of ALPHABET characters, random to ordinary, with add-one smoothing."""
+    """Log-likelihood ratio of each pair of ALPHABET characters, random to ordinary, backed off to single characters."""
     t = F.col("text")
     value = lambda pattern, group: F.when(t.rlike(pattern), F.regexp_extract_all(t, F.lit(pattern), F.lit(group)))
     random = F.filter(F.coalesce(value(ASSIGN, 1), F.array().cast("array<string>")), lambda x: F.length(x) >= LEAST_VALUE)
@@ -97,8 +97,14 @@ def trained(docs: DataFrame) -> list[float]:
     rows = pairs(random, 1).unionAll(pairs(plain, 0)).groupBy("label", "pair").count().collect()
     size, seen = len(ALPHABET), {(r["label"], r["pair"]): r["count"] for r in rows}
     after = {(k, a): sum(seen.get((k, a + b), 0) for b in ALPHABET) for k in (0, 1) for a in ALPHABET}
-    log = lambda k, a, b: math.log((seen.get((k, a + b), 0) + 1) / (after[k, a] + size))
-    return [log(1, a, b) - log(0, a, b) for a in ALPHABET for b in ALPHABET]
+    into = {(k, b): sum(seen.get((k, a + b), 0) for a in ALPHABET) + 1 for k in (0, 1) for b in ALPHABET}
+    total = {k: sum(into[k, b] for b in ALPHABET) for k in (0, 1)}
+
+    def chance(k: int, a: str, b: str) -> float:
+        return (seen.get((k, a + b), 0) + size * into[k, b] / total[k]) / (after[k, a] + size)
+
+    # half of the random model's weight is uniform: samples of a few formats must not make others look ordinary
+    return [math.log((chance(1, a, b) + 1 / size) / 2) - math.log(chance(0, a, b)) for a in ALPHABET for b in ALPHABET]
 
 
 def _ratio(run: Column, table: list[float]) -> Column:
