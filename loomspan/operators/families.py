@@ -163,3 +163,15 @@ def multiplicon_sizes(segments: DataFrame, *, multiplicon: str = "multiplicon")
 def ratio(a: str, b: str) -> Column:
     """The larger over the smaller; null if one is 0."""
     return F.when((F.col(a) != 0) & (F.col(b) != 0), F.greatest(F.col(a) / F.col(b), F.col(b) / F.col(a)))
+
+
+def copy_classes(df: DataFrame, *, kind: str, species: str, names: list[str]) -> DataFrame:
+    """df with own and other: the copy numbers of a row's species and of the other one, from a text like '2.1.0'."""
+    parts = F.split(kind, "\\.")
+    n = lambda i: F.try_element_at(parts, F.lit(i + 1)).try_cast("int")
+    first = F.col(species) == names[0]
+    return df.withColumns({"own": F.when(first, n(0)).otherwise(n(1)), "other": F.when(first, n(1)).otherwise(n(0))})
+
+
+def quality_counts(df: DataFrame, *, group: str, tier: str) -> DataFrame:
+    return df.groupBy(tier).agg(F.count_distinct(group).alias("groups"))

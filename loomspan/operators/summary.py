@@ -204,3 +204,37 @@ def signed_stats(df: DataFrame, *, group: list[str], value: str, sign: str) -> D
 def expanded(df: DataFrame, freq: str) -> DataFrame:
     """Each row as often as its frequency says (weighted statistics need no expansion)."""
     return df.where(F.col(freq) > 0).withColumn("_x", F.explode(F.sequence(F.lit(1), F.col(freq).cast("int")))).drop("_x")
+
+
+def legacy_summary(df: DataFrame, *, levels: list[str], bp: str, genome: int) -> DataFrame:
+    """Per prefix of levels (level 0: Total): number, share of all, bases, share of all bases and of a genome, mean length."""
+    out = rolled_up(df.withColumn("_all", F.lit("all")), by=["_all"], levels=levels, measures={"elements": F.count("*"), "bp": F.sum(bp)})
+    w = Window.partitionBy("_all")
+    n, b = F.max(F.when(F.col("level") == 0, F.col("elements"))).over(w), F.max(F.when(F.col("level") == 0, F.col("bp"))).over(w)
+    return out.withColumns(
+        {"percent_elements": 100 * F.col("elements") / n, "percent_bp": 100 * F.col("bp") / b, "percent_genome": 100 * F.col("bp") / genome, "mean_length": F.col("bp") / F.col("elements")}
+    ).drop("_all")
+
+
+def divergence_table(df: DataFrame, sizes: DataFrame, *, group: list[str], on: str, bp: str, value: str, overlapping: str, size: str) -> DataFrame:
+    """Per group, with overlapping rows Included and Excluded: megabases, percent of the size of `on`, and median, mean,
+    deviation and maximum of a value, to two places."""
+    kinds = F.array_compact(F.array(F.lit("Included"), F.when(~F.col(overlapping), F.lit("Excluded"))))
+    rows = df.withColumn("overlap", F.explode(kinds)).groupBy(*group, "overlap")
+    out = rows.agg(F.sum(bp).alias("_bp"), F.median(value).alias("median"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.max(value).alias("max"))
+    out = out.join(sizes.select(on, F.col(size).alias("_size")), on).withColumns({"mb": F.col("_bp") / 1e6, "percent": 100 * F.col("_bp") / F.col("_size")})
+    return out.drop("_bp", "_size").withColumns({c: F.round(c, 2) for c in ("mb", "percent", "median", "mean", "sd", "max")})
+
+
+def described(df: DataFrame, *, group: list[str], value: str, drop_zero: bool = True) -> DataFrame:
+    """Count, mean, deviation, minimum, quartiles and maximum of a value, zeros left out if asked."""
+    rows = df.where(F.col(value) != 0) if drop_zero else df
+    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    out = rows.groupBy(*group).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), q.alias("_q"), F.max(value).alias("max"))
+    return out.withColumns({"q25": F.col("_q")[0], "q50": F.col("_q")[1], "q75": F.col("_q")[2]}).drop("_q")
+
+
+def type_frequency(df: DataFrame, *, kind: str) -> DataFrame:
+    """(kind, count, percent)."""
+    out = df.groupBy(kind).agg(F.count("*").alias("count"))
+    return shares(out, within=[], value="count").select(kind, "count", F.bround(100 * F.col("share"), 2).alias("percent"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.functions import cigar
@@ -35,8 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 DAY0 = "1990-01-01"
-#: Order and line don't tell line items apart; with part, supplier and quantity they do.
-ITEM_ID = (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("long")
+
+
+def item_id() -> Column:
+    """Order and line don't tell line items apart; with part, supplier and quantity they do."""
+    order = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000
+    return ((order + F.col("l_partkey")) * 10000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("long")
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +52,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         begin.alias("b"),
         (begin + F.col("l_quantity").cast("long") - 1).alias("e"),
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("score"),
-        ITEM_ID.alias("id"),
+        item_id().alias("id"),
         F.col("l_returnflag").alias("flag"),
         F.lit(4000).cast("long").alias("size"),
     )
@@ -168,7 +172,7 @@ def interval_resolved_sequential(spark, d):
 @query()
 def interval_alignment_overlap(spark, d):
     """Both sides of an alignment: supplier and part positions of line items."""
-    rows = items(spark, d).join(table(spark, d, "lineitem").select(ITEM_ID.alias("id"), F.col("l_partkey").alias("tseq")), "id")
+    rows = items(spark, d).join(table(spark, d, "lineitem").select(item_id().alias("id"), F.col("l_partkey").alias("tseq")), "id")
     rows = rows.withColumn("e", F.col("e") + 1)
     return intervals.alignment_overlap(rows, id="id", sides={"Q": ("seq", "b", "e"), "T": ("tseq", "b", "e")}, score="score").select("id", "Qalgorbp", "Talgorbp")
 
@@ -573,3 +577,31 @@ def cigar_histogram(spark, d):
 @query(CIGAR + " SELECT id, 'Ins' AS kind, CAST(i AS INTEGER) AS size FROM al UNION ALL SELECT id, 'Del', CAST(d AS INTEGER) FROM al")
 def indel_list(spark, d):
     return cigar.indels(cigar.parsed(alignments(spark, d), "cg"), ["id"])
+
+
+@query(LEVELS + """, g AS (SELECT r_name, n_name, 2 - grouping(r_name) - grouping(n_name) AS level, count(*) AS elements, CAST(sum(kilo) AS BIGINT) AS bp FROM lv GROUP BY ROLLUP (r_name, n_name)),
+ t AS (SELECT count(*) AS n, sum(kilo) AS b FROM lv) SELECT r_name, n_name, CAST(level AS INTEGER) AS level, elements, bp, round(100.0 * elements / n, 6) AS percent_elements, round(100.0 * bp / b, 6) AS percent_bp,
+ round(100.0 * bp / 1e9, 6) AS percent_genome, round(bp / elements, 6) AS mean_length FROM g, t""")
+def summary_legacy(spark, d):
+    return rounded(summary.legacy_summary(levels(spark, d), levels=["r_name", "n_name"], bp="kilo", genome=10**9))
+
+
+@query(LEVELS + """, k AS (SELECT *, unnest(CASE WHEN flagged THEN ['Included'] ELSE ['Included', 'Excluded'] END) AS overlap FROM lv)
+ SELECT r_name, c_mktsegment, overlap, round(sum(kilo) / 1e6, 2) AS mb, round(100.0 * sum(kilo) / 1e6, 2) AS percent, round(median(kilo), 2) AS median, round(avg(kilo), 2) AS mean, round(stddev_samp(kilo), 2) AS sd,
+ CAST(max(kilo) AS DOUBLE) AS max FROM k GROUP BY 1, 2, 3""")
+def summary_divergence_table(spark, d):
+    rows = levels(spark, d)
+    sizes = table(spark, d, "region").select("r_name", F.lit(10**6).cast("long").alias("size"))
+    out = summary.divergence_table(rows, sizes, group=["r_name", "c_mktsegment"], on="r_name", bp="kilo", value="kilo", overlapping="flagged", size="size")
+    return out.withColumn("max", F.col("max").cast("double"))
+
+
+@query("""SELECT o_orderpriority, count(*) AS "count", round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS std, min(x) AS min, max(x) AS max, round(quantile_cont(x, 0.25), 4) AS q25, round(quantile_cont(x, 0.5), 4) AS q50,
+ round(quantile_cont(x, 0.75), 4) AS q75 FROM (SELECT o_orderpriority, o_totalprice AS x FROM orders) WHERE x <> 0 GROUP BY 1""")
+def described_values(spark, d):
+    return rounded(summary.described(table(spark, d, "orders").select("o_orderpriority", F.col("o_totalprice").alias("x")), group=["o_orderpriority"], value="x"), 4)
+
+
+@query("""SELECT event_type, count(*) AS "count", round_even(100.0 * count(*) / (SELECT count(*) FROM events), 2) AS percent FROM events GROUP BY 1""")
+def type_frequency(spark, d):
+    return summary.type_frequency(table(spark, d, "events"), kind="event_type")
