@@ -87,11 +87,11 @@ def _next_texts(docs: DataFrame) -> DataFrame:
     by windows over the list of windows. A repeated doc_id counts once, with its smallest text; null ids have no place.
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), or_empty(F.col("text")).alias("text"))
-    rows = rows.withColumn("_bin", F.floor(F.col("doc_id") / IDS))
+    rows = rows.withColumn("_bin", F.expr(f"doc_id div {IDS}")).where("_bin is not null")  # as joins infer, so that both uses share a shuffle
     order = Window.partitionBy("_bin").orderBy("doc_id", "text")
     rows = rows.withColumn("_prev", F.lag("doc_id").over(order)).where(~F.col("_prev").eqNullSafe(F.col("doc_id")))
     seen = rows.withColumns({"_next_id": F.lead("doc_id").over(order), "_next_text": F.lead("text").over(order)})
-    bins = written(docs.where("doc_id is not null").select(F.floor(F.col("doc_id").cast("long") / IDS).alias("_bin")).distinct())
+    bins = written(docs.where("doc_id is not null").select(F.expr(f"cast(doc_id as bigint) div {IDS}").alias("_bin")).distinct())
     firsts = seen.where("_prev is null").select("_bin", F.col("doc_id").alias("_first_id"), F.col("text").alias("_first_text"))
     after = _next_bins(bins)
     firsts = firsts.withColumnRenamed("_bin", "_next_bin").join(after, "_next_bin").select("_bin", "_first_id", "_first_text")
@@ -106,7 +106,7 @@ def _next_texts(docs: DataFrame) -> DataFrame:
 
 def _next_bins(bins: DataFrame, width: int = 4096) -> DataFrame:
     """(_bin, _next_bin) in ascending order, the last followed by the first; only one row for each `width` bins is windowed as a whole."""
-    upper = F.floor(F.col("_bin") / width)
+    upper = F.expr(f"_bin div {width}")
     inner = bins.select("_bin", upper.alias("_up")).withColumn("_next_bin", F.lead("_bin").over(Window.partitionBy("_up").orderBy("_bin")))
     whole = Window.orderBy("_up")
     ends = inner.groupBy("_up").agg(F.min("_bin").alias("_low"))
