@@ -25,7 +25,7 @@ from loomspan.llm.common import BROADCAST_ROWS, or_empty, sized, written
 
 GRAM = 64
 #: Representatives of a gram (on average) that one task orders; larger ones are divided further.
-GROUP = 4096
+GROUP = 1024
 _ODD, _STEP = np.uint64(0x9E3779B97F4A7C15), 1 << 20
 _BACK = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _VALUE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -198,7 +198,23 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
         keyed.join(sized(copied), "text_id", "left_semi").dropDuplicates(["text_id"])
     )
     spans = repeated(once, length)
-    spans = written(spans.groupBy("text_id").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("starts")))
+    spans = spans.groupBy("text_id").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("starts"))
+
+    def merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Runs of starts whose windows touch become one."""
+        for part in parts:
+            out = []
+            for starts in part["starts"]:
+                runs: list[dict[str, int]] = []
+                for s in starts:
+                    if runs and s["low"] <= runs[-1]["high"] + length:
+                        runs[-1]["high"] = max(runs[-1]["high"], s["high"])
+                    else:
+                        runs.append({"low": s["low"], "high": s["high"]})
+                out.append(runs)
+            yield part[["text_id"]].assign(starts=out)
+
+    spans = written(spans.mapInPandas(merge, spans.schema))
     few = spans.agg(F.sum(F.size("starts"))).first()[0] or 0
     told = rows.join(F.broadcast(spans) if few <= BROADCAST_ROWS else spans, "text_id", "left")
     told = told.join(sized(copied.withColumn("copied", F.lit(True))), "text_id", "left").select("doc_id", "text", "starts", F.coalesce("copied", F.lit(False)).alias("copied"))
