@@ -420,7 +420,7 @@ POSITIONS = """WITH ps AS (SELECT l_returnflag AS seq, l_partkey AS pos, CAST(l_
  ex AS (SELECT seq, max(pos) + 1 AS stop FROM ps GROUP BY 1), gr AS (SELECT seq, CAST(i AS INTEGER) AS "window", stop FROM ex, LATERAL (SELECT unnest(generate_series(0, CAST(greatest(ceil(stop / {step}.0), 1) AS BIGINT) - 1)) AS i))"""
 
 
-@query(POSITIONS.format(step=50) + """ SELECT gr.seq, gr."window", gr."window" * 50 AS window_begin, least(gr."window" * 50 + 50, stop) AS window_end, CAST(coalesce(t, 0) AS BIGINT) AS total FROM gr
+@query(POSITIONS.format(step=50) + """ SELECT gr.seq, gr."window", CAST(gr."window" * 50 AS BIGINT) AS window_begin, least(gr."window" * 50 + 50, stop) AS window_end, CAST(coalesce(t, 0) AS BIGINT) AS total FROM gr
  LEFT JOIN (SELECT seq, CAST(floor((pos + pos + w) / 2 / 50) AS INTEGER) AS k, sum(w) AS t FROM ps GROUP BY 1, 2) s ON s.seq = gr.seq AND s.k = gr."window" """)
 def windows_by_midpoint(spark, d):
     rows = positions(spark, d).withColumn("e", F.col("pos") + F.col("w"))
@@ -435,7 +435,7 @@ def windows_jumping(spark, d):
     return rounded(windows.jumping(positions(spark, d), sizes, seq="seq", begin="pos", length="w", values=["x"], stop="stop", width=50, jump=10), 4)
 
 
-@query(POSITIONS.format(step=100) + """ SELECT gr.seq, gr."window", gr."window" * 100 AS window_begin, least(gr."window" * 100 + 100, stop) AS window_end, coalesce(small, 0) AS small, coalesce(big, 0) AS big, coalesce(total, 0) AS total
+@query(POSITIONS.format(step=100) + """ SELECT gr.seq, gr."window", CAST(gr."window" * 100 AS BIGINT) AS window_begin, least(gr."window" * 100 + 100, stop) AS window_end, coalesce(small, 0) AS small, coalesce(big, 0) AS big, coalesce(total, 0) AS total
  FROM gr LEFT JOIN (SELECT seq, pos // 100 AS k, count(*) FILTER (w < 10) AS small, count(*) FILTER (w >= 40) AS big, count(*) AS total FROM ps GROUP BY 1, 2) s ON s.seq = gr.seq AND s.k = gr."window" """)
 def windows_counted(spark, d):
     return windows.counted(positions(spark, d), extents(spark, d), seq="seq", position="pos", start="start", stop="stop", width=100, classes={"small": F.col("w") < 10, "big": F.col("w") >= 40})
