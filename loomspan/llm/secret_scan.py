@@ -2,8 +2,8 @@
 
 Base spans come from three patterns. The method adds spans: runs of key characters are scored by two first-order character
 Markov models, one of random strings and one of ordinary identifiers, and are reported if the log-likelihood ratio is
-large. Both models are trained from labelled samples of the corpus itself: what the base patterns found (random) and
-long runs without digits (ordinary), from all documents; their tables are bounded by the squared size of the alphabet.
+large, in all and per character. Both are trained from labelled samples of the corpus itself: what the base patterns found
+(random) and other long runs (ordinary), from all documents; their tables are bounded by the squared size of the alphabet.
 
 Spark has no function for match offsets. A text's pieces between matches and the matches themselves have lengths, whose
 running sums are the offsets (code points, end exclusive).
@@ -12,11 +12,14 @@ running sums are the offsets (code points, end exclusive).
 from __future__ import annotations
 
 import math
+from collections import Counter
+from random import Random
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import or_empty
+from loomspan.llm.common import or_empty, written
 
 KEYWORDS = "password|passwd|secret|token|api_?key"
 ASSIGN = rf"""(?i:{KEYWORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -30,6 +33,11 @@ LEAST_VALUE = 8
 MASK = "[SECRET]"
 #: Log-likelihood ratio, in nats, from which a run is taken for random.
 RATIO = 12.0
+#: Share of the prior in the ordinary model, and its chances of the next class (lower case, upper case, digit, sign) after each.
+PRIOR = 0.2
+TURNS = ((0.85, 0.03, 0.03, 0.09), (0.03, 0.85, 0.03, 0.09), (0.03, 0.03, 0.85, 0.09), (0.4, 0.15, 0.35, 0.1))
+#: Steps of the average ratio, and how many misses a false alarm weighs, when its bound is set.
+STEP, ALARM = 0.05, 10
 _CHUNK = 64
 
 
@@ -81,30 +89,102 @@ def _long_value(m: Column) -> Column:
 BASE = {"assign": (ASSIGN, _long_value), "access": (ACCESS, _all_good), "hex": (HEX, _all_good)}
 
 
-def trained(docs: DataFrame) -> list[float]:
-    """Log-likelihood ratio of each pair of ALPHABET characters, random to ordinary, backed off to single characters."""
-    t = F.col("text")
-    value = lambda pattern, group: F.when(t.rlike(pattern), F.regexp_extract_all(t, F.lit(pattern), F.lit(group)))
-    random = F.filter(F.coalesce(value(ASSIGN, 1), F.array().cast("array<string>")), lambda x: F.length(x) >= LEAST_VALUE)
-    random = F.concat(random, *[F.coalesce(value(p, 0), F.array().cast("array<string>")) for p in (ACCESS, HEX)])
-    plain = F.filter(F.regexp_extract_all(t, F.lit(ORDINARY), F.lit(0)), lambda x: ~x.rlike("[0-9]"))
+class Model(NamedTuple):
+    """Log-likelihood ratio of each pair of ALPHABET characters, random to ordinary; and the least ratio of a pair, on average."""
+
+    table: list[float]
+    least: float
+
+
+def _class(c: str) -> int:
+    return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
-    def pairs(tokens: Column, label: int) -> DataFrame:
-        runs = docs.where(t.isNotNull()).select(F.explode(tokens).alias("run")).where(F.length("run") > 1)
-        at = runs.select("run", F.explode(F.sequence(F.lit(1), F.length("run") - 1)).alias("i"))
-        return at.select(F.lit(label).alias("label"), F.substring("run", F.col("i"), F.lit(2)).alias("pair"))
 
-    rows = pairs(random, 1).unionAll(pairs(plain, 0)).groupBy("label", "pair").count().collect()
-    size, seen = len(ALPHABET), {(r["label"], r["pair"]): r["count"] for r in rows}
-    after = {(k, a): sum(seen.get((k, a + b), 0) for b in ALPHABET) for k in (0, 1) for a in ALPHABET}
-    into = {(k, b): sum(seen.get((k, a + b), 0) for a in ALPHABET) + 1 for k in (0, 1) for b in ALPHABET}
-    total = {k: sum(into[k, b] for b in ALPHABET) for k in (0, 1)}
+def _ordinary(seen: dict[str, int]) -> dict[str, float]:
+    """Chance of each pair's second character after its first, from counts of pairs in ordinary identifiers.
+
+    The next class of character, then the character: a letter after a letter by case-folded pairs. Both are mixed with
+    fixed shares of a prior, so what the sample lacks (digits, say) costs the same at every size of it.
+    """
+    turns, letters = [[0] * 4 for _ in range(4)], Counter()
+    for pair, n in seen.items():
+        turns[_class(pair[0])][_class(pair[1])] += n
+        if pair.isalpha():
+            letters[pair.lower()] += n
+    sizes, low = Counter(map(_class, ALPHABET)), ALPHABET[:26]
+    turn = [[p if not sum(row) else (1 - PRIOR) * n / sum(row) + PRIOR * p for n, p in zip(row, prior)] for row, prior in zip(turns, TURNS)]
+    after = {a: sum(letters[a + b] for b in low) for a in low}
+
+    def within(a: str, b: str) -> float:
+        if (a + b).isalpha() and after[a.lower()]:
+            return (1 - PRIOR / 2) * letters[(a + b).lower()] / after[a.lower()] + PRIOR / 2 / 26
+        return 1 / sizes[_class(b)]
+
+    return {a + b: turn[_class(a)][_class(b)] * within(a, b) for a in ALPHABET for b in ALPHABET}
 
-    def chance(k: int, a: str, b: str) -> float:
-        return (seen.get((k, a + b), 0) + size * into[k, b] / total[k]) / (after[k, a] + size)
+
+def _table(random: dict[str, int], ordinary: dict[str, int]) -> list[float]:
+    size = len(ALPHABET)
+    after = {a: sum(random.get(a + b, 0) for b in ALPHABET) for a in ALPHABET}
+    into = {b: sum(random.get(a + b, 0) for a in ALPHABET) + 1 for b in ALPHABET}
+    total, chance = sum(into.values()), _ordinary(ordinary)
+
+    def of_random(a: str, b: str) -> float:
+        return (random.get(a + b, 0) + size * into[b] / total) / (after[a] + size)
 
     # half of the random model's weight is uniform: samples of a few formats must not make others look ordinary
-    return [math.log((chance(1, a, b) + 1 / size) / 2) - math.log(chance(0, a, b)) for a in ALPHABET for b in ALPHABET]
+    return [math.log((of_random(a, b) + 1 / size) / 2) - math.log(chance[a + b]) for a in ALPHABET for b in ALPHABET]
+
+
+def _keys() -> list[str]:
+    """Random strings of common key formats."""
+    rng = Random(2)
+    low, up, digits = ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62]
+    return ["".join(rng.choices(a, k=rng.randint(16, 40))) for a in (low + up + digits + "+/", low + up + digits, low + digits, up + digits, digits + low[:6]) for _ in range(200)]
+
+
+def _least(table: list[float], held: dict[int, int]) -> float:
+    """The average ratio that best parts held-out ordinary runs (a false alarm weighs ALARM misses) from random strings that RATIO lets pass.
+
+    `held` counts runs by their average ratio in steps of STEP; of equally good bounds the middle one is taken.
+    """
+    score = lambda run: sum(table[ALPHABET.index(a) * len(ALPHABET) + ALPHABET.index(b)] for a, b in zip(run, run[1:]))
+    found = [(score(k), len(k) - 1) for k in _keys()]
+    keys, n = Counter(math.floor(s / k / STEP) for s, k in found if s >= RATIO), max(sum(held.values()), 1)
+    cost = {}
+    for t in range(min([*keys, *held], default=0), max([*keys, *held], default=0) + 2):
+        missed, alarms = sum(c for x, c in keys.items() if x < t), sum(c for x, c in held.items() if x >= t)
+        cost[t] = missed / max(keys.total(), 1) + ALARM * alarms / n
+    best = [t for t, c in cost.items() if c == min(cost.values())]
+    return (best[0] + best[-1]) / 2 * STEP
+
+
+def trained(docs: DataFrame) -> Model:
+    """The two models' ratios, with the bound set on a fifth of the distinct ordinary runs, which are held out.
+
+    Ordinary are, outside base spans, runs of digits or without them, and those with both that several documents hold.
+    """
+    t = F.col("text")
+    value = lambda pattern, group: F.when(t.rlike(pattern), F.regexp_extract_all(t, F.lit(pattern), F.lit(group)))
+    random = F.filter(F.coalesce(value(ASSIGN, 1), F.array().cast("array<string>")), lambda x: F.length(x) >= LEAST_VALUE)
+    random = F.concat(random, *[F.coalesce(value(p, 0), F.array().cast("array<string>")) for p in (ACCESS, HEX)])
+    rest = t
+    for pattern in (ASSIGN, ACCESS, HEX):
+        rest = F.when(t.rlike(pattern), F.regexp_replace(rest, pattern, " ")).otherwise(rest)
+    there, doc = docs.where(t.isNotNull()), F.col("doc_id").cast("string").alias("doc")
+    keys = there.select(F.explode(random).alias("run")).groupBy("run").agg(F.count("*").alias("c")).select(F.lit(1).alias("label"), "run", "c")
+    plain = there.select(doc, F.explode(F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0))).alias("run"))
+    plain = plain.groupBy("run").agg(F.count("*").alias("c"), (F.min("doc") < F.max("doc")).alias("several"))
+    both = F.col("run").rlike("[0-9]") & F.col("run").rlike("[A-Za-z]")
+    held = F.pmod(F.xxhash64("run"), F.lit(5)) == 0
+    plain = plain.where(~both | F.coalesce("several", F.lit(False))).select(F.when(held, -1).otherwise(0).alias("label"), "run", "c")
+    runs = written(keys.unionAll(plain).where(F.length("run") > 1))
+    at = runs.where("label >= 0").select("label", "run", "c", F.explode(F.sequence(F.lit(1), F.length("run") - 1)).alias("i"))
+    rows = at.groupBy("label", F.substring("run", F.col("i"), F.lit(2)).alias("pair")).agg(F.sum("c").alias("n")).collect()
+    table = _table(*({r["pair"]: r["n"] for r in rows if r["label"] == k} for k in (1, 0)))
+    average = F.floor(_ratio(F.col("run"), table) / (F.length("run") - 1) / STEP)
+    bins = runs.where("label < 0").groupBy(average.alias("bin")).count().collect()
+    return Model(table, _least(table, {r["bin"]: r["count"] for r in bins}))
 
 
 def _ratio(run: Column, table: list[float]) -> Column:
@@ -115,22 +195,22 @@ def _ratio(run: Column, table: list[float]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(run) - 1), F.lit(0.0), step)
 
 
-def _random(table: list[float]):
-    mixed = lambda x: x.rlike("[0-9]") & x.rlike("[A-Za-z]")
-    return lambda m: F.transform(m, lambda x: F.when(mixed(x), _ratio(x, table) >= RATIO).otherwise(False))
+def _random(model: Model):
+    bound = lambda x: F.greatest(F.lit(RATIO), F.lit(model.least) * (F.length(x) - 1))
+    return lambda m: F.transform(m, lambda x: _ratio(x, model.table) >= bound(x))
 
 
-def scanned(docs: DataFrame, table: list[float] | None = None) -> DataFrame:
+def scanned(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, the base spans' counts and all spans of every row of docs.
 
     spans is an array of (start, kind, end), ordered by start, then kind (as in KINDS). A null text counts as empty. A run
     that overlaps a base span is not reported again. Ties and repeated rows are scanned each for itself.
     """
-    table = trained(docs) if table is None else table
+    model = trained(docs) if model is None else model
     df = docs.select("doc_id", or_empty(F.col("text")).alias("text"))
     for kind, (pattern, good) in BASE.items():
         df = _matches(df, "text", kind, pattern, good)
-    df = _matches(df, "text", "model", RUN, _random(table))
+    df = _matches(df, "text", "model", RUN, _random(model))
     df = df.select("doc_id", *[_spans(k).alias(k) for k in KINDS])
     df = df.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
     free = F.filter("model", lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
@@ -150,11 +230,11 @@ def digest(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_told(F.col("base")), 256).alias("base_sha256"), _told(F.col("spans")).alias("spans"))
 
 
-def redacted(docs: DataFrame, table: list[float] | None = None) -> DataFrame:
+def redacted(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """docs, all columns and rows, with every secret in text replaced by MASK and n_chars (if there) counted anew."""
-    table = trained(docs) if table is None else table
+    model = trained(docs) if model is None else model
     df, names = docs.withColumn("_secret_text", F.col("text")), docs.columns
-    for kind, pattern, good in [(k, p, g) for k, (p, g) in BASE.items()] + [("model", RUN, _random(table))]:
+    for kind, pattern, good in [(k, p, g) for k, (p, g) in BASE.items()] + [("model", RUN, _random(model))]:
         m, p, g = f"_secret_{kind}_m", f"_secret_{kind}_p", f"_secret_{kind}_g"
         df = df.withColumn(m, F.when(F.col("_secret_text").rlike(pattern), F.regexp_extract_all("_secret_text", F.lit(pattern), F.lit(0))))
         df = df.withColumn(p, F.when(F.col(m).isNotNull(), F.split("_secret_text", pattern, -1))).withColumn(g, F.when(F.col(m).isNotNull(), good(F.col(m))))

@@ -87,6 +87,18 @@ def test_secrets(spark, docs):
         assert "model:4:28" in next(r["spans"] for r in got if r["doc_id"] == 1001)
 
 
+CLEAN = ["documentation_page_2", "release-candidate-v2", "international_conference_2024", "blog/2019/05/welcome-home", "user_20230115_1234", "static/images/header_background_2x", "4785380592391139", "getElementsByClassName2", "SECTION_HEADING_LEVEL_3", "meeting-notes-2021-11-03"]
+KEYS = ["zX8kQ2mP9vL4nR7tY1wB3cD6", "k3j9x0q2m7v5b8n1z4t6", "K7QX2M9PV4NR7TY1ZB3W", "qXzWvBnMkLpTyRsDgHjF", "3f7a9c2e1b8d4f605a7c"]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_ordinary_identifiers_are_no_secrets(spark, sf):
+    model = secret_scan.trained(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"))
+    rows = spark.createDataFrame(list(enumerate(CLEAN + KEYS)), "doc_id long, text string")
+    got = {r["doc_id"]: len(r["spans"]) for r in secret_scan.scanned(rows, model).collect()}
+    assert got == {i: int(i >= len(CLEAN)) for i in range(len(CLEAN + KEYS))}
+
+
 def vectors(spark, n=300, dim=16):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((n, dim))
