@@ -305,6 +305,35 @@ def test_mixing(docs):
                 assert b * 100 // quota[s] <= slot < -(-(b + 1) * 100 // quota[s])
 
 
+@pytest.mark.parametrize("few", [20, 501, 3000])
+def test_mix_meets_the_weights(few):
+    """A source with a third of the weight and many others: under one block from the true shares after any slot."""
+    weights = {"big": (few - 1) / 2, **{f"s{k}": 1.0 for k in range(few - 1)}}
+    blocks = {"big": 2 * few, **{f"s{k}": 5 for k in range(few - 1)}}
+    names, q = sorted(weights), mixing.units(weights)
+    had, total = Counter(), sum(weights.values())
+    for slot, (s, i, _) in enumerate(mixing.scheduled([q[s] for s in names], [blocks[s] for s in names]), 1):
+        assert had[s] == i
+        had[s] += 1
+        if slot <= 3 * few:  # no source has ended
+            seen = [names[s], "big"] if slot % 100 else names
+            assert all(abs(had[names.index(x)] - slot * weights[x] / total) < 1 + 1e-9 for x in seen)
+    assert had == {i: blocks[s] for i, s in enumerate(names)}
+
+
+def test_mix_of_many_sources(spark):
+    docs = spark.range(1200).selectExpr("id doc_id", "repeat('x', 50) text", "if(id < 100, 'big', string(id)) source")
+    got = mixing.mixed(docs, weights={"big": 550.0, "100": 1.0}, block_bytes=64).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(1200))
+    assert all(abs(r["target"] - (1 / 3 if r["source"] == "big" else 1 / 1650)) < 1e-9 for r in got if r["phase"] == 0)
+    had = 0
+    for r in sorted(got, key=lambda r: (r["slot"], r["doc_id"])):
+        if r["source"] == "big" and r["phase"] == 0:
+            assert abs(r["block"] - r["slot"] / 3) <= 1
+            had += 1
+    assert had > 50
+
+
 def test_hilbert_is_a_curve():
     for bits, n in ((3, 2), (2, 3), (2, 4)):
         points = np.array(list(itertools.product(range(1 << bits), repeat=n)))
