@@ -21,6 +21,24 @@ def test_pipeline(spark):
         assert r["n_chars"] == len(r["text"]) and r["ids"] == model.encode(r["text"]).tolist()
 
 
+def test_the_mix_is_returned(spark, tmp_path, monkeypatch):
+    """Over prefixes of what run() returns, in order, each source is within a block of its share."""
+    sizes = {"a": 180, "b": 60, "c": 20}
+    rows = [(100 * n + i, "word " * 3000, s) for s, n in sizes.items() for i in range(n)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
+    got = sorted(corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "source", "slot").collect(), key=lambda r: (r["slot"], r["doc_id"]))
+    assert [r["doc_id"] for r in got] != sorted(r["doc_id"] for r in got) and len(got) == len(rows)
+    blocks = {s: 15001 * (n - 1) // 65536 + 1 for s, n in sizes.items()}
+    weight, had = {s: n**0.7 for s, n in blocks.items()}, dict.fromkeys(sizes, 0)
+    for slot in sorted({r["slot"] for r in got}):
+        had[next(r["source"] for r in got if r["slot"] == slot)] += 1
+        assert all(abs(had[s] - (slot + 1) * w / sum(weight.values())) < 1 + 1e-9 for s, w in weight.items())
+        if any(had[s] + 1 >= blocks[s] for s in sizes):
+            break
+    assert sum(had.values()) >= 10
+
+
 def test_stages_on_odd_rows(spark, odd, nothing):
     for rows in (odd, nothing):
         docs = rows
