@@ -154,26 +154,112 @@ def test_language_of_odd_rows(odd, nothing):
     assert langid.in_known_language(nothing).isEmpty()
 
 
-@pytest.mark.parametrize("most", [100, 20000])
-def test_pitman_yor(docs, most):
+@pytest.mark.parametrize("shard", [pitman_yor.SHARD, 3000])
+def test_pitman_yor(docs, shard):
+    """A small shard also divides classes and buckets frequent words."""
     rows = texts(docs)
     fold = lambda i: None if i is None else zlib.crc32(str(i).encode()) % 10
     words = lambda t: [*t.encode().lower().split(), b"\n"]
     c = Counter(w for i, t in rows if fold(i) for w in words(t))
     n, v = sum(c.values()), len(c)
-    got = pitman_yor.scored(docs, most, 2 * most).collect()
+    got = pitman_yor.scored(docs, shard).collect()
     want = Counter((i, fold(i) == 0, len(words(t)), sum(c[w] > 0 for w in words(t)), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words(t)), 3)) for i, t in rows)
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 3)) for r in got) == want
     assert all(r["score"] < 0 for r in got)
     held = [r for r in got if r["held_out"]]
-    if len(rows) > 100:
-        assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    if len(rows) > 100:  # perplexity of held-out texts: under a third of the base's
+        tokens = sum(r["n_tokens"] for r in held)
+        assert sum(r["score"] for r in held) / tokens > sum(r["base_score"] for r in held) / tokens + math.log10(3)
+    again = pitman_yor.scored(docs.repartition(7), shard).collect()
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["score"])
+    assert all(abs(a["score"] - b["score"]) < 1e-6 for a, b in zip(sorted(got, key=key), sorted(again, key=key)))
 
 
-def test_pitman_yor_sums_to_one(spark):
-    rows = spark.createDataFrame([(i % 3, i, 5 * i + 1) for i in range(7)], "context long, dish long, c long")
-    p = pitman_yor.predictive(rows, 9)
-    assert np.allclose(p.sum(axis=1), 1)
+def tiny_tree(seed=0):
+    rng = np.random.default_rng(0)
+    context = rng.integers(0, 6, 400)
+    word = np.minimum(rng.geometric(0.35, 400) - 1 + context % 2, 7)
+    pairs, count = np.unique(context * 8 + word, return_counts=True)
+    root = pitman_yor.Root(np.array([5, 4, 3, 2, 2, 1, 1, 1]), np.ones(8, np.int64), 19, 8, 0.5, 1 / 9)
+    keys = pitman_yor.mixed(pairs.astype(np.uint64) + np.uint64(77 + seed))
+    return pitman_yor.Tree(keys, pairs // 8, pairs // 16, pairs % 8, count, root, np.ones(3)), root
+
+
+def test_pitman_yor_seats_like_a_plain_sampler():
+    """Average table numbers of chained sweeps against a sampler that reseats one customer at a time at explicit tables."""
+    import random
+
+    rng = random.Random(1)
+    means, means1 = [], []
+    for seed in range(3):
+        tree, root = tiny_tree(seed)
+        for k in range(220):
+            tree.sweep()
+            if k >= 20:
+                means.append(tree.t.copy())
+                means1.append(tree.t1.copy())
+    low, high = [[] for _ in tree.c], [[] for _ in tree.c1]
+    p0 = [float(pitman_yor.chance(root.c[w], root.t[w], root.n, root.tables, root.d, root.base)) for w in range(8)]
+
+    def seat(rooms, i, room, d, above, sit):
+        mine = [x for j, x in enumerate(rooms) if room[j] == room[i]]
+        tables = sum(map(len, mine))
+        weights = [x - d for x in rooms[i]] + [(1 + d * tables) * above(i)]
+        k = rng.choices(range(len(weights)), weights)[0]
+        if k < len(rooms[i]):
+            rooms[i][k] += 1
+        else:
+            rooms[i].append(1)
+            sit(i)
+
+    def leave(rooms, i, gone):
+        k = rng.choices(range(len(rooms[i])), rooms[i])[0]
+        rooms[i][k] -= 1
+        if not rooms[i][k]:
+            rooms[i].pop(k)
+            gone(i)
+
+    def class_chance(i):
+        j = tree.up[i]
+        mine = [x for k, x in enumerate(high) if tree.up_group[k] == tree.up_group[j]]
+        n, tables = sum(map(sum, mine)), sum(map(len, mine))
+        return (max(sum(high[j]) - tree.d1 * len(high[j]), 0) + (1 + tree.d1 * tables) * p0[tree.up_word[j]]) / (1 + n)
+
+    sit1 = lambda i: seat(high, tree.up[i], tree.up_group, tree.d1, lambda j: p0[tree.up_word[j]], lambda j: None)
+    customers = [i for i, c in enumerate(tree.c) for _ in range(c)]
+    for i in customers:
+        seat(low, i, tree.context, tree.d, class_chance, sit1)
+    sums, sums1, n = np.zeros(len(low)), np.zeros(len(high)), 0
+    for k in range(130):
+        for i in customers:
+            leave(low, i, lambda i: leave(high, tree.up[i], lambda j: None))
+            seat(low, i, tree.context, tree.d, class_chance, sit1)
+        if k >= 30:
+            sums, sums1, n = sums + [len(x) for x in low], sums1 + [len(x) for x in high], n + 1
+    assert abs(np.mean(means, 0).sum() / (sums.sum() / n) - 1) < 0.04
+    assert abs(np.mean(means1, 0).sum() / (sums1.sum() / n) - 1) < 0.06
+    assert np.abs(np.mean(means, 0) - sums / n).mean() < 0.25
+
+
+def test_pitman_yor_sums_to_one():
+    """Every word in every context: what the pairs leave goes to the classes, what these leave to the root."""
+    context, word = (x.ravel() for x in np.meshgrid(np.arange(4), np.arange(9), indexing="ij"))
+    count = (context * 5 + word * 3) % 7 * (word < 8)
+    c0 = np.r_[np.arange(1, 9), 0]  # the ninth word is the unknown one
+    root = pitman_yor.Root(c0, np.minimum(c0, 2), int(c0.sum()), int(np.minimum(c0, 2).sum()), 0.4, 1 / 9)
+    tree = pitman_yor.Tree(pitman_yor.mixed(np.arange(36, dtype=np.uint64)), context, context // 2, word, count, root, np.ones(2))
+    p = tree.averaged(3, 4)
+    assert np.allclose(np.bincount(context, p), 1)
+
+
+def test_ways_to_seat_many():
+    """The saddle point's ratios of Stirling numbers against exact ones."""
+    for d in (0.1, 0.5, 0.8):
+        exact = pitman_yor._stirling(d, 1500)
+        for c in (80, 400, 1500):
+            t = np.arange(1, c // 2)
+            got = pitman_yor.log_ways(np.full(len(t), float(c)), t.astype(float), d)
+            assert np.abs(np.diff(got) - np.diff(exact[c, t])).max() < 0.04
 
 
 def test_pieces_match_the_library(docs):
