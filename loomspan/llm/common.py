@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from loomspan.session import shipped  # noqa: F401
 
-#: Rows of a one-column id table up to which a join side is broadcast (8 bytes each); beyond it Spark shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a table up to which a join side is broadcast; beyond it Spark shuffles.
+BROADCAST_BYTES = 8_000_000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -31,8 +31,9 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized(ids: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """ids (a narrow table already written) with a broadcast hint only if a count proves it small."""
+def sized(ids: DataFrame, width: int = 8) -> DataFrame:
+    """ids (a narrow table already written, at most `width` bytes a row) with a broadcast hint only if a count proves it small."""
+    limit = BROADCAST_BYTES // width
     return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
 
 

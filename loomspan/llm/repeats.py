@@ -5,11 +5,13 @@ digit by digit from the most significant, and a suffix alone in its group is dro
 digit are exactly the repeated windows.
 
 The first digit is a gram: the one of least hash in a window, which depends on the window's content alone. Consecutive
-windows share it, so a run of windows is one row (gram, run). The second digit is the run's whole content with its place
-around the gram: equal runs repeat as a whole and go on as one representative. The last pass orders the windows of the
-representatives of a gram, in one task where they are few, by a pre-aggregated shuffle of window digests where not.
+windows share it, so a run of windows is one row (gram, run). Each further digit halves nothing but looks at more bytes: a
+run is cut into pieces by distance from the gram, and a piece's digit is its core, the bytes that all windows of the piece
+have in common. Pieces whose core is nowhere else are dropped. Pieces that are equal as a whole repeat as a whole: they are
+reported and one of them goes on, for the others' sake. What is left is cut into smaller pieces, at last single windows.
+So the many runs around a frequent passage are told apart by a few rows each, and no group is ever held in one place.
 
-Equal texts repeat as a whole and enter once. Positions are bytes; hashes have 64 bits.
+Equal texts repeat as a whole and enter once. Positions are bytes; digests have 128 bits.
 """
 
 from __future__ import annotations
@@ -21,14 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import BROADCAST_ROWS, or_empty, sized, written
+from loomspan.llm.common import BROADCAST_BYTES, or_empty, sized, written
 
 GRAM = 64
-#: Representatives of a gram (on average) that one task orders; larger ones are divided further.
-GROUP = 1024
+#: Windows of a piece, digit by digit; the first digit's pieces are whole runs.
+PIECES = (64, 8, 1)
 _ODD, _STEP = np.uint64(0x9E3779B97F4A7C15), 1 << 20
 _BACK = np.uint64(pow(int(_ODD), -1, 1 << 64))
-_VALUE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_VALUES = np.random.default_rng(7).integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -49,18 +51,24 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Hashes:
     """Hashes of any stretches of a byte string: polynomial prefix sums modulo 2^64 over random byte values."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, kind: int = 0):
         up, self.down = _powers(len(data))
-        self.sums = np.r_[np.uint64(0), np.cumsum(_VALUE[data] * up[: len(data)])]
+        self.sums = np.r_[np.uint64(0), np.cumsum(_VALUES[kind][data] * up[: len(data)])]
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[end] - self.sums[start]) * self.down[start])
 
 
+def _digests(parts: list[np.ndarray]) -> list[bytes]:
+    """One of 16 bytes for each place of two arrays of 64 bits."""
+    raw = np.stack(parts, axis=1).astype("<u8").tobytes()
+    return [raw[k : k + 16] for k in range(0, len(raw), 16)]
+
+
 def runs(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(gram, whole, place, low, high): windows starting at low..high have their least gram at place.
 
-    whole digests the run's content and where it lies around the gram.
+    whole (two hashes) digests the run's content and where it lies around the gram.
     """
     gram = min(GRAM, length)
     h, n = Hashes(data), len(data) - gram + 1
@@ -76,8 +84,9 @@ def runs(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     low = np.flatnonzero(np.r_[True, best[1:] != best[:-1]])
     high = np.r_[low[1:] - 1, len(best) - 1]
     place = best[low]
-    whole = _mixed(h(low, high + length) ^ ((place - low) * (length + 1) + high - low).astype(np.uint64) * _ODD)
-    return value[place].view(np.int64), whole.view(np.int64), place, low, high
+    lie = ((place - low) * (length + 1) + high - low).astype(np.uint64) * _ODD
+    whole = [_mixed(x(low, high + length) ^ lie) for x in (h, Hashes(data, 1))]
+    return value[place].view(np.int64), whole, place, low, high
 
 
 def _lesser(value: np.ndarray, best: np.ndarray, shift: int) -> np.ndarray:
@@ -90,32 +99,37 @@ def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) if text else np.empty(0, np.uint8)
 
 
-def _windows(part: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window of the runs in part (gram, place, low, high, data): its run's index, start, and digest with gram and distance."""
+def _pieces(part: pd.DataFrame, length: int, width: int) -> dict[str, object]:
+    """The pieces of `width` windows of stretches (run, gram, place, low, high, data): columns of _SCHEMA.
+
+    Piece q holds the windows that start from q width to (q + 1) width - 1 bytes before the gram. data starts at low.
+    """
     data = [np.frombuffer(d, np.uint8) for d in part["data"]]
     sizes = np.array([len(d) for d in data])
-    low, place = part["low"].to_numpy(np.int64), part["place"].to_numpy(np.int64)
-    count = sizes - length + 1
-    run = np.repeat(np.arange(len(data)), count)
-    step = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
-    at = np.repeat(np.cumsum(sizes) - sizes, count) + step
-    value = Hashes(np.concatenate(data))(at, at + length)
-    start = low[run] + step
-    gram = part["gram"].to_numpy(np.int64).view(np.uint64)
-    return run, start, _mixed(value ^ _mixed(gram[run] + (place[run] - start).astype(np.uint64) * _ODD))
-
-
-def _stretches(part: pd.DataFrame, run: np.ndarray, start: np.ndarray) -> pd.DataFrame:
-    """(text_id, low, high) of consecutive starts in the same run."""
-    if not len(run):
-        return pd.DataFrame({"text_id": [], "low": [], "high": []}).astype({"text_id": "int64", "low": "int32", "high": "int32"})
-    new = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (start[1:] != start[:-1] + 1)])
-    end = np.r_[new[1:] - 1, len(run) - 1]
-    return pd.DataFrame({"text_id": part["text_id"].to_numpy()[run[new]], "low": start[new].astype(np.int32), "high": start[end].astype(np.int32)})
+    base = np.cumsum(sizes) - sizes
+    place, low, high = (part[c].to_numpy(np.int64) for c in ("place", "low", "high"))
+    first = (place - high) // width
+    count = (place - low) // width - first + 1
+    row = np.repeat(np.arange(len(data)), count)
+    q = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    last = place[row] - q * width  # of the windows that the piece could have
+    begin, end = np.maximum(last - width + 1, low[row]), np.minimum(last, high[row])
+    gram = part["gram"].to_numpy(np.int64).view(np.uint64)[row]
+    lie = gram + q.astype(np.uint64) * _ODD
+    cores, wholes = [], []
+    for kind in (0, 1):
+        h = Hashes(np.concatenate(data), kind)
+        at = base[row] - low[row]
+        cores.append(_mixed(h(at + last, at + last - width + 1 + length) ^ _mixed(lie)))
+        wholes.append(_mixed(h(at + begin, at + end + length) ^ _mixed(lie + ((begin - last + width) * (width + 1) + end - begin + 1).astype(np.uint64))))
+    return {"core": _digests(cores), "whole": _digests(wholes), "text_id": part["text_id"].to_numpy()[row], "run": part["run"].to_numpy()[row], "gram": gram.view(np.int64), "place": place[row], "low": begin, "high": end}
+
+
+_SCHEMA = "core binary, whole binary, text_id binary, run int, gram long, place int, low int, high int"
 
 
 def repeated(texts: DataFrame, length: int) -> DataFrame:
-    """(text_id, low, high): starts of the windows of distinct texts (text_id long, text) that occur again."""
+    """(text_id, low, high): starts of the windows of distinct texts (text_id binary, text) that occur again."""
 
     def first(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -124,63 +138,52 @@ def repeated(texts: DataFrame, length: int) -> DataFrame:
                 data = _bytes(text)
                 if len(data) >= length:
                     gram, whole, place, low, high = runs(data, length)
-                    got.append(pd.DataFrame({"gram": gram, "whole": whole, "text_id": i, "place": place, "low": low, "high": high}))
+                    got.append(pd.DataFrame({"core": b"", "whole": _digests(whole), "text_id": i, "run": low, "gram": gram, "place": place, "low": low, "high": high}))
             if got:
                 yield pd.concat(got)
 
-    rows = written(texts.mapInPandas(first, "gram long, whole long, text_id long, place int, low int, high int"))
-    shared = rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    rows = written(rows.join(shared, "gram"))
-    # second digit: equal runs repeat as a whole, and one of them goes on
-    kinds = rows.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(F.struct("text_id", "place", "low", "high")).alias("r"))
-    kinds = written(kinds.select("gram", "whole", "n", "r.*"))
-    entire = rows.join(kinds.where("n > 1").select("gram", "whole"), ["gram", "whole"], "left_semi").select("text_id", "low", "high")
-    grams = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("open"))
-    grams = grams.where("kinds > 1 and open > 0").select("gram", "kinds")
-    going = written(kinds.join(grams, "gram").select("gram", "kinds", "n", "text_id", "place", "low", "high"))
-
-    def content(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            data = [_bytes(t)[a : b + length].tobytes() for t, a, b in zip(part["text"], part["low"], part["high"])]
-            yield part.drop(columns="text").assign(data=data)
+    every = written(texts.mapInPandas(first, _SCHEMA))
+    shared = written(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
+    rows = written(every.join(sized(shared), "gram").select(*every.columns))
+    key, held, found = ["gram", "core"], None, None
+    for width in sorted({min(w, max(length // 2, 1)) for w in PIECES}, reverse=True):
+        going, entire = _divided(rows, key)
+        found = entire if found is None else found.unionByName(entire)
+        if held is None:
 
-    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in going.schema)
-    held = texts.join(sized(going), "text_id").select(*going.columns, "text").mapInPandas(content, f"{columns}, data binary")
-    held = written(held)
+            def content(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for part in parts:
+                    data = [_bytes(t)[a : b + length].tobytes() for t, a, b in zip(part["text"], part["low"], part["high"])]
+                    yield part[["text_id", "run"]].assign(data=data, start=part["low"])
 
-    def last(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Orders the windows of whole grams; parts are sorted by gram, so only a part's last gram waits for the next."""
-        rest = None
-        for part in parts:
-            part = part if rest is None else pd.concat([rest, part], ignore_index=True)
-            tail = int(np.searchsorted(part["gram"].to_numpy(), part["gram"].iloc[-1])) if len(part) else 0
-            rest, part = part.iloc[tail:], part.iloc[:tail]
-            if len(part):
-                yield equal(part.reset_index(drop=True))
-        if rest is not None and len(rest):
-            yield equal(rest.reset_index(drop=True))
-
-    def equal(part: pd.DataFrame) -> pd.DataFrame:
-        run, start, value = _windows(part, length)
-        _, back, count = np.unique(value, return_inverse=True, return_counts=True)
-        good = (count[back] > 1) & (part["n"].to_numpy()[run] == 1)
-        return _stretches(part, run[good], start[good])
-
-    small = held.where(F.col("kinds") <= GROUP).select("gram", "n", "text_id", "place", "low", "high", "data")
-    ordered = small.repartition("gram").sortWithinPartitions("gram").mapInPandas(last, "text_id long, low int, high int")
-
-    def spread(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for k in range(0, len(part), 1024):
-                piece = part.iloc[k : k + 1024].reset_index(drop=True)
-                run, start, value = _windows(piece, length)
-                yield pd.DataFrame({"value": value.view(np.int64), "text_id": piece["text_id"].to_numpy()[run], "low": start.astype(np.int32), "n": piece["n"].to_numpy()[run]})
+            runs_left = going.select("text_id", "run", "low", "high")
+            held = written(texts.join(sized(runs_left, 48), "text_id").select("text_id", "run", "low", "high", "text").mapInPandas(content, "text_id binary, run int, data binary, start int"))
 
-    large = held.where(F.col("kinds") > GROUP).select("gram", "n", "text_id", "place", "low", "high", "data")
-    windows = large.mapInPandas(spread, "value long, text_id long, low int, n long")
-    again = windows.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").select("value")
-    single = windows.where("n = 1").join(again, "value").select("text_id", "low", F.col("low").alias("high"))
-    return entire.unionByName(ordered).unionByName(single)
+        def cut(parts: Iterator[pd.DataFrame], width: int = width) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                for k in range(0, len(part), 2048):
+                    piece = part.iloc[k : k + 2048].reset_index(drop=True)
+                    piece["data"] = [d[a - s : b - s + length] for d, a, b, s in zip(piece["data"], piece["low"], piece["high"], piece["start"])]
+                    yield pd.DataFrame(_pieces(piece, length, width))
+
+        rows = written(going.join(held, ["text_id", "run"]).select("text_id", "run", "gram", "place", "low", "high", "data", "start").mapInPandas(cut, _SCHEMA))
+        key = ["core"]
+    return found.unionByName(_divided(rows, key)[1])
+
+
+def _divided(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The pieces that go on to the next digit, and the stretches (text_id, low, high) of those that repeat as a whole.
+
+    Of pieces that are equal as a whole one goes on, and none if its digit's other pieces all repeat as a whole too.
+    """
+    fields = ["text_id", "run", "gram", "place", "low", "high"]
+    kinds = rows.groupBy(*dict.fromkeys([*key, "whole"])).agg(F.count("*").alias("n"), F.min(F.struct(*[c for c in fields if c not in key])).alias("r"))
+    kinds = written(kinds.select(*key, "whole", "n", "r.*"))
+    twice = written(kinds.where("n > 1").select("gram", "whole"))
+    entire = rows.join(sized(twice, 24), ["gram", "whole"], "left_semi").select("text_id", "low", "high")
+    groups = kinds.groupBy(*key).agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("open"))
+    groups = written(groups.where("kinds > 1 and open > 0").select(*key))
+    return written(kinds.join(sized(groups, 24), key, "left_semi").select(*fields)), entire
 
 
 def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -190,12 +193,13 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     judged as they come in; a null text counts as empty; repeated rows are copies of each other like any equal texts.
     """
     text = or_empty(F.col("text"))
-    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_id"))
+    digest = F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+    rows = docs.select("doc_id", text.alias("text"), digest.alias("text_id"))
     counts = rows.groupBy("text_id").agg(F.count("*").alias("copies"))
     copied = written(counts.where("copies > 1").select("text_id"))
-    keyed = docs.select(F.xxhash64(text).alias("text_id"), text.alias("text"))
-    once = keyed.join(sized(copied), "text_id", "left_anti").unionByName(
-        keyed.join(sized(copied), "text_id", "left_semi").dropDuplicates(["text_id"])
+    keyed = rows.select("text_id", "text")
+    once = keyed.join(sized(copied, 16), "text_id", "left_anti").unionByName(
+        keyed.join(sized(copied, 16), "text_id", "left_semi").dropDuplicates(["text_id"])
     )
     spans = repeated(once, length)
     spans = spans.groupBy("text_id").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("starts"))
@@ -215,9 +219,9 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
             yield part[["text_id"]].assign(starts=out)
 
     spans = written(spans.mapInPandas(merge, spans.schema))
-    few = spans.agg(F.sum(F.size("starts"))).first()[0] or 0
-    told = rows.join(F.broadcast(spans) if few <= BROADCAST_ROWS else spans, "text_id", "left")
-    told = told.join(sized(copied.withColumn("copied", F.lit(True))), "text_id", "left").select("doc_id", "text", "starts", F.coalesce("copied", F.lit(False)).alias("copied"))
+    few = spans.agg(F.sum(40 + 8 * F.size("starts"))).first()[0] or 0
+    told = rows.join(F.broadcast(spans) if few <= BROADCAST_BYTES else spans, "text_id", "left")
+    told = told.join(sized(copied.withColumn("copied", F.lit(True)), 16), "text_id", "left").select("doc_id", "text", "starts", F.coalesce("copied", F.lit(False)).alias("copied"))
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -246,11 +250,16 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 
 
 def digest(docs: DataFrame, length: int = 400) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, kept) of every row; kept is the text left.
+
+    Bytes left of a character that was cut in two show as U+FFFD in kept; kept_sha256 and n_kept are of the bytes.
+    """
     return without_repeats(docs, length).select(
         "doc_id",
         "n_bytes",
         (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.octet_length("kept").cast("long").alias("n_kept"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("kept"),
     )

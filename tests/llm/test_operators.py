@@ -276,9 +276,12 @@ def test_pieces_match_the_library(docs):
     assert len(got) == docs.count() and all(r["restored"] for r in got)
 
 
-@pytest.mark.parametrize(("length", "group"), [(400, 4096), (60, 4096), (60, 1)])
-def test_repeats(docs, length, group, monkeypatch):
-    monkeypatch.setattr(repeats, "GROUP", group)
+@pytest.mark.parametrize("length", [400, 60])
+def test_repeats(docs, length):
+    check_repeats(docs, length)
+
+
+def check_repeats(docs, length):
     rows = [(i, t.encode()) for i, t in texts(docs)]
     c = Counter(b[k : k + length] for _, b in rows for k in range(len(b) - length + 1))
     want = Counter()
@@ -291,6 +294,25 @@ def test_repeats(docs, length, group, monkeypatch):
         want[(i, len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone) if not g)))] += 1
     got = repeats.digest(docs, length).collect()
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
+    assert all(r["n_kept"] == r["n_bytes"] - r["n_removed"] for r in got)
+
+
+def test_planted_passages_go_and_clean_texts_stay(spark):
+    """One passage in very many texts, others in two each, and texts that share nothing: runs around the first differ everywhere."""
+    rng = np.random.default_rng(8)
+    fresh = lambda n: " ".join(f"{x:x}" for x in rng.integers(0, 1 << 40, n))
+    common, pairs = fresh(50), [fresh(60) for _ in range(20)]
+    rows = [(i, f"{fresh(15)} {common} {fresh(15)}") for i in range(1500)]
+    rows += [(2000 + i, f"{fresh(15)} {pairs[i // 2]} {fresh(15)}") for i in range(40)]
+    rows += [(3000 + i, fresh(80)) for i in range(60)]
+    rows.append((4000, " ".join([pairs[0][:450]] * 3)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in repeats.digest(docs).collect()}
+    assert all(len(common) <= got[i]["n_removed"] <= len(common) + 14 and common[9:-9] not in got[i]["kept"] for i in range(1500))
+    assert all(got[2000 + i]["n_removed"] >= len(pairs[i // 2]) for i in range(40))
+    assert all(got[3000 + i]["n_removed"] == 0 and got[3000 + i]["kept"] == rows[1540 + i][1] for i in range(60))
+    assert got[4000]["n_removed"] == got[4000]["n_bytes"]
+    check_repeats(docs.where("doc_id >= 1400"), 400)
 
 
 def shingles(text):
