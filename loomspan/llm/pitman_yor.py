@@ -37,11 +37,13 @@ from loomspan.llm.langid import fold
 STRENGTH, BURN_IN, SAMPLES = 1.0, 3, 3
 SMOOTH = 0.1
 #: Tokens of a shard, on average.
-SHARD = 3_000_000
+SHARD = 1_500_000
 #: Bytes of texts that a task bundles at once, and that it cuts into words at once; a longer text is a bundle of its own.
-BUNDLE, PIECE = 16 << 20, 4 << 20
+BUNDLE, PIECE = 8 << 20, 1 << 19
+#: Most frequent words, which bundles write by number; others by hash. No word is treated otherwise.
+HEAD = 1 << 16
 #: Customers up to which Stirling numbers are exact; beyond, a saddle point gives them. Table numbers that a draw weighs there.
-EXACT, WINDOW = 64, 64
+EXACT, WINDOW = 64, 48
 #: Dishes of a restaurant are drawn in so many turns; what a turn draws at once doesn't see each other's new tables.
 TURNS = 8
 END = np.uint64(0x656E64)
@@ -125,24 +127,28 @@ def word_counts(texts: DataFrame) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _gathered(parts):
             h, tail, _ = tokens(part["text"].tolist())
-            words, at, c = np.unique(h, return_index=True, return_counts=True)
-            yield pd.DataFrame({"h": words.view(np.int64), "tail": tail[at], "c": c})
+            words, at, back = _distinct(h)
+            yield pd.DataFrame({"h": words.view(np.int64), "tail": tail[at], "c": np.bincount(back)})
 
     counted = texts.select("text").mapInPandas(run, "h long, tail int, c long")
     return counted.groupBy("h").agg(F.min("tail").alias("tail"), F.sum("c").alias("c"))
 
 
 class Plan(NamedTuple):
-    """How contexts are dealt to shards: parts of each class, and the buckets and counts of context words too frequent for a shard."""
+    """How contexts are dealt to shards: parts of each class, and the buckets and counts of context words too frequent for a shard.
+
+    head: the most frequent words, by hash.
+    """
 
     shards: int
     parts: np.ndarray
     hot: np.ndarray
     ways: np.ndarray
     counts: np.ndarray
+    head: np.ndarray
 
     def contexts(self, before: np.ndarray, tail: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Context and class of tokens with these words before them."""
+        """Context and class of tokens with these words (and their classes) before them."""
         context = before.copy()
         group = mixed((before >> np.uint64(17)) % self.parts[tail] * np.uint64(1 << 20) + tail.astype(np.uint64) + np.uint64(1))
         if len(self.hot):
@@ -158,63 +164,82 @@ def bucketed(before: np.ndarray, bucket: np.ndarray) -> np.ndarray:
 
 
 def planned(words: DataFrame, n: int, shard: int) -> Plan:
-    """From a written table of word_counts. Collected: one row a class (65,537 at most) and the words with a shard's tokens (fewer than shards)."""
+    """From a written table of word_counts. Collected: HEAD rows, one row a class (65,537 at most) and the words with a shard's tokens (fewer than shards)."""
     hot = sorted((r["h"] % (1 << 64), r["c"]) for r in words.where(F.col("c") >= shard).select("h", "c").collect())
     parts = np.ones(START_CLASS + 1, np.uint64)
     for r in words.where(F.col("c") < shard).groupBy("tail").agg(F.sum("c").alias("c")).collect():
         parts[r["tail"]] = -(-r["c"] // shard)
     ways = [1 << (2 * c // shard).bit_length() for _, c in hot]
-    return Plan(max(1, -(-n // shard)), parts, np.array([h for h, _ in hot], np.uint64), np.array(ways, np.uint64), np.array([c for _, c in hot], np.int64))
+    head = words.orderBy(F.desc("c"), "h").select("h").limit(HEAD).toPandas()["h"].to_numpy(np.int64).view(np.uint64)
+    return Plan(max(1, -(-n // shard)), parts, np.array([h for h, _ in hot], np.uint64), np.array(ways, np.uint64), np.array([c for _, c in hot], np.int64), np.sort(head))
 
 
-_PACKED = "shard int, batch long, names array<{kind}>, contexts binary, groups binary, sizes binary, words binary, at binary, weights binary, docs binary"
-_TYPES = {"contexts": np.uint64, "groups": np.uint64, "sizes": np.uint32, "words": np.uint64, "at": np.uint32, "weights": np.uint32, "docs": np.uint32}
+_PACKED = "shard int, batch long, names array<{kind}>, before binary, tails binary, sizes binary, rare binary, word binary, weights binary, docs binary"
+_TYPES = {"before": np.uint32, "tails": np.uint32, "sizes": np.uint32, "rare": np.uint64, "word": np.uint32, "weights": np.uint32, "docs": np.uint32}
 
 
 def _pack(x: np.ndarray, kind: type) -> bytes:
     """Compressed integers; small ones by planes of bytes."""
     x = np.ascontiguousarray(x.astype(kind))
-    planes = x if kind is np.uint64 else x.view(np.uint8).reshape(-1, 4).T
+    planes = x if kind is not np.uint32 else x.view(np.uint8).reshape(-1, 4).T
     return zstandard.compress(planes.tobytes(), 1)
 
 
 def _unpack(data: bytes, kind: type) -> np.ndarray:
     raw = zstandard.decompress(data)
-    if kind is np.uint64:
+    if kind is not np.uint32:
         return np.frombuffer(raw, kind)
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(kind).ravel()
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, an index of each, and of each element its value's number."""
+    order = np.argsort(x)
+    there = x[order]
+    new = np.r_[True, there[1:] != there[:-1]] if len(x) else np.empty(0, bool)
+    back = np.empty(len(x), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return there[new], order[new], back
+
+
 def bundles(docs: DataFrame, plan: Plan, each: bool) -> DataFrame:
     """Rows of (doc_id, text, train) as bundles: the pairs (context, word) of many texts that go to one shard.
 
-    A bundle lists its contexts with their classes and numbers of entries, its words, and of each entry the word's index
-    and its training weight. Entries are distinct pairs; with `each`, every token is one and has its text's index, and each
-    batch has a bundle of its texts' ids, which goes to the shard of least number in the batch's own order.
+    A bundle lists its contexts (the word before, its class, the number of entries), and of each entry the word and its
+    training weight. Words are numbers: below HEAD in plan.head, then in the bundle's list of rare ones. Entries are pairs,
+    mostly distinct; with `each`, every token is one and has its text's index, and each batch has a row of its texts' ids.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    told = docs.sparkSession.sparkContext.broadcast(plan)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base = TaskContext.get().partitionId() << 32
+        plan, base = told.value, TaskContext.get().partitionId() << 32
         for number, part in enumerate(_gathered(parts)):
             h, tail, sizes = tokens(part["text"].tolist())
-            doc = np.repeat(np.arange(len(sizes)), sizes)
+            words, _, word = _distinct(h)
+            known = np.minimum(np.searchsorted(plan.head, words), max(len(plan.head) - 1, 0))
+            usual = plan.head[known] == words if len(plan.head) else np.zeros(len(words), bool)
             before, btail = np.r_[END, h[:-1]], np.r_[np.int32(START_CLASS), tail[:-1]]
+            start = np.searchsorted(words, END)
+            previous = np.r_[start, word[:-1]]
             context, group = plan.contexts(before, btail, h)
-            shard = (group % np.uint64(plan.shards)).astype(np.int32)
-            train = part["train"].to_numpy(bool)[doc]
-            order = np.lexsort((h, context, shard)) if not each else np.lexsort((doc, h, context, shard))
-            context, group, shard, h, doc, weight = context[order], group[order], shard[order], h[order], doc[order], train[order].astype(np.int64)
+            shard = (group % np.uint64(plan.shards)).astype(np.int64)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            weight = part["train"].to_numpy(bool)[doc].astype(np.int64)
+            by = np.argsort((shard.astype(np.uint64) << np.uint64(44)) | (mixed(context) >> np.uint64(42) << np.uint64(22)) | word.astype(np.uint64) & np.uint64((1 << 22) - 1))
+            shard, context, previous, btail, word, doc, weight = shard[by], context[by], previous[by], btail[by], word[by], doc[by], weight[by]
             if not each:
-                new = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (h[1:] != h[:-1])])
-                weight = np.add.reduceat(weight, new) if len(new) else weight
-                context, group, shard, h, doc = context[new], group[new], shard[new], h[new], doc[:0]
+                new = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])])
+                weight = np.add.reduceat(weight, new)
+                shard, context, previous, btail, word, doc = shard[new], context[new], previous[new], btail[new], word[new], doc[:0]
             cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
-            rows = []
+            rows, code = [], np.where(usual, known, 0)
             for a, b in zip(cuts[:-1], cuts[1:]):
                 first = a + np.flatnonzero(np.r_[True, context[a + 1 : b] != context[a : b - 1]])
-                words, at = np.unique(h[a:b], return_inverse=True)
-                fields = (context[first], group[first], np.diff(np.r_[first, b]), words, at, weight[a:b], doc[a:b])
+                ws = np.r_[previous[first], word[a:b]]
+                rare = np.unique(ws[~usual[ws]])
+                code[rare] = HEAD + np.arange(len(rare))
+                fields = (code[previous[first]], btail[first], np.diff(np.r_[first, b]), words[rare], code[word[a:b]], weight[a:b], doc[a:b])
                 rows.append((shard[a], base + number, None, *(_pack(x, k) for x, k in zip(fields, _TYPES.values()))))
             if each:
                 rows.append((number % plan.shards, base + number, part["doc_id"].tolist(), *[b""] * len(_TYPES)))
@@ -358,10 +383,12 @@ def _many(c, t, others, d: float, p: Parent, u: np.ndarray, turn: int) -> np.nda
 
     The window's place is random and its step doesn't depend on t, so the draw keeps the conditional.
     """
-    grid = np.floor(np.exp(np.log(c)[:, None] * np.linspace(0, 1, WINDOW)[None, :]) + 1e-9)
-    best = grid[np.arange(len(c)), _weighed(c, grid, others, d, p).argmax(1)]
-    t = np.where(t > 0, t, best).astype(np.float64)
-    step = np.maximum(1, np.floor(np.sqrt(best) / 8)) if turn % 2 else np.ones(len(c))
+    t = t.astype(np.float64)
+    none = np.flatnonzero(t == 0)
+    if len(none):
+        grid = np.floor(np.exp(np.log(c[none])[:, None] * np.linspace(0, 1, WINDOW)[None, :]) + 1e-9)
+        t[none] = grid[np.arange(len(none)), _weighed(c[none], grid, others[none], d, p.at(none)).argmax(1)]
+    step = np.maximum(1, np.floor(c ** (0.75 if turn % 2 else 0.5) / 32))
     place = np.floor(u * WINDOW)
     within = u * WINDOW - place
     table = t[:, None] + (np.arange(WINDOW)[None, :] - place[:, None]) * step[:, None]
@@ -411,8 +438,7 @@ class Tree:
         share: of each class, the root's mass that its dishes hold (1, or a bucket's).
         """
         self.key, self.context, self.word, self.c, self.root = key, context, word, count, root
-        pair = group.astype(np.int64) * len(root.c) + word
-        _, first, self.up = np.unique(pair, return_index=True, return_inverse=True)
+        _, first, self.up = _distinct(group.astype(np.int64) * max(len(root.c), 1) + word)
         self.up_key, self.up_word, self.up_group = mixed(mixed(key[first])), word[first], group[first]
         self.share = share[self.up_group]
         self.d = discount(count)
@@ -451,7 +477,7 @@ class Tree:
             np.add.at(self.tables, self.context[x], new - before)
             np.add.at(self.c1, up, new - before)
             np.add.at(self.n1, room, new - before)
-            self._fit()
+        self._fit()
         for x in self._turns(np.flatnonzero(self.c1 > 1), self.up_group):
             p = self.root.parent(self.up_word[x], self.t1[x], self.share[x])
             before = self.t1[x]
@@ -483,20 +509,31 @@ class Tree:
 class Shard:
     """The distinct pairs of a shard's bundles, and of each entry its pair."""
 
-    def __init__(self, rows: pd.DataFrame):
+    def __init__(self, rows: pd.DataFrame, plan: Plan):
         self.rows = rows = rows[rows["names"].isna()].sort_values("batch", kind="stable")
         got = {k: [_unpack(x, t) for x in rows[k]] for k, t in _TYPES.items()}
-        self.docs, self.lengths = got["docs"], [len(x) for x in got["at"]]
+        self.docs, self.lengths = got["docs"], [len(x) for x in got["word"]]
         cat = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-        context = cat([np.repeat(c, n) for c, n in zip(got["contexts"], got["sizes"])], np.uint64)
-        group = cat([np.repeat(g, n) for g, n in zip(got["groups"], got["sizes"])], np.uint64)
-        word = cat([w[a] for w, a in zip(got["words"], got["at"])], np.uint64)
+        hashes = np.unique(np.concatenate([plan.head, *got["rare"]]))
+        usual = np.searchsorted(hashes, plan.head)
+        code = [np.r_[usual, np.zeros(HEAD - len(usual), np.int64), np.searchsorted(hashes, r)] for r in got["rare"]]
+        runs = cat([c[b] for c, b in zip(code, got["before"])], np.int64)
+        sizes, tails = cat(got["sizes"], np.uint32).astype(np.int64), cat(got["tails"], np.uint32)
+        word = cat([c[w] for c, w in zip(code, got["word"])], np.int64)
         self.weights = cat(got["weights"], np.uint32)
-        self.key, first, self.pair = np.unique(mixed(context * _ODD ^ mixed(word)), return_index=True, return_inverse=True)
-        self.words, self.word = np.unique(word[first], return_inverse=True)
-        self.contexts, self.context = np.unique(context[first], return_inverse=True)
-        self.groups, self.group = np.unique(group[first], return_inverse=True)
-        self.count = np.bincount(self.pair, self.weights, minlength=len(self.key)).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        context, group = plan.contexts(hashes[runs], tails, hashes[word[starts]])
+        self.contexts, at, run = _distinct(context)
+        groups, _, group_of = _distinct(group[at])
+        used = np.flatnonzero(np.bincount(word, minlength=len(hashes)))
+        self.words, place = hashes[used], np.zeros(len(hashes), np.int64)
+        place[used] = np.arange(len(used))
+        n = max(len(used), 1)
+        pairs, _, self.pair = _distinct(np.repeat(run, sizes) * n + place[word])
+        self.context, self.word = pairs // n, pairs % n
+        self.groups, self.group = groups, group_of[self.context]
+        self.key = mixed(self.contexts[self.context] * _ODD ^ mixed(self.words[self.word]))
+        self.count = np.bincount(self.pair, self.weights, minlength=len(pairs)).astype(np.int64)
 
     def tree(self, root: Root, share: np.ndarray) -> Tree:
         return Tree(self.key, self.context, self.group, self.word, self.count, root, share)
@@ -542,8 +579,10 @@ def _first_pass(bundled: DataFrame, plan: Plan, base: float, parts: int, burn_in
     finest = int(max(plan.ways.tolist(), default=1))
     buckets = bucket_table(plan, np.full(finest, 1 / finest))
 
+    told = bundled.sparkSession.sparkContext.broadcast(plan)
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        number, shard = int(rows["shard"].iloc[0]), Shard(rows)
+        number, shard = int(rows["shard"].iloc[0]), Shard(rows, told.value)
         tree = shard.tree(flat_root(len(shard.words), base), buckets.share(shard.groups))
         for _ in range(burn_in):
             tree.sweep()
@@ -636,10 +675,12 @@ def scored(docs: DataFrame, shard: int = SHARD, burn_in: int = BURN_IN, samples:
             mass[r["b"]] = r["p"]
     buckets = bucket_table(plan, mass)
 
+    held = docs.sparkSession.sparkContext.broadcast(plan)
+
     def run(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         named = rows[rows["names"].notna()]
-        out = [pd.DataFrame({"batch": b, "i": np.arange(len(x)), "doc_id": list(x), "n": 0, "known": 0, "base": 0.0, "score": 0.0}) for b, x in zip(named["batch"], named["names"])]
-        mine = Shard(rows)
+        out = [(b, x, b"", b"", b"", b"", b"") for b, x in zip(named["batch"], named["names"])]
+        mine = Shard(rows, held.value)
         if len(mine.key):
             c, c0, t0 = (np.zeros(len(mine.words), np.int64) for _ in range(3))
             part = (mine.words >> np.uint64(8)) % np.uint64(parts)
@@ -660,14 +701,25 @@ def scored(docs: DataFrame, shard: int = SHARD, burn_in: int = BURN_IN, samples:
                 pair = mine.pair[start : start + size]
                 word = mine.word[pair]
                 start += size
-                sums = [np.bincount(doc, x) for x in (np.ones(size), c[word] > 0, flat[word], logp[pair])]
+                sums = [np.bincount(doc, x) for x in (np.ones(size), c[word] == 0, flat[word], logp[pair])]
                 i = np.flatnonzero(sums[0])
-                out.append(pd.DataFrame({"batch": batch, "i": i, "doc_id": None, "n": sums[0][i].astype(np.int64), "known": sums[1][i].astype(np.int64), "base": sums[2][i], "score": sums[3][i]}))
-        return pd.concat(out, ignore_index=True).astype({"batch": "int64", "i": "int32"})
+                out.append((batch, None, _pack(i, np.uint32), *(_pack(x[i], k) for x, k in zip(sums, (np.uint32, np.uint32, np.float64, np.float64)))))
+        return pd.DataFrame(out, columns=["batch", "names", "i", "n", "unknown", "base", "score"])
+
+    def summed(rows: pd.DataFrame) -> pd.DataFrame:
+        """The sums of a batch's texts over shards."""
+        names = next(x for x in rows["names"] if x is not None)
+        rows = rows[rows["names"].isna()].sort_values("n")  # floating-point sums in an order that depends on contents alone
+        sums = np.zeros((4, len(names)))
+        for i, *values in zip(rows["i"], rows["n"], rows["unknown"], rows["base"], rows["score"]):
+            for s, x, k in zip(sums, values, (np.uint32, np.uint32, np.float64, np.float64)):
+                s[_unpack(i, np.uint32)] += _unpack(x, k)
+        n, unknown = sums[:2].astype(np.int64)
+        return pd.DataFrame({"doc_id": list(names), "n": n, "known": n - unknown, "base": sums[2], "score": sums[3]})
 
     each = bundles(rows, plan, True).groupBy("shard").cogroup(_answers(sent, root).groupBy("shard"))
-    sums = each.applyInPandas(run, f"batch long, i int, doc_id {kind}, n long, known long, base double, score double")
-    return sums.groupBy("batch", "i").agg(F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("n", "known", "base", "score")]).select(
+    sums = each.applyInPandas(run, f"batch long, names array<{kind}>, i binary, n binary, unknown binary, base binary, score binary")
+    return sums.groupBy("batch").applyInPandas(summed, f"doc_id {kind}, n long, known long, base double, score double").select(
         "doc_id",
         F.coalesce(fold(F.col("doc_id"), 10) == 0, F.lit(False)).alias("held_out"),
         F.col("n").alias("n_tokens"),
