@@ -150,8 +150,7 @@ def test_projected_search_stops_and_finds():
     centre = rng.standard_normal((40, 32)) * 6
     x = centre[rng.integers(0, 40, 8000)] + rng.standard_normal((8000, 32))
     q = x[:50]
-    most = float(np.sqrt((x * x).sum(1).max()))
-    row, _, verified = neighbours.searched(np.arange(8000), x, q, most, 20)
+    row, _, verified = neighbours.searched(np.arange(8000), x, q, 20)
     want = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :20]
     assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(row, want)]) >= 0.9
     assert verified.mean() < 0.6 * 8000  # clustered vectors: the test stops early
