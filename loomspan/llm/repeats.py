@@ -157,7 +157,8 @@ def repeated(texts: DataFrame, length: int) -> DataFrame:
                     yield part[["text_id", "run"]].assign(data=data, start=part["low"])
 
             runs_left = going.select("text_id", "run", "low", "high")
-            held = written(texts.join(sized(runs_left, 48), "text_id").select("text_id", "run", "low", "high", "text").mapInPandas(content, "text_id binary, run int, data binary, start int"))
+            # merged at every size: runs are about as many as texts
+            held = written(texts.join(runs_left.hint("merge"), "text_id").select("text_id", "run", "low", "high", "text").mapInPandas(content, "text_id binary, run int, data binary, start int"))
 
         def cut(parts: Iterator[pd.DataFrame], width: int = width) -> Iterator[pd.DataFrame]:
             for part in parts:
