@@ -164,12 +164,16 @@ def bucketed(before: np.ndarray, bucket: np.ndarray) -> np.ndarray:
 
 
 def planned(words: DataFrame, n: int, shard: int) -> Plan:
-    """From a written table of word_counts. Collected: HEAD rows, one row a class (65,537 at most) and the words with a shard's tokens (fewer than shards)."""
-    hot = sorted((r["h"] % (1 << 64), r["c"]) for r in words.where(F.col("c") >= shard).select("h", "c").collect())
+    """From a written table of word_counts. Collected: HEAD rows, one row a class (65,537 at most) and the words with half a shard's tokens.
+
+    Classes are divided at a quarter of a shard, so that shards come out even.
+    """
+    most = max(shard // 2, 1)
+    hot = sorted((r["h"] % (1 << 64), r["c"]) for r in words.where(F.col("c") >= most).select("h", "c").collect())
     parts = np.ones(START_CLASS + 1, np.uint64)
-    for r in words.where(F.col("c") < shard).groupBy("tail").agg(F.sum("c").alias("c")).collect():
-        parts[r["tail"]] = -(-r["c"] // shard)
-    ways = [1 << (2 * c // shard).bit_length() for _, c in hot]
+    for r in words.where(F.col("c") < most).groupBy("tail").agg(F.sum("c").alias("c")).collect():
+        parts[r["tail"]] = -(-4 * r["c"] // shard)
+    ways = [1 << (4 * c // shard).bit_length() for _, c in hot]
     head = words.orderBy(F.desc("c"), "h").select("h").limit(HEAD).toPandas()["h"].to_numpy(np.int64).view(np.uint64)
     return Plan(max(1, -(-n // shard)), parts, np.array([h for h, _ in hot], np.uint64), np.array(ways, np.uint64), np.array([c for _, c in hot], np.int64), np.sort(head))
 
