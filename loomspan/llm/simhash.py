@@ -20,8 +20,10 @@ from loomspan.llm.common import or_empty, written
 
 BITS, LANE = 64, 127
 ONES = 0x0101010101010101
-#: Documents, by id, of one window; a window of ids is the unit in which texts meet their successors.
+#: Documents, by id, of one window on average; a window of ids is the unit in which texts meet their successors.
 IDS = 64
+#: Ranges of ids with about as many documents each; within a range, windows are equally wide.
+RANGES = 1024
 
 
 def _voted(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -80,34 +82,52 @@ def within(queries: DataFrame, index: DataFrame, radius: int = 3) -> DataFrame:
     return both.select("query", "fingerprint", far.alias("distance")).where(F.col("distance") <= radius).distinct()
 
 
+def _windows(docs: DataFrame) -> Column:
+    """The window of a document, in ascending order of doc_id: a range between quantiles, then equal widths within it.
+
+    The driver gets RANGES quantiles and counts. Ids may be dense, sparse or hashed, in any mixture of ranges.
+    """
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
+    steps = F.array(*[F.lit(k / RANGES) for k in range(RANGES + 1)])
+    edges = sorted(set(ids.agg(F.percentile_approx("doc_id", steps, 10000)).first()[0] or []))
+    number = lambda c: F.size(F.filter(F.array(*[F.lit(e) for e in edges[1:-1]]).cast("array<bigint>"), lambda e: e <= c)) if len(edges) > 2 else F.lit(0)
+    c = F.col("doc_id").cast("long")
+    found = {r["r"]: r for r in ids.groupBy(number(c).alias("r")).agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).collect()}
+    held = [found.get(r) for r in range(max(found, default=-1) + 1)]
+    lows = F.array(*[F.lit(float(h["low"] if h else 0)) for h in held]).cast("array<double>")
+    widths = F.array(*[F.lit(max(1.0, (h["high"] - h["low"] + 1) * IDS / h["n"]) if h else 1.0) for h in held]).cast("array<double>")
+    within = F.floor((c.cast("double") - F.get(lows, number(c))) / F.get(widths, number(c)))
+    return (number(c).cast("long") * (1 << 48) + within).cast("long")
+
+
 def _next_texts(docs: DataFrame) -> DataFrame:
-    """(_bin, doc_id, text, next_id, next_text) by ascending id; the last is followed by the first.
+    """(_bin, doc_id, _k, text, next_id, next_text) by ascending id; the last is followed by the first.
 
-    Ids fall into windows of IDS; a window's last document gets the first of the next window that has any, which is found
-    by windows over the list of windows. A repeated doc_id counts once, with its smallest text; null ids have no place.
+    Rows of one doc_id are numbered (_k) by their texts; the next document is the first row of the next id. A window's last
+    document gets the first of the next window that has any, found over the list of windows. Null ids have no place.
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), or_empty(F.col("text")).alias("text"))
-    rows = rows.withColumn("_bin", F.expr(f"doc_id div {IDS}")).where("_bin is not null")  # as joins infer, so that both uses share a shuffle
-    order = Window.partitionBy("_bin").orderBy("doc_id", "text")
-    rows = rows.withColumn("_prev", F.lag("doc_id").over(order)).where(~F.col("_prev").eqNullSafe(F.col("doc_id")))
-    seen = rows.withColumns({"_next_id": F.lead("doc_id").over(order), "_next_text": F.lead("text").over(order)})
-    bins = written(docs.where("doc_id is not null").select(F.expr(f"cast(doc_id as bigint) div {IDS}").alias("_bin")).distinct())
-    firsts = seen.where("_prev is null").select("_bin", F.col("doc_id").alias("_first_id"), F.col("text").alias("_first_text"))
-    after = _next_bins(bins)
-    firsts = firsts.withColumnRenamed("_bin", "_next_bin").join(after, "_next_bin").select("_bin", "_first_id", "_first_text")
+    rows = rows.withColumn("_bin", _windows(docs)).where("_bin is not null")  # as joins infer, so that both uses share a shuffle
+    order, same = Window.partitionBy("_bin").orderBy("doc_id", "text"), Window.partitionBy("_bin", "doc_id").orderBy("text")
+    rows = rows.withColumns({"_next_id": F.lead("doc_id").over(order), "_next_text": F.lead("text").over(order), "_n": F.row_number().over(order)})
+    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seen = rows.withColumns({"_k": F.row_number().over(same), "_next_id": F.last("_next_id").over(whole), "_next_text": F.last("_next_text").over(whole)})
+    bins = written(docs.where("doc_id is not null").select(_windows(docs).alias("_bin")).distinct())
+    firsts = seen.where("_n = 1").select("_bin", F.col("doc_id").alias("_first_id"), F.col("text").alias("_first_text"))
+    firsts = firsts.withColumnRenamed("_bin", "_next_bin").join(_next_bins(bins), "_next_bin").select("_bin", "_first_id", "_first_text")
     return seen.join(firsts, "_bin", "left").select(
         "_bin",
         "doc_id",
+        "_k",
         "text",
         F.coalesce("_next_id", "_first_id").alias("next_id"),
         F.when(F.col("_next_id").isNull(), F.col("_first_text")).otherwise(F.col("_next_text")).alias("next_text"),
     )
 
 
-def _next_bins(bins: DataFrame, width: int = 4096) -> DataFrame:
-    """(_bin, _next_bin) in ascending order, the last followed by the first; only one row for each `width` bins is windowed as a whole."""
-    upper = F.expr(f"_bin div {width}")
-    inner = bins.select("_bin", upper.alias("_up")).withColumn("_next_bin", F.lead("_bin").over(Window.partitionBy("_up").orderBy("_bin")))
+def _next_bins(bins: DataFrame) -> DataFrame:
+    """(_bin, _next_bin) in ascending order, the last followed by the first; only one row for each range is windowed as a whole."""
+    inner = bins.select("_bin", F.shiftright("_bin", 48).alias("_up")).withColumn("_next_bin", F.lead("_bin").over(Window.partitionBy("_up").orderBy("_bin")))
     whole = Window.orderBy("_up")
     ends = inner.groupBy("_up").agg(F.min("_bin").alias("_low"))
     first = F.first("_low").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -116,38 +136,52 @@ def _next_bins(bins: DataFrame, width: int = 4096) -> DataFrame:
 
 
 def compared(docs: DataFrame, radius: int = 3, every: int = 50) -> DataFrame:
-    """The digest of operator 1, one row for each distinct non-null doc_id.
+    """The digest of operator 1 of every row.
 
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and near_count: for ids
-    divisible by `every`, how many other documents' fingerprints the block tables find within the radius (else null).
+    divisible by `every`, how many other rows' fingerprints the block tables find within the radius (else null). A null text
+    counts as empty. A row without doc_id has no next document: its edited text is its own, near_next is null. Repeated rows
+    stay; the next document of a repeated id is that of the id, and as next document it counts with its smallest text.
     """
     rows = _next_texts(docs)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    rows = rows.select("_bin", "doc_id", "next_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    rows = rows.select("_bin", "doc_id", "_k", "next_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
     kinds = F.explode(F.array(F.struct(F.lit(0).alias("e"), F.col("text").alias("t")), F.struct(F.lit(1).alias("e"), F.col("edited").alias("t"))))
     sha = F.sha2("edited", 256).alias("edited_sha256")
-    keys = ["_bin", "doc_id", "next_id", "n_chars", "edited_sha256"]
-    each = rows.select("_bin", "doc_id", "next_id", "n_chars", sha, kinds.alias("k")).select(*keys, F.col("k.e").alias("_e"), F.col("k.t").alias("_t"))
+    keys = ["_bin", "doc_id", "_k", "next_id", "n_chars", "edited_sha256"]
+    each = rows.select("_bin", "doc_id", "_k", "next_id", "n_chars", sha, kinds.alias("k")).select(*keys, F.col("k.e").alias("_e"), F.col("k.t").alias("_t"))
     marks = _voted(each, [*keys, "_e"], "_t").groupBy(*keys).agg(
         F.max(F.when(F.col("_e") == 0, F.col("fingerprint"))).alias("fingerprint"),
         F.max(F.when(F.col("_e") == 1, F.col("fingerprint"))).alias("_edited"),
     )
-    marks = written(marks.drop("_bin"))
+    marks = marks.drop("_bin").unionByName(_placeless(docs))
+    marks = written(marks)
     held = marks.groupBy("fingerprint").count()
-    asked = marks.where(F.col("doc_id") % every == 0)
-    found = within(asked, marks, radius).join(held, "fingerprint").groupBy("query").agg(F.sum("count").alias("_near"))
-    near = asked.join(found, asked["fingerprint"] == found["query"]).select("doc_id", (F.col("_near") - 1).alias("near_count"))
-    following = marks.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("_next"))
-    out = marks.join(following, "next_id").join(near, "doc_id", "left")
+    found = within(marks.where(F.col("doc_id") % every == 0), marks, radius).join(held, "fingerprint")
+    near = found.groupBy(F.col("query").alias("fingerprint")).agg((F.sum("count") - 1).alias("_near"))
+    following = marks.where("_k = 1").select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("_next"))
+    out = marks.join(following, "next_id", "left").join(near, "fingerprint", "left")
     return out.select(
-        "doc_id",
+        F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"),
         "n_chars",
         "edited_sha256",
         hexed("fingerprint").alias("fingerprint"),
         hexed("_edited").alias("edited_fingerprint"),
         likeness("fingerprint", "_edited").alias("near_edited"),
         likeness("fingerprint", "_next").alias("near_next"),
-        "near_count",
+        F.when(F.col("doc_id") % every == 0, F.col("_near")).alias("near_count"),
     )
+
+
+def _placeless(docs: DataFrame) -> DataFrame:
+    """Marks of the rows without doc_id; equal texts are fingerprinted once."""
+    text = docs.where("doc_id is null").select(or_empty(F.col("text")).alias("_t"))
+    kinds = text.groupBy("_t").agg(F.count("*").alias("_c")).select("_t", "_c", F.sha2("_t", 256).alias("edited_sha256"), F.length("_t").cast("long").alias("n_chars"))
+    told = _voted(kinds, ["edited_sha256", "n_chars", "_c"], "_t")
+    each = told.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))))
+    none = F.lit(None).cast("long")
+    return each.select(none.alias("doc_id"), "_k", none.alias("next_id"), "n_chars", "edited_sha256", "fingerprint", F.col("fingerprint").alias("_edited"))
+
+

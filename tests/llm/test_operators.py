@@ -31,22 +31,71 @@ def sha(data):
     return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()
 
 
-def test_simhash(docs):
-    rows = sorted({i: t for i, t in sorted(texts(docs), key=lambda x: (x[0] is None, x[0], x[1]), reverse=True) if i is not None}.items())
-    got = {r["doc_id"]: r for r in simhash.compared(docs).collect()}
-    assert set(got) == {i for i, _ in rows}
-    for k, (i, text) in enumerate(rows):
-        after = rows[(k + 1) % len(rows)][1]
-        half = len(text) // 2
-        assert got[i]["n_chars"] == len(text)
-        assert got[i]["edited_sha256"] == sha(text[: len(text) - half] + after[:half])
-    by_text = {}
+def simhash_of(text):
+    """Bits by majority of the votes of all word pairs' hashes, one pair after the other."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
+    if not words:
+        return set()
+    return {(a, b) for a, b in zip(words, words[1:])} if len(words) > 1 else {(words[0], "")}
+
+
+def check_simhash(docs):
+    rows = sorted((x for x in texts(docs) if x[0] is not None))
+    ids = sorted({i for i, _ in rows})
+    first = {i: t for i, t in reversed(rows)}
+    after = dict(zip(ids, [*ids[1:], *ids[:1]]))
+    want = Counter()
     for i, text in rows:
-        assert by_text.setdefault(text, got[i]["fingerprint"]) == got[i]["fingerprint"]
-    prints = [int(r["fingerprint"], 16) for r in got.values()]
-    for r in got.values():
-        if r["doc_id"] % 50 == 0:
-            assert r["near_count"] == sum((int(r["fingerprint"], 16) ^ p).bit_count() <= 3 for p in prints) - 1
+        half = len(text) // 2
+        want[(i, len(text), sha(text[: len(text) - half] + first[after[i]][:half]))] += 1
+    for i, text in texts(docs):
+        if i is None:
+            want[(None, len(text), sha(text))] += 1
+    got = simhash.compared(docs).collect()
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
+    return rows, after, got
+
+
+def test_simhash(spark, docs):
+    rows, after, got = check_simhash(docs)
+    by_text, prints = {}, [int(r["fingerprint"], 16) for r in got]
+    shas = {sha(t): t for _, t in rows}
+    alone = {r["text_hash"]: r["fingerprint"] & (2**64 - 1) for r in simhash.fingerprints(docs).collect()}
+    firsts = {}
+    for r in sorted(got, key=lambda r: r["n_chars"]):
+        firsts.setdefault(r["doc_id"], []).append(r)
+    # word pairs' votes, counted bit by bit
+    pairs = spark.createDataFrame([(a, b) for _, t in rows for a, b in simhash_of(t)] or [("", "")], "a string, b string").distinct()
+    hashes = {(r["a"], r["b"]): r["h"] & (2**64 - 1) for r in pairs.select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
+    for s, t in list(shas.items())[:60]:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", t.lower()) if w]
+        terms = list(zip(words, words[1:])) if len(words) > 1 else [(w, "") for w in words]
+        votes = [sum(1 if hashes[x] >> b & 1 else -1 for x in terms) for b in range(64)]
+        assert alone[s] == sum(1 << b for b in range(64) if votes[b] > 0)
+    for r in got:
+        own, edited = int(r["fingerprint"], 16), int(r["edited_fingerprint"], 16)
+        assert r["near_edited"] == 1 - (own ^ edited).bit_count() / 64
+        if r["doc_id"] is None:
+            assert r["near_next"] is None and r["near_edited"] == 1
+        elif len(firsts[after[r["doc_id"]]]) == 1:
+            follow = int(firsts[after[r["doc_id"]]][0]["fingerprint"], 16)
+            assert r["near_next"] == 1 - (own ^ follow).bit_count() / 64
+        if r["doc_id"] is not None and r["doc_id"] % 50 == 0:
+            assert r["near_count"] == sum((own ^ p).bit_count() <= 3 for p in prints) - 1
+    known = {i: t for i, t in rows}
+    for r in got:
+        if r["doc_id"] in known and len(firsts[r["doc_id"]]) == 1:
+            assert by_text.setdefault(known[r["doc_id"]], r["fingerprint"]) == r["fingerprint"] == f"{alone[sha(known[r['doc_id']])]:016x}"
+
+
+def test_simhash_of_sparse_and_hashed_ids(spark):
+    """Windows of ids come out even, whatever the ids; the successor is right across windows and ranges."""
+    hashed = spark.range(3000).select(F.xxhash64("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    mixed_ids = hashed.where("doc_id > 0").unionByName(spark.range(3000).selectExpr("id doc_id", "concat('number ', id) text"))
+    for docs in (hashed, mixed_ids):
+        sizes = [r["n"] for r in docs.groupBy(simhash._windows(docs).alias("b")).agg(F.count("*").alias("n")).collect()]
+        assert max(sizes) <= 3 * simhash.IDS
+        check_simhash(docs)
 
 
 def test_block_tables_miss_nothing(spark):
