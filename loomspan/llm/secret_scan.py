@@ -19,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import or_empty, written
+from loomspan.llm.common import or_empty, unused, written
 
 KEYWORDS = "password|passwd|secret|token|api_?key"
 ASSIGN = rf"""(?i:{KEYWORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -36,6 +36,8 @@ RATIO = 12.0
 #: Share of the prior in the ordinary model, and its chances of the next class (lower case, upper case, digit, sign) after each.
 PRIOR = 0.2
 TURNS = ((0.85, 0.03, 0.03, 0.09), (0.03, 0.85, 0.03, 0.09), (0.03, 0.03, 0.85, 0.09), (0.4, 0.15, 0.35, 0.1))
+#: What a pair weighs in the model of small letters if it isn't two of them.
+OTHER = -50.0
 #: Steps of the average ratio, and how many misses a false alarm weighs, when its bound is set.
 STEP, ALARM = 0.05, 10
 _CHUNK = 64
@@ -90,9 +92,12 @@ BASE = {"assign": (ASSIGN, _long_value), "access": (ACCESS, _all_good), "hex": (
 
 
 class Model(NamedTuple):
-    """Log-likelihood ratio of each pair of ALPHABET characters, random to ordinary; and the least ratio of a pair, on average."""
+    """Log-likelihood ratio of each pair of ALPHABET characters, random to ordinary; and the least ratio of a pair, on average.
 
-    table: list[float]
+    Of random strings there are two models, and the better one counts: of any characters, and of small letters alone.
+    """
+
+    tables: tuple[list[float], list[float]]
     least: float
 
 
@@ -123,7 +128,7 @@ def _ordinary(seen: dict[str, int]) -> dict[str, float]:
     return {a + b: turn[_class(a)][_class(b)] * within(a, b) for a in ALPHABET for b in ALPHABET}
 
 
-def _table(random: dict[str, int], ordinary: dict[str, int]) -> list[float]:
+def _tables(random: dict[str, int], ordinary: dict[str, int]) -> tuple[list[float], list[float]]:
     size = len(ALPHABET)
     after = {a: sum(random.get(a + b, 0) for b in ALPHABET) for a in ALPHABET}
     into = {b: sum(random.get(a + b, 0) for a in ALPHABET) + 1 for b in ALPHABET}
@@ -133,22 +138,24 @@ def _table(random: dict[str, int], ordinary: dict[str, int]) -> list[float]:
         return (random.get(a + b, 0) + size * into[b] / total) / (after[a] + size)
 
     # half of the random model's weight is uniform: samples of a few formats must not make others look ordinary
-    return [math.log((of_random(a, b) + 1 / size) / 2) - math.log(chance[a + b]) for a in ALPHABET for b in ALPHABET]
+    pairs = [(a, b) for a in ALPHABET for b in ALPHABET]
+    any_sign = [math.log((of_random(a, b) + 1 / size) / 2) - math.log(chance[a + b]) for a, b in pairs]
+    return any_sign, [math.log(1 / 26) - math.log(chance[a + b]) if (a + b).islower() and (a + b).isalpha() else OTHER for a, b in pairs]
 
 
 def _keys() -> list[str]:
     """Random strings of common key formats."""
     rng = Random(2)
     low, up, digits = ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62]
-    return ["".join(rng.choices(a, k=rng.randint(16, 40))) for a in (low + up + digits + "+/", low + up + digits, low + digits, up + digits, digits + low[:6]) for _ in range(200)]
+    return ["".join(rng.choices(a, k=rng.randint(16, 40))) for a in (low + up + digits + "+/", low + up + digits, low + digits, up + digits, digits + low[:6], low + up, low) for _ in range(200)]
 
 
-def _least(table: list[float], held: dict[int, int]) -> float:
+def _least(tables: tuple[list[float], list[float]], held: dict[int, int]) -> float:
     """The average ratio that best parts held-out ordinary runs (a false alarm weighs ALARM misses) from random strings that RATIO lets pass.
 
     `held` counts runs by their average ratio in steps of STEP; of equally good bounds the middle one is taken.
     """
-    score = lambda run: sum(table[ALPHABET.index(a) * len(ALPHABET) + ALPHABET.index(b)] for a, b in zip(run, run[1:]))
+    score = lambda run: max(sum(t[ALPHABET.index(a) * len(ALPHABET) + ALPHABET.index(b)] for a, b in zip(run, run[1:])) for t in tables)
     found = [(score(k), len(k) - 1) for k in _keys()]
     keys, n = Counter(math.floor(s / k / STEP) for s, k in found if s >= RATIO), max(sum(held.values()), 1)
     cost = {}
@@ -181,23 +188,27 @@ def trained(docs: DataFrame) -> Model:
     runs = written(keys.unionAll(plain).where(F.length("run") > 1))
     at = runs.where("label >= 0").select("label", "run", "c", F.explode(F.sequence(F.lit(1), F.length("run") - 1)).alias("i"))
     rows = at.groupBy("label", F.substring("run", F.col("i"), F.lit(2)).alias("pair")).agg(F.sum("c").alias("n")).collect()
-    table = _table(*({r["pair"]: r["n"] for r in rows if r["label"] == k} for k in (1, 0)))
-    average = F.floor(_ratio(F.col("run"), table) / (F.length("run") - 1) / STEP)
+    tables = _tables(*({r["pair"]: r["n"] for r in rows if r["label"] == k} for k in (1, 0)))
+    average = F.floor(_ratio(F.col("run"), tables) / (F.length("run") - 1) / STEP)
     bins = runs.where("label < 0").groupBy(average.alias("bin")).count().collect()
-    return Model(table, _least(table, {r["bin"]: r["count"] for r in bins}))
+    return Model(tables, _least(tables, {r["bin"]: r["count"] for r in bins}))
 
 
-def _ratio(run: Column, table: list[float]) -> Column:
-    """Log-likelihood ratio of a run of two or more characters."""
-    values = F.split(F.lit(",".join(f"{x:.6g}" for x in table)), ",").cast("array<double>")
+def _ratio(run: Column, tables: tuple[list[float], list[float]]) -> Column:
+    """Log-likelihood ratio of a run of two or more characters, to the better of the two models of random strings."""
     place = lambda i: F.instr(F.lit(ALPHABET), F.substring(run, i, F.lit(1))) - 1
-    step = lambda acc, i: acc + F.coalesce(F.get(values, place(i) * len(ALPHABET) + place(i + 1)), F.lit(0.0))
-    return F.aggregate(F.sequence(F.lit(1), F.length(run) - 1), F.lit(0.0), step)
+
+    def of(table: list[float]) -> Column:
+        values = F.split(F.lit(",".join(f"{x:.6g}" for x in table)), ",").cast("array<double>")
+        step = lambda acc, i: acc + F.coalesce(F.get(values, place(i) * len(ALPHABET) + place(i + 1)), F.lit(0.0))
+        return F.aggregate(F.sequence(F.lit(1), F.length(run) - 1), F.lit(0.0), step)
+
+    return F.greatest(of(tables[0]), F.when(run.rlike("^[a-z]+$"), of(tables[1])))
 
 
 def _random(model: Model):
     bound = lambda x: F.greatest(F.lit(RATIO), F.lit(model.least) * (F.length(x) - 1))
-    return lambda m: F.transform(m, lambda x: _ratio(x, model.table) >= bound(x))
+    return lambda m: F.transform(m, lambda x: _ratio(x, model.tables) >= bound(x))
 
 
 def scanned(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -231,16 +242,20 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """docs, all columns and rows, with every secret in text replaced by MASK and n_chars (if there) counted anew."""
+    """docs, all columns and rows, with every secret in text replaced by MASK and n_chars (if there) counted anew.
+
+    A null text stays null and an empty one empty; repeated rows are masked each for itself; other columns are kept as they
+    are, whatever their names.
+    """
     model = trained(docs) if model is None else model
-    df, names = docs.withColumn("_secret_text", F.col("text")), docs.columns
-    for kind, pattern, good in [(k, p, g) for k, (p, g) in BASE.items()] + [("model", RUN, _random(model))]:
-        m, p, g = f"_secret_{kind}_m", f"_secret_{kind}_p", f"_secret_{kind}_g"
-        df = df.withColumn(m, F.when(F.col("_secret_text").rlike(pattern), F.regexp_extract_all("_secret_text", F.lit(pattern), F.lit(0))))
-        df = df.withColumn(p, F.when(F.col(m).isNotNull(), F.split("_secret_text", pattern, -1))).withColumn(g, F.when(F.col(m).isNotNull(), good(F.col(m))))
-        told = F.transform(F.col(p), lambda x, i: F.concat(x, F.when(F.coalesce(F.get(g, i), F.lit(False)), F.lit(MASK)).otherwise(F.coalesce(F.get(m, i), F.lit("")))))  # noqa: B023
-        df = df.withColumn("_secret_text", F.when(F.col(m).isNotNull(), F.array_join(told, "")).otherwise(F.col("_secret_text"))).drop(m, p, g)
-    df = df.withColumn("text", F.col("_secret_text"))
+    now, found, parts, good_ones = unused(docs.columns, "secret_text", "secret_found", "secret_parts", "secret_good")
+    df, names = docs.withColumn(now, F.col("text")), docs.columns
+    for pattern, good in [*BASE.values(), (RUN, _random(model))]:
+        df = df.withColumn(found, F.when(F.col(now).rlike(pattern), F.regexp_extract_all(now, F.lit(pattern), F.lit(0))))
+        df = df.withColumn(parts, F.when(F.col(found).isNotNull(), F.split(now, pattern, -1))).withColumn(good_ones, F.when(F.col(found).isNotNull(), good(F.col(found))))
+        told = F.transform(F.col(parts), lambda x, i: F.concat(x, F.when(F.coalesce(F.get(good_ones, i), F.lit(False)), F.lit(MASK)).otherwise(F.coalesce(F.get(found, i), F.lit("")))))
+        df = df.withColumn(now, F.when(F.col(found).isNotNull(), F.array_join(told, "")).otherwise(F.col(now))).drop(found, parts, good_ones)
+    df = df.withColumn("text", F.col(now))
     if "n_chars" in names:
         df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return df.select(*names)
