@@ -15,9 +15,11 @@ BROADCAST_BYTES = 8_000_000
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one where it is unset (local runs and tests)."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one where it is unset, which only a local session may leave so."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = getattr(spark, "_loomspan_scratch", None)
         if root is None:
             root = spark._loomspan_scratch = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -37,6 +39,17 @@ def sized(ids: DataFrame, width: int = 8) -> DataFrame:
     return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores as it takes to be none of the columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

@@ -16,6 +16,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from loomspan.llm.common import unused
 
 DIMS, SYMBOLS = 1024, 64
 UNKNOWN = "und"
@@ -91,7 +94,7 @@ def prototypes(labelled: DataFrame) -> dict[str, np.ndarray]:
 
 
 def predicted(docs: DataFrame, protos: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
-    """The `keep` columns of docs with lang_pred and score, the cosine (0 to 1).
+    """The `keep` columns of docs, then lang_pred and score, the cosine (0 to 1); a clash of names makes these lang_pred_ and score_.
 
     A null text or one without a letter gets 'und' and 0, as does every text if nothing was learned; ties go to the
     language first in alphabetical order.
@@ -113,13 +116,10 @@ def predicted(docs: DataFrame, protos: dict[str, np.ndarray], keep: list[str]) -
                     score[a:b][has] = np.clip(cos[np.arange(b - a), best][has], 0, 1)
             yield part.drop(columns="text").assign(lang_pred=lang, score=score)
 
-    from pyspark.sql import types as T
-
-    kept = docs.select(*keep)
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    names_in = [f"k{i}" for i in range(len(keep))]
-    inner = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names_in, kept.schema.fields)] + schema.fields[len(keep):])
-    return docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names_in)], F.col("text")).mapInPandas(run, inner).toDF(*schema.names)
+    kept = docs.select(*keep).schema.fields
+    inner = T.StructType([T.StructField(f"k{i}", f.dataType) for i, f in enumerate(kept)] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text"))
+    return rows.mapInPandas(run, inner).toDF(*keep, *unused(keep, "lang_pred", "score"))
 
 
 def fold(doc_id: Column, mod: int) -> Column:
@@ -137,10 +137,17 @@ def languages(docs: DataFrame) -> DataFrame:
     return predicted(docs.withColumn("held_out", out), protos, ["doc_id", "held_out"])
 
 
-def in_known_language(docs: DataFrame, least: float = 0.03) -> DataFrame:
-    """docs, all columns, without those that have no letters or resemble no learned language (score below `least`)."""
+def in_known_language(docs: DataFrame, least: float = 0.1, letters: int = 10) -> DataFrame:
+    """docs, all columns, without texts that are null or have no letters, or that resemble no learned language.
+
+    These have a score below `least` (three times what a text of unknown trigrams gets by chance from a few languages) in
+    `letters` letters or more; shorter texts tell too little to reject them. If nothing was learned, only texts without
+    letters go. Repeated rows are judged alike; other columns are kept, whatever their names.
+    """
     protos = prototypes(docs)
     if not protos:
-        return docs
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     told = predicted(docs, protos, docs.columns)
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    lang, score = told.columns[-2:]
+    short = F.length(F.regexp_replace("text", r"\P{L}", "")) < letters
+    return told.where((F.col(lang) != UNKNOWN) & ((F.col(score) >= least) | short)).select(*docs.columns)

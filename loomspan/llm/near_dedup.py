@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import components, sized, written
+from loomspan.llm.common import components, sized, unused, written
 
 BUCKET_BITS, MANTISSA = 7, 10
 BUCKETS = 1 << BUCKET_BITS
@@ -309,6 +309,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """docs, all columns, with one document (the smallest doc_id) of each near-duplicate group."""
-    gone = written(near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(sized(gone), docs["doc_id"] == gone["_gone"], "left_anti")
+    """docs, all columns, with one document (the smallest doc_id) of each near-duplicate group.
+
+    Rows without doc_id and texts without words stay; rows that share a doc_id stay or go together; other columns are kept,
+    whatever their names.
+    """
+    (mark,) = unused(docs.columns, "gone")
+    gone = written(near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias(mark)).distinct())
+    return docs.join(sized(gone), docs["doc_id"] == gone[mark], "left_anti")

@@ -28,6 +28,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.llm.common import unused
+
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
@@ -485,7 +487,10 @@ def sent(spark: SparkSession, model_file: str) -> str:
 
 
 def encoded(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs, all columns, with the piece ids of a text column (empty for null and empty texts); texts are whole."""
+    """docs, all columns, and last the piece ids of a text column (empty for null and empty texts); texts are whole.
+
+    If docs has a column named like `ids`, the new one gets an underscore more. Repeated rows are encoded alike.
+    """
     name = sent(docs.sparkSession, model_file)
 
     @F.pandas_udf("array<int>")
@@ -494,11 +499,11 @@ def encoded(docs: DataFrame, model_file: str, text: str = "text", ids: str = "id
         for part in parts:
             yield pd.Series(model.encode_all(part.tolist()), dtype=object)
 
-    return docs.withColumn(ids, run(F.col(text)))
+    return docs.withColumn(*unused(docs.columns, ids), run(F.col(text)))
 
 
 def decoded(df: DataFrame, model_file: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """df, all columns, with the text of a column of piece ids (null for null)."""
+    """df, all columns, and last the text of a column of piece ids (null for null); a clash of names as in encoded."""
     name = sent(df.sparkSession, model_file)
 
     @F.pandas_udf("string")
@@ -507,7 +512,7 @@ def decoded(df: DataFrame, model_file: str, ids: str = "ids", text: str = "decod
         for part in parts:
             yield pd.Series([None if x is None else model.decode(np.asarray(x)) for x in part], dtype=object)
 
-    return df.withColumn(text, run(F.col(ids)))
+    return df.withColumn(*unused(df.columns, text), run(F.col(ids)))
 
 
 def round_trip(docs: DataFrame, model_file: str) -> DataFrame:

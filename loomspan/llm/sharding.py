@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import or_empty, ranked
+from loomspan.llm.common import or_empty, ranked, unused
 
 LEVELS = 5  # bits of a dimension
 
@@ -75,7 +75,7 @@ def sharded(docs: DataFrame, shards: int = 8) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row.
 
     Dimensions: text bytes, language, source, doc_id. Ties on the curve are ordered by the text's checksum, so that equal
-    texts lie side by side, then by doc_id. Row r of n goes to shard floor(r shards / n), at its place in the run. A null
+    texts of one cell lie side by side, then by doc_id. Row r of n goes to shard floor(r shards / n), at its place in the run. A null
     text counts as empty (size 1); repeated rows keep separate places.
     """
     rows = docs.select(
@@ -104,7 +104,8 @@ def sharded(docs: DataFrame, shards: int = 8) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:
-    """Writes docs, all columns, as folders shard=<n>; docs must have unique doc_ids."""
-    place = sharded(docs, shards).select(F.col("doc_id").alias("_id"), "shard", F.col("slot").alias("_slot"))
-    rows = docs.join(place, docs["doc_id"].eqNullSafe(F.col("_id"))).drop("_id")
-    rows.repartitionByRange("shard", "_slot").sortWithinPartitions("shard", "_slot").drop("_slot").write.partitionBy("shard").parquet(path)
+    """Writes docs, all columns, as folders shard=<n>, or shard_=<n> if there is a column shard; docs must have unique doc_ids."""
+    key, slot, shard = unused(docs.columns, "id", "slot", "shard")
+    place = sharded(docs, shards).select(F.col("doc_id").alias(key), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    rows = docs.join(place, docs["doc_id"].eqNullSafe(F.col(key))).drop(key)
+    rows.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).drop(slot).write.partitionBy(shard).parquet(path)

@@ -19,13 +19,15 @@ ODD = [
     (8, "1234 !!! ???", "en", "a"),
     (9, "x", "en", "a"),
     (None, "no id here", "en", "a"),
+    (None, "no id here", "en", "a"),
 ]
 
 
 @pytest.fixture(scope="session")
 def odd(spark):
-    rows = [(*r, i, "k", 0) for i, r in enumerate(ODD)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, size long")
+    more = ["score", "lang_pred", "ids", "n_pieces", "_id", "id", "_slot", "slot", "block", "gone", "_gone", "h", "rank", "shard", "secret_text", "_secret_text", "secret_parts", "IDS_", "k0", "word", "_k", "_n"]
+    rows = [(*r, i, "k", 0, *["x"] * len(more)) for i, r in enumerate(ODD)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, size long, " + ", ".join(f"`{c}` string" for c in more))
 
 
 @pytest.fixture(scope="session")

@@ -137,15 +137,42 @@ def test_secrets(spark, docs):
 
 
 CLEAN = ["documentation_page_2", "release-candidate-v2", "international_conference_2024", "blog/2019/05/welcome-home", "user_20230115_1234", "static/images/header_background_2x", "4785380592391139", "getElementsByClassName2", "SECTION_HEADING_LEVEL_3", "meeting-notes-2021-11-03"]
-KEYS = ["zX8kQ2mP9vL4nR7tY1wB3cD6", "k3j9x0q2m7v5b8n1z4t6", "K7QX2M9PV4NR7TY1ZB3W", "qXzWvBnMkLpTyRsDgHjF", "3f7a9c2e1b8d4f605a7c"]
+KEYS = ["zX8kQ2mP9vL4nR7tY1wB3cD6", "k3j9x0q2m7v5b8n1z4t6", "K7QX2M9PV4NR7TY1ZB3W", "qXzWvBnMkLpTyRsDgHjF", "3f7a9c2e1b8d4f605a7c", "xqzjvkwpbhgfmqzxcvbn"]
+WORDS = "about above after again along began being below carry children common country different draw earth eat every example family father follow found great group house important large later leave letter light mother mountain music never night number often order other paper people place plant point right river school second sentence should small sound spell stand state story study table their there these think those three together under until water where which while white world would write year young".split()
+
+
+def planted(kind, rng):
+    """One identifier or random string of a kind."""
+    word = lambda: rng.choice(WORDS)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    some = lambda signs, n: "".join(rng.choices(signs, k=n))
+    return {
+        "snake": lambda: "_".join(word() for _ in range(4)) + "_v3",
+        "camel": lambda: "".join(word().capitalize() for _ in range(4)) + str(rng.randint(10, 99)),
+        "slug": lambda: f"{rng.randint(2001, 2024)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}-" + "-".join(word() for _ in range(3)),
+        "path": lambda: f"/usr/lib/{word()}{rng.randint(1, 9)}/{word()}/{word()}_{word()}",
+        "order": lambda: f"ORDER-{rng.randint(2001, 2024)}-{some(digits, 8)}",
+        "mixed": lambda: some(low + up + digits, rng.randint(20, 40)),
+        "letters": lambda: some(low + up, rng.randint(20, 40)),
+        "small": lambda: some(low, rng.randint(20, 40)),
+        "digits": lambda: some(low + digits, rng.randint(20, 40)),
+        "base64": lambda: some(low + up + digits + "+/", rng.randint(20, 40)),
+    }[kind]()
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
-def test_ordinary_identifiers_are_no_secrets(spark, sf):
+def test_random_strings_are_secrets_and_identifiers_are_not(spark, sf):
+    """Recall of 0.9 and more in each kind of random string; at most 0.05 of each kind of identifier."""
+    import random
+
     model = secret_scan.trained(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"))
-    rows = spark.createDataFrame(list(enumerate(CLEAN + KEYS)), "doc_id long, text string")
-    got = {r["doc_id"]: len(r["spans"]) for r in secret_scan.scanned(rows, model).collect()}
-    assert got == {i: int(i >= len(CLEAN)) for i in range(len(CLEAN + KEYS))}
+    rng, kinds = random.Random(2), ["snake", "camel", "slug", "path", "order", "mixed", "letters", "small", "digits", "base64"]
+    rows = [(1000 * k + i, planted(kind, rng)) for k, kind in enumerate(kinds) for i in range(200)]
+    rows += [(100000 + i, t) for i, t in enumerate(CLEAN + KEYS)]
+    found = {r["doc_id"] for r in secret_scan.scanned(spark.createDataFrame(rows, "doc_id long, text string"), model).collect() if r["spans"]}
+    shares = {kind: sum(1000 * k + i in found for i in range(200)) / 200 for k, kind in enumerate(kinds)}
+    assert all(shares[k] <= 0.05 for k in kinds[:5]) and all(shares[k] >= 0.9 for k in kinds[5:]), shares
+    assert {i - 100000 for i in found if i >= 100000} == set(range(len(CLEAN), len(CLEAN + KEYS)))
 
 
 def vectors(spark, n=300, dim=16):
@@ -216,6 +243,12 @@ def test_language(documents):
 def test_language_of_odd_rows(odd, nothing):
     got = {(r["doc_id"], r["lang_pred"]) for r in langid.languages(odd).collect()}
     assert {i for i, p in got if p == "und"} >= {1, 2, 5, 8} and len(got) == 10
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in langid.in_known_language(unlabelled).collect()} == {3, 4, 6, 7, 9, None}
+    noise = odd.sparkSession.createDataFrame([(90, "qxzj vkwq pzxq jqkz wvxq zqjx kqvz " * 20, None)], "doc_id long, text string, lang string")
+    plain = odd.sparkSession.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    left = {r["doc_id"] for r in langid.in_known_language(plain.withColumn("doc_id", F.col("doc_id") + 1000).union(noise)).collect()}
+    assert 90 not in left and len(left) >= 197
     assert langid.languages(nothing).isEmpty()
     kept = langid.in_known_language(odd)
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()}.isdisjoint({1, 2, 5, 8})
