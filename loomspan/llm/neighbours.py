@@ -222,6 +222,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     hits = found[0]
     for more in found[1:]:
         hits = hits.unionByName(more)
+    hits = written(hits)
     # ids of the vectors found; of each query vector the k + 1 best by score and id, whichever of its ids asks
     each = hits.select("key", "verified", F.explode("found").alias("e")).select("key", "verified", F.col("e.low").alias("low"), F.col("e.score").alias("score"))
     each = each.join(kinds.select("low", "dim", "ids"), "low").select("key", "dim", "verified", F.explode("ids").alias("vec_id"), "score")
