@@ -18,9 +18,11 @@ def total(values: Column) -> Column:
 def parsed(df: DataFrame, cigar: str, ops: str = "MID") -> DataFrame:
     """df with cig_<op> (total bases) for each operation, cig_compressed (number of gaps), dels_list and incs_list."""
     names = {"M": "cig_matches", "I": "cig_insertions", "D": "cig_deletions"}
-    df = df.withColumns({"dels_list": lengths(cigar, "D"), "incs_list": lengths(cigar, "I")})
-    df = df.withColumns({names.get(o, f"cig_{'equal' if o == '=' else o}"): total(lengths(cigar, o)) for o in ops})
-    return df.withColumn("cig_compressed", F.size("dels_list") + F.size("incs_list"))
+    parts = F.transform(F.regexp_extract_all(cigar, F.lit("(\\d+[A-Z=])"), F.lit(1)), lambda x: F.struct(F.right(x, F.lit(1)).alias("op"), F.left(x, F.length(x) - 1).cast("int").alias("n")))
+    of = lambda op: F.transform(F.filter("_cigar", lambda x: x["op"] == op), lambda x: x["n"])
+    df = df.withColumn("_cigar", parts).withColumns({"dels_list": of("D"), "incs_list": of("I")})
+    df = df.withColumns({names.get(o, f"cig_{'equal' if o == '=' else o}"): total(of(o)) for o in ops})
+    return df.withColumn("cig_compressed", F.size("dels_list") + F.size("incs_list")).drop("_cigar")
 
 
 def identities(df: DataFrame, *, matches: str, ali_len: str, edits: str) -> DataFrame:
@@ -63,3 +65,8 @@ def operations(df: DataFrame, keep: list[str], cigar: str, start: str | None = N
 def length_histogram(df: DataFrame, cigar: str) -> DataFrame:
     """(op, len, count) over a table."""
     return operations(df, [], cigar).groupBy("op", "len").agg(F.count("*").alias("count"))
+
+
+def per_base(df: DataFrame, *, matches: str, ali_len: str, edits: str, dels: str, ins: str) -> DataFrame:
+    """df with matches_per_base and edits_per_base of the alignment, and perc_indel, the sum of two percentages."""
+    return df.withColumns({"matches_per_base": F.col(matches) / F.col(ali_len), "edits_per_base": F.col(edits) / F.col(ali_len), "perc_indel": F.col(dels) + F.col(ins)})

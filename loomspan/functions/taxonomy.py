@@ -82,10 +82,3 @@ def condition(label: str, rule: str) -> Column:
     every = [reduce(lambda a, b: a & b, [_term(label, t) for t in part.split("&")]) for part in rule.split("|")]
     return reduce(lambda a, b: a | b, every)
 
-
-def first_match(label: str, rules: list[tuple[str, object]]) -> Column:
-    """Value of the last matching rule."""
-    out = None
-    for rule, value in reversed(rules):
-        out = F.when(condition(label, rule), F.lit(value)) if out is None else out.when(condition(label, rule), F.lit(value))
-    return out

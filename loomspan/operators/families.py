@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.operators.intervals import distance
+from loomspan.operators.intervals import distance, ends_inside
 
 
 def presence(df: DataFrame, *, family: str, seq: str) -> DataFrame:
@@ -132,7 +132,7 @@ def paralog_type(seq_a: str, seq_b: str, apart: Column, near: int = 10**6) -> Co
     return F.when(F.col(seq_a) != F.col(seq_b), 4).when(apart < near, 1).otherwise(2)
 
 
-def segments_with_genes(segments: DataFrame, genes: DataFrame) -> DataFrame:
+def segments_with_genes(segments: DataFrame, genes: DataFrame, bin_width: int = 100_000) -> DataFrame:
     """Segments (id, multiplicon, sequid, first, last, order) with begin, end, genes, mean gene length and mean distance.
 
     genes: (gene, sequid, begin, end). A segment runs from its first gene's begin to its last gene's end; unsorted ones go. It
@@ -141,7 +141,9 @@ def segments_with_genes(segments: DataFrame, genes: DataFrame) -> DataFrame:
     first = genes.select(F.col("gene").alias("first"), F.col("begin").alias("seg_begin"))
     last = genes.select(F.col("gene").alias("last"), F.col("end").alias("seg_end"))
     placed = segments.join(first, "first").join(last, "last").where("seg_begin < seg_end")
-    inside = placed.join(genes, "sequid").where("begin between seg_begin and seg_end or end between seg_begin and seg_end")
+    regions = placed.select("sequid", F.col("seg_begin").alias("begin"), F.col("seg_end").alias("end"), "id")
+    inside = ends_inside(genes.select("sequid", "begin", "end"), regions, seq="sequid", begin="begin", end="end", bin_width=bin_width)
+    inside = inside.select(F.col("id_r").alias("id"), "begin", "end")
     w = Window.partitionBy("id").orderBy("begin", "end")
     inside = inside.withColumns({"_len": F.col("end") - F.col("begin"), "_gap": F.lead("begin").over(w) - F.col("end")})
     per = inside.groupBy("id").agg(F.count("*").alias("genes"), F.floor(F.avg("_len")).alias("gene_length"), F.floor(F.avg("_gap")).alias("gene_distance"))
@@ -175,3 +177,43 @@ def copy_classes(df: DataFrame, *, kind: str, species: str, names: list[str]) ->
 
 def quality_counts(df: DataFrame, *, group: str, tier: str) -> DataFrame:
     return df.groupBy(tier).agg(F.count_distinct(group).alias("groups"))
+
+
+def presence_links(df: DataFrame, *, family: str, id: str, seq: str, begin: str, end: str) -> DataFrame:
+    """(seq_a, seq_b, families, pairs, distance_sum, distance_mean): families present on both sequences, and pairs of their members.
+
+    A sequence with itself counts its families of two or more members there; distances are of pairs on one sequence.
+    """
+    p = presence(df.where(F.col(family).isNotNull() & F.col(seq).isNotNull()), family=family, seq=seq)
+    a, b = p.select(family, F.col(seq).alias("seq_a"), F.col("members").alias("_a")), p.select(family, F.col(seq).alias("seq_b"), F.col("members").alias("_b"))
+    both = a.join(b, family).where("seq_a < seq_b or (seq_a = seq_b and _a > 1)").groupBy("seq_a", "seq_b").agg(F.count("*").alias("families"))
+    d = pair_distances(df, family=family, id=id, seq=seq, begin=begin, end=end)
+    d = d.select(F.col(seq).alias("seq_a"), F.col(f"{seq}_r").alias("seq_b"), "pairs", F.col("total").alias("distance_sum"), F.col("mean").alias("distance_mean"))
+    return both.join(d, ["seq_a", "seq_b"], "left")
+
+
+def outsiders(df: DataFrame, *, family: str, seq: str) -> DataFrame:
+    """(seq, members, outsiders): genes of each sequence, and those whose family has no other member there but has some elsewhere."""
+    p = presence(df.where(F.col(family).isNotNull() & F.col(seq).isNotNull()), family=family, seq=seq)
+    all_members = p.groupBy(family).agg(F.sum("members").alias("_all"))
+    alone = (F.col("members") == 1) & (F.col("_all") > 1)
+    return p.join(all_members, family).groupBy(seq).agg(F.sum("members").alias("members"), F.count_if(alone).alias("outsiders"))
+
+
+def paralog_links(df: DataFrame, *, group: str, species: str, id: str, seq: str, begin: str, end: str, one: str, two: str, near: int = 10**6) -> DataFrame:
+    """(group, id_one, id_a, id_b, type): groups of three with one gene of a species and two of another, and how the two lie (paralog_type)."""
+    rows = df.where(F.col(species).isin(one, two))
+    n = rows.groupBy(group).agg(F.count_if(F.col(species) == one).alias("_1"), F.count_if(F.col(species) == two).alias("_2"))
+    rows = rows.join(n.where("_1 = 1 and _2 = 2").select(group), group)
+    single = rows.where(F.col(species) == one).select(group, F.col(id).alias("id_one"))
+    pairs = family_pairs(rows.where(F.col(species) == two).select(group, id, seq, begin, end), family=group, id=id)
+    apart = distance(begin, end, f"{begin}_r", f"{end}_r")
+    told = pairs.select(group, F.col(id).alias("id_a"), F.col(f"{id}_r").alias("id_b"), paralog_type(seq, f"{seq}_r", apart, near).alias("type"))
+    return single.join(told, group).select(group, "id_one", "id_a", "id_b", "type")
+
+
+def on_indexed(genes: DataFrame, index: DataFrame, *, seq: str) -> tuple[DataFrame, DataFrame]:
+    """The genes on indexed sequences, and one row (kept, removed) of how many there were."""
+    known = index.select(seq).distinct().withColumn("_known", F.lit(True))
+    told = genes.join(known, seq, "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+    return told.where("_known").drop("_known"), told.agg(F.count_if("_known").alias("kept"), F.count_if(~F.col("_known")).alias("removed"))

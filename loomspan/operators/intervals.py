@@ -6,9 +6,15 @@ Rows whose sequence, begin or end is null take no part; reversed coordinates (be
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from loomspan.session import shipped
 
 
 def _ordered(df: DataFrame, seq: str, begin: str, end: str) -> DataFrame:
@@ -51,74 +57,118 @@ def covered_whole(df: DataFrame, *, seq: str, begin: str, end: str, length: str,
     return per.agg(F.sum("bp").alias("bp"), F.sum("size").alias("size")).withColumn("percent", F.bround(100 * F.col("bp") / F.col("size"), 2))
 
 
+class _ByScore:
+    """Ground goes to the open interval of highest score, of equal ones to the one opened last."""
+
+    def __init__(self) -> None:
+        self.got: dict[object, int] = {}
+        self.heap: list[tuple[float, int, object]] = []
+        self.since, self.opened = 0, 0
+
+    def _upto(self, at: int) -> None:
+        while self.heap and self.heap[0][2] not in self.got:
+            heapq.heappop(self.heap)
+        if self.heap:
+            self.got[self.heap[0][2]] += at - self.since
+        self.since = at
+
+    def open(self, id: object, score: float, at: int) -> None:
+        self._upto(at)
+        self.opened += 1
+        self.got[id] = 0
+        heapq.heappush(self.heap, (-score, -self.opened, id))
+
+    def close(self, id: object, at: int) -> int:
+        self._upto(at)
+        return self.got.pop(id)
+
+
+class _InTurn:
+    """Ground goes to one owner at a time. A newcomer takes over unless its score is less; whoever loses the ground waits."""
+
+    def __init__(self) -> None:
+        self.got: dict[object, int] = {}
+        self.heap: list[tuple[float, int, object]] = []
+        self.owner: tuple[object, float] | None = None
+        self.since, self.waited = 0, 0
+
+    def _wait(self, id: object, score: float) -> None:
+        self.waited += 1
+        heapq.heappush(self.heap, (-score, self.waited, id))
+
+    def open(self, id: object, score: float, at: int) -> None:
+        self.got[id] = 0
+        if self.owner and self.owner[1] > score:
+            self._wait(id, score)
+            return
+        if self.owner:
+            self.got[self.owner[0]] += at - self.since
+            self._wait(*self.owner)
+        self.owner, self.since = (id, score), at
+
+    def close(self, id: object, at: int) -> int:
+        if self.owner and self.owner[0] == id:
+            self.got[id] += at - self.since + 1
+            self.owner, self.since = None, at + 1
+        got = self.got.pop(id)
+        while self.owner is None and self.heap:
+            score, _, first = heapq.heappop(self.heap)
+            if first in self.got:  # those that closed while waiting are dropped here
+                self.owner = (first, -score)
+        return got
+
+
+def _swept(df: DataFrame, rule: type, past: int, *, seq: str, begin: str, end: str, score: str, id: str, bp: str) -> DataFrame:
+    """(seq, id, bp): the ground each interval gets when a rule sees openings and closings in order of position, ties by id.
+
+    past: how far behind its end an interval closes. Islands of one interval need no sweep. The others are sorted and
+    streamed, many to a task, one at least; a task holds the intervals that are open at one place, however long the island.
+    """
+    rows = with_islands(df.select(seq, begin, end, score, id), seq=seq, begin=begin, end=end, island="_i")
+    rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(seq, "_i")))
+    alone = rows.where("_n = 1").select(seq, id, (F.col(end) - F.col(begin) + 1).cast("long").alias(bp))
+    event = lambda kind, at: F.struct(at.cast("long").alias("_at"), F.lit(kind).alias("_kind"))
+    both = F.explode(F.array(event(0, F.col(begin)), event(1, F.col(end) + past)))
+    events = rows.where("_n > 1").select(seq, "_i", id, F.col(score).cast("double").alias("_s"), both.alias("_e")).select(seq, "_i", id, "_s", "_e.*")
+    events = events.repartition(seq, "_i").sortWithinPartitions(seq, "_i", "_at", id, "_kind").select(F.col(seq).alias("seq"), F.col(id).alias("id"), "_s", "_at", "_kind")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = rule()
+        for part in parts:
+            seqs, ids, got = [], [], []
+            for s, i, score, at, kind in zip(*(part[c].tolist() for c in ("seq", "id", "_s", "_at", "_kind"))):
+                if kind:
+                    got.append(state.close(i, at))
+                    seqs.append(s)
+                    ids.append(i)
+                    if not state.got:
+                        state = rule()  # the end of an island
+                else:
+                    state.open(i, float("-inf") if score is None or score != score else score, at)
+            yield pd.DataFrame({seq: seqs, id: ids, bp: got}, columns=[seq, id, bp])
+
+    schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in (seq, id)] + [T.StructField(bp, T.LongType())])
+    shipped(df.sparkSession)
+    return alone.unionByName(events.mapInPandas(run, schema))
+
+
 def resolve_overlap(df: DataFrame, *, seq: str, begin: str, end: str, score: str, id: str, bp: str = "bp_algor") -> DataFrame:
     """(seq, id, bp): each base goes to the best interval over it (highest score, then later begin, then larger id).
 
-    Inclusive coordinates; `id` must be unique within a sequence. Distinct breakpoints cut a sequence into segments; two
-    equi joins turn an interval into its range of segments, so work is in proportion to true depth.
+    Inclusive coordinates; `id` must be unique within a sequence; a null score is the least. Work grows as n log n, nested
+    intervals or not.
     """
-    rows = _ordered(df.select(seq, begin, end, score, id), seq, begin, end)
-    cuts = rows.select(seq, F.explode(F.array(F.col(begin).cast("long"), F.col(end).cast("long") + 1)).alias("_at")).distinct()
-    w = Window.partitionBy(seq).orderBy("_at")
-    cuts = cuts.select(seq, "_at", F.row_number().over(w).alias("_r"), (F.lead("_at").over(w) - F.col("_at")).alias("_len"))
-    low = cuts.select(seq, F.col("_at").alias("_b"), F.col("_r").alias("_lo"))
-    high = cuts.select(seq, F.col("_at").alias("_e"), F.col("_r").alias("_hi"))
-    placed = rows.withColumns({"_b": F.col(begin).cast("long"), "_e": F.col(end).cast("long") + 1}).join(low, [seq, "_b"]).join(high, [seq, "_e"])
-    parts = placed.select(seq, id, score, begin, F.explode(F.sequence("_lo", F.col("_hi") - 1)).alias("_r"))
-    best = parts.groupBy(seq, "_r").agg(F.max(F.struct(F.col(score), F.col(begin), F.col(id).alias("_id"))).alias("_top"))
-    won = best.join(cuts.select(seq, "_r", "_len"), [seq, "_r"]).groupBy(seq, F.col("_top._id").alias(id)).agg(F.sum("_len").alias(bp))
-    return rows.select(seq, id).join(won, [seq, id], "left").select(seq, id, F.coalesce(bp, F.lit(0)).cast("long").alias(bp))
-
-
-def _fold(part: pd.DataFrame) -> list[int]:
-    """Bases of each interval of an island by the sequential rule, ties and double counts included.
-
-    Points are visited by position, at equal positions in row order, an interval's opening before its closing. A later
-    opening takes over unless its score is less; on resuming, the earliest of the best waiting ones wins.
-    """
-    rows = list(part[["b", "e", "s"]].itertuples(index=False, name=None))
-    points = sorted(((p, k, kind) for k, (b, e, _) in enumerate(rows) for kind, p in ((0, b), (1, e))), key=lambda x: x[0])
-    got, waiting, best, start = [0] * len(rows), [], None, 0
-    for at, k, kind in points:
-        if kind == 0:
-            if best is None:
-                best, start = k, at
-                continue
-            if rows[best][2] > rows[k][2]:
-                put = k
-            else:
-                got[best] += at - start
-                put, best, start = best, k, at
-            waiting.append(put)
-            waiting.sort(key=lambda j: -rows[j][2])
-        elif k == best:
-            got[k] += at - start + 1
-            best, start = (waiting.pop(0), at + 1) if waiting else (None, 0)
-        elif k in waiting:
-            waiting.remove(k)
-    return got
+    return _swept(df, _ByScore, 1, seq=seq, begin=begin, end=end, score=score, id=id, bp=bp)
 
 
 def resolve_overlap_sequential(df: DataFrame, *, seq: str, begin: str, end: str, score: str, order: str, bp: str = "bp_algor") -> DataFrame:
-    """(seq, order, bp): score-resolved bases by the sequential rule of _fold; `order` is the unique row order.
+    """(seq, order, bp): bases by the order-dependent rule; `order` is the unique row order.
 
-    Islands are cut where no interval is open, so each is folded alone; islands of one interval need no Python.
+    Points are visited by position, then row order, a row's begin before its end. A later opening takes over unless its
+    score is less; when the owner ends, the best of those that wait goes on behind it, of equal ones the one that has waited
+    longest. So an interval that begins where the owner before it ends counts that base again.
     """
-    rows = _ordered(df.select(seq, begin, end, score, order), seq, begin, end)
-    w = Window.partitionBy(seq).orderBy(begin, order)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_f", F.when(reach.isNull() | (F.col(begin) > reach), 1).otherwise(0))
-    rows = rows.withColumn("_i", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(seq, "_i")))
-    alone = rows.where("_n = 1").select(seq, order, (F.col(end) - F.col(begin) + 1).cast("long").alias(bp))
-    schema = f"{seq} {df.schema[seq].dataType.simpleString()}, {order} {df.schema[order].dataType.simpleString()}, {bp} long"
-    many = rows.where("_n > 1").select(seq, "_i", order, F.col(begin).alias("b"), F.col(end).alias("e"), F.col(score).alias("s"))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable").reset_index(drop=True)
-        return pd.DataFrame({seq: part[seq], order: part[order], bp: _fold(part)})
-
-    return alone.unionByName(many.groupBy(seq, "_i").applyInPandas(run, schema))
+    return _swept(df, _InTurn, 0, seq=seq, begin=begin, end=end, score=score, id=order, bp=bp)
 
 
 def estimators(df: DataFrame, *, group: list[str], naive: str, algor: str, overlapping: str, genome: str | None = None) -> DataFrame:
@@ -170,15 +220,31 @@ def consecutive_gaps(df: DataFrame, *, seq: str, begin: str, end: str) -> DataFr
 def overlap_join(left: DataFrame, right: DataFrame, *, seq: str, begin: str, end: str, bin_width: int, closed: bool = True) -> DataFrame:
     """Pairs of overlapping rows: left's columns, and right's with the suffix _r, of equal sequence.
 
-    Both sides go to the coordinate bins that they touch; a pair is kept in its first common bin only.
+    Bins come in levels of doubled width. A row's own level is the one at which it touches two bins at most; a pair meets
+    at the longer row's level, in the first bin that both touch. So a long interval makes no more rows than a short one.
     """
     right = right.toDF(*[f"{c}_r" for c in right.columns])
-    binned = lambda df, b, e: df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(b) / bin_width), F.floor(F.col(e) / bin_width))))
-    a = binned(left.where(F.col(begin) <= F.col(end)), begin, end)
-    b = binned(right.where(F.col(f"{begin}_r") <= F.col(f"{end}_r")), f"{begin}_r", f"{end}_r").withColumnRenamed("_bin", "_bin_r")
+    sides = [(left.where(F.col(begin) <= F.col(end)), begin, end), (right.where(F.col(f"{begin}_r") <= F.col(f"{end}_r")), f"{begin}_r", f"{end}_r")]
+    own = lambda b, e: F.greatest(F.ceil(F.log2((F.col(e) - F.col(b) + 1) / bin_width)), F.lit(0)).cast("int")
+    levels = sorted(set().union(*({r[0] for r in df.select(own(b, e)).distinct().collect()} for df, b, e in sides)))  # 64 at most
+    at = lambda x, level: F.floor(x / (F.lit(float(bin_width)) * F.pow(F.lit(2.0), level))).cast("long")
+
+    def binned(df: DataFrame, b: str, e: str, names: list[str], first: bool) -> DataFrame:
+        rows = df.withColumn("_own", own(b, e))
+        ways = F.filter(F.array(*[F.lit(x) for x in levels]).cast("array<int>"), lambda x: x >= F.col("_own"))
+        rows = rows.withColumn(names[0], F.explode(ways))
+        level, native = F.col(names[0]), F.col("_own") == F.col(names[0])
+        # a row at its own level meets all rows, at a higher one those whose own level it is
+        kinds = F.when(native, F.array(F.lit(0)) if first else F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)) if first else F.array(F.lit(0)))
+        rows = rows.withColumn(names[1], F.explode(kinds))
+        return rows.withColumn(names[2], F.explode(F.sequence(at(F.col(b), level), at(F.col(e), level)))).drop("_own")
+
+    a = binned(*sides[0], ["_level", "_kind", "_bin"], True)
+    b = binned(*sides[1], ["_level_r", "_kind_r", "_bin_r"], False)
     meets = (F.col(begin) <= F.col(f"{end}_r")) & (F.col(end) >= F.col(f"{begin}_r")) if closed else (F.col(begin) < F.col(f"{end}_r")) & (F.col(end) > F.col(f"{begin}_r"))
-    first = F.floor(F.greatest(begin, f"{begin}_r") / bin_width)
-    return a.join(b, (F.col(seq) == F.col(f"{seq}_r")) & (F.col("_bin") == F.col("_bin_r")) & meets & (F.col("_bin") == first)).drop("_bin", "_bin_r")
+    same = (F.col("_level") == F.col("_level_r")) & (F.col("_kind") == F.col("_kind_r")) & (F.col("_bin") == F.col("_bin_r"))
+    first = F.col("_bin") == at(F.greatest(begin, f"{begin}_r"), F.col("_level"))
+    return a.join(b, (F.col(seq) == F.col(f"{seq}_r")) & same & meets & first).drop("_level", "_kind", "_bin", "_level_r", "_kind_r", "_bin_r")
 
 
 def overlapping_pairs(df: DataFrame, *, seq: str, begin: str, end: str, id: str, bin_width: int, closed: bool = True) -> DataFrame:
@@ -228,3 +294,56 @@ def alignment_overlap(df: DataFrame, *, id: str, sides: dict[str, tuple[str, str
     won = resolve_overlap(keyed, seq="_key", begin="_b", end="_e", score="_score", id=id)
     wide = won.groupBy(id).agg(*[F.max(F.when(F.col("_key._side") == k, F.col("bp_algor"))).alias(f"{k}algorbp") for k in sides])
     return df.join(wide, id, "left")
+
+
+def subset_lengths(df: DataFrame, *, group: list[str], seq: str, length: str) -> DataFrame:
+    """(group, size): the summed lengths of a group's sequences, each counted once by its smallest stated length."""
+    per = df.where(F.col(seq).isNotNull()).groupBy(*group, seq).agg(F.min(length).alias("_l"))
+    return per.groupBy(*group).agg(F.sum("_l").alias("size"))
+
+
+def overlap_report(df: DataFrame, *, group: list[str], seq: str, length: str, naive: str, algor: str) -> DataFrame:
+    """(group, algorithm, bp, percent_naive, percent_subset): naive and resolved bases of each side and subset of alignments.
+
+    df has a row for each side (and subset) of an alignment; percentages of naive bases are 0 where there are none.
+    """
+    sums = df.groupBy(*group).agg(F.coalesce(F.sum(naive), F.lit(0)).alias("naive"), F.coalesce(F.sum(algor), F.lit(0)).alias("algor"))
+    both = sums.join(subset_lengths(df, group=group, seq=seq, length=length), group)
+    long = both.select(*group, F.expr("stack(2, 'naive', naive, 'algor', algor) as (algorithm, bp)"), F.col("naive").alias("_n"), "size")
+    share = F.when(F.col("_n") != 0, 100 * F.col("bp") / F.col("_n")).otherwise(0.0)
+    return long.select(*group, "algorithm", "bp", share.alias("percent_naive"), (100 * F.col("bp") / F.col("size")).alias("percent_subset"))
+
+
+def region_table(df: DataFrame, *, keys: list[str], seq: str, begin: str, end: str, length: str, values: list[str]) -> DataFrame:
+    """(keys, seq, region, bp): mapped and unmapped stretches of each sequence, and each row's values as regions of their own.
+
+    keys belong to the sequences (a side, a subset). values: alignment length, matches, mismatches and the like.
+    """
+    names = df.select(seq, *keys).distinct()
+    stretches = gaps(df.dropDuplicates([seq, begin, end]), seq=seq, begin=begin, end=end, length=length).select(seq, "region", "bp").join(names, seq)
+    own = df.select(*keys, seq, F.expr(f"stack({len(values)}, {', '.join(f'{v!r}, cast({v} as bigint)' for v in values)}) as (region, bp)"))
+    return stretches.select(*keys, seq, "region", "bp").unionByName(own.where("bp is not null"))
+
+
+def adjacent_pairs(df: DataFrame, *, seq: str, begin: str, end: str, id: str) -> DataFrame:
+    """(seq, id, id_next): neighbours by begin (then end, id) that overlap, each row in one pair at most, from the left.
+
+    Of a chain of overlapping neighbours the first and second pair up, then the third and fourth.
+    """
+    w = Window.partitionBy(seq).orderBy(begin, end, id)
+    rows = _ordered(df.select(seq, begin, end, id), seq, begin, end)
+    rows = rows.withColumns({"_next": F.lead(id).over(w), "_over": F.coalesce(F.lead(begin).over(w) <= F.col(end), F.lit(False))})
+    broken = F.when(F.lag("_over", 1, False).over(w), 0).otherwise(1)
+    chains = rows.withColumn("_new", broken).withColumn("_chain", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.row_number().over(Window.partitionBy(seq, "_chain").orderBy(begin, end, id))
+    return chains.withColumn("_p", place).where("_over and _p % 2 = 1").select(seq, id, F.col("_next").alias(f"{id}_next"))
+
+
+def margins(df: DataFrame, *, sides: dict[str, tuple[str, str, str, str]], id: str, margin: int) -> DataFrame:
+    """(id, side, seq, begin, end, tag): a window around each side (sequence, begin, end, length) of an alignment, within the sequence.
+
+    tag: side, sequence and window as text, for regions that are cut out of sequences.
+    """
+    parts = [F.struct(F.lit(k).alias("side"), F.col(s).cast("string").alias("seq"), F.greatest(F.col(b) - margin, F.lit(0)).alias("begin"), F.least(F.col(e) + margin, F.col(n)).alias("end")) for k, (s, b, e, n) in sides.items()]
+    rows = df.select(id, F.explode(F.array(*parts)).alias("p")).select(id, "p.*")
+    return rows.withColumn("tag", F.concat_ws(":", "side", "seq", F.concat_ws("-", "begin", "end")))

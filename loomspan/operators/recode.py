@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspan.functions.taxonomy import RULES, MITE_RULES, condition
+from loomspan.functions.taxonomy import MITE_RULES, RULES, condition
+from loomspan.session import small
 
 
 def like(column: str, pattern: str) -> Column:
@@ -26,7 +27,7 @@ def pattern_matches(df: DataFrame, patterns: DataFrame, *, id: str, pattern: str
     Patterns are a hand-written list. Matching runs on distinct ids only, so join the result back by id.
     """
     ids = df.where(F.col(id).isNotNull()).select(id).distinct()
-    return ids.join(F.broadcast(patterns), F.expr(f"rlike({id}, concat('(?i)', {pattern}))"))
+    return ids.join(small(patterns), F.expr(f"rlike({id}, concat('(?i)', {pattern}))"))
 
 
 def pattern_join(df: DataFrame, patterns: DataFrame, *, id: str, pattern: str) -> DataFrame:
@@ -45,7 +46,7 @@ def subset_check(df: DataFrame, patterns: DataFrame, *, id: str, pattern: str, l
     """(label, rows, percent_rows, ids, percent_ids): what each subset's patterns match of the whole table."""
     counts = df.where(F.col(id).isNotNull()).groupBy(id).agg(F.count("*").alias("_n"))
     whole = counts.agg(F.sum("_n").alias("_rows"), F.count("*").alias("_ids"))
-    hits = counts.join(F.broadcast(patterns), F.expr(f"rlike({id}, concat('(?i)', {pattern}))")).select(label, id, "_n").distinct()
+    hits = counts.join(small(patterns), F.expr(f"rlike({id}, concat('(?i)', {pattern}))")).select(label, id, "_n").distinct()
     per = hits.groupBy(label).agg(F.sum("_n").alias("rows"), F.count("*").alias("ids"))
     per = per.crossJoin(F.broadcast(whole))  # one row
     return per.select(label, "rows", F.bround(100 * F.col("rows") / F.col("_rows"), 2).alias("percent_rows"), "ids", F.bround(100 * F.col("ids") / F.col("_ids"), 2).alias("percent_ids"))
@@ -83,7 +84,7 @@ def pair_type(query_minor: Column, target_minor: Column) -> Column:
 
 def matches_any_pair(df: DataFrame, pairs: DataFrame, *, a: str, b: str) -> DataFrame:
     """Rows of df of which some (pattern_a, pattern_b) of a hand-written list matches both columns."""
-    keys = df.select(a, b).distinct().join(F.broadcast(pairs), F.expr(f"rlike({a}, pattern_a) and rlike({b}, pattern_b)"), "left_semi")
+    keys = df.select(a, b).distinct().join(small(pairs), F.expr(f"rlike({a}, pattern_a) and rlike({b}, pattern_b)"), "left_semi")
     return df.join(keys, [a, b], "left_semi")
 
 
@@ -107,7 +108,7 @@ def coloured(df: DataFrame, keys: DataFrame, *, columns: list[str], key: str, co
     """df with the colour of the last key (by order) that is part of any of the columns."""
     ids = df.select(*columns).distinct()
     hit = reduce(lambda a, b: a | b, [F.col(c).contains(F.col(key)) for c in columns])
-    found = ids.join(F.broadcast(keys), hit).groupBy(*columns).agg(F.max_by(colour, order).alias("colour"))
+    found = ids.join(small(keys), hit).groupBy(*columns).agg(F.max_by(colour, order).alias("colour"))
     return df.join(found, columns, "left").withColumn("colour", F.coalesce("colour", F.lit(default)))
 
 
@@ -122,8 +123,8 @@ def classified(df: DataFrame, *, label: str, v7: bool = False) -> DataFrame:
     pick = None
     for rule, levels in RULES:
         c = condition(label, rule)
-        same = [F.col(label) if x == "<same>" else F.lit("DDE" if v7 and x == "TIR" and i == 2 else x) for i, x in enumerate(levels)]
-        value = F.struct(*[v.alias(n) for v, n in zip(same, names)])
+        told = [F.lit("DDE" if v7 and x == "TIR" and i == 2 else x) for i, x in enumerate(levels)]
+        value = F.struct(*[v.alias(n) for v, n in zip(told, names)])
         pick = [(c, value)] if pick is None else [(c, value), *pick]
     chain = None
     for c, value in pick:
@@ -163,3 +164,23 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 def pattern_table(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
     """(label, pattern, ord) of a hand-written list."""
     return spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(rows)], "label string, pattern string, ord int")
+
+
+def pair_split(df: DataFrame, *, query_minor: Column, target_minor: Column) -> DataFrame:
+    """df with pair: major/major, minor/minor, or minor/major whichever side the minor scaffold is on."""
+    both = F.when(query_minor & target_minor, "minor/minor").when(query_minor | target_minor, "minor/major").otherwise("major/major")
+    return df.withColumn("pair", both)
+
+
+def major_regions(df: DataFrame, *, sides: dict[str, tuple[str, str, str, Column]], id: str) -> DataFrame:
+    """(id, seq, begin, end, hit_by): regions of major sequences that minor ones are aligned to, as in a BED file.
+
+    sides: of query and target their sequence, begin, end, and whether the sequence is minor.
+    """
+    (a, b), out = list(sides), None
+    for here, there in ((a, b), (b, a)):
+        s, lo, hi, minor = sides[here]
+        other, _, _, other_minor = sides[there]
+        part = df.where(~minor & other_minor).select(id, F.col(s).alias("seq"), F.col(lo).alias("begin"), F.col(hi).alias("end"), F.col(other).alias("hit_by"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 def mode_or_null(df: DataFrame, group: list[str], value: str, name: str = "mode_raw") -> DataFrame:
     """(group, name): the most frequent value; null if several are equally frequent."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_c"))
-    best = counts.groupBy(*group).agg(F.max(F.struct("_c", F.col(value).alias("_v"))).alias("_top"), F.collect_list("_c").alias("_all"))
-    ties = F.size(F.filter("_all", lambda c: c == F.col("_top._c")))
-    return best.select(*group, F.when(ties == 1, F.col("_top._v")).alias(name))
+    like = counts.groupBy(*group, "_c").agg(F.count("*").alias("_n"), F.max(value).alias("_v"))
+    best = like.groupBy(*group).agg(F.max(F.struct("_c", "_n", "_v")).alias("_top"))
+    return best.select(*group, F.when(F.col("_top._n") == 1, F.col("_top._v")).alias(name))
 
 
 def summarised(df: DataFrame, *, keys: list[str], naive: str, algor: str, overlapping: str, value: str) -> DataFrame:
@@ -238,3 +238,44 @@ def type_frequency(df: DataFrame, *, kind: str) -> DataFrame:
     """(kind, count, percent)."""
     out = df.groupBy(kind).agg(F.count("*").alias("count"))
     return shares(out, within=[], value="count").select(kind, "count", F.bround(100 * F.col("share"), 2).alias("percent"))
+
+
+def readable(column: str, *, above: str, missing: str = "NA", residual: tuple[str, ...] = ()) -> Column:
+    """A category for display: a missing one is named after the level above it; those on the residual list are null."""
+    named = F.when(F.col(column).isNull() | (F.col(column) == missing), F.concat(F.col(above), F.lit(" (unknown)"))).otherwise(F.col(column))
+    return F.when(~F.col(column).isin(*residual), named).when(F.col(column).isNull(), named) if residual else named
+
+
+def content_table(df: DataFrame, *, by: list[str], levels: list[str], value: str, weight: str, edge: float) -> DataFrame:
+    """(by, band, levels, level, weight, share): weight of every prefix of the levels in each band of a value, and its share in the band."""
+    rows = banded(df, value=value, edge=edge)
+    out = rolled_up(rows, by=[*by, "band"], levels=levels, measures={weight: F.sum(weight)}).where("level > 0")
+    return shares(out, within=[*by, "band", "level"], value=weight)
+
+
+def path_histograms(df: DataFrame, *, by: list[str], levels: list[str], value: str, width: float = 1.0) -> DataFrame:
+    """(by, levels, level, bin, count, share): a histogram of a value for every prefix of the levels (level 0: all)."""
+    rows = df.where(F.col(value).isNotNull()).withColumn("bin", F.floor(F.col(value) / width))
+    out = rolled_up(rows, by=[*by, "bin"], levels=levels, measures={"count": F.count("*")})
+    return shares(out, within=[*by, *levels, "level"], value="count")
+
+
+def stacked_occupancy(df: DataFrame, regions: DataFrame, *, seq: str, by: list[str], levels: list[str], weight: str) -> DataFrame:
+    """(by, region, levels, weight): a weight by category in each set of sequences; regions: (seq, region), a sequence in several."""
+    return df.join(regions.select(seq, "region").distinct(), seq).groupBy(*by, "region", *levels).agg(F.sum(weight).alias(weight))
+
+
+def weighted_divergence(df: DataFrame, *, keys: list[str], value: str, bp: str) -> DataFrame:
+    """(keys, bp, value_median, weighted): resolved bases, the median divergence in percent, and the bases it stands for."""
+    out = df.groupBy(*keys).agg(F.sum(bp).alias(bp), F.median(value).alias("value_median"))
+    return out.withColumn("weighted", F.col("value_median") * F.col(bp) / 100)
+
+
+def coordinates_table(regions: DataFrame, coverage: DataFrame, *, seq: str, columns: list[str], factor: float = 1.96) -> DataFrame:
+    """(seq, percent, a cell per region): coverage, and of each kind of region median plus-minus factor deviations as text, or NA.
+
+    regions: (seq, region, bp); coverage: (seq, percent).
+    """
+    cells = spread(regions, group=[seq, "region"], value="bp", factor=factor).select(seq, "region", "told")
+    wide = cells.groupBy(seq).pivot("region", columns).agg(F.first("told"))
+    return coverage.select(seq, "percent").join(wide, seq, "left").na.fill("NA", columns)

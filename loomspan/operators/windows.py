@@ -95,3 +95,49 @@ def concatenated_axis(df: DataFrame, *, seq: str, position: str, order: str) ->
     w = Window.orderBy("_o", seq).rowsBetween(Window.unboundedPreceding, -1)  # one row a sequence
     starts = ends.select(seq, F.coalesce(F.sum("_m").over(w), F.lit(0)).alias("_before"))
     return df.join(starts, seq).withColumn("axis", F.col(position) + F.col("_before")).drop("_before")
+
+
+def jumping_by_class(df: DataFrame, sizes: DataFrame, *, seq: str, begin: str, length: str, stop: str, width: int, jump: int, classes: list[str]) -> DataFrame:
+    """(seq, window, window_begin, window_end, level, name, count, bp): inclusive jumping windows for each value of each class column.
+
+    A row counts if its begin modulo width + jump is at most the width. Windows without rows of a class have none.
+    """
+    step = width + jump
+    rows = df.where(F.col(begin) % step <= width).withColumn("window", F.floor(F.col(begin) / step).cast("int"))
+    each = rows.select(seq, "window", length, F.explode(F.array(*[F.struct(F.lit(c).alias("level"), F.col(c).cast("string").alias("name")) for c in classes])).alias("c"))
+    sums = each.where("c.name is not null").groupBy(seq, "window", F.col("c.level").alias("level"), F.col("c.name").alias("name")).agg(F.count("*").alias("count"), F.sum(length).alias("bp"))
+    return grid(sizes.withColumn("_zero", F.lit(0)), seq=seq, start="_zero", end=stop, step=step, width=width).join(sums, [seq, "window"])
+
+
+def special_windows(df: DataFrame, *, seq: str, window: str, own: str, other: str, least: int = 300) -> DataFrame:
+    """(seq, window, special): whether a window holds a row whose own or other copy number reaches a bound."""
+    return df.groupBy(seq, window).agg(F.coalesce(F.bool_or((F.col(own) >= least) | (F.col(other) >= least)), F.lit(False)).alias("special"))
+
+
+def outlier_summary(df: DataFrame, *, group: list[str], columns: list[str], factor: float = 1.5) -> DataFrame:
+    """(group, column, n, sum, mean, median, max, high, low): each column's statistics and its numbers of outliers on either side."""
+    rows = df.select(*group, F.expr(f"stack({len(columns)}, {', '.join(f'{c!r}, cast({c} as double)' for c in columns)}) as (column, value)"))
+    keys = [*group, "column"]
+    told = outliers(rows.where("value is not null"), group=keys, value="value", factor=factor)
+    return told.groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        F.sum("value").alias("sum"),
+        F.avg("value").alias("mean"),
+        F.median("value").alias("median"),
+        F.max("value").alias("max"),
+        F.count_if(F.col("outlier") == "high").alias("high"),
+        F.count_if(F.col("outlier") == "low").alias("low"),
+    )
+
+
+def relation_windows(df: DataFrame, sizes: DataFrame, *, seq: str, position: str, start: str, stop: str, width: int, relation: str, tier: str) -> DataFrame:
+    """(seq, window, window_begin, window_end, relation, tier, count): points by window, relation of copy numbers and evidence tier."""
+    placed = df.join(sizes.select(seq, F.col(start).alias("_s")), seq).withColumn("window", F.floor((F.col(position) - F.col("_s")) / width).cast("int"))
+    sums = placed.groupBy(seq, "window", relation, tier).agg(F.count("*").alias("count"))
+    return grid(sizes, seq=seq, start=start, end=stop, step=width).join(sums, [seq, "window"])
+
+
+def one_sided_windows(df: DataFrame, sizes: DataFrame, *, seq: str, position: str, start: str, stop: str, width: int, own: str, other: str) -> DataFrame:
+    """Windows with numbers of genes that the other species lacks: single (1:0) and several (n:0) copies, and their total."""
+    lone = df.where(F.col(other) == 0)
+    return counted(lone, sizes, seq=seq, position=position, start=start, stop=stop, width=width, classes={"single": F.col(own) == 1, "several": F.col(own) > 1})

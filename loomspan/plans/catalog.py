@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import cigar
 from loomspan.operators import families, intervals, recode, summary, windows
 from loomspan.session import shipped
+from loomspan.sources import readers
 from loomspan.streaming import running
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,14 +170,87 @@ def interval_resolved_sequential(spark, d):
     return intervals.resolve_overlap_sequential(items(shipped(spark), d), seq="seq", begin="b", end="e", score="score", order="id")
 
 
-@query()
+def pairs_of_sides(spark, d) -> DataFrame:
+    """Line items as alignments: supplier and part are the two sides, the ends exclusive."""
+    rows = items(spark, d).join(table(spark, d, "lineitem").select(item_id().alias("id"), F.col("l_partkey").alias("tseq")), "id")
+    return rows.withColumn("e", F.col("e") + 1)
+
+
+SIDES = ITEMS + """, sd AS (SELECT 'Q' AS side, seq, b, e, score, id FROM iv UNION ALL SELECT 'T', l_partkey, b, e, score, id FROM iv JOIN
+  (SELECT l_partkey, (((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS k FROM lineitem) ON k = id),
+ cuts AS (SELECT side, seq, pt, lead(pt) OVER (PARTITION BY side, seq ORDER BY pt) - pt AS len FROM (SELECT side, seq, b AS pt FROM sd UNION SELECT side, seq, e + 1 FROM sd)),
+ won AS (SELECT c.side, c.seq, c.pt, any_value(c.len) AS len, arg_max(i.id, (i.score, i.b, i.id)) AS id FROM cuts c JOIN sd i ON i.side = c.side AND i.seq = c.seq AND i.b <= c.pt AND i.e >= c.pt GROUP BY 1, 2, 3),
+ got AS (SELECT side, seq, id, sum(len) AS bp FROM won GROUP BY 1, 2, 3),
+ per AS (SELECT sd.side, sd.seq, sd.id, sd.e - sd.b + 1 AS naive, CAST(coalesce(g.bp, 0) AS BIGINT) AS algor FROM sd LEFT JOIN got g ON g.side = sd.side AND g.seq = sd.seq AND g.id = sd.id)"""
+
+
+@query(SIDES + " SELECT id, max(algor) FILTER (side = 'Q') AS Qalgorbp, max(algor) FILTER (side = 'T') AS Talgorbp FROM per GROUP BY id")
 def interval_alignment_overlap(spark, d):
     """Both sides of an alignment: supplier and part positions of line items."""
-    rows = items(spark, d).join(table(spark, d, "lineitem").select(item_id().alias("id"), F.col("l_partkey").alias("tseq")), "id")
-    rows = rows.withColumn("e", F.col("e") + 1)
+    rows = pairs_of_sides(spark, d)
     return intervals.alignment_overlap(rows, id="id", sides={"Q": ("seq", "b", "e"), "T": ("tseq", "b", "e")}, score="score").select("id", "Qalgorbp", "Talgorbp")
 
 
+@query(SIDES + """, s AS (SELECT side, seq % 3 AS subset, CAST(sum(naive) AS BIGINT) AS naive, CAST(sum(algor) AS BIGINT) AS algor, count(DISTINCT seq) * 4000 AS size FROM per GROUP BY 1, 2)
+ SELECT side, subset, algorithm, bp, round(100.0 * bp / naive, 6) AS percent_naive, round(100.0 * bp / size, 6) AS percent_subset FROM s, LATERAL (VALUES ('naive', naive), ('algor', algor)) AS v(algorithm, bp)""")
+def alignment_overlap_report(spark, d):
+    """Naive and resolved bases by side and subset; a sequence's remainder by 3 is its subset."""
+    rows = pairs_of_sides(spark, d)
+    won = intervals.alignment_overlap(rows, id="id", sides={"Q": ("seq", "b", "e"), "T": ("tseq", "b", "e")}, score="score")
+    side = lambda k, s, bp: F.struct(F.lit(k).alias("side"), F.col(s).alias("sequence"), F.col(bp).alias("algor"))
+    long = won.select("b", "e", "size", F.explode(F.array(side("Q", "seq", "Qalgorbp"), side("T", "tseq", "Talgorbp"))).alias("s")).select("b", "e", "size", "s.*")
+    long = long.withColumns({"subset": F.col("sequence") % 3, "naive": F.col("e") - F.col("b")})
+    return rounded(intervals.overlap_report(long, group=["side", "subset"], seq="sequence", length="size", naive="naive", algor="algor"))
+
+
+REGIONS = ITEMS + ISLANDS + """, o AS (SELECT seq, b, e + 1 AS e FROM iv), f AS (SELECT *, CASE WHEN b >= max(e) OVER (PARTITION BY seq ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1
+   WHEN row_number() OVER (PARTITION BY seq ORDER BY b, e) = 1 THEN 1 ELSE 0 END AS fresh FROM o),
+ u AS (SELECT seq, min(b) AS b, max(e) AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY seq ORDER BY b, e ROWS UNBOUNDED PRECEDING) AS i FROM f) GROUP BY seq, i),
+ g AS (SELECT *, lag(e, 1, 0) OVER (PARTITION BY seq ORDER BY b) AS prev, lead(b) OVER (PARTITION BY seq ORDER BY b) IS NULL AS last FROM u),
+ rg AS (SELECT seq, 'mapped' AS region, e - b AS bp FROM g UNION ALL SELECT seq, 'unmapped', b - prev FROM g WHERE b <> prev UNION ALL SELECT seq, 'unmapped', 4000 - e FROM g WHERE last AND e <> 4000
+  UNION ALL SELECT seq, 'ali_len', e - b FROM o UNION ALL SELECT l_suppkey, 'matches', CAST(l_quantity AS BIGINT) - l_linenumber FROM lineitem)"""
+
+
+def aligned_regions(spark, d) -> DataFrame:
+    rows = items(spark, d).withColumn("e", F.col("e") + 1)
+    more = table(spark, d, "lineitem").select(item_id().alias("id"), "l_linenumber")
+    rows = rows.join(more, "id").withColumns({"ali_len": F.col("e") - F.col("b"), "matches": F.col("e") - F.col("b") - F.col("l_linenumber"), "subset": F.col("seq") % 3})
+    return intervals.region_table(rows, keys=["subset"], seq="seq", begin="b", end="e", length="size", values=["ali_len", "matches"])
+
+
+@query(REGIONS + " SELECT seq % 3 AS subset, region, count(*) AS n, round(median(bp), 4) AS median, CAST(sum(bp) AS BIGINT) AS sum, max(bp) AS max FROM rg GROUP BY 1, 2")
+def alignment_regions(spark, d):
+    out = summary.length_stats(aligned_regions(spark, d), group=["subset", "region"], length="bp")
+    return out.select("subset", "region", "n", F.round("median", 4).alias("median"), "sum", "max")
+
+
+@query(REGIONS + """, c AS (SELECT seq, round_even(100 * sum(e - b) / 4000.0, 2) AS percent FROM u GROUP BY 1),
+ s AS (SELECT seq, region, CASE WHEN median(bp) IS NULL OR stddev_samp(bp) IS NULL THEN 'NA' ELSE CAST(median(bp) AS VARCHAR) || ' ± ' || CAST(CAST(floor(1.96 * stddev_samp(bp)) AS BIGINT) AS VARCHAR) END AS t FROM rg GROUP BY 1, 2)
+ SELECT seq, any_value(percent) AS percent, coalesce(max(t) FILTER (region = 'unmapped'), 'NA') AS unmapped, coalesce(max(t) FILTER (region = 'ali_len'), 'NA') AS ali_len FROM c LEFT JOIN s USING (seq) GROUP BY seq""")
+def coordinates_table(spark, d):
+    rows = items(spark, d).withColumn("e", F.col("e") + 1)
+    covered = intervals.covered(rows, seq="seq", begin="b", end="e", length="size", closed=False)
+    return summary.coordinates_table(aligned_regions(spark, d), covered, seq="seq", columns=["unmapped", "ali_len"])
+
+
+@query(ITEMS + """, n AS (SELECT *, row_number() OVER w AS r, lead(id) OVER w AS nxt, coalesce(lead(b) OVER w <= e, false) AS over FROM iv WINDOW w AS (PARTITION BY seq ORDER BY b, e, id)),
+ c AS (SELECT *, r - row_number() OVER (PARTITION BY seq, over ORDER BY r) AS run FROM n), p AS (SELECT *, row_number() OVER (PARTITION BY seq, over, run ORDER BY r) AS k FROM c WHERE over)
+ SELECT seq, id, nxt AS id_next FROM p WHERE k % 2 = 1""")
+def interval_adjacent_pairs(spark, d):
+    return intervals.adjacent_pairs(items(spark, d), seq="seq", begin="b", end="e", id="id")
+
+
+@query(ITEMS + """ SELECT id, 'Q' AS side, CAST(seq AS VARCHAR) AS seq, greatest(b - 50, 0) AS "begin", least(e + 50, 4000) AS "end",
+ 'Q:' || seq || ':' || greatest(b - 50, 0) || '-' || least(e + 50, 4000) AS tag FROM iv""")
+def interval_margins(spark, d):
+    return intervals.margins(items(spark, d), sides={"Q": ("seq", "b", "e", "size")}, id="id", margin=50)
+
+
+@query(ITEMS + " SELECT DISTINCT 'Q' AS db, seq, size FROM iv")
+def sequence_sizes(spark, d):
+    return readers.sequence_sizes(items(spark, d).withColumn("db", F.lit("Q")), seq="seq", length="size")
+
+
 def levels(spark, d) -> DataFrame:
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
     n, r = table(spark, d, "nation"), table(spark, d, "region")
@@ -493,16 +567,16 @@ def family_pair_distances(spark, d):
     return families.pair_distances(genes(spark, d), family="og", id="gene", seq="seq", begin="b", end="e").withColumn("mean", F.round("mean", 4))
 
 
-@query(GENES + """, n AS (SELECT og, count(*) AS n FROM ge WHERE species = 'A' GROUP BY 1) SELECT count(*) FILTER (n > 1) AS families, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS paralogs,
+@query(GENES + """, n AS (SELECT og, species, count(*) AS n FROM ge GROUP BY 1, 2) SELECT count(*) FILTER (n > 1) AS families, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS paralogs,
  count(*) FILTER (n = 1) AS orphans, max(n) AS largest, CAST(sum(n) AS BIGINT) AS members FROM n""")
 def family_statistics(spark, d):
-    return families.family_statistics(genes(spark, d).where("species = 'A'"), family="og")
+    """A family is a part's line items of one flag."""
+    return families.family_statistics(genes(spark, d).withColumn("family", F.struct("og", "species")), family="family")
 
 
-@query(GENES + " SELECT og, count(*) AS size, array_to_string(list_sort(list(CAST(gene AS VARCHAR))), chr(9)) AS members FROM ge WHERE species = 'A' GROUP BY og")
+@query(GENES + " SELECT og, count(*) AS size, array_to_string(list_sort(list(CAST(gene AS VARCHAR))), chr(9)) AS members FROM ge GROUP BY og")
 def family_lists(spark, d):
-    rows = genes(spark, d).where("species = 'A'").withColumn("gene", F.col("gene").cast("string"))
-    return families.member_lists(rows, family="og", id="gene")
+    return families.member_lists(genes(spark, d).withColumn("gene", F.col("gene").cast("string")), family="og", id="gene")
 
 
 @query(GENES + " SELECT og, count(*) FILTER (species = 'A') AS A, count(*) FILTER (species = 'N') AS N, count(*) FILTER (species = 'R') AS R FROM ge GROUP BY og")
@@ -510,10 +584,58 @@ def copy_numbers(spark, d):
     return families.copy_numbers(genes(spark, d), group="og", species="species", names=["A", "N", "R"])
 
 
-@query(GENES + """ SELECT og, max(gene) FILTER (species = 'A') AS id_a, max(gene) FILTER (species = 'R') AS id_b FROM ge GROUP BY og
- HAVING count(*) FILTER (species = 'A') = 1 AND count(*) FILTER (species = 'R') = 1""")
+@query("""WITH ge AS (SELECT l_orderkey AS og, l_returnflag AS species, max(l_orderkey * 10 + l_linenumber) AS gene, count(*) AS n FROM lineitem GROUP BY 1, 2)
+ SELECT x.og, x.gene AS id_a, y.gene AS id_b FROM ge x JOIN ge y ON x.og = y.og AND x.species = 'A' AND y.species = 'R' WHERE x.n = 1 AND y.n = 1""")
 def orthologs_one_to_one(spark, d):
-    return families.one_to_one(genes(spark, d), group="og", species="species", id="gene", a="A", b="R")
+    """Orders are the groups here: parts have many line items of each flag."""
+    return families.one_to_one(genes(spark, d).withColumn("og", F.floor(F.col("gene") / 10)), group="og", species="species", id="gene", a="A", b="R")
+
+
+@query(GENES + """, p AS (SELECT og, seq, count(*) AS n FROM ge GROUP BY 1, 2), f AS (SELECT x.seq AS seq_a, y.seq AS seq_b, count(*) AS families FROM p x JOIN p y ON x.og = y.og AND (x.seq < y.seq OR (x.seq = y.seq AND x.n > 1)) GROUP BY 1, 2),
+ q AS (SELECT least(x.seq, y.seq) AS seq_a, greatest(x.seq, y.seq) AS seq_b, CASE WHEN x.seq = y.seq THEN greatest(greatest(x.b, y.b) - least(x.e, y.e), 0) END AS d FROM ge x JOIN ge y ON x.og = y.og AND x.gene < y.gene)
+ SELECT f.seq_a, f.seq_b, any_value(families) AS families, count(*) AS pairs, CAST(sum(d) AS BIGINT) AS distance_sum, round(avg(d), 4) AS distance_mean FROM f JOIN q ON f.seq_a = q.seq_a AND f.seq_b = q.seq_b GROUP BY 1, 2""")
+def family_presence_links(spark, d):
+    out = families.presence_links(genes(spark, d), family="og", id="gene", seq="seq", begin="b", end="e")
+    return out.withColumn("distance_mean", F.round("distance_mean", 4))
+
+
+@query(GENES + """, p AS (SELECT og, seq, count(*) AS n, sum(count(*)) OVER (PARTITION BY og) AS w FROM ge GROUP BY 1, 2)
+ SELECT seq, CAST(sum(n) AS BIGINT) AS members, count(*) FILTER (n = 1 AND w > 1) AS outsiders FROM p GROUP BY 1""")
+def family_outsiders(spark, d):
+    return families.outsiders(genes(spark, d), family="og", seq="seq")
+
+
+@query("""WITH g AS (SELECT l_orderkey AS og, l_returnflag AS sp, l_orderkey * 10 + l_linenumber AS gene, l_suppkey % 3 AS seq, CAST(l_partkey AS BIGINT) AS b, l_partkey + CAST(l_quantity AS BIGINT) AS e FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey * 10 + l_linenumber) = 1),
+ k AS (SELECT og FROM g GROUP BY 1 HAVING count(*) FILTER (sp = 'A') = 1 AND count(*) FILTER (sp = 'R') = 2)
+ SELECT o.og, o.gene AS id_one, x.gene AS id_a, y.gene AS id_b, CASE WHEN x.seq <> y.seq THEN 4 WHEN greatest(greatest(x.b, y.b) - least(x.e, y.e), 0) < 500 THEN 1 ELSE 2 END AS type
+ FROM k JOIN g o ON o.og = k.og AND o.sp = 'A' JOIN g x ON x.og = k.og AND x.sp = 'R' JOIN g y ON y.og = k.og AND y.sp = 'R' AND x.gene < y.gene""")
+def paralog_links(spark, d):
+    """One gene of a species with two of another: orders with one A and two R line items."""
+    t = table(spark, d, "lineitem")
+    rows = t.select(F.col("l_orderkey").alias("og"), F.col("l_returnflag").alias("sp"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("gene"), (F.col("l_suppkey") % 3).alias("seq"), F.col("l_partkey").alias("b"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("e"))
+    # order and line don't tell line items apart
+    once = rows.withColumn("_n", F.count("*").over(Window.partitionBy("gene"))).where("_n = 1").drop("_n")
+    return families.paralog_links(once, group="og", species="sp", id="gene", seq="seq", begin="b", end="e", one="A", two="R", near=500)
+
+
+@query(GENES + " SELECT count(*) FILTER (seq % 4 = 0) AS kept, count(*) FILTER (seq % 4 <> 0) AS removed FROM ge")
+def genes_on_indexed(spark, d):
+    index = table(spark, d, "supplier").where("s_suppkey % 4 = 0").select(F.col("s_suppkey").alias("seq"))
+    return families.on_indexed(genes(spark, d), index, seq="seq")[1]
+
+
+@query(GENES + """, s AS (SELECT l_suppkey AS id, 'm' || (l_suppkey % 50) AS mult, l_suppkey AS seq, min(l_orderkey) AS b, max(l_orderkey) AS e FROM lineitem GROUP BY 1, 2, 3)
+ SELECT s.id, count(*) AS genes, CAST(floor(avg(ge.e - ge.b)) AS BIGINT) AS gene_length FROM s JOIN ge ON ge.seq = s.seq AND (ge.b BETWEEN s.b AND s.e OR ge.e BETWEEN s.b AND s.e) WHERE s.b < s.e GROUP BY 1""")
+def segments_with_genes(spark, d):
+    """A supplier's segment runs from its first order to its last; it holds the line items that begin or end inside."""
+    rows = genes(spark, d)
+    ends = rows.groupBy("seq").agg(F.min("b").alias("lo"), F.max("b").alias("hi"))
+    named = rows.select("seq", F.col("gene").cast("string").alias("gene"), "b", "e")
+    ends = ends.select(F.col("seq").alias("id"), F.concat(F.lit("m"), F.col("seq") % 50).alias("multiplicon"), F.col("seq").alias("sequid"), F.concat(F.lit("lo"), "seq").alias("first"), F.concat(F.lit("hi"), "seq").alias("last"), F.lit(1).alias("order"), "lo", "hi")
+    marks = ends.select(F.col("first").alias("gene"), F.lit(None).cast("long").alias("sequid"), F.col("lo").alias("begin"), F.col("lo").alias("end")).unionByName(ends.select(F.col("last").alias("gene"), F.lit(None).cast("long").alias("sequid"), F.col("hi").alias("begin"), F.col("hi").alias("end")))
+    all_genes = named.select("gene", F.col("seq").cast("long").alias("sequid"), F.col("b").alias("begin"), F.col("e").alias("end")).unionByName(marks)
+    out = families.segments_with_genes(ends.drop("lo", "hi").withColumn("sequid", F.col("sequid").cast("long")), all_genes, bin_width=1000)
+    return out.select("id", "genes", F.col("gene_length").cast("long").alias("gene_length"))
 
 
 @query(GENES + " SELECT least(a, 4) AS n_a, least(r, 4) AS n_b, count(*) AS groups FROM nn GROUP BY 1, 2")
@@ -605,3 +727,99 @@ def described_values(spark, d):
 @query("""SELECT event_type, count(*) AS "count", round_even(100.0 * count(*) / (SELECT count(*) FROM events), 2) AS percent FROM events GROUP BY 1""")
 def type_frequency(spark, d):
     return summary.type_frequency(table(spark, d, "events"), kind="event_type")
+
+
+@query(CIGAR + """ SELECT id, 3 * q / (3.0 * q + i + d) AS matches_per_base, (i + d) / (3.0 * q + i + d) AS edits_per_base, CAST(i + d AS BIGINT) AS perc_indel FROM al""")
+def cigar_per_base(spark, d):
+    rows = cigar.parsed(alignments(spark, d), "cg").withColumn("n", F.col("cig_matches") + F.col("cig_insertions") + F.col("cig_deletions"))
+    rows = rows.withColumn("nm", F.col("cig_insertions") + F.col("cig_deletions"))
+    out = cigar.per_base(rows, matches="cig_matches", ali_len="n", edits="nm", dels="cig_deletions", ins="cig_insertions")
+    return out.select("id", "matches_per_base", "edits_per_base", "perc_indel")
+
+
+@query("""SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_suppkey % 5 = 0 AND l_partkey % 5 = 0 THEN 'minor/minor' WHEN l_suppkey % 5 = 0 OR l_partkey % 5 = 0 THEN 'minor/major' ELSE 'major/major' END AS pair,
+ CASE WHEN l_suppkey % 5 = 0 THEN 'Qscf' ELSE 'Qchr' END || '_' || CASE WHEN l_partkey % 5 = 0 THEN 'Tscf' ELSE 'Tchr' END AS kind FROM lineitem""")
+def pair_split(spark, d):
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_suppkey", "l_partkey")
+    q, t = F.col("l_suppkey") % 5 == 0, F.col("l_partkey") % 5 == 0
+    return recode.pair_split(rows, query_minor=q, target_minor=t).select("id", "pair", recode.pair_type(q, t).alias("kind"))
+
+
+@query(ITEMS + """, t AS (SELECT iv.*, l_partkey AS tseq FROM iv JOIN (SELECT l_partkey, (((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS k FROM lineitem) ON k = id)
+ SELECT id, seq, b AS "begin", e + 1 AS "end", tseq AS hit_by FROM t WHERE seq % 5 <> 0 AND tseq % 5 = 0 UNION ALL SELECT id, tseq, b, e + 1, seq FROM t WHERE tseq % 5 <> 0 AND seq % 5 = 0""")
+def major_regions(spark, d):
+    rows = pairs_of_sides(spark, d)
+    return recode.major_regions(rows, sides={"Q": ("seq", "b", "e", F.col("seq") % 5 == 0), "T": ("tseq", "b", "e", F.col("tseq") % 5 == 0)}, id="id")
+
+
+@query(LEVELS + """, x AS (SELECT *, unnest(list_filter(['All', CASE WHEN kilo < 1 THEN '<1' END, CASE WHEN kilo < 100 THEN '<100' END, CASE WHEN kilo >= 100 THEN '>=100' END], lambda v: v IS NOT NULL)) AS band FROM lv),
+ g AS (SELECT r_name, band, n_name, c_mktsegment, CAST(2 - grouping(n_name) - grouping(c_mktsegment) AS INTEGER) AS level, CAST(sum(kilo) AS BIGINT) AS kilo FROM x GROUP BY GROUPING SETS ((r_name, band, n_name), (r_name, band, n_name, c_mktsegment)))
+ SELECT *, round(kilo / sum(kilo) OVER (PARTITION BY r_name, band, level), 6) AS share FROM g""")
+def content_by_level(spark, d):
+    rows = levels(spark, d)
+    return rounded(summary.content_table(rows, by=["r_name"], levels=["n_name", "c_mktsegment"], value="kilo", weight="kilo", edge=100))
+
+
+@query(LEVELS + """, x AS (SELECT *, CAST(floor(kilo / 50) AS BIGINT) AS bin FROM lv), g AS (SELECT r_name, bin, n_name, c_mktsegment, CAST(2 - grouping(n_name) - grouping(c_mktsegment) AS INTEGER) AS level, count(*) AS "count"
+  FROM x GROUP BY GROUPING SETS ((r_name, bin), (r_name, bin, n_name), (r_name, bin, n_name, c_mktsegment)))
+ SELECT *, round("count" / sum("count") OVER (PARTITION BY r_name, n_name, c_mktsegment, level), 6) AS share FROM g""")
+def histograms_by_path(spark, d):
+    return rounded(summary.path_histograms(levels(spark, d), by=["r_name"], levels=["n_name", "c_mktsegment"], value="kilo", width=50))
+
+
+@query(LEVELS + """, s AS (SELECT DISTINCT n_name, unnest(CASE WHEN n_name < 'F' THEN ['Genome', 'ChrX'] ELSE ['Genome', 'Autosomes'] END) AS region FROM lv)
+ SELECT r_name, region, c_mktsegment, CAST(sum(kilo) AS BIGINT) AS kilo FROM lv JOIN s USING (n_name) GROUP BY 1, 2, 3""")
+def occupancy_by_region(spark, d):
+    rows = levels(spark, d)
+    sets = rows.select("n_name", F.explode(F.array(F.lit("Genome"), F.when(F.col("n_name") < "F", "ChrX").otherwise("Autosomes"))).alias("region"))
+    return summary.stacked_occupancy(rows, sets, seq="n_name", by=["r_name"], levels=["c_mktsegment"], weight="kilo")
+
+
+@query(LEVELS + " SELECT r_name, c_mktsegment, CAST(sum(kilo) AS BIGINT) AS kilo, median(price) AS value_median, round(median(price) * sum(kilo) / 100, 3) AS weighted FROM lv GROUP BY 1, 2")
+def divergence_weighted(spark, d):
+    out = summary.weighted_divergence(levels(spark, d), keys=["r_name", "c_mktsegment"], value="price", bp="kilo")
+    return out.withColumn("weighted", F.round("weighted", 3))
+
+
+@query("""SELECT DISTINCT p_brand, CASE WHEN p_size % 4 = 0 THEN p_brand || ' (unknown)' WHEN p_size % 4 = 1 THEN p_brand || ' (unknown)' WHEN p_size % 4 = 2 THEN NULL ELSE 'kept' END AS name, p_size % 4 AS k FROM part""")
+def readable_categories(spark, d):
+    """Missing and NA categories take the name above; one is on the residual list."""
+    k = F.col("p_size") % 4
+    rows = table(spark, d, "part").select("p_brand", k.alias("k"), F.when(k == 1, "NA").when(k == 2, "rest").when(k == 3, "kept").alias("cat"))
+    return rows.select("p_brand", summary.readable("cat", above="p_brand", residual=("rest",)).alias("name"), "k").distinct()
+
+
+@query(POSITIONS.format(step=60) + """, c AS (SELECT seq, CAST(pos // 60 AS INTEGER) AS k, w, unnest([{{'level': 'small', 'name': CAST(w % 2 AS VARCHAR)}}, {{'level': 'large', 'name': CAST(w % 3 AS VARCHAR)}}]) AS c FROM ps WHERE pos % 60 <= 50)
+ SELECT gr.seq, gr."window", gr."window" * 60 AS window_begin, least(gr."window" * 60 + 50, stop) AS window_end, c.c.level AS level, c.c.name AS name, count(*) AS "count", CAST(sum(w) AS BIGINT) AS bp FROM gr JOIN c ON c.seq = gr.seq AND c.k = gr."window" GROUP BY ALL""".replace("{{", "{").replace("}}", "}"))
+def windows_jumping_by_class(spark, d):
+    rows = positions(spark, d).withColumns({"small": F.col("w") % 2, "large": F.col("w") % 3})
+    return windows.jumping_by_class(rows, extents(spark, d).select("seq", "stop"), seq="seq", begin="pos", length="w", stop="stop", width=50, jump=10, classes=["small", "large"])
+
+
+@query('SELECT l_returnflag AS seq, CAST(l_partkey // 50 AS INTEGER) AS "window", bool_or(l_quantity >= 50 OR l_linenumber >= 50) AS special FROM lineitem GROUP BY 1, 2')
+def windows_special(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("seq"), F.floor(F.col("l_partkey") / 50).cast("int").alias("window"), "l_quantity", "l_linenumber")
+    return windows.special_windows(rows, seq="seq", window="window", own="l_quantity", other="l_linenumber", least=50)
+
+
+@query("""WITH v AS (SELECT o_orderpriority AS g, 'o_totalprice' AS "column", CAST(o_totalprice AS DOUBLE) AS x FROM orders UNION ALL SELECT o_orderpriority, 'o_custkey', o_custkey FROM orders),
+ q AS (SELECT g, "column", quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.75) AS b FROM v GROUP BY 1, 2)
+ SELECT v.g AS o_orderpriority, v."column", count(*) AS n, round(sum(x), 2) AS sum, round(avg(x), 4) AS mean, round(median(x), 4) AS median, max(x) AS max, count(*) FILTER (x > b + 0.5 * (b - a)) AS high, count(*) FILTER (x < a - 0.5 * (b - a)) AS low
+ FROM v JOIN q ON q.g = v.g AND q."column" = v."column" GROUP BY 1, 2""")
+def outlier_counts(spark, d):
+    out = windows.outlier_summary(table(spark, d, "orders"), group=["o_orderpriority"], columns=["o_totalprice", "o_custkey"], factor=0.5)
+    return out.withColumns({"sum": F.round("sum", 2), "mean": F.round("mean", 4), "median": F.round("median", 4)})
+
+
+@query(POSITIONS.format(step=100) + """, r AS (SELECT seq, CAST(pos // 100 AS INTEGER) AS k, w % 3 AS relation, w % 2 AS tier, count(*) AS c FROM ps GROUP BY ALL)
+ SELECT gr.seq, gr."window", CAST(gr."window" * 100 AS BIGINT) AS window_begin, least(gr."window" * 100 + 100, stop) AS window_end, relation, tier, c AS "count" FROM gr JOIN r ON r.seq = gr.seq AND r.k = gr."window" """)
+def windows_by_relation(spark, d):
+    rows = positions(spark, d).withColumns({"relation": F.col("w") % 3, "tier": F.col("w") % 2})
+    return windows.relation_windows(rows, extents(spark, d), seq="seq", position="pos", start="start", stop="stop", width=100, relation="relation", tier="tier")
+
+
+@query(POSITIONS.format(step=100) + """, r AS (SELECT seq, pos // 100 AS k, count(*) FILTER (w % 4 = 1) AS single, count(*) FILTER (w % 4 > 1) AS several, count(*) AS total FROM ps WHERE w % 3 = 0 GROUP BY 1, 2)
+ SELECT gr.seq, gr."window", CAST(gr."window" * 100 AS BIGINT) AS window_begin, least(gr."window" * 100 + 100, stop) AS window_end, coalesce(single, 0) AS single, coalesce(several, 0) AS several, coalesce(total, 0) AS total FROM gr LEFT JOIN r ON r.seq = gr.seq AND r.k = gr."window" """)
+def windows_one_sided(spark, d):
+    rows = positions(spark, d).withColumns({"own": F.col("w") % 4, "other": F.col("w") % 3})
+    return windows.one_sided_windows(rows, extents(spark, d), seq="seq", position="pos", start="start", stop="stop", width=100, own="own", other="other")

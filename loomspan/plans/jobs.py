@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.functions import cigar
 from loomspan.operators import families, intervals, recode, summary, windows
-from loomspan.session import shipped
+from loomspan.session import kept, small
 from loomspan.sources import readers
 
 LEVELS = ["class", "subclass", "order", "superfam"]
@@ -19,10 +20,13 @@ def checked(repeats: dict[str, str], indices: dict[str, str]) -> None:
 
 
 def preprocess_repeats(spark: SparkSession, path: str, sequential: bool = False) -> DataFrame:
-    """Raw annotation with bp_naive and bp_algor. sequential: the order-dependent rule, by place in the input."""
-    rows = readers.repeats(spark, path, fail=True).withColumn("_id", F.monotonically_increasing_id())
+    """Raw annotation with bp_naive and bp_algor. sequential: the order-dependent rule, by place in the input.
+
+    Rows are numbered once, in a table of their own: both uses see the same numbers, whatever is run again.
+    """
+    rows = kept(readers.repeats(spark, path, fail=True).withColumn("_id", F.monotonically_increasing_id()))
     if sequential:
-        won = intervals.resolve_overlap_sequential(rows, seq="sequid", begin="begin", end="end", score="score_SW", order="_id") if shipped(spark) else None
+        won = intervals.resolve_overlap_sequential(rows, seq="sequid", begin="begin", end="end", score="score_SW", order="_id")
     else:
         won = intervals.resolve_overlap(rows, seq="sequid", begin="begin", end="end", score="score_SW", id="_id")
     return rows.join(won.drop("sequid"), "_id").drop("_id")
@@ -36,7 +40,7 @@ def repeat_summaries(rows: DataFrame, index: DataFrame | None = None) -> DataFra
     rows = recode.classified(rows, label="default_repclass")
     by = ["Species"]
     if index is not None:
-        ids = rows.select("Species", "sequid").distinct().join(F.broadcast(index.withColumnRenamed("Species", "_sp")), F.expr("Species = _sp and rlike(sequid, concat('(?i)', Pattern))"))
+        ids = rows.select("Species", "sequid").distinct().join(small(index.withColumnRenamed("Species", "_sp")), F.expr("Species = _sp and rlike(sequid, concat('(?i)', Pattern))"))
         rows = rows.join(ids.select("Species", "sequid", "Subset").distinct(), ["Species", "sequid"])
         by = ["Species", "Subset"]
     best = ~F.col("overlapping")
@@ -60,13 +64,13 @@ def repeat_summaries(rows: DataFrame, index: DataFrame | None = None) -> DataFra
 
 
 def repeat_distributions(rows: DataFrame) -> dict[str, DataFrame]:
-    """Tables behind content, divergence-distribution and box plots."""
+    """Tables behind content, divergence-distribution and box plots, at all levels of the taxonomy."""
     rows = recode.classified(rows, label="default_repclass")
-    bands = summary.banded(rows, value="perc_divg", edge=5).groupBy("Species", "band", "class", "order").agg(F.sum("bp_algor").alias("bp"))
     return {
-        "content": summary.shares(bands, within=["Species", "band"], value="bp"),
-        "divergence": summary.histogram(rows, group=["Species", "class", "order", "superfam"], value="perc_divg"),
+        "content": summary.content_table(rows, by=["Species"], levels=LEVELS, value="perc_divg", weight="bp_algor", edge=5),
+        "divergence": summary.path_histograms(rows, by=["Species"], levels=LEVELS, value="perc_divg"),
         "boxes": summary.box_stats(rows.where("class is not null"), group=["Species", "class"], value="perc_divg"),
+        "weighted": summary.weighted_divergence(rows, keys=["Species", "class", "order", "superfam"], value="perc_divg", bp="bp_algor"),
     }
 
 
@@ -78,22 +82,27 @@ def diversity(rows: DataFrame, level: str = "superfam") -> DataFrame:
 
 
 def alignment_stats(spark: SparkSession, path: str, patterns: list[tuple[str, str]]) -> dict[str, DataFrame]:
-    """Mapped and unmapped regions by side and subset with length statistics, and indels by side and subset."""
-    rows = readers.paf(spark, path).withColumn("_id", F.monotonically_increasing_id())
-    long = readers.sides(rows, ["_id", "ali_len", "dels_list", "incs_list"])
+    """By side and subset: mapped and unmapped regions, alignment lengths, matches and mismatches with length statistics,
+    indels, overlap of alignments; coverage and coordinates of each sequence."""
+    rows = kept(readers.paf(spark, path).withColumn("_id", F.monotonically_increasing_id()))
+    won = intervals.alignment_overlap(rows, id="_id", sides={"Q": ("Qname", "Qstart", "Qend"), "T": ("Tname", "Tstart", "Tend")}, score="mapQ")
+    long = readers.sides(won, ["_id", "ali_len", "matches", "mismatches", "dels_list", "incs_list", "Qalgorbp", "Talgorbp"])
     table = recode.pattern_table(spark, patterns)
     subsets = recode.pattern_matches(long, table, id="sequid", pattern="pattern").select("sequid", F.col("label").alias("subset"))
-    regions = intervals.gaps(long, seq="sequid", begin="begin", end="end", length="length").withColumn("db", F.substring("sequid", 1, 1))
-    regions = regions.join(subsets, "sequid")
-    ali = long.join(subsets, "sequid").select("sequid", "db", "subset", F.lit("ali_len").alias("region"), F.col("ali_len").alias("bp"))
-    both = regions.select("sequid", "db", "subset", "region", "bp").unionByName(ali)
-    from loomspan.functions import cigar
-
-    gapped = cigar.indels(long.join(subsets, "sequid"), ["db", "subset"]).withColumn("kind", cigar.swapped("kind", "db"))
+    long = long.join(subsets, "sequid").withColumns({"naive": F.col("end") - F.col("begin"), "algor": F.when(F.col("db") == "Q", F.col("Qalgorbp")).otherwise(F.col("Talgorbp"))})
+    names = ["ali_len", "matches", "mismatches"]
+    both = intervals.region_table(long, keys=["db", "subset"], seq="sequid", begin="begin", end="end", length="length", values=names)
+    regions = intervals.gaps(long, seq="sequid", begin="begin", end="end", length="length").join(long.select("sequid", "db", "subset").distinct(), "sequid")
+    gapped = cigar.indels(long, ["sequid", "db", "subset"]).withColumn("kind", cigar.swapped("kind", "db"))
+    coverage = intervals.covered(long, seq="sequid", begin="begin", end="end", length="length", closed=False)
+    pieces = both.select("sequid", "region", "bp").unionByName(gapped.select("sequid", F.col("kind").alias("region"), F.col("size").alias("bp")))
     return {
         "regions": summary.length_stats(both, group=["db", "subset", "region"], length="bp"),
         "indels": summary.length_stats(gapped, group=["db", "subset", "kind"], length="size"),
-        "coverage": intervals.covered(long, seq="sequid", begin="begin", end="end", length="length", closed=False),
+        "coverage": coverage,
+        "coordinates": summary.coordinates_table(pieces.distinct(), coverage, seq="sequid", columns=["unmapped", "ali_len", "Del", "Ins"]),
+        "overlap": intervals.overlap_report(long, group=["db", "subset"], seq="sequid", length="length", naive="naive", algor="algor"),
+        "sizes": readers.sequence_sizes(long),
         "positions": regions.groupBy("db", "subset", (F.floor(F.col("position") / 4) * 4 + 2).alias("centre")).agg(F.sum(F.when(F.col("region") == "mapped", F.col("bp")).otherwise(0)).alias("mapped")),
     }
 
@@ -136,10 +145,10 @@ def segment_tables(segments: DataFrame, models: DataFrame) -> dict[str, DataFram
 
 
 def coverage_report(histograms: DataFrame, stats: DataFrame) -> DataFrame:
-    """(sample, mean, median, stdev, bases, genome_size): read bases over mean coverage."""
+    """Per sample: mean, median, stdev, bases, and genome_size: read bases over mean coverage (modal: over the most frequent one)."""
     per = summary.weighted_stats(histograms, group=["sample"], value="covg", freq="freq")
     bases = stats.where("metric = 'bases mapped (cigar)'").select("sample", F.col("value").alias("bases"))
-    return per.join(bases, "sample", "left").withColumn("genome_size", F.col("bases") / F.col("mean"))
+    return per.join(bases, "sample", "left").withColumns({"genome_size": F.col("bases") / F.col("mean"), "genome_size_modal": F.when(F.col("max_freq_at") != 0, F.col("bases") / F.col("max_freq_at"))})
 
 
 def window_tables(rows: DataFrame, sizes: DataFrame, width: int = 10**6) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", memory: str = "16g", partitions: int = 8) -> SparkSession:
@@ -40,3 +42,29 @@ def shipped(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(archive)
         spark.sparkContext._loomspan_shipped = True
     return spark
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path under spark.checkpoint.dir, which driver and executors share; a temporary one in local sessions."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{root}/loomspan/{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written once and read again, so that values which depend on the plan (row numbers) stay what they are."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a lookup table (names, patterns, regions of a caller) up to which it is broadcast.
+FEW = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if a count proves it small; else Spark joins it as it sees fit."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df

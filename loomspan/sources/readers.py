@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspan.functions import cigar
+from loomspan.session import small
 
 REPEAT_FIELDS = [
     ("score_SW", "int"), ("perc_divg", "double"), ("perc_del", "double"), ("perc_ins", "double"), ("sequid", "string"),
@@ -204,7 +205,7 @@ def excerpts(chunks: DataFrame, regions: DataFrame, width: int = 1 << 16) -> Dat
     regions: a table (pattern, begin, end, tag); negative begins count as 0; case is ignored.
     """
     heads = chunks.select("header").distinct()
-    hit = heads.join(F.broadcast(regions), F.lower("header").contains(F.lower("pattern"))).withColumn("begin", F.greatest("begin", F.lit(0)))
+    hit = heads.join(small(regions), F.lower("header").contains(F.lower("pattern"))).withColumn("begin", F.greatest("begin", F.lit(0)))
     hit = hit.where("begin < end").withColumn("chunk", F.explode(F.sequence(F.floor(F.col("begin") / width).cast("int"), F.floor((F.col("end") - 1) / width).cast("int"))))
     part = hit.join(chunks, ["header", "chunk"])
     low = F.greatest(F.col("begin") - F.col("chunk") * width, F.lit(0))
@@ -246,3 +247,8 @@ def split_after(df: DataFrame, column: str, keyword: str) -> DataFrame:
 
 def tsv_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     return spark.read.schema(schema).option("sep", "\t").option("header", True).option("nullValue", "NA").csv(path)
+
+
+def sequence_sizes(sides_table: DataFrame, *, seq: str = "sequid", length: str = "length", side: str = "db") -> DataFrame:
+    """(side, seq, length): the distinct sequences of a table with a row for each side of an alignment."""
+    return sides_table.where(F.col(seq).isNotNull()).select(side, seq, length).distinct()

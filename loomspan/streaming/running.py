@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.session import scratch
+
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
     """A stream of the Parquet files of a folder, or of one file."""
@@ -37,10 +36,16 @@ def jumping_windows(df: DataFrame, *, time: str, width: int, jump: int, group: l
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All that a stream gives for the files there now, as a table in memory (for bounded results such as aggregates)."""
-    spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    name = f"drained_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{root}/{name}").trigger(availableNow=True).start()
+    """All that a stream gives for the files there now, written as Parquet in the shared folder and read from there.
+
+    In complete mode the last batch's result is what stays; else each batch has a folder, which a retry writes anew.
+    """
+    spark, root = stream.sparkSession, scratch(stream.sparkSession)
+    out = f"{root}/out"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/{number}")
+
+    q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(out)
