@@ -305,7 +305,7 @@ def _searched(data: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     def run(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         names = ["key", "low", "found", "worst", "verified"]
         if not len(x) or not len(q):
-            return pd.DataFrame({c: [] for c in names}).astype({"low": "int64", "worst": "float64", "verified": "int64"})
+            return pd.DataFrame(columns=names, dtype=object)
         ids, floor = x["low"].to_numpy(), q["worst"].to_numpy(float)
         near, score, verified = searched(ids, np.stack(x["v"]), np.stack(q["q"]), k, floor)
         found = [[{"low": int(ids[r]), "score": float(s)} for r, s in zip(rs, ss) if r >= 0] for rs, ss in zip(near, score)]

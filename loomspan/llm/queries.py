@@ -7,6 +7,7 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomspan.llm.common import shipped
 from loomspan.llm.langid import languages
@@ -84,6 +85,17 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(shipped(spark), sf_dir, "documents"))
 
 
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base patterns' counts of every document, through the operator, whose other spans have no SQL."""
+    return secrets_digest(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, bytes and slots of each shard: what the law says of counts, whatever the curve."""
+    out = sharded(table(shipped(spark), sf_dir, "documents")).groupBy("shard")
+    return out.agg(F.count("*").alias("n"), F.min("slot").alias("first"), F.max("slot").alias("last"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_secret_scan": op2_secret_scan,
@@ -95,6 +107,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_hilbert_sharding": op10_hilbert_sharding,
+    "secret_base_counts": secret_base_counts,
+    "shard_counts": shard_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: DuckDB's SQL for what it can express: all pairs that share a shingle, then all documents reachable.
+ORACLE_SQL: dict[str, str] = {
+    "op8_minhash_near_dedup": rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+ s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
+ n AS (SELECT doc_id, len(sh) AS n FROM s), u AS (SELECT doc_id, unnest(sh) AS k FROM s),
+ p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM u a JOIN u b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+ e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l), r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x),
+ m AS (SELECT a, min(b) AS c FROM r GROUP BY 1) SELECT doc_id, n AS n_shingles, c AS component_id, doc_id = c AS kept FROM n JOIN m ON a = doc_id""",
+    "secret_base_counts": r"""SELECT doc_id, CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: len(x) >= 8)) AS BIGINT) AS n_assign,
+ CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: len(x) >= 16)) AS BIGINT) AS n_access,
+ CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: len(x) >= 32)) AS BIGINT) AS n_hex FROM documents""",
+    "shard_counts": """WITH n AS (SELECT count(*) AS n FROM documents), s AS (SELECT CAST(i AS INTEGER) AS shard, ceil((i + 1) * n / 8) - ceil(i * n / 8) AS c FROM n, range(8) AS t(i))
+ SELECT shard, CAST(c AS BIGINT) AS n, CAST(0 AS BIGINT) AS first, CAST(c - 1 AS BIGINT) AS last FROM s WHERE c > 0""",
+}
