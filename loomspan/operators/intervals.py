@@ -145,7 +145,7 @@ def _swept(df: DataFrame, rule: type, past: int, *, seq: str, begin: str, end: s
                         state = rule()  # the end of an island
                 else:
                     state.open(i, float("-inf") if score is None or score != score else score, at)
-            yield pd.DataFrame({seq: seqs, id: ids, bp: got}, columns=[seq, id, bp])
+            yield pd.DataFrame({seq: pd.Series(seqs, dtype=object), id: pd.Series(ids, dtype=object), bp: pd.Series(got, dtype="int64")}, columns=[seq, id, bp])
 
     schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in (seq, id)] + [T.StructField(bp, T.LongType())])
     shipped(df.sparkSession)

@@ -79,13 +79,18 @@ def without_top(df: DataFrame, value: str, k: int) -> DataFrame:
 
 
 def cut_offs(df: DataFrame, *, group: list[str], value: str, percents: list[float]) -> DataFrame:
-    """(group, mean, low_p, high_p): the values at place int(n p / 200) from either end of the sorted values, for each p."""
+    """(group, mean, low_p, high_p): the values at place int(n p / 200) from either end of the sorted values, for each p.
+
+    Values are counted first, so that what is sorted by group is distinct values.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*group)
-    rows = df.where(F.col(value).isNotNull()).withColumns({"_r": F.row_number().over(w.orderBy(value)) - 1, "_n": F.count("*").over(w)})
-    aggs = [F.avg(value).alias("mean")]
+    rows = counts.withColumns({"_upto": F.sum("_c").over(w.orderBy(value)), "_n": F.sum("_c").over(w)})
+    at = lambda k: F.min(F.when(F.col("_upto") > k, F.col(value)))
+    aggs = [(F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("mean")]
     for p in percents:
         k = F.floor(F.col("_n") * p / 200)
-        aggs += [F.max(F.when(F.col("_r") == k, F.col(value))).alias(f"low_{p:g}"), F.max(F.when(F.col("_r") == F.col("_n") - 1 - k, F.col(value))).alias(f"high_{p:g}")]
+        aggs += [at(k).alias(f"low_{p:g}"), at(F.col("_n") - 1 - k).alias(f"high_{p:g}")]
     return rows.groupBy(*group).agg(*aggs)
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.functions.taxonomy import MITE_RULES, RULES
 from loomspan.operators import families, recode, summary, windows
 from loomspan.plans import jobs
 from loomspan.plans.catalog import query, rounded, table
@@ -318,3 +319,33 @@ def quality_counts(spark, d):
 def classification_audit(spark, d):
     rows = recode.classified(readers.repeats(spark, repeat_text(spark, d)), label="default_repclass")
     return recode.classification_audit(rows, label="default_repclass").select("default_repclass", "class", "order", "rows")
+
+
+def _label(rule: str) -> str:
+    """A label that a rule's first alternative matches."""
+    terms = [t[1:].removeprefix("i ") for t in rule.split("|")[0].split("&")]
+    return "_".join(terms)
+
+
+def _sql(rule: str) -> str:
+    def term(t: str) -> str:
+        if t.startswith("~i "):
+            return f"contains(lower(k), '{t[3:].lower()}')"
+        return {"=": f"k = '{t[1:]}'", "~": f"contains(k, '{t[1:]}')", "^": f"starts_with(k, '{t[1:]}')"}[t[0]]
+
+    return " OR ".join("(" + " AND ".join(map(term, part.split("&"))) + ")" for part in rule.split("|"))
+
+
+LABELS = sorted({_label(rule) for rule, _ in [*RULES, *MITE_RULES]} | {"nonsense"})
+_CASES = " ".join(f"WHEN {_sql(rule)} THEN '{'|'.join(levels)}'" for rule, levels in reversed(RULES))
+_MITES = " ".join(f"WHEN {_sql(rule)} THEN {str(flag).lower()}" for rule, flag in reversed(MITE_RULES))
+
+
+@query(f"""WITH l AS (SELECT {LABELS}[l_partkey % {len(LABELS)} + 1] AS k FROM lineitem)
+ SELECT k, CASE {_CASES} END AS path, CASE {_MITES} END AS mite, count(*) AS n FROM l GROUP BY ALL""")
+def taxonomy_rules(spark, d):
+    """A label for every rule; line items stand for annotations. path: the four levels; the last rule that matches wins."""
+    k = F.element_at(F.array(*map(F.lit, LABELS)), (F.col("l_partkey") % len(LABELS) + 1).cast("int"))
+    rows = recode.classified(table(spark, d, "lineitem").select(k.alias("k")), label="k")
+    path = F.when(F.col("class").isNotNull(), F.concat_ws("|", "class", "subclass", "order", "superfam"))
+    return rows.groupBy("k", path.alias("path"), "mite").agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspan.functions import cigar
-from loomspan.session import small
+from loomspan.session import kept, small
 
 REPEAT_FIELDS = [
     ("score_SW", "int"), ("perc_divg", "double"), ("perc_del", "double"), ("perc_ins", "double"), ("sequid", "string"),
@@ -192,6 +192,27 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract("value", r"^([^\r\n]*)", 1).alias("header"), F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s", "").alias("sequence"))
 
 
+def fasta_chunks(spark: SparkSession, path: str, width: int = 1 << 16) -> DataFrame:
+    """(header, chunk, bases) straight from the lines, for records of any length: no record is ever held as one string.
+
+    Lines are numbered once, in a table of their own; each goes to the chunks that it reaches into.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.rtrim("value").alias("value"))
+    rows = kept(rows.withColumn("line", F.monotonically_increasing_id()).where("value <> ''"))
+    w = Window.partitionBy("file").orderBy("line")
+    head = F.col("value").startswith(">")
+    rows = rows.withColumns({"record": F.last(F.when(head, F.col("line")), True).over(w), "header": F.last(F.when(head, F.expr("substring(value, 2)")), True).over(w)})
+    rows = rows.where(~head & F.col("record").isNotNull()).withColumn("bases", F.regexp_replace("value", r"\s", "")).where("bases <> ''")
+    before = Window.partitionBy("file", "record").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum(F.length("bases")).over(before), F.lit(0)))
+    last = F.floor((F.col("start") + F.length("bases") - 1) / width)
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start") / width), last)))
+    low = F.greatest(F.col("chunk") * width - F.col("start"), F.lit(0))
+    part = F.substring(F.col("bases"), (low + 1).cast("int"), (F.least((F.col("chunk") + 1) * width - F.col("start"), F.length("bases")) - low).cast("int"))
+    pieces = rows.groupBy("file", "record", "header", F.col("chunk").cast("int").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("start", part.alias("b")))).alias("l"))
+    return pieces.select("header", "chunk", F.array_join(F.transform("l", lambda x: x["b"]), "").alias("bases"))
+
+
 def chunked(df: DataFrame, width: int = 1 << 16) -> DataFrame:
     """(header, chunk, bases) of a FASTA table."""
     n = F.greatest(F.ceil(F.length("sequence") / width).cast("int"), F.lit(1))

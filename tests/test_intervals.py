@@ -76,3 +76,50 @@ def test_empty_and_null(spark):
     assert intervals.resolve_overlap(df, **KEYS, score="score", id="id").isEmpty()
     assert intervals.union(df, **KEYS).isEmpty()
     assert intervals.gaps(df.withColumn("size", F.lit(9)), **KEYS, length="size").isEmpty()
+
+
+def test_nested_intervals_stay_linear(spark):
+    """10,000 intervals within each other: each keeps its two ends, the last one its middle."""
+    n = 10_000
+    df = spark.range(n).selectExpr("'s' seq", "id b", f"{2 * n} - id e", "id score", "id")
+    got = {r["id"]: r["bp_algor"] for r in intervals.resolve_overlap(df, **KEYS, score="score", id="id").collect()}
+    assert got == {i: 2 if i < n - 1 else 3 for i in range(n)}
+
+
+def test_sequential_rule_by_brute_force(spark):
+    """A plain walk over sorted points with a list of those that wait, on random rows."""
+    import random
+
+    rng = random.Random(4)
+    rows = [("s", b, b + rng.randint(0, 12), rng.randint(0, 3)) for b in sorted(rng.randint(0, 60) for _ in range(60))]
+    points = sorted([(r[1], i, 0) for i, r in enumerate(rows)] + [(r[2], i, 1) for i, r in enumerate(rows)])
+    won, line, now, since = [0] * len(rows), [], None, 0
+    for at, i, closes in points:
+        if not closes and now is None:
+            now, since = i, at
+        elif not closes and rows[now][3] > rows[i][3]:
+            line.append(i)
+        elif not closes:
+            won[now] += at - since
+            line.append(now)
+            now, since = i, at
+        elif i == now:
+            won[i] += at - since + 1
+            now, since = (max(line, key=lambda j: (rows[j][3], -line.index(j))), at + 1) if line else (None, 0)
+            if now is not None:
+                line.remove(now)
+        else:
+            line.remove(i)
+    assert sequential(spark, rows) == won
+
+
+def test_long_and_short_intervals_meet_once(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [("s", b, b + rng.choice([0, 1, 5, 40, 900, 20000]), 0) for b in (rng.randint(0, 20000) for _ in range(120))]
+    df = table(spark, rows)
+    want = sorted((i, j) for i, x in enumerate(rows) for j, y in enumerate(rows) if i < j and x[1] <= y[2] and y[1] <= x[2])
+    for width in (10, 64, 5000):
+        got = intervals.overlapping_pairs(df, **KEYS, id="id", bin_width=width).collect()
+        assert sorted((r["id"], r["id_r"]) for r in got) == want

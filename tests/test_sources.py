@@ -129,3 +129,9 @@ def test_recode_helpers(spark):
     assert sorted(r[0] for r in df.select(recode.renamed_by_patterns("id", rules, anchored=False)).collect()) == ["A1", "B", "chr1"]
     keys = spark.createDataFrame([("chr", "red", 0), ("Scaff", "blue", 1)], "key string, col string, ord int")
     assert recode.coloured(df, keys, columns=["id"], key="key", colour="col", order="ord").where("colour = 'blue'").count() == 2
+
+
+def test_fasta_chunks_are_those_of_whole_records(spark, tmp_path):
+    path = file(tmp_path, "x.fa", ">a one\nACGTA\nCGTAC\nGT\n>b\n" + "TTGCA\n" * 7 + ">empty\n>c\nG\n")
+    want = sorted(map(tuple, readers.chunked(readers.fasta(spark, path), 8).where("bases <> ''").collect()))
+    assert sorted(map(tuple, readers.fasta_chunks(spark, path, 8).collect())) == want
