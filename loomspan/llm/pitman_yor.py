@@ -39,7 +39,7 @@ SMOOTH = 0.1
 #: Tokens of a shard, on average.
 SHARD = 1_500_000
 #: Bytes of texts that a task bundles at once, and that it cuts into words at once; a longer text is a bundle of its own.
-BUNDLE, PIECE = 8 << 20, 1 << 19
+BUNDLE, PIECE = 6 << 20, 1 << 19
 #: Most frequent words, which bundles write by number; others by hash. No word is treated otherwise.
 HEAD = 1 << 16
 #: Customers up to which Stirling numbers are exact; beyond, a saddle point gives them. Table numbers that a draw weighs there.
@@ -578,6 +578,14 @@ def bucket_table(plan: Plan, mass: np.ndarray) -> Buckets:
     return Buckets(np.array(key, np.uint64), np.maximum(np.array(mass, float), 1e-300), np.array(count, float), np.array(ways, float))
 
 
+def _dealt(words: np.ndarray, parts: int) -> dict[int, np.ndarray]:
+    """The places of the words that each part of the root's table holds, in order."""
+    part = ((words >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    names, starts = np.unique(part[order], return_index=True)
+    return dict(zip(names.tolist(), np.split(order, starts[1:])))
+
+
 def _first_pass(bundled: DataFrame, plan: Plan, base: float, parts: int, burn_in: int) -> DataFrame:
     """(part, shard, words, tables): customers that shards send to the root, after a burn-in under the base alone."""
     finest = int(max(plan.ways.tolist(), default=1))
@@ -591,8 +599,7 @@ def _first_pass(bundled: DataFrame, plan: Plan, base: float, parts: int, burn_in
         for _ in range(burn_in):
             tree.sweep()
         sent = np.bincount(tree.up_word, tree.t1, minlength=len(shard.words)).astype(np.int64)
-        part = (shard.words >> np.uint64(8)) % np.uint64(parts)
-        got = [(int(p), number, _pack(shard.words[m], np.uint64), _pack(sent[m], np.uint32)) for p in np.unique(part) for m in [part == p]]
+        got = [(p, number, _pack(shard.words[m], np.uint64), _pack(sent[m], np.uint32)) for p, m in _dealt(shard.words, parts).items()]
         return pd.DataFrame(got, columns=["part", "shard", "words", "tables"])
 
     return bundled.groupBy("shard").applyInPandas(run, "part int, shard int, words binary, tables binary")
@@ -687,9 +694,9 @@ def scored(docs: DataFrame, shard: int = SHARD, burn_in: int = BURN_IN, samples:
         mine = Shard(rows, held.value)
         if len(mine.key):
             c, c0, t0 = (np.zeros(len(mine.words), np.int64) for _ in range(3))
-            part = (mine.words >> np.uint64(8)) % np.uint64(parts)
+            places = _dealt(mine.words, parts)
             for p, *got in zip(told["part"], told["c"], told["c0"], told["t0"]):
-                at = np.flatnonzero(part == p)
+                at = places[p]
                 c[at], c0[at], t0[at] = (_unpack(x, np.uint64).view(np.int64) for x in got)
             above = Root(c0, t0, customers, tables, d0, base)
             p = mine.tree(above, buckets.share(mine.groups)).averaged(burn_in, samples)

@@ -45,7 +45,10 @@ def _voted(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, fingerprint): one row for each distinct (doc_id, text); null counts as empty."""
+    """(doc_id, text_hash, fingerprint): one row for each distinct (doc_id, text), null ids included; a null text counts as empty.
+
+    A text without words has the fingerprint 0. Other columns, whatever their names, take no part.
+    """
     rows = docs.select("doc_id", or_empty(F.col("text")).alias("_text")).withColumn("text_hash", F.sha2("_text", 256))
     return _voted(rows.dropDuplicates(["doc_id", "text_hash"]), ["doc_id", "text_hash"], "_text")
 
