@@ -87,30 +87,33 @@ def test_nested_intervals_stay_linear(spark):
 
 
 def test_sequential_rule_by_brute_force(spark):
-    """A plain walk over sorted points with a list of those that wait, on random rows."""
+    """Base by base: who comes, who goes, and in which turn each interval lost the ground, on random rows."""
+    import itertools
     import random
 
     rng = random.Random(4)
     rows = [("s", b, b + rng.randint(0, 12), rng.randint(0, 3)) for b in sorted(rng.randint(0, 60) for _ in range(60))]
-    points = sorted([(r[1], i, 0) for i, r in enumerate(rows)] + [(r[2], i, 1) for i, r in enumerate(rows)])
-    won, line, now, since = [0] * len(rows), [], None, 0
-    for at, i, closes in points:
-        if not closes and now is None:
-            now, since = i, at
-        elif not closes and rows[now][3] > rows[i][3]:
-            line.append(i)
-        elif not closes:
-            won[now] += at - since
-            line.append(now)
-            now, since = i, at
-        elif i == now:
-            won[i] += at - since + 1
-            now, since = (max(line, key=lambda j: (rows[j][3], -line.index(j))), at + 1) if line else (None, 0)
-            if now is not None:
-                line.remove(now)
-        else:
-            line.remove(i)
-    assert sequential(spark, rows) == won
+    won, turn, lost, holder = dict.fromkeys(range(60), 0), itertools.count(), {}, []
+
+    def pay(until):
+        for i, since in holder:
+            won[i] += until - since
+
+    for x in range(75):
+        for i, (_, b, e, score) in enumerate(rows):
+            if b == x:
+                if holder and rows[holder[0][0]][3] > score:
+                    lost[i] = next(turn)
+                else:
+                    pay(x)
+                    lost.update({j: next(turn) for j, _ in holder})
+                    holder = [(i, x)]
+            if e == x:
+                if lost.pop(i, None) is None:
+                    pay(x + 1)
+                    heirs = sorted(lost, key=lambda j: (-rows[j][3], lost[j]))[:1]
+                    holder = [(j, x + 1) for j in heirs if lost.pop(j) is not None]
+    assert sequential(spark, rows) == list(won.values())
 
 
 def test_long_and_short_intervals_meet_once(spark):
