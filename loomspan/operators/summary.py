@@ -206,14 +206,19 @@ def expanded(df: DataFrame, freq: str) -> DataFrame:
     return df.where(F.col(freq) > 0).withColumn("_x", F.explode(F.sequence(F.lit(1), F.col(freq).cast("int")))).drop("_x")
 
 
-def legacy_summary(df: DataFrame, *, levels: list[str], bp: str, genome: int) -> DataFrame:
-    """Per prefix of levels (level 0: Total): number, share of all, bases, share of all bases and of a genome, mean length."""
-    out = rolled_up(df.withColumn("_all", F.lit("all")), by=["_all"], levels=levels, measures={"elements": F.count("*"), "bp": F.sum(bp)})
-    w = Window.partitionBy("_all")
+def legacy_summary(df: DataFrame, *, levels: list[str], bp: str, genome: int, by: list[str] | None = None) -> DataFrame:
+    """Per prefix of levels (level 0: Total): number, share of all, bases, share of all bases and of a genome, mean length.
+
+    by: one such table for each value of these columns, a sequence say, in one run.
+    """
+    keys = by or ["_all"]
+    out = rolled_up(df if by else df.withColumn("_all", F.lit("all")), by=keys, levels=levels, measures={"elements": F.count("*"), "bp": F.sum(bp)})
+    w = Window.partitionBy(*keys)
     n, b = F.max(F.when(F.col("level") == 0, F.col("elements"))).over(w), F.max(F.when(F.col("level") == 0, F.col("bp"))).over(w)
-    return out.withColumns(
+    out = out.withColumns(
         {"percent_elements": 100 * F.col("elements") / n, "percent_bp": 100 * F.col("bp") / b, "percent_genome": 100 * F.col("bp") / genome, "mean_length": F.col("bp") / F.col("elements")}
-    ).drop("_all")
+    )
+    return out if by else out.drop("_all")
 
 
 def divergence_table(df: DataFrame, sizes: DataFrame, *, group: list[str], on: str, bp: str, value: str, overlapping: str, size: str) -> DataFrame:

@@ -823,3 +823,11 @@ def windows_by_relation(spark, d):
 def windows_one_sided(spark, d):
     rows = positions(spark, d).withColumns({"own": F.col("w") % 4, "other": F.col("w") % 3})
     return windows.one_sided_windows(rows, extents(spark, d), seq="seq", position="pos", start="start", stop="stop", width=100, own="own", other="other")
+
+
+@query(LEVELS + """, g AS (SELECT r_name, n_name, c_mktsegment, CAST(2 - grouping(n_name) - grouping(c_mktsegment) AS INTEGER) AS level, count(*) AS elements, CAST(sum(kilo) AS BIGINT) AS bp FROM lv
+  GROUP BY GROUPING SETS ((r_name), (r_name, n_name), (r_name, n_name, c_mktsegment))), t AS (SELECT r_name, count(*) AS n, sum(kilo) AS b FROM lv GROUP BY 1)
+ SELECT g.*, round(100.0 * elements / n, 6) AS percent_elements, round(100.0 * bp / b, 6) AS percent_bp, round(100.0 * bp / 1e9, 6) AS percent_genome, round(bp / elements, 6) AS mean_length FROM g JOIN t USING (r_name)""")
+def summary_legacy_by(spark, d):
+    """The older summary once for each region, in one run."""
+    return rounded(summary.legacy_summary(levels(spark, d), levels=["n_name", "c_mktsegment"], bp="kilo", genome=10**9, by=["r_name"]))

@@ -19,6 +19,26 @@ def checked(repeats: dict[str, str], indices: dict[str, str]) -> None:
         raise ValueError(f"indices of species without repeats: {', '.join(extra)}")
 
 
+def loaded(spark: SparkSession, repeats: dict[str, str], indices: dict[str, str]) -> tuple[DataFrame, DataFrame | None]:
+    """Preprocessed repeats of several species, and their index of subsets: None unless every species has one.
+
+    Raises one error that lists all that is wrong: indices without repeats, species without rows, subsets that match no row.
+    """
+    checked(repeats, indices)
+    rows = readers.preprocessed_repeats(spark, repeats)
+    there = {r["Species"] for r in rows.select("Species").distinct().collect()}  # the species given
+    faults = [f"no repeats of {s}" for s in repeats if s not in there]
+    index = readers.subset_index(spark, indices) if indices else None
+    if index is not None:
+        ids = rows.select("Species", "sequid").distinct()
+        hit = ids.withColumnRenamed("Species", "_sp").join(small(index), F.expr("Species = _sp and rlike(sequid, concat('(?i)', Pattern))"))
+        unmatched = index.join(hit.select("Species", "Subset").distinct(), ["Species", "Subset"], "left_anti")
+        faults += [f"subset {r['Subset']} of {r['Species']} matches no sequence" for r in unmatched.select("Species", "Subset").distinct().limit(100).collect()]
+    if faults:
+        raise ValueError("; ".join(faults))
+    return rows, index if set(indices) == set(repeats) else None
+
+
 def preprocess_repeats(spark: SparkSession, path: str, sequential: bool = False) -> DataFrame:
     """Raw annotation with bp_naive and bp_algor. sequential: the order-dependent rule, by place in the input.
 

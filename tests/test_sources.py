@@ -135,3 +135,20 @@ def test_fasta_chunks_are_those_of_whole_records(spark, tmp_path):
     path = file(tmp_path, "x.fa", ">a one\nACGTA\nCGTAC\nGT\n>b\n" + "TTGCA\n" * 7 + ">empty\n>c\nG\n")
     want = sorted(map(tuple, readers.chunked(readers.fasta(spark, path), 8).where("bases <> ''").collect()))
     assert sorted(map(tuple, readers.fasta_chunks(spark, path, 8).collect())) == want
+
+
+def test_loading_lists_what_is_wrong(spark, tmp_path):
+    import pytest
+
+    rows = jobs.preprocess_repeats(spark, file(tmp_path, "rm.out", RM))
+    path = f"file://{tmp_path}/pre"
+    names = [n for n, _ in readers.REPEAT_FIELDS if n not in readers.DROPPED] + ["overlapping", "bp_naive", "bp_algor"]
+    writers.tsv(rows.select(*names), path)
+    good, other = file(tmp_path, "a.idx", "sex chrx 1000\nauto chr\\d 500\n"), file(tmp_path, "b.idx", "sex chrx 1000\nlost chrY 5\n")
+    loaded, index = jobs.loaded(spark, {"sp": path}, {"sp": good})
+    assert loaded.count() == 3 and index.count() == 2
+    assert jobs.loaded(spark, {"sp": path, "two": path}, {"sp": good})[1] is None
+    with pytest.raises(ValueError, match="subset lost of sp"):
+        jobs.loaded(spark, {"sp": path}, {"sp": other})
+    with pytest.raises(ValueError, match="without repeats: x"):
+        jobs.loaded(spark, {"sp": path}, {"x": good})
