@@ -44,14 +44,27 @@ def shipped(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder's path under spark.checkpoint.dir, which driver and executors share; a temporary one in local sessions."""
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder under spark.checkpoint.dir, which driver and executors share; a temporary one in local sessions."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{root}/loomspan/{uuid.uuid4().hex}"
+        root = getattr(spark, "_loomspan_scratch", None)
+        if root is None:
+            root = spark._loomspan_scratch = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{root}/loomspan/{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path under scratch_root."""
+    return f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+
+
+def cleared(spark: SparkSession) -> None:
+    """Removes all scratch tables of this application; results that still read them must have been written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -152,3 +152,16 @@ def test_loading_lists_what_is_wrong(spark, tmp_path):
         jobs.loaded(spark, {"sp": path}, {"sp": other})
     with pytest.raises(ValueError, match="without repeats: x"):
         jobs.loaded(spark, {"sp": path}, {"x": good})
+
+
+def test_scratch_tables_go_when_cleared(spark):
+    from pathlib import Path
+
+    from loomspan.session import cleared, kept, scratch_root
+
+    assert kept(spark.range(5)).count() == 5
+    root = Path(scratch_root(spark).removeprefix("file://"))
+    assert any(root.iterdir())
+    cleared(spark)
+    assert not root.exists()
+    assert kept(spark.range(3)).count() == 3
