@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.session import shipped  # noqa: F401
+from loomspan.session import scratch, shipped  # noqa: F401
 
 #: Bytes of a table up to which a join side is broadcast; beyond it Spark shuffles.
 BROADCAST_BYTES = 8_000_000
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one where it is unset, which only a local session may leave so."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = getattr(spark, "_loomspan_scratch", None)
-        if root is None:
-            root = spark._loomspan_scratch = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return root
-
-
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut, and a lost executor costs no recomputation."""
-    path = f"{scratch_root(df.sparkSession)}/loomspan/{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

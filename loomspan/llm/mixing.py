@@ -11,7 +11,6 @@ The driver walks the blocks once, in exact integers, holds two entries a source,
 from __future__ import annotations
 
 import heapq
-import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
 from fractions import Fraction
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import ranked, scratch_root, sized
+from loomspan.llm.common import ranked, scratch, sized
 
 #: Units that weights are counted in, unless a cycle is given; finer than one block in any number of blocks.
 CYCLE = 1 << 60
@@ -136,14 +135,14 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
     q, n = units(goal, cycle) if goal else {}, [blocks[s] for s in names]
     first = {s: b for s, b, _ in known}
     begun = spark.createDataFrame([(s, i, first[s]) for i, s in enumerate(names)], "source string, _s int, _start long")
-    out = placed.join(sized(begun), "source").withColumn("block", F.floor((F.col("_before") - F.col("_start")) / block_bytes))
+    out = placed.join(sized(begun, 100), "source").withColumn("block", F.floor((F.col("_before") - F.col("_start")) / block_bytes))
     slots = _slots(spark, [q[s] for s in names], n)
-    return out.join(sized(slots), ["_s", "block"]).select("doc_id", "source", "block", "phase", "target", "slot")
+    return out.join(sized(slots, 40), ["_s", "block"]).select("doc_id", "source", "block", "phase", "target", "slot")
 
 
 def _slots(spark: SparkSession, q: list[int], n: list[int]) -> DataFrame:
     """(_s, block, phase, target, slot) of every block, as a Parquet table in the shared folder."""
-    path, schema = f"{scratch_root(spark)}/loomspan/{uuid.uuid4().hex}", "_s int, block long, phase int, target double, slot long"
+    path, schema = scratch(spark), "_s int, block long, phase int, target double, slot long"
     fluid, walk, slot = Fluid(q, n), scheduled(q, n), 0
     while True:
         rows = [(s, i, fluid.phase[k], q[s] / fluid.live[k]) for s, i, k in islice(walk, BATCH)]
