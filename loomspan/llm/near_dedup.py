@@ -232,8 +232,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
         .select("set_id", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), "r.registers", "r.bands")
     )
     rows = classes.select(F.explode("bands").alias("key"), "rep")
-    shared = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("hub")).where("m > 1").select("key", "hub")
-    members = written(rows.join(shared, "key"))
+    # shared keys are a table of their own, so that the join of a hot key's rows can be split
+    shared = written(rows.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("hub")).where("m > 1").select("key", "hub"))
+    members = written(rows.join(sized(shared, 16), "key"))
     chance = F.lit(percent / 100 - MARGIN)
 
     @F.pandas_udf("double")
@@ -272,7 +273,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
         placed = placed.select("key", "rep", F.coalesce("component", "rep").alias("c"))
         per = placed.groupBy("key", "c").agg(F.count("*").alias("m"))
         split = per.groupBy("key").agg(F.count("*").alias("n"), F.sum("m").alias("m"), F.max(F.struct("m", "c")).alias("top"))
-        return written(placed.join(split.where("n > 1").select("key", "m", F.col("top.c").alias("top")), "key"))
+        split = written(split.where("n > 1").select("key", "m", F.col("top.c").alias("top")))
+        return written(placed.join(sized(split, 24), "key"))
 
     seen, few = stars, divided(members)
     for turn in range(1, ROUNDS + 1):
