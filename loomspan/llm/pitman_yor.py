@@ -37,9 +37,9 @@ from loomspan.llm.langid import fold
 STRENGTH, BURN_IN, SAMPLES = 1.0, 3, 3
 SMOOTH = 0.1
 #: Tokens of a shard, on average.
-SHARD = 1_500_000
+SHARD = 900_000
 #: Bytes of texts that a task bundles at once, and that it cuts into words at once; a longer text is a bundle of its own.
-BUNDLE, PIECE = 6 << 20, 1 << 19
+BUNDLE, PIECE = 4 << 20, 1 << 19
 #: Most frequent words, which bundles write by number; others by hash. No word is treated otherwise.
 HEAD = 1 << 16
 #: Customers up to which Stirling numbers are exact; beyond, a saddle point gives them. Table numbers that a draw weighs there.
@@ -210,7 +210,8 @@ def bundles(docs: DataFrame, plan: Plan, each: bool) -> DataFrame:
     """Rows of (doc_id, text, train) as bundles: the pairs (context, word) of many texts that go to one shard.
 
     A bundle lists its contexts (the word before, its class, the number of entries), and of each entry the word and its
-    training weight. Words are numbers: below HEAD in plan.head, then in the bundle's list of rare ones. Entries are pairs,
+    training weight. Words are numbers: below HEAD in plan.head, then in the bundle's list of rare ones; numbers ascend (the
+    words' within a context) and are written as steps. Entries are pairs,
     mostly distinct; with `each`, every token is one and has its text's index, and each batch has a row of its texts' ids.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -230,7 +231,8 @@ def bundles(docs: DataFrame, plan: Plan, each: bool) -> DataFrame:
             shard = (group % np.uint64(plan.shards)).astype(np.int64)
             doc = np.repeat(np.arange(len(sizes)), sizes)
             weight = part["train"].to_numpy(bool)[doc].astype(np.int64)
-            by = np.argsort((shard.astype(np.uint64) << np.uint64(44)) | (mixed(context) >> np.uint64(42) << np.uint64(22)) | word.astype(np.uint64) & np.uint64((1 << 22) - 1))
+            place = np.where(usual, known, HEAD + np.arange(len(words)))
+            by = np.argsort(shard << 44 | place[previous] << 22 | place[word])
             shard, context, previous, btail, word, doc, weight = shard[by], context[by], previous[by], btail[by], word[by], doc[by], weight[by]
             if not each:
                 new = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])])
@@ -243,7 +245,10 @@ def bundles(docs: DataFrame, plan: Plan, each: bool) -> DataFrame:
                 ws = np.r_[previous[first], word[a:b]]
                 rare = np.unique(ws[~usual[ws]])
                 code[rare] = HEAD + np.arange(len(rare))
-                fields = (code[previous[first]], btail[first], np.diff(np.r_[first, b]), words[rare], code[word[a:b]], weight[a:b], doc[a:b])
+                at, above = code[word[a:b]], code[previous[first]]
+                step = np.diff(at, prepend=0)
+                step[first - a] = at[first - a]
+                fields = (np.diff(above, prepend=0), btail[first], np.diff(np.r_[first, b]), words[rare], step, weight[a:b], doc[a:b])
                 rows.append((shard[a], base + number, None, *(_pack(x, k) for x, k in zip(fields, _TYPES.values()))))
             if each:
                 rows.append((number % plan.shards, base + number, part["doc_id"].tolist(), *[b""] * len(_TYPES)))
@@ -252,7 +257,7 @@ def bundles(docs: DataFrame, plan: Plan, each: bool) -> DataFrame:
     return docs.select("doc_id", "text", "train").mapInPandas(run, _PACKED.format(kind=kind))
 
 
-@lru_cache(16)
+@lru_cache(4)
 def _stirling(d: float, most: int = 512) -> np.ndarray:
     """Logarithms of generalised Stirling numbers: [c, t] ways to seat c customers at t tables, for c up to `most`."""
     out = np.full((most + 1, most + 1), -np.inf)
@@ -265,7 +270,7 @@ def _stirling(d: float, most: int = 512) -> np.ndarray:
     return out
 
 
-@lru_cache(16)
+@lru_cache(4)
 def _saddle(d: float) -> tuple[np.ndarray, ...]:
     """Saddle points of the generating function (1 - (1 - z) ** d) ** t: c / t, log z, the exponent and the variance."""
     y = np.exp(np.r_[-np.exp(np.linspace(-25, -1, 8000)), np.linspace(-0.37, -30 / (1 - d), 24000)])
@@ -510,6 +515,12 @@ class Tree:
         return total
 
 
+def _summed(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of steps, from anew in each run."""
+    upto, starts = np.cumsum(steps, dtype=np.int64), np.cumsum(sizes, dtype=np.int64) - sizes
+    return upto - np.repeat(upto[starts] - steps[starts], sizes)
+
+
 class Shard:
     """The distinct pairs of a shard's bundles, and of each entry its pair."""
 
@@ -521,9 +532,9 @@ class Shard:
         hashes = np.unique(np.concatenate([plan.head, *got["rare"]]))
         usual = np.searchsorted(hashes, plan.head)
         code = [np.r_[usual, np.zeros(HEAD - len(usual), np.int64), np.searchsorted(hashes, r)] for r in got["rare"]]
-        runs = cat([c[b] for c, b in zip(code, got["before"])], np.int64)
+        runs = cat([c[np.cumsum(b, dtype=np.int64)] for c, b in zip(code, got["before"])], np.int64)
         sizes, tails = cat(got["sizes"], np.uint32).astype(np.int64), cat(got["tails"], np.uint32)
-        word = cat([c[w] for c, w in zip(code, got["word"])], np.int64)
+        word = cat([c[_summed(w, n)] for c, w, n in zip(code, got["word"], got["sizes"])], np.int64)
         self.weights = cat(got["weights"], np.uint32)
         starts = np.cumsum(sizes) - sizes
         context, group = plan.contexts(hashes[runs], tails, hashes[word[starts]])
@@ -534,6 +545,7 @@ class Shard:
         place[used] = np.arange(len(used))
         n = max(len(used), 1)
         pairs, _, self.pair = _distinct(np.repeat(run, sizes) * n + place[word])
+        del code, runs, tails, word, got
         self.context, self.word = pairs // n, pairs % n
         self.groups, self.group = groups, group_of[self.context]
         self.key = mixed(self.contexts[self.context] * _ODD ^ mixed(self.words[self.word]))
