@@ -37,9 +37,9 @@ from loomspan.llm.langid import fold
 STRENGTH, BURN_IN, SAMPLES = 1.0, 3, 3
 SMOOTH = 0.1
 #: Tokens of a shard, on average.
-SHARD = 900_000
+SHARD = 1_200_000
 #: Bytes of texts that a task bundles at once, and that it cuts into words at once; a longer text is a bundle of its own.
-BUNDLE, PIECE = 4 << 20, 1 << 19
+BUNDLE, PIECE = 5 << 20, 1 << 19
 #: Most frequent words, which bundles write by number; others by hash. No word is treated otherwise.
 HEAD = 1 << 16
 #: Customers up to which Stirling numbers are exact; beyond, a saddle point gives them. Table numbers that a draw weighs there.
@@ -53,6 +53,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _VALUE = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS: dict[str, np.ndarray] = {}
+_PACKER, _UNPACKER = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,11 +187,11 @@ def _pack(x: np.ndarray, kind: type) -> bytes:
     """Compressed integers; small ones by planes of bytes."""
     x = np.ascontiguousarray(x.astype(kind))
     planes = x if kind is not np.uint32 else x.view(np.uint8).reshape(-1, 4).T
-    return zstandard.compress(planes.tobytes(), 1)
+    return _PACKER.compress(planes.tobytes())
 
 
 def _unpack(data: bytes, kind: type) -> np.ndarray:
-    raw = zstandard.decompress(data)
+    raw = _UNPACKER.decompress(data)
     if kind is not np.uint32:
         return np.frombuffer(raw, kind)
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(kind).ravel()
@@ -450,6 +451,7 @@ class Tree:
         _, first, self.up = _distinct(group.astype(np.int64) * max(len(root.c), 1) + word)
         self.up_key, self.up_word, self.up_group = mixed(mixed(key[first])), word[first], group[first]
         self.share = share[self.up_group]
+        self.base = root.chance(self.up_word) / self.share
         self.d = discount(count)
         self.t = (count > 0).astype(np.int64)
         self.n = np.bincount(context, count).astype(np.int64)
@@ -475,7 +477,7 @@ class Tree:
     def sweep(self) -> None:
         """Draws every dish of every restaurant once, given the others' current tables."""
         first = self.made == 0
-        base = self.root.chance(self.up_word) / self.share
+        base = self.base
         for x in self.turns:
             up = self.up[x]
             room = self.up_group[up]
@@ -502,8 +504,7 @@ class Tree:
 
     def chance(self) -> np.ndarray:
         """Predictive probability of each pair's word in its context."""
-        base = self.root.chance(self.up_word) / self.share
-        above = chance(self.c1, self.t1, self.n1[self.up_group], self.tables1[self.up_group], self.d1, base)
+        above = chance(self.c1, self.t1, self.n1[self.up_group], self.tables1[self.up_group], self.d1, self.base)
         return chance(self.c, self.t, self.n[self.context], self.tables[self.context], self.d, above[self.up])
 
     def averaged(self, burn_in: int, samples: int) -> np.ndarray:
