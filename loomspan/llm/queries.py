@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.common import shipped
 from loomspan.llm.langid import languages
+from loomspan.llm.manifest import tampering
 from loomspan.llm.mixing import mixed
 from loomspan.llm.near_dedup import near_duplicates
 from loomspan.llm.neighbours import nearest
@@ -85,6 +86,11 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(shipped(spark), sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and root; every seventh document (by CRC-32 of its id) is tampered with and must not verify."""
+    return tampering(table(spark, sf_dir, "documents"))
+
+
 def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base patterns' counts of every document, through the operator, whose other spans have no SQL."""
     return secrets_digest(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex")
@@ -107,12 +113,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_hilbert_sharding": op10_hilbert_sharding,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "secret_base_counts": secret_base_counts,
     "shard_counts": shard_counts,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: CRC-32 of a decimal number, bit by bit.
+_CRC = "xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), [CAST(0 AS BIGINT), 1, 2, 3, 4, 5, 6, 7]), lambda d, i: xor(d // 2, 3988292384 * (d % 2)))))"
+
+
+def _leaf(n_chars: str) -> str:
+    part = lambda x: f"coalesce(strlen({x}) || ':' || {x}, '-')"
+    return "sha256(" + " || ".join(part(x) for x in ("CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text")) + ")"
+
+
 #: DuckDB's SQL for what it can express: all pairs that share a shingle, then all documents reachable.
 ORACLE_SQL: dict[str, str] = {
     "op8_minhash_near_dedup": rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -122,6 +138,18 @@ ORACLE_SQL: dict[str, str] = {
  l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
  e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l), r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x),
  m AS (SELECT a, min(b) AS c FROM r GROUP BY 1) SELECT doc_id, n AS n_shingles, c AS component_id, doc_id = c AS kept FROM n JOIN m ON a = doc_id""",
+    "op12_merkle_manifest": f"""WITH RECURSIVE c AS (SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, {_leaf(f"(n_chars + CASE WHEN {_CRC} % 7 = 0 THEN 1 ELSE 0 END)")} AS bad FROM documents),
+ d AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS k, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS m FROM c),
+ t(k, level, i, m, h) AS (SELECT k, 0, i, m, leaf FROM d UNION ALL SELECT k, level + 1, i // 2, any_value(m + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE m > 1 GROUP BY k, level, i // 2),
+ r AS (SELECT k, h, count(*) OVER () AS m FROM t WHERE m = 1),
+ u(level, i, m, h) AS (SELECT 0, k, m, h FROM r UNION ALL SELECT level + 1, i // 2, any_value(m + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE m > 1 GROUP BY level, i // 2),
+ p(doc_id, leaf, k, place, level, i, m, proof, folded) AS (SELECT doc_id, leaf, k, i, 0, i, m, '', bad FROM d UNION ALL
+  SELECT p.doc_id, p.leaf, p.k, p.place, p.level + 1, p.i // 2, (p.m + 1) // 2, p.proof || coalesce(t.h, ''), sha256(CASE WHEN p.i % 2 = 1 THEN t.h || p.folded ELSE p.folded || coalesce(t.h, '') END)
+  FROM p LEFT JOIN t ON t.k = p.k AND t.level = p.level AND t.i = p.i + 1 - 2 * (p.i % 2) WHERE p.m > 1),
+ q(doc_id, leaf, subroot, level, i, m, proof, folded) AS (SELECT doc_id, leaf, r.h, 0, k, r.m, proof, folded FROM p JOIN r USING (k) WHERE p.m = 1 UNION ALL
+  SELECT q.doc_id, q.leaf, q.subroot, q.level + 1, q.i // 2, (q.m + 1) // 2, q.proof || coalesce(u.h, ''), sha256(CASE WHEN q.i % 2 = 1 THEN u.h || q.folded ELSE q.folded || coalesce(u.h, '') END)
+  FROM q LEFT JOIN u ON u.level = q.level AND u.i = q.i + 1 - 2 * (q.i % 2) WHERE q.m > 1)
+ SELECT doc_id, leaf, subroot, u.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = u.h AS verified FROM q, u WHERE q.m = 1 AND u.m = 1""",
     "secret_base_counts": r"""SELECT doc_id, CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: len(x) >= 8)) AS BIGINT) AS n_assign,
  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: len(x) >= 16)) AS BIGINT) AS n_access,
  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: len(x) >= 32)) AS BIGINT) AS n_hex FROM documents""",
