@@ -15,7 +15,15 @@ def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut, and a lost executor costs no recomputation."""
     path = scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def dropped(table: DataFrame) -> None:
+    """Removes a written table that nothing reads any more."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._scratch)
+    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sized(ids: DataFrame, width: int = 8) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import shipped
+from loomspan.llm.factors import digest as duplicates_digest
 from loomspan.llm.langid import languages
 from loomspan.llm.manifest import tampering
 from loomspan.llm.mixing import mixed
@@ -86,6 +87,11 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(shipped(spark), sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the words of windows of 20 words that start earlier, too."""
+    return duplicates_digest(table(shipped(spark), sf_dir, "documents")).drop("spans", "kept")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, proof and root; every seventh document (by CRC-32 of its id) is tampered with and must not verify."""
     return tampering(table(spark, sf_dir, "documents"))
@@ -113,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_hilbert_sharding": op10_hilbert_sharding,
+    "op11_substring_dedup": op11_substring_dedup,
     "op12_merkle_manifest": op12_merkle_manifest,
     "secret_base_counts": secret_base_counts,
     "shard_counts": shard_counts,
@@ -138,6 +145,13 @@ ORACLE_SQL: dict[str, str] = {
  l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
  e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l), r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x),
  m AS (SELECT a, min(b) AS c FROM r GROUP BY 1) SELECT doc_id, n AS n_shingles, c AS component_id, doc_id = c AS kept FROM n JOIN m ON a = doc_id""",
+    "op11_substring_dedup": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+ k AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i, unnest(list_transform(range(1, len(ws) - 18), lambda i: array_to_string(ws[i:i + 19], ' '))) AS k FROM w WHERE len(ws) >= 20),
+ r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM k),
+ g AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(range(i, i + 20)) AS j FROM r WHERE r > 1)),
+ p AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS j FROM w),
+ t AS (SELECT p.doc_id, count(g.j) AS gone, string_agg(x, ' ' ORDER BY p.j) FILTER (WHERE g.j IS NULL) AS kept FROM p LEFT JOIN g ON g.doc_id = p.doc_id AND g.j = p.j GROUP BY 1)
+ SELECT doc_id, len(ws) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN t USING (doc_id)""",
     "op12_merkle_manifest": f"""WITH RECURSIVE c AS (SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, {_leaf(f"(n_chars + CASE WHEN {_CRC} % 7 = 0 THEN 1 ELSE 0 END)")} AS bad FROM documents),
  d AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS k, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS m FROM c),
  t(k, level, i, m, h) AS (SELECT k, 0, i, m, leaf FROM d UNION ALL SELECT k, level + 1, i // 2, any_value(m + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE m > 1 GROUP BY k, level, i // 2),

@@ -74,13 +74,7 @@ def runs(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     h, n = Hashes(data), len(data) - gram + 1
     at = np.arange(n)
     value = h(at, at + gram)
-    span, width = 1, length - gram + 1
-    best = at.copy()
-    while span * 2 <= width:
-        best = _lesser(value, best, span)
-        span *= 2
-    if span < width:
-        best = _lesser(value, best, width - span)
+    best = least_places(value, length - gram + 1)
     low = np.flatnonzero(np.r_[True, best[1:] != best[:-1]])
     high = np.r_[low[1:] - 1, len(best) - 1]
     place = best[low]
@@ -89,6 +83,15 @@ def runs(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     return value[place].view(np.int64), whole, place, low, high
 
 
+def least_places(value: np.ndarray, width: int) -> np.ndarray:
+    """For each start, the place of the least of `width` consecutive values; the first one of equal ones."""
+    best, span = np.arange(len(value)), 1
+    while span * 2 <= width:
+        best = _lesser(value, best, span)
+        span *= 2
+    return _lesser(value, best, width - span) if span < width else best
+
+
 def _lesser(value: np.ndarray, best: np.ndarray, shift: int) -> np.ndarray:
     """For each start, the place of the lesser of two minima `shift` apart; the left one if equal."""
     a, b = best[: len(best) - shift], best[shift:]
