@@ -11,11 +11,13 @@ have in common. Pieces whose core is nowhere else are dropped. Pieces that are e
 reported and one of them goes on, for the others' sake. What is left is cut into smaller pieces, at last single windows.
 So the many runs around a frequent passage are told apart by a few rows each, and no group is ever held in one place.
 
-Equal texts repeat as a whole and enter once. Positions are bytes; digests have 128 bits.
+Equal texts repeat as a whole and enter once. Positions are bytes. Polynomial hashes only choose grams; what counts as equal is
+decided by digests of the bytes themselves (16 bytes of BLAKE2).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ GRAM = 64
 PIECES = (64, 8, 1)
 _ODD, _STEP = np.uint64(0x9E3779B97F4A7C15), 1 << 20
 _BACK = np.uint64(pow(int(_ODD), -1, 1 << 64))
-_VALUES = np.random.default_rng(7).integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_VALUES = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -49,26 +51,35 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of any stretches of a byte string: polynomial prefix sums modulo 2^64 over random byte values."""
+    """Hashes of any stretches of a byte string: polynomial prefix sums modulo 2^64 over random byte values.
 
-    def __init__(self, data: np.ndarray, kind: int = 0):
+    Different strings of one hash can be made, so they serve only to choose grams and to deal rows.
+    """
+
+    def __init__(self, data: np.ndarray):
         up, self.down = _powers(len(data))
-        self.sums = np.r_[np.uint64(0), np.cumsum(_VALUES[kind][data] * up[: len(data)])]
+        self.sums = np.r_[np.uint64(0), np.cumsum(_VALUES[data] * up[: len(data)])]
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[end] - self.sums[start]) * self.down[start])
 
 
-def _digests(parts: list[np.ndarray]) -> list[bytes]:
-    """One of 16 bytes for each place of two arrays of 64 bits."""
-    raw = np.stack(parts, axis=1).astype("<u8").tobytes()
-    return [raw[k : k + 16] for k in range(0, len(raw), 16)]
+def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, *lie: np.ndarray) -> list[bytes]:
+    """A digest of each stretch of data and of whole numbers that say how it lies."""
+    view, step = memoryview(data.tobytes()), 8 * len(lie)
+    lies = np.stack(lie, axis=1).astype("<i8").tobytes()
+    out = []
+    for k, (a, b) in enumerate(zip(start.tolist(), end.tolist())):
+        h = hashlib.blake2b(lies[k * step : (k + 1) * step], digest_size=16)
+        h.update(view[a:b])
+        out.append(h.digest())
+    return out
 
 
-def runs(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def runs(data: np.ndarray, length: int) -> tuple:
     """(gram, whole, place, low, high): windows starting at low..high have their least gram at place.
 
-    whole (two hashes) digests the run's content and where it lies around the gram.
+    whole digests the run's content and where it lies around the gram.
     """
     gram = min(GRAM, length)
     h, n = Hashes(data), len(data) - gram + 1
@@ -78,8 +89,7 @@ def runs(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     low = np.flatnonzero(np.r_[True, best[1:] != best[:-1]])
     high = np.r_[low[1:] - 1, len(best) - 1]
     place = best[low]
-    lie = ((place - low) * (length + 1) + high - low).astype(np.uint64) * _ODD
-    whole = [_mixed(x(low, high + length) ^ lie) for x in (h, Hashes(data, 1))]
+    whole = _digests(data, low, high + length, place - low, high - low)
     return value[place].view(np.int64), whole, place, low, high
 
 
@@ -117,15 +127,11 @@ def _pieces(part: pd.DataFrame, length: int, width: int) -> dict[str, object]:
     q = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     last = place[row] - q * width  # of the windows that the piece could have
     begin, end = np.maximum(last - width + 1, low[row]), np.minimum(last, high[row])
-    gram = part["gram"].to_numpy(np.int64).view(np.uint64)[row]
-    lie = gram + q.astype(np.uint64) * _ODD
-    cores, wholes = [], []
-    for kind in (0, 1):
-        h = Hashes(np.concatenate(data), kind)
-        at = base[row] - low[row]
-        cores.append(_mixed(h(at + last, at + last - width + 1 + length) ^ _mixed(lie)))
-        wholes.append(_mixed(h(at + begin, at + end + length) ^ _mixed(lie + ((begin - last + width) * (width + 1) + end - begin + 1).astype(np.uint64))))
-    return {"core": _digests(cores), "whole": _digests(wholes), "text_id": part["text_id"].to_numpy()[row], "run": part["run"].to_numpy()[row], "gram": gram.view(np.int64), "place": place[row], "low": begin, "high": end}
+    gram = part["gram"].to_numpy(np.int64)[row]
+    every, at = np.concatenate(data), base[row] - low[row]
+    core = _digests(every, at + last, at + last - width + 1 + length, gram, q)
+    whole = _digests(every, at + begin, at + end + length, gram, q, begin - last, end - begin)
+    return {"core": core, "whole": whole, "text_id": part["text_id"].to_numpy()[row], "run": part["run"].to_numpy()[row], "gram": gram, "place": place[row], "low": begin, "high": end}
 
 
 _SCHEMA = "core binary, whole binary, text_id binary, run int, gram long, place int, low int, high int"
@@ -141,7 +147,7 @@ def repeated(texts: DataFrame, length: int) -> DataFrame:
                 data = _bytes(text)
                 if len(data) >= length:
                     gram, whole, place, low, high = runs(data, length)
-                    got.append(pd.DataFrame({"core": b"", "whole": _digests(whole), "text_id": i, "run": low, "gram": gram, "place": place, "low": low, "high": high}))
+                    got.append(pd.DataFrame({"core": b"", "whole": whole, "text_id": i, "run": low, "gram": gram, "place": place, "low": low, "high": high}))
             if got:
                 yield pd.concat(got)
 
