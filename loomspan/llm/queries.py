@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.llm.alignment import aligned
 from loomspan.llm.common import shipped
 from loomspan.llm.factors import digest as duplicates_digest
 from loomspan.llm.langid import languages
@@ -97,6 +98,15 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tampering(table(spark, sf_dir, "documents"))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two public tokenizers' tokens of every document meet, and how common its links are in the corpus."""
+    files = []
+    for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"):
+        with open(tokenizer(name), "rb") as f:
+            files.append(f.read())
+    return aligned(table(shipped(spark), sf_dir, "documents"), *files)[0]
+
+
 def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base patterns' counts of every document, through the operator, whose other spans have no SQL."""
     return secrets_digest(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex")
@@ -121,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_hilbert_sharding": op10_hilbert_sharding,
     "op11_substring_dedup": op11_substring_dedup,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
     "secret_base_counts": secret_base_counts,
     "shard_counts": shard_counts,
 }

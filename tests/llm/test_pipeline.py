@@ -51,7 +51,7 @@ def test_stages_on_odd_rows(spark, odd, nothing):
 
 
 def test_every_operator_is_registered():
-    assert [n.split("_")[0] for n in QUERIES if n.startswith("op")] == [f"op{k}" for k in range(1, 13)]
+    assert [n.split("_")[0] for n in QUERIES if n.startswith("op")] == [f"op{k}" for k in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
