@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import BROADCAST_BYTES, dropped, or_empty, sized, written
+from loomspan.llm.common import dropped, or_empty, sized, written
 from loomspan.llm.repeats import least_places
 
 #: Words of an anchor.
@@ -100,8 +100,8 @@ def previous_factors(symbols: np.ndarray) -> np.ndarray:
     best = np.zeros(n, np.int64)
     for way in (1, -1):
         line = order[::way]
-        at = np.arange(n) - 1  # the nearest entry before that begins earlier, by jumps over entries that begin later
-        while len(todo := np.flatnonzero((at >= 0) & (line[at] > line))):
+        at, todo = np.arange(n) - 1, np.arange(1, n)  # the nearest entry before that begins earlier, by jumps over those that begin later
+        while len(todo := todo[(at[todo] >= 0) & (line[at[todo]] > line[todo])]):
             at[todo] = at[at[todo]]
         here, there = line[at >= 0], line[at[at >= 0]]
         same = np.zeros(len(here), np.int64)
@@ -181,7 +181,8 @@ def duplicates(texts: DataFrame, length: int) -> DataFrame:
     kinds = rows.groupBy("whole").agg(F.count("*").alias("c"), F.first("gram").alias("gram"), F.min(F.struct(*_PLACE, "n")).alias("at"))
     kinds = written(kinds.select("whole", "c", "gram", *[F.col(f"at.{c}").alias(c) for c in (*_PLACE, "n")]))
     twice = written(kinds.where("c > 1").select("whole", F.struct(*_PLACE).alias("at")))
-    found = rows.join(sized(twice, 64), "whole").where(F.struct(*_PLACE) != F.col("at")).select("doc", "tie", "low", (F.col("low") + F.col("n") - 1).alias("high"))
+    # merged at every size, as texts are below: such tables grow with the corpus
+    found = rows.join(twice.hint("merge"), "whole").where(F.struct(*_PLACE) != F.col("at")).select("doc", "tie", "low", (F.col("low") + F.col("n") - 1).alias("high"))
     blocks = written(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"))
     going = written(kinds.join(sized(blocks, 16), "gram").select("doc", "tie", "gram", "low", "n", (F.col("kinds") > BLOCK).alias("hot")))
     found = found.unionByName(_parsed(texts, going.where("not hot"), length))
@@ -193,7 +194,7 @@ def duplicates(texts: DataFrame, length: int) -> DataFrame:
 def _with_text(texts: DataFrame, going: DataFrame) -> DataFrame:
     """(doc, tie, text, runs): the texts that have runs left, each with them."""
     lists = going.groupBy("doc", "tie").agg(F.collect_list(F.struct("gram", "low", "n")).alias("runs"))
-    return texts.join(lists, ["doc", "tie"]).select("doc", "tie", "text", "runs")
+    return texts.join(lists.hint("merge"), ["doc", "tie"]).select("doc", "tie", "text", "runs")
 
 
 def _parsed(texts: DataFrame, going: DataFrame, length: int) -> DataFrame:
@@ -284,8 +285,7 @@ def without_duplicates(docs: DataFrame, length: int = 20, *, id: str = "doc_id",
             yield part[["doc", "tie"]].assign(spans=[_merged(s, length) for s in part["starts"]])
 
     spans = written(spans.mapInPandas(merge, f"{_KEY}, spans array<int>"))
-    weight = spans.agg(F.sum(48 + 4 * F.size("spans"))).first()[0] or 0
-    told = rows.join(F.broadcast(spans) if weight <= BROADCAST_BYTES else spans, ["doc", "tie"], "left").select("doc", "nameless", "text", "copy", "spans")
+    told = rows.join(spans.hint("merge"), ["doc", "tie"], "left").select("doc", "nameless", "text", "copy", "spans")
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
