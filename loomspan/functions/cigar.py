@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -49,14 +49,13 @@ def swapped(kind: str, side: str, target: str = "T") -> Column:
 def operations(df: DataFrame, keep: list[str], cigar: str, start: str | None = None) -> DataFrame:
     """(keep, place, op, len[, at]): every operation in order; at: where on the target it starts (insertions take no room)."""
     parts = F.regexp_extract_all(cigar, F.lit("(\\d+[MIDNSHP=X])"), F.lit(1))
-    rows = df.select(*keep, *([start] if start and start not in keep else []), F.posexplode(parts).alias("place", "_p"))
+    own = df.withColumn("_row", F.monotonically_increasing_id()) if start else df
+    rows = own.select(*keep, *(["_row", F.col(start).alias("_start")] if start else []), F.posexplode(parts).alias("place", "_p"))
     rows = rows.withColumns({"op": F.regexp_extract("_p", "\\d+(.)", 1), "len": F.regexp_extract("_p", "(\\d+)", 1).cast("int")})
     if start:
-        from pyspark.sql import Window
-
         room = F.when(F.col("op").isin("I", "S", "H", "P"), 0).otherwise(F.col("len"))
-        w = Window.partitionBy(*keep).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumn("at", F.col(start) + F.coalesce(F.sum(room).over(w), F.lit(0)))
+        w = Window.partitionBy("_row").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("at", F.col("_start") + F.coalesce(F.sum(room).over(w), F.lit(0)))
     return rows.select(*keep, "place", "op", "len", *(["at"] if start else []))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.operators.intervals import distance, ends_inside
+from loomspan.operators.scans import Running, dealt
 
 
 def presence(df: DataFrame, *, family: str, seq: str) -> DataFrame:
@@ -13,12 +14,27 @@ def presence(df: DataFrame, *, family: str, seq: str) -> DataFrame:
     return df.groupBy(family, seq).agg(F.count("*").alias("members"))
 
 
+#: Sequences of a family that meet in one task.
+MEETING = 256
+
+
+def _pairs_of_sequences(df: DataFrame, family: str, seq: str) -> DataFrame:
+    """(family, seq_a, seq_b, _a, _b), seq_a <= seq_b: the sequences of each family, two by two, and the members on them.
+
+    A family on many sequences is cut into blocks of them, and every two blocks meet on a key of their own.
+    """
+    p = presence(df.where(F.col(family).isNotNull() & F.col(seq).isNotNull()), family=family, seq=seq)
+    blocks = p.groupBy(family).agg(F.ceil(F.count("*") / MEETING).cast("int").alias("_blocks"))
+    p = p.join(blocks, family).withColumn("_block", F.pmod(F.xxhash64(seq), F.col("_blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    a = p.select(family, F.col(seq).alias("seq_a"), F.col("members").alias("_a"), F.col("_block").alias("_x"), every.alias("_y"))
+    b = p.select(family, F.col(seq).alias("seq_b"), F.col("members").alias("_b"), every.alias("_x"), F.col("_block").alias("_y"))
+    return a.join(b, [family, "_x", "_y"]).where("seq_a <= seq_b").drop("_x", "_y")
+
+
 def linkage(df: DataFrame, *, family: str, seq: str) -> DataFrame:
     """(seq_a, seq_b, links), seq_a <= seq_b: over families, n(n-1)/2 within a sequence and ceil(n1 n2 / 2) between two."""
-    p = presence(df.where(F.col(family).isNotNull() & F.col(seq).isNotNull()), family=family, seq=seq)
-    a = p.select(family, F.col(seq).alias("seq_a"), F.col("members").alias("_a"))
-    b = p.select(family, F.col(seq).alias("seq_b"), F.col("members").alias("_b"))
-    both = a.join(b, family).where("seq_a <= seq_b")
+    both = _pairs_of_sequences(df, family, seq)
     n = F.when(F.col("seq_a") == F.col("seq_b"), F.expr("_a * (_a - 1) div 2")).otherwise(F.ceil(F.col("_a") * F.col("_b") / 2))
     return both.groupBy("seq_a", "seq_b").agg(F.sum(n).cast("long").alias("links")).where("links > 0")
 
@@ -29,17 +45,52 @@ def family_pairs(df: DataFrame, *, family: str, id: str) -> DataFrame:
     return df.join(other, (F.col(family) == F.col(f"{family}_r")) & (F.col(id) < F.col(f"{id}_r")))
 
 
+#: Bounds of the distance classes.
+NEAR = (10**4, 10**5, 10**6)
+
+
+def _pair_counts(rows: DataFrame, *, family: str, seq: str, begin: str, end: str) -> DataFrame:
+    """(seq_a, seq_b, pairs, _n<bound>..., total): pairs of members, how many are at least so far apart, and their summed distance.
+
+    The distance of two members is how far the later begin lies behind the earlier end, so a scan over begins and ends in
+    order, each end shifted by each bound, counts at every begin the ends that lie further back.
+    """
+    kinds = [("_begin", F.col(begin)), *[(f"_t{t}", F.col(end) + t) for t in (0, *NEAR)]]
+    event = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), at.cast("long").alias("at"), F.col(end).cast("long").alias("end")) for k, at in kinds]))
+    events = rows.select(family, seq, event.alias("e")).select(family, seq, (F.col("e.kind") == "_begin").alias("_start"), F.col("e.at").alias("_at"), "e.kind", "e.end")
+    counted = {f"_n{t}": Running("sum", F.when(F.col("kind") == f"_t{t}", 1)) for t in (0, *NEAR)}
+    counted["_ends"] = Running("sum", F.when(F.col("kind") == "_t0", F.col("end")))
+    # ends at a place come before begins there
+    seen = dealt(events, key=[family, seq], order=["_at", "_start"]).running(**counted).rows.where("_start").na.fill(0, [*counted])
+    sums = seen.groupBy(F.col(seq).alias("seq_a"), F.col(seq).alias("seq_b")).agg(*[F.sum(f"_n{t}").alias(f"_n{t}") for t in NEAR], F.sum(F.col("_at") * F.col("_n0") - F.col("_ends")).alias("total"))
+    n = F.when(F.col("seq_a") == F.col("seq_b"), F.expr("_a * (_a - 1) div 2")).otherwise(F.col("_a") * F.col("_b"))
+    pairs = _pairs_of_sequences(rows, family, seq).groupBy("seq_a", "seq_b").agg(F.sum(n).cast("long").alias("pairs"))
+    return pairs.join(sums, ["seq_a", "seq_b"], "left")
+
+
 def pair_distances(df: DataFrame, *, family: str, id: str, seq: str, begin: str, end: str) -> DataFrame:
     """(seq, seq_r, pairs, near_4, near_5, near_6, far, total, mean): family pairs by distance below 10^4, 10^5, 10^6.
 
-    Pairs on different sequences have no distance; the two sequences are put in order.
+    Pairs on different sequences have no distance; the two sequences are put in order. Members without family, id, sequence
+    or coordinates take no part, and members of equal id are no pair. Pairs are counted, not made, so a family may have any
+    size: it is dealt to many tasks.
     """
-    rows = family_pairs(df.select(family, id, seq, begin, end), family=family, id=id)
-    d = F.when(F.col(seq) == F.col(f"{seq}_r"), distance(begin, end, f"{begin}_r", f"{end}_r"))
-    rows = rows.select(F.least(seq, f"{seq}_r").alias(seq), F.greatest(seq, f"{seq}_r").alias(f"{seq}_r"), d.alias("_d"))
-    edge = [0, 10**4, 10**5, 10**6]
-    bins = [F.count_if((F.col("_d") >= a) & (F.col("_d") < b)).alias(f"near_{len(str(b)) - 1}") for a, b in zip(edge, edge[1:])]
-    return rows.groupBy(seq, f"{seq}_r").agg(F.count("*").alias("pairs"), *bins, F.count_if(F.col("_d") >= 10**6).alias("far"), F.sum("_d").alias("total"), F.avg("_d").alias("mean"))
+    rows = df.dropna(subset=[family, id, seq, begin, end]).select(family, id, seq, begin, end)
+    places = {"seq": seq, "begin": begin, "end": end}
+    counts = _pair_counts(rows, family=family, **places)
+    again = rows.groupBy(family, id).agg(F.count("*").alias("_c")).where("_c > 1").drop("_c")
+    if not again.isEmpty():  # what members of equal id would count is taken off
+        same = rows.join(again, [family, id]).withColumn("_same", F.struct(family, id))
+        names = [c for c in counts.columns if c not in ("seq_a", "seq_b")]
+        less = _pair_counts(same, family="_same", **places).select("seq_a", "seq_b", *[(-F.col(c)).alias(c) for c in names])
+        counts = counts.unionByName(less).groupBy("seq_a", "seq_b").agg(*[F.sum(c).alias(c) for c in names])
+    within = [F.col("pairs"), *[F.col(f"_n{t}") for t in NEAR]]
+    near = [F.coalesce(a - b, F.lit(0)).alias(f"near_{len(str(t)) - 1}") for a, b, t in zip(within, within[1:], NEAR)]
+    own = F.col("seq_a") == F.col("seq_b")
+    return counts.where("pairs > 0").select(
+        F.col("seq_a").alias(seq), F.col("seq_b").alias(f"{seq}_r"), "pairs", *near, F.coalesce(within[-1], F.lit(0)).alias("far"),
+        F.when(own, F.col("total")).alias("total"), F.when(own, F.col("total") / F.col("pairs")).alias("mean"),
+    )
 
 
 def family_statistics(df: DataFrame, *, family: str) -> DataFrame:
@@ -132,7 +183,7 @@ def paralog_type(seq_a: str, seq_b: str, apart: Column, near: int = 10**6) -> Co
     return F.when(F.col(seq_a) != F.col(seq_b), 4).when(apart < near, 1).otherwise(2)
 
 
-def segments_with_genes(segments: DataFrame, genes: DataFrame, bin_width: int = 100_000) -> DataFrame:
+def segments_with_genes(segments: DataFrame, genes: DataFrame) -> DataFrame:
     """Segments (id, multiplicon, sequid, first, last, order) with begin, end, genes, mean gene length and mean distance.
 
     genes: (gene, sequid, begin, end). A segment runs from its first gene's begin to its last gene's end; unsorted ones go. It
@@ -142,7 +193,7 @@ def segments_with_genes(segments: DataFrame, genes: DataFrame, bin_width: int =
     last = genes.select(F.col("gene").alias("last"), F.col("end").alias("seg_end"))
     placed = segments.join(first, "first").join(last, "last").where("seg_begin < seg_end")
     regions = placed.select("sequid", F.col("seg_begin").alias("begin"), F.col("seg_end").alias("end"), "id")
-    inside = ends_inside(genes.select("sequid", "begin", "end"), regions, seq="sequid", begin="begin", end="end", bin_width=bin_width)
+    inside = ends_inside(genes.select("sequid", "begin", "end"), regions, seq="sequid", begin="begin", end="end")
     inside = inside.select(F.col("id_r").alias("id"), "begin", "end")
     w = Window.partitionBy("id").orderBy("begin", "end")
     inside = inside.withColumns({"_len": F.col("end") - F.col("begin"), "_gap": F.lead("begin").over(w) - F.col("end")})
@@ -184,9 +235,7 @@ def presence_links(df: DataFrame, *, family: str, id: str, seq: str, begin: str,
 
     A sequence with itself counts its families of two or more members there; distances are of pairs on one sequence.
     """
-    p = presence(df.where(F.col(family).isNotNull() & F.col(seq).isNotNull()), family=family, seq=seq)
-    a, b = p.select(family, F.col(seq).alias("seq_a"), F.col("members").alias("_a")), p.select(family, F.col(seq).alias("seq_b"), F.col("members").alias("_b"))
-    both = a.join(b, family).where("seq_a < seq_b or (seq_a = seq_b and _a > 1)").groupBy("seq_a", "seq_b").agg(F.count("*").alias("families"))
+    both = _pairs_of_sequences(df, family, seq).where("seq_a < seq_b or _a > 1").groupBy("seq_a", "seq_b").agg(F.count("*").alias("families"))
     d = pair_distances(df, family=family, id=id, seq=seq, begin=begin, end=end)
     d = d.select(F.col(seq).alias("seq_a"), F.col(f"{seq}_r").alias("seq_b"), "pairs", F.col("total").alias("distance_sum"), F.col("mean").alias("distance_mean"))
     return both.join(d, ["seq_a", "seq_b"], "left")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.operators.quantiles import beside, quantile, quantiles, ranked_values
+from loomspan.session import kept
+
 
 def mode_or_null(df: DataFrame, group: list[str], value: str, name: str = "mode_raw") -> DataFrame:
     """(group, name): the most frequent value; null if several are equally frequent."""
@@ -49,6 +52,26 @@ def rolled_up(df: DataFrame, *, by: list[str], levels: list[str], measures: dict
     return out.where(whole).select(*by, *[F.col(f"_{c}").alias(c) for c in levels], "level", *measures)
 
 
+def lattice(df: DataFrame, *, by: list[str], levels: list[str], value: str, sums: dict[str, Column]) -> DataFrame:
+    """rolled_up's rows with sums and the median, mean and least mode of the floor of a value, from one pass over the rows.
+
+    Rows are counted by (by, levels, value) first. Every prefix of the levels, and what needs sorted values, comes from that
+    table, so raw rows are shuffled once and a median never waits for one group's values. sums: aggregates that add up.
+    """
+    base = kept(df.groupBy(*by, *levels, value).agg(*[c.alias(n) for n, c in sums.items()], F.count(value).alias("_rows")))
+    totals = {n: F.sum(n) for n in sums} | {"_t": F.sum(F.col(value) * F.col("_rows")), "_r": F.sum("_rows")}
+    out = rolled_up(base, by=by, levels=levels, measures=totals)
+    out = out.withColumn(f"{value}_mean", F.col("_t") / F.col("_r")).drop("_t", "_r")
+    # (by, levels up to one, value): the prefixes of each counted row, null beyond
+    cut = [F.struct(F.lit(k).alias("level"), *[(F.col(c) if i < k else F.lit(None).cast(base.schema[c].dataType)).alias(c) for i, c in enumerate(levels)]) for k in range(len(levels) + 1)]
+    prefixes = base.where(F.col(value).isNotNull()).select(*by, F.explode(F.array(*cut)).alias("p"), F.col(value).alias("_v"), "_rows").select(*by, "p.*", "_v", "_rows")
+    keys = [*by, "level", *levels]
+    medians = ranked_values(prefixes, group=keys, value="_v", count="_rows").groupBy(*keys).agg(quantile(0.5, "_v").alias(f"{value}_median"))
+    floors = prefixes.groupBy(*keys, F.floor("_v").alias("_f")).agg(F.sum("_rows").alias("_c"))
+    modes = floors.groupBy(*keys).agg(F.max(F.struct("_c", (-F.col("_f")).alias("_f")))["_f"].alias("_m")).select(*keys, (-F.col("_m")).alias(f"{value}_mode_floor"))
+    return beside(beside(out, medians, keys, "left"), modes, keys, "left")
+
+
 def with_complement(totals: DataFrame, sizes: DataFrame, *, on: list[str], size: str, total: str, label: str, value: str) -> DataFrame:
     """(on, label, total): one row per key of sizes with what totals leave: size minus total."""
     both = sizes.join(totals.select(*on, F.col(total).alias("_t")), on, "left")
@@ -112,17 +135,24 @@ def pair_diversity(counts: DataFrame, *, unit: str, kind: str, count: str) -> Da
 
 def length_stats(df: DataFrame, *, group: list[str], length: str) -> DataFrame:
     """Count, median, mean, max, min, sum of a length and its number in [1,10), [10,100), [100,1000), [1000,10000), 10000 and more."""
-    x = F.col(length)
+    x, c = F.col(length), F.col("_c")
     edges = [1, 10, 100, 1000, 10000]
-    bins = [F.count_if((x >= a) & (x < b)).alias(f"n_{a}_{b}") for a, b in zip(edges, edges[1:])]
-    return df.groupBy(*group).agg(
-        F.count(x).alias("n"), F.median(x).alias("median"), F.avg(x).alias("mean"), F.max(x).alias("max"), F.min(x).alias("min"), F.sum(x).alias("sum"), *bins, F.count_if(x >= 10000).alias("n_10000")
-    )
+    more = {"n": F.sum(c), "mean": F.sum(x * c) / F.sum(c), "max": F.max(x), "min": F.min(x), "sum": F.sum(x * c)}
+    more |= {f"n_{a}_{b}": F.coalesce(F.sum(F.when((x >= a) & (x < b), c)), F.lit(0)) for a, b in zip(edges, edges[1:])}
+    more |= {"n_10000": F.coalesce(F.sum(F.when(x >= 10000, c)), F.lit(0))}
+    out = quantiles(df, group=group, value=length, named={"median": 0.5}, more=more)
+    out = beside(df.select(*group).distinct(), out, group, "left") if group else out
+    return out.na.fill(0, [c for c in out.columns if c not in group and c.startswith("n")]).select(*group, "n", "median", "mean", "max", "min", "sum", *[c for c in more if c.startswith("n_")])
 
 
 def spread(df: DataFrame, *, group: list[str], value: str, factor: float = 1.96) -> DataFrame:
     """(group, median, low, high, told): the median, plus and minus factor standard deviations, and as text ('NA' if none)."""
-    out = df.groupBy(*group).agg(F.median(value).alias("median"), F.stddev_samp(value).alias("_sd"))
+    x, c, n = F.col(value), F.col("_c"), F.sum("_c")
+    # both sums are about the mean of the group's distinct values, so that large values lose no digits
+    rows = ranked_values(df, group=group, value=value)
+    middle = rows.groupBy(*group).agg((F.sum(x * c) / n).alias("_m"))
+    out = beside(rows, middle, group).groupBy(*group).agg(quantile(0.5, value).alias("median"), F.when(n > 1, F.sqrt(F.sum((x - F.col("_m")) ** 2 * c) / (n - 1))).alias("_sd"))
+    out = beside(df.select(*group).distinct(), out, group, "left") if group else out
     half = F.floor(factor * F.col("_sd"))
     told = F.when(F.col("median").isNull() | half.isNull(), F.lit("NA")).otherwise(F.format_string("%s ± %s", F.col("median").cast("string"), half.cast("string")))
     return out.select(*group, "median", (F.col("median") - half).alias("low"), (F.col("median") + half).alias("high"), told.alias("told"))
@@ -130,10 +160,12 @@ def spread(df: DataFrame, *, group: list[str], value: str, factor: float = 1.96)
 
 def box_stats(df: DataFrame, *, group: list[str], value: str) -> DataFrame:
     """Quartiles, whiskers (furthest values within 1.5 interquartile ranges), mean and count of each group."""
-    q = df.groupBy(*group).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"), F.avg(value).alias("mean"), F.count(value).alias("n"))
-    q = q.select(*group, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "mean", "n")
+    rows = ranked_values(df, group=group, value=value)
+    n = F.sum("_c")
+    quartiles = [quantile(p, value).alias(c) for c, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
+    q = rows.groupBy(*group).agg(*quartiles, (F.sum(F.col(value) * F.col("_c")) / n).alias("mean"), n.alias("n"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    ends = df.join(q, group).where(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach))
+    ends = rows.select(*group, value).join(q, group).where(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach))
     ends = ends.groupBy(*group).agg(F.min(value).alias("whisker_low"), F.max(value).alias("whisker_high"))
     return q.join(ends, group)
 

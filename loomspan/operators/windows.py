@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.operators.quantiles import beside, quantiles, ranked_values
+from loomspan.session import small
+
 
 def grid(sizes: DataFrame, *, seq: str, start: str, end: str, step: int, width: int | None = None) -> DataFrame:
     """(seq, window, window_begin, window_end): windows every `step` from start to end; the last is cut at the end."""
@@ -56,13 +59,12 @@ def counted(df: DataFrame, sizes: DataFrame, *, seq: str, position: str, start:
 
 def outliers(df: DataFrame, *, group: list[str], value: str, factor: float = 1.5) -> DataFrame:
     """df with outlier: 'high' or 'low' beyond factor interquartile ranges (linear quantiles) of its group, else null."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
-    cuts = (df.groupBy(*group) if group else df).agg(q.alias("_q"))
-    rows = df.join(cuts, group) if group else df.crossJoin(F.broadcast(cuts))  # one row
-    low, high = F.col("_q")[0], F.col("_q")[1]
+    cuts = quantiles(df, group=group, value=value, named={"_low": 0.25, "_high": 0.75})
+    rows = beside(df.dropna(subset=group) if group else df, cuts, group, "left")
+    low, high = F.col("_low"), F.col("_high")
     far = factor * (high - low)
     told = F.when(F.col(value) > high + far, "high").when(F.col(value) < low - far, "low")
-    return rows.withColumn("outlier", told).drop("_q")
+    return rows.withColumn("outlier", told).drop("_low", "_high")
 
 
 def max_normalised(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -75,7 +77,7 @@ def max_normalised(df: DataFrame, columns: list[str]) -> DataFrame:
 def without_top(df: DataFrame, value: str, k: int) -> DataFrame:
     """df without rows that hold one of its k largest distinct values."""
     top = df.select(value).distinct().orderBy(F.desc(value)).limit(k)
-    return df.join(F.broadcast(top), value, "left_anti")
+    return df.join(small(top), value, "left_anti")
 
 
 def cut_offs(df: DataFrame, *, group: list[str], value: str, percents: list[float]) -> DataFrame:
@@ -83,9 +85,7 @@ def cut_offs(df: DataFrame, *, group: list[str], value: str, percents: list[floa
 
     Values are counted first, so that what is sorted by group is distinct values.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*group)
-    rows = counts.withColumns({"_upto": F.sum("_c").over(w.orderBy(value)), "_n": F.sum("_c").over(w)})
+    rows = ranked_values(df, group=group, value=value)
     at = lambda k: F.min(F.when(F.col("_upto") > k, F.col(value)))
     aggs = [(F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("mean")]
     for p in percents:

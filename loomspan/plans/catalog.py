@@ -137,21 +137,21 @@ def interval_overlapping_ids(spark, d):
  FROM iv a JOIN iv c ON a.seq = c.seq AND a.b <= c.e AND a.e >= c.b WHERE a.flag = 'R' AND c.flag = 'A' GROUP BY 1, 2, 3""")
 def interval_overlap_join(spark, d):
     rows = items(spark, d)
-    both = intervals.overlap_join(rows.where("flag = 'R'"), rows.where("flag = 'A'"), seq="seq", begin="b", end="e", bin_width=64)
+    both = intervals.overlap_join(rows.where("flag = 'R'"), rows.where("flag = 'A'"), seq="seq", begin="b", end="e")
     both = intervals.clipped(both, begin="b", end="e")
     return both.groupBy("seq", "flag", "flag_r").agg(F.count("*").alias("pairs"), F.sum(F.col("clip_end") - F.col("clip_begin") + 1).alias("bp"))
 
 
 @query(ITEMS + " SELECT a.seq, count(*) AS pairs FROM iv a JOIN iv c ON a.seq = c.seq AND a.b <= c.e AND a.e >= c.b AND a.id < c.id GROUP BY a.seq")
 def interval_overlapping_pairs(spark, d):
-    return intervals.overlapping_pairs(items(spark, d), seq="seq", begin="b", end="e", id="id", bin_width=64).groupBy("seq").agg(F.count("*").alias("pairs"))
+    return intervals.overlapping_pairs(items(spark, d), seq="seq", begin="b", end="e", id="id").groupBy("seq").agg(F.count("*").alias("pairs"))
 
 
 @query(ITEMS + """ SELECT a.id, count(*) AS regions FROM iv a JOIN iv c ON a.seq = c.seq AND (a.b BETWEEN c.b AND c.e OR a.e BETWEEN c.b AND c.e)
  WHERE a.flag = 'R' AND c.flag = 'A' GROUP BY a.id""")
 def interval_ends_inside(spark, d):
     rows = items(spark, d)
-    both = intervals.ends_inside(rows.where("flag = 'R'"), rows.where("flag = 'A'"), seq="seq", begin="b", end="e", bin_width=64)
+    both = intervals.ends_inside(rows.where("flag = 'R'"), rows.where("flag = 'A'"), seq="seq", begin="b", end="e")
     return both.groupBy("id").agg(F.count("*").alias("regions"))
 
 
@@ -634,7 +634,7 @@ def segments_with_genes(spark, d):
     ends = ends.select(F.col("seq").alias("id"), F.concat(F.lit("m"), F.col("seq") % 50).alias("multiplicon"), F.col("seq").alias("sequid"), F.concat(F.lit("lo"), "seq").alias("first"), F.concat(F.lit("hi"), "seq").alias("last"), F.lit(1).alias("order"), "lo", "hi")
     marks = ends.select(F.col("first").alias("gene"), F.lit(None).cast("long").alias("sequid"), F.col("lo").alias("begin"), F.col("lo").alias("end")).unionByName(ends.select(F.col("last").alias("gene"), F.lit(None).cast("long").alias("sequid"), F.col("hi").alias("begin"), F.col("hi").alias("end")))
     all_genes = named.select("gene", F.col("seq").cast("long").alias("sequid"), F.col("b").alias("begin"), F.col("e").alias("end")).unionByName(marks)
-    out = families.segments_with_genes(ends.drop("lo", "hi").withColumn("sequid", F.col("sequid").cast("long")), all_genes, bin_width=1000)
+    out = families.segments_with_genes(ends.drop("lo", "hi").withColumn("sequid", F.col("sequid").cast("long")), all_genes)
     return out.select("id", "genes", F.col("gene_length").cast("long").alias("gene_length"))
 
 

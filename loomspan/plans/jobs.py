@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,17 +66,15 @@ def repeat_summaries(rows: DataFrame, index: DataFrame | None = None) -> DataFra
         rows = rows.join(ids.select("Species", "sequid", "Subset").distinct(), ["Species", "sequid"])
         by = ["Species", "Subset"]
     best = ~F.col("overlapping")
-    measures = {
+    sums = {
         "naive_numele": F.count("*"),
         "naive_totbp": F.sum("bp_naive"),
         "algor_totbp": F.sum("bp_algor"),
         "best_numele": F.count_if(best),
         "best_totbp": F.sum(F.when(best, F.col("bp_naive"))),
-        "divg_median": F.median("perc_divg"),
-        "divg_mean": F.avg("perc_divg"),
-        "divg_mode_floor": F.mode(F.floor("perc_divg"), True),
     }
-    out = summary.rolled_up(rows, by=by, levels=LEVELS, measures=measures)
+    out = summary.lattice(rows, by=by, levels=LEVELS, value="perc_divg", sums=sums)
+    out = out.withColumnsRenamed({f"perc_divg_{c}": f"divg_{c}" for c in ("median", "mean", "mode_floor")})
     out = out.withColumn("class", F.when(F.col("level") == 0, "TOTAL_REPETITIVE").otherwise(F.col("class")))
     if index is None:
         return out
@@ -94,11 +94,14 @@ def repeat_distributions(rows: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def diversity(rows: DataFrame, level: str = "superfam") -> DataFrame:
-    """Diversity of every species and every pair of them at a level of the taxonomy."""
-    rows = recode.classified(rows, label="default_repclass").where(F.col(level).isNotNull())
-    counts = rows.groupBy("Species", level).agg(F.count("*").alias("n"))
-    return summary.pair_diversity(counts, unit="Species", kind=level, count="n")
+def diversity(rows: DataFrame, level: str | None = None) -> DataFrame:
+    """(level, ...): diversity of every species and every pair of them, at a level of the taxonomy, or at all four in one table."""
+    levels = [level] if level else LEVELS
+    rows = recode.classified(rows, label="default_repclass")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("level"), F.col(c).cast("string").alias("name")) for c in levels]))
+    counts = kept(rows.select("Species", each.alias("e")).where("e.name is not null").groupBy("Species", "e.level", "e.name").agg(F.count("*").alias("n")))
+    parts = [summary.pair_diversity(counts.where(F.col("level") == c), unit="Species", kind="name", count="n").withColumn("level", F.lit(c)) for c in levels]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def alignment_stats(spark: SparkSession, path: str, patterns: list[tuple[str, str]]) -> dict[str, DataFrame]:
@@ -108,22 +111,26 @@ def alignment_stats(spark: SparkSession, path: str, patterns: list[tuple[str, st
     won = intervals.alignment_overlap(rows, id="_id", sides={"Q": ("Qname", "Qstart", "Qend"), "T": ("Tname", "Tstart", "Tend")}, score="mapQ")
     long = readers.sides(won, ["_id", "ali_len", "matches", "mismatches", "dels_list", "incs_list", "Qalgorbp", "Talgorbp"])
     table = recode.pattern_table(spark, patterns)
-    subsets = recode.pattern_matches(long, table, id="sequid", pattern="pattern").select("sequid", F.col("label").alias("subset"))
-    long = long.join(subsets, "sequid").withColumns({"naive": F.col("end") - F.col("begin"), "algor": F.when(F.col("db") == "Q", F.col("Qalgorbp")).otherwise(F.col("Talgorbp"))})
-    names = ["ali_len", "matches", "mismatches"]
-    both = intervals.region_table(long, keys=["db", "subset"], seq="sequid", begin="begin", end="end", length="length", values=names)
-    regions = intervals.gaps(long, seq="sequid", begin="begin", end="end", length="length").join(long.select("sequid", "db", "subset").distinct(), "sequid")
-    gapped = cigar.indels(long, ["sequid", "db", "subset"]).withColumn("kind", cigar.swapped("kind", "db"))
-    coverage = intervals.covered(long, seq="sequid", begin="begin", end="end", length="length", closed=False)
-    pieces = both.select("sequid", "region", "bp").unionByName(gapped.select("sequid", F.col("kind").alias("region"), F.col("size").alias("bp")))
+    subsets = kept(recode.pattern_matches(long, table, id="sequid", pattern="pattern").select("sequid", F.col("label").alias("subset")).distinct())
+    # each alignment once a side, whatever the number of its subsets: what is told by sequence comes from these
+    single = kept(long.join(subsets.select("sequid").distinct(), "sequid", "left_semi"))
+    long = single.join(subsets, "sequid").withColumns({"naive": F.col("end") - F.col("begin"), "algor": F.when(F.col("db") == "Q", F.col("Qalgorbp")).otherwise(F.col("Talgorbp"))})
+    stretches = kept(intervals.gaps(single.dropDuplicates(["sequid", "begin", "end"]), seq="sequid", begin="begin", end="end", length="length"))
+    own = single.select("db", "sequid", F.expr("stack(3, 'ali_len', cast(ali_len as bigint), 'matches', cast(matches as bigint), 'mismatches', cast(mismatches as bigint)) as (region, bp)")).where("bp is not null")
+    regions = stretches.join(single.select("sequid", "db").distinct(), "sequid").select("db", "sequid", "region", "bp", "position")
+    told = regions.drop("position").unionByName(own)
+    both = told.join(subsets, "sequid")
+    gapped = cigar.indels(single, ["sequid", "db"]).withColumn("kind", cigar.swapped("kind", "db"))
+    coverage = intervals.covered(single, seq="sequid", begin="begin", end="end", length="length", closed=False)
+    pieces = told.select("sequid", "region", "bp").unionByName(gapped.select("sequid", F.col("kind").alias("region"), F.col("size").cast("long").alias("bp")))
     return {
         "regions": summary.length_stats(both, group=["db", "subset", "region"], length="bp"),
-        "indels": summary.length_stats(gapped, group=["db", "subset", "kind"], length="size"),
+        "indels": summary.length_stats(gapped.join(subsets, "sequid"), group=["db", "subset", "kind"], length="size"),
         "coverage": coverage,
-        "coordinates": summary.coordinates_table(pieces.distinct(), coverage, seq="sequid", columns=["unmapped", "ali_len", "Del", "Ins"]),
+        "coordinates": summary.coordinates_table(pieces, coverage, seq="sequid", columns=["unmapped", "ali_len", "Del", "Ins"]),
         "overlap": intervals.overlap_report(long, group=["db", "subset"], seq="sequid", length="length", naive="naive", algor="algor"),
-        "sizes": readers.sequence_sizes(long),
-        "positions": regions.groupBy("db", "subset", (F.floor(F.col("position") / 4) * 4 + 2).alias("centre")).agg(F.sum(F.when(F.col("region") == "mapped", F.col("bp")).otherwise(0)).alias("mapped")),
+        "sizes": readers.sequence_sizes(single),
+        "positions": regions.join(subsets, "sequid").groupBy("db", "subset", (F.floor(F.col("position") / 4) * 4 + 2).alias("centre")).agg(F.sum(F.when(F.col("region") == "mapped", F.col("bp")).otherwise(0)).alias("mapped")),
     }
 
 

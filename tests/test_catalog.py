@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from loomspan.plans import files  # noqa: F401  (it registers queries)
+from loomspan.plans import files, whole  # noqa: F401  (they register queries)
 from loomspan.plans.catalog import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"

@@ -64,10 +64,11 @@ def test_gaps_cover_the_sequence(spark):
     assert [(r["b"], r["e"]) for r in merged] == [(10, 20), (20, 30), (31, 40)]
 
 
-def test_overlap_join_finds_each_pair_once(spark):
+def test_overlap_join_finds_each_pair_once(spark, monkeypatch):
     df = table(spark, [("s", 10, 20, 0), ("s", 15, 25, 0), ("s", 30, 35, 0), ("s", 40, 45, 0), ("s", 40, 50, 0)])
-    for width in (1, 7, 1000):
-        got = intervals.overlapping_pairs(df, **KEYS, id="id", bin_width=width).collect()
+    for rows in (1, 7, 1000):
+        monkeypatch.setattr(intervals, "MET", rows)
+        got = intervals.overlapping_pairs(df, **KEYS, id="id").collect()
         assert sorted((r["id"], r["id_r"]) for r in got) == [(0, 1), (3, 4)]
 
 
@@ -116,13 +117,14 @@ def test_sequential_rule_by_brute_force(spark):
     assert sequential(spark, rows) == list(won.values())
 
 
-def test_long_and_short_intervals_meet_once(spark):
+def test_long_and_short_intervals_meet_once(spark, monkeypatch):
     import random
 
     rng = random.Random(5)
     rows = [("s", b, b + rng.choice([0, 1, 5, 40, 900, 20000]), 0) for b in (rng.randint(0, 20000) for _ in range(120))]
     df = table(spark, rows)
     want = sorted((i, j) for i, x in enumerate(rows) for j, y in enumerate(rows) if i < j and x[1] <= y[2] and y[1] <= x[2])
-    for width in (10, 64, 5000):
-        got = intervals.overlapping_pairs(df, **KEYS, id="id", bin_width=width).collect()
+    for few in (10, 64, 5000):
+        monkeypatch.setattr(intervals, "MET", few)
+        got = intervals.overlapping_pairs(df, **KEYS, id="id").collect()
         assert sorted((r["id"], r["id_r"]) for r in got) == want
