@@ -28,7 +28,7 @@ from loomspan.llm.common import dropped, or_empty, sized, written
 from loomspan.llm.repeats import least_places
 
 #: Words of an anchor.
-GRAM = 6
+GRAM = 8
 #: Runs of an anchor up to which its block is factored in one task.
 BLOCK = 4096
 #: Bytes of text that are cut into words at once, and words of the blocks that are indexed at once.
