@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions.taxonomy import MITE_RULES, RULES, condition
+from loomspan.operators.patterns import meeting, required
 from loomspan.session import small
 
 
@@ -24,10 +25,10 @@ def has_text(column: str, part: str) -> Column:
 def pattern_matches(df: DataFrame, patterns: DataFrame, *, id: str, pattern: str) -> DataFrame:
     """(id, columns of patterns) for each distinct id and each pattern it matches, ignoring case.
 
-    Patterns are a hand-written list. Matching runs on distinct ids only, so join the result back by id.
+    Matching runs on distinct ids only, so join the result back by id. Many patterns are found by an index of short texts.
     """
     ids = df.where(F.col(id).isNotNull()).select(id).distinct()
-    return ids.join(small(patterns), F.expr(f"rlike({id}, concat('(?i)', {pattern}))"))
+    return meeting(ids, patterns, id=id, literal=required(F.col(pattern)), test=F.expr(f"rlike({id}, concat('(?i)', {pattern}))"))
 
 
 def pattern_join(df: DataFrame, patterns: DataFrame, *, id: str, pattern: str) -> DataFrame:
@@ -46,7 +47,7 @@ def subset_check(df: DataFrame, patterns: DataFrame, *, id: str, pattern: str, l
     """(label, rows, percent_rows, ids, percent_ids): what each subset's patterns match of the whole table."""
     counts = df.where(F.col(id).isNotNull()).groupBy(id).agg(F.count("*").alias("_n"))
     whole = counts.agg(F.sum("_n").alias("_rows"), F.count("*").alias("_ids"))
-    hits = counts.join(small(patterns), F.expr(f"rlike({id}, concat('(?i)', {pattern}))")).select(label, id, "_n").distinct()
+    hits = meeting(counts, patterns, id=id, literal=required(F.col(pattern)), test=F.expr(f"rlike({id}, concat('(?i)', {pattern}))")).select(label, id, "_n").distinct()
     per = hits.groupBy(label).agg(F.sum("_n").alias("rows"), F.count("*").alias("ids"))
     per = per.crossJoin(F.broadcast(whole))  # one row
     return per.select(label, "rows", F.bround(100 * F.col("rows") / F.col("_rows"), 2).alias("percent_rows"), "ids", F.bround(100 * F.col("ids") / F.col("_ids"), 2).alias("percent_ids"))
@@ -84,7 +85,8 @@ def pair_type(query_minor: Column, target_minor: Column) -> Column:
 
 def matches_any_pair(df: DataFrame, pairs: DataFrame, *, a: str, b: str) -> DataFrame:
     """Rows of df of which some (pattern_a, pattern_b) of a hand-written list matches both columns."""
-    keys = df.select(a, b).distinct().join(small(pairs), F.expr(f"rlike({a}, pattern_a) and rlike({b}, pattern_b)"), "left_semi")
+    keys = df.select(a, b).distinct()
+    keys = meeting(keys, pairs.select("pattern_a", "pattern_b"), id=a, literal=required(F.col("pattern_a")), test=F.expr(f"rlike({a}, pattern_a) and rlike({b}, pattern_b)")).select(a, b).distinct()
     return df.join(keys, [a, b], "left_semi")
 
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspan.functions import cigar
-from loomspan.session import kept, small
+from loomspan.operators.patterns import meeting
+from loomspan.operators.scans import Running, dealt
+from loomspan.session import kept
 
 REPEAT_FIELDS = [
     ("score_SW", "int"), ("perc_divg", "double"), ("perc_del", "double"), ("perc_ins", "double"), ("sequid", "string"),
@@ -199,12 +201,13 @@ def fasta_chunks(spark: SparkSession, path: str, width: int = 1 << 16) -> DataFr
     """
     rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.rtrim("value").alias("value"))
     rows = kept(rows.withColumn("line", F.monotonically_increasing_id()).where("value <> ''"))
-    w = Window.partitionBy("file").orderBy("line")
     head = F.col("value").startswith(">")
-    rows = rows.withColumns({"record": F.last(F.when(head, F.col("line")), True).over(w), "header": F.last(F.when(head, F.expr("substring(value, 2)")), True).over(w)})
-    rows = rows.where(~head & F.col("record").isNotNull()).withColumn("bases", F.regexp_replace("value", r"\s", "")).where("bases <> ''")
-    before = Window.partitionBy("file", "record").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", F.coalesce(F.sum(F.length("bases")).over(before), F.lit(0)))
+    rows = rows.withColumn("bases", F.when(~head, F.regexp_replace("value", r"\s", "")))
+    # a record's number is its first line's; places are counted along the file, less what lies before the record
+    scan = dealt(rows, key=["file"], order=["line"])
+    scan = scan.running(record=Running("last", F.when(head, F.col("line")), own=True), header=Running("last", F.when(head, F.expr("substring(value, 2)")), own=True), _sum=Running("sum", F.length("bases")))
+    scan = scan.with_columns(_sum=F.coalesce("_sum", F.lit(0))).kept().running(_before=Running("last", F.when(head, F.col("_sum")), own=True))
+    rows = scan.rows.where(F.col("record").isNotNull() & (F.col("bases") != "")).withColumn("start", F.col("_sum") - F.col("_before"))
     last = F.floor((F.col("start") + F.length("bases") - 1) / width)
     rows = rows.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start") / width), last)))
     low = F.greatest(F.col("chunk") * width - F.col("start"), F.lit(0))
@@ -226,7 +229,7 @@ def excerpts(chunks: DataFrame, regions: DataFrame, width: int = 1 << 16) -> Dat
     regions: a table (pattern, begin, end, tag); negative begins count as 0; case is ignored.
     """
     heads = chunks.select("header").distinct()
-    hit = heads.join(small(regions), F.lower("header").contains(F.lower("pattern"))).withColumn("begin", F.greatest("begin", F.lit(0)))
+    hit = meeting(heads, regions, id="header", literal=F.lower("pattern"), test=F.lower("header").contains(F.lower("pattern")), fold=F.lower).withColumn("begin", F.greatest("begin", F.lit(0)))
     hit = hit.where("begin < end").withColumn("chunk", F.explode(F.sequence(F.floor(F.col("begin") / width).cast("int"), F.floor((F.col("end") - 1) / width).cast("int"))))
     part = hit.join(chunks, ["header", "chunk"])
     low = F.greatest(F.col("begin") - F.col("chunk") * width, F.lit(0))
