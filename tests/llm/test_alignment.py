@@ -93,7 +93,7 @@ def test_many_runs_and_merges(documents, sides, monkeypatch):
     check(sides, documents.where("doc_id % 4 = 1").repartition(3), radix=3, buffer=700)
 
 
-STRANGE = [" two  spaces ", "<|endoftext|> and <s> </s> <unk>", "tab\tline\nend\n", "▁ already ▁▁", "é́ 漢字 😀🏳️‍🌈  ", "a\x00b", "ﬁ ① Å", "    ", " ", "\n", "'s 'll can't 1234567", "x" * 3000]
+STRANGE = [" two  spaces ", "<|endoftext|> and <s> </s> <unk>", "tab\tline\nend\n", "▁ already ▁▁", "é́ 漢字 😀🏳️‍🌈  ", "a\x00b", "ﬁ ① Å", "    ", " ", "\n", "'s 'll can't 1234567", "x" * 3000, " " * 5000 + "y", "ǅ ⅷ ١٢ a\u0300\u200d\ufeff \u2028 \xa0\u3000z", "WE'LL don'T _ __a1b2 \r\n\r\n \t x"]
 
 
 def test_strange_texts(spark, sides):
@@ -101,6 +101,17 @@ def test_strange_texts(spark, sides):
     check(sides, spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
 
 
+def test_both_libraries_agree(documents):
+    """The faster library's ids are those of the vocabulary's own one."""
+    a = alignment.side(read(A))
+    assert a.ranks
+    texts = [r["text"] for r in documents.collect()] + STRANGE
+    want = [e.ids for e in a.model.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert a.encode(texts) == want
+    a.ranks = None
+    assert a.encode(texts) == want
+
+
 def test_byte_values():
     """In the vocabulary, the letters of the 256 bytes are all there."""
     values, vocabulary = alignment.byte_values(), json.load(open(tokenizer(A)))["model"]["vocab"]
