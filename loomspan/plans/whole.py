@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from loomspan.functions import cigar
@@ -11,6 +13,7 @@ from loomspan.plans.catalog import GENES, ITEMS, CIGAR, alignments, genes, items
 from loomspan.plans.files import CLASSES, REPEATS, lines, paf_text, repeat_text
 from loomspan.session import kept, scratch
 from loomspan.sources import readers, writers
+from loomspan.streaming import running
 
 # Where the sample's labels belong.
 PLACES = """(VALUES ('DNA/hAT', 'DNA', '1', 'TIR', 'hAT'), ('LINE/L1', 'Retrotransposon', 'NA', 'LINE', 'L1'), ('LTR/Gypsy', 'Retrotransposon', 'NA', 'LTR', 'Gypsy'), ('SINE/tRNA', 'Retrotransposon', 'NA', 'SINE', 'tRNA'),
@@ -214,3 +217,34 @@ def family_pairs_counted(spark, d):
     """Pairs of family members on every two sequences, counted without being made."""
     out = families.pair_distances(genes(spark, d), family="og", id="gene", seq="seq", begin="b", end="e")
     return out.select(F.col("seq").alias("seq_a"), F.col("seq_r").alias("seq_b"), "pairs")
+
+
+def fed(spark, d, rows, time: str, files: int = 4) -> str:
+    """A folder of files that hold rows in order of time, written one after the other."""
+    low, high = (x.timestamp() for x in rows.agg(F.min(time), F.max(time)).first())
+    path = scratch(spark)
+    part = F.floor((F.unix_timestamp(time) - math.floor(low)) * files / (high - low + 1))
+    for k in range(files):
+        rows.where(part == k).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS low, median(value) AS median, max(value) AS high FROM events WHERE user_id % 3 <> 0 GROUP BY 1")
+def streaming_taken_back(spark, d):
+    """Events in several batches; those of every third user are taken back in the end."""
+    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    signed = rows.withColumn("sign", F.lit(1)).unionByName(rows.where("user_id % 3 = 0").withColumn("sign", F.lit(-1)))
+    out = running.kept_values(running.file_stream(spark, fed(spark, d, signed, "ts"), 1), group=["event_type"], value="value", sign="sign")
+    last = running.drained(out, "update", key=["event_type"])
+    return last.select("event_type", "n", F.round("mean", 6).alias("mean"), "low", "median", "high")
+
+
+@query("""WITH m AS (SELECT max(epoch_ms(ts)) - 3600000 AS mark FROM events)
+ SELECT CAST(floor(epoch(ts)) AS BIGINT) // 5400 * 5400 AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, m
+ WHERE CAST(floor(epoch(ts)) AS BIGINT) % 5400 < 3600 AND (CAST(floor(epoch(ts)) AS BIGINT) // 5400 * 5400 + 5400) * 1000 <= mark GROUP BY 1, 2""")
+def streaming_closed_windows(spark, d):
+    """Windows that the watermark, an hour behind the latest event, has closed: each told once, in append mode."""
+    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = running.file_stream(spark, fed(spark, d, rows, "ts"), 1)
+    out = running.jumping_windows(stream, time="ts", width=3600, jump=1800, group=["event_type"], value="value", late="1 hour")
+    return running.drained(out).withColumn("total", F.round("total", 4))
