@@ -397,21 +397,35 @@ def overlap_join(left: DataFrame, right: DataFrame, *, seq: str, begin: str, end
         return rows.take(np.flatnonzero((b == b[-1]) & (hi >= lo[-1])))
 
     def met(rows: pa.Table, done: int) -> Iterator[pa.RecordBatch]:
-        b, lo, hi, came = block(rows), column(rows, "_lo"), column(rows, "_hi"), column(rows, "_came").astype(bool)
+        b, lo, hi, came = block(rows), column(rows, "_lo"), column(rows, "_hi"), column(rows, "_came").astype(np.int64)
         begins, right = column(rows, "_b"), column(rows, "_side") == 1
         data = [rows.column(c).combine_chunks() for c in ("_l", "_r")]
         edges = np.r_[np.flatnonzero(np.r_[True, np.diff(b) != 0]), len(b)]
-        for start, stop in zip(edges, edges[1:]):
+        came_in = np.add.reduceat(came, edges[:-1])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            places = [pa.array(np.concatenate(k)) for k in zip(*held)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([f for d, k in zip(data, places) for f in d.take(k).flatten()], names=names)
+
+        for start, stop, some in zip(edges.tolist(), edges[1:].tolist(), came_in.tolist()):
             if stop <= done:
                 continue
-            new = max(done - start, int(came[start:stop].sum()))  # those that came in have met in a block before
+            new = max(done - start, some)  # those that came in have met in a block before
             for x, y in _meetings(lo[start:stop], hi[start:stop], right[start:stop], new):
                 x, y = x + start, y + start
                 if not closed:
                     on = (begins[x] < hi[y]) & (hi[x] > begins[y])
                     x, y = x[on], y[on]
-                fields = [f for d, k in zip(data, (x, y)) for f in d.take(pa.array(k)).flatten()]
-                yield pa.RecordBatch.from_arrays(fields, names=names)
+                held.append((x, y))
+                size += len(x)
+                if size >= PAIRS:
+                    yield out()
+                    size = 0
+        if held:
+            yield out()
 
     types = [T.StructField(n, f.dataType) for n, f in zip(names, [*left.schema.fields, *right.schema.fields])]
     return pieces.mapInArrow(meet, T.StructType(types))
