@@ -211,6 +211,28 @@ def _random(model: Model):
     return lambda m: F.transform(m, lambda x: _ratio(x, model.tables) >= bound(x))
 
 
+#: Spans that are looked through together.
+BLOCK = 128
+
+
+def _apart(spans: str, others: str) -> Column:
+    """The spans that overlap none of the others, which are ordered by start.
+
+    The others are taken in blocks with their furthest reach, so a span is held against blocks, and against single spans
+    only in blocks that it touches. The blocks are bound to a name, for else they were built anew for every span.
+    """
+    n = F.size(others)
+    numbers = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    def block(k: Column) -> Column:
+        part = F.slice(others, k * BLOCK + 1, F.lit(BLOCK))
+        return F.struct(part.alias("part"), part[0]["start"].alias("low"), F.array_max(F.transform(part, lambda y: y["end"])).alias("high"))
+
+    meets = lambda x, low, high: (low < x["end"]) & (x["start"] < high)
+    hit = lambda blocks, x: F.exists(blocks, lambda b: meets(x, b["low"], b["high"]) & F.exists(b["part"], lambda y: meets(x, y["start"], y["end"])))
+    return F.flatten(F.transform(F.array(F.transform(numbers, block)), lambda blocks: F.filter(spans, lambda x: ~hit(blocks, x))))
+
+
 def scanned(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, the base spans' counts and all spans of every row of docs.
 
@@ -224,7 +246,7 @@ def scanned(docs: DataFrame, model: Model | None = None) -> DataFrame:
     df = _matches(df, "text", "model", RUN, _random(model))
     df = df.select("doc_id", *[_spans(k).alias(k) for k in KINDS])
     df = df.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
-    free = F.filter("model", lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
+    free = _apart("model", "base")
     df = df.withColumn("spans", F.when(F.size("model") > 0, F.array_sort(F.concat("base", free))).otherwise(F.col("base")))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in BASE]
     return df.select("doc_id", *counts, "base", "spans")
