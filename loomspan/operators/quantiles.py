@@ -55,3 +55,8 @@ def beside(df: DataFrame, other: DataFrame, group: list[str], how: str = "inner"
     named = other.withColumnsRenamed({c: f"_g{i}" for i, c in enumerate(group)})
     meet = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)])
     return df.join(named, meet, how).drop(*[f"_g{i}" for i in range(len(group))])
+
+
+def with_quantiles(out: DataFrame, df: DataFrame, *, group: list[str], value: str, named: dict[str, float]) -> DataFrame:
+    """out, one row a group of df, with quantiles of a value; null for groups without any."""
+    return beside(out, quantiles(df, group=group, value=value, named=named), group, "left")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions.taxonomy import MITE_RULES, RULES, condition
@@ -53,16 +54,41 @@ def subset_check(df: DataFrame, patterns: DataFrame, *, id: str, pattern: str, l
     return per.select(label, "rows", F.bround(100 * F.col("rows") / F.col("_rows"), 2).alias("percent_rows"), "ids", F.bround(100 * F.col("ids") / F.col("_ids"), 2).alias("percent_ids"))
 
 
-def filter_audit(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """(rule, removed, percent): rows that each rule (a keep condition) and all of them together remove."""
+def _removals(rules: dict[str, Column]) -> tuple[list[str], list[Column]]:
+    """Names of the rules (keep conditions) and of all together, and aggregates of all rows and of those that each removes."""
     every = reduce(lambda a, b: a & b, rules.values())
-    gone = lambda keep: F.count_if(~F.coalesce(keep, F.lit(False)))
     named = {**rules, "combined": every}
-    one = df.agg(F.count("*").alias("_n"), *[gone(c).alias(f"_{i}") for i, c in enumerate(named.values())])
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"_{i}").alias("removed")) for i, k in enumerate(named)]))
+    return list(named), [F.count("*").alias("_n"), *[F.count_if(~F.coalesce(c, F.lit(False))).alias(f"_{i}") for i, c in enumerate(named.values())]]
+
+
+def _audit_table(one: DataFrame, names: list[str]) -> DataFrame:
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"_{i}").alias("removed")) for i, k in enumerate(names)]))
     return one.select("_n", rows.alias("r")).select("r.rule", "r.removed", F.bround(100 * F.col("r.removed") / F.col("_n"), 2).alias("percent"))
 
 
+def filter_audit(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """(rule, removed, percent): rows that each rule (a keep condition) and all of them together remove."""
+    names, counts = _removals(rules)
+    return _audit_table(df.agg(*counts), names)
+
+
+def filtered(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """The rows that all rules keep, and filter_audit's table, counted in the pass that first writes or counts these rows.
+
+    Ask for the table after that pass; it waits for it.
+    """
+    seen = Observation()
+    names, counts = _removals(rules)
+    kept_rows = df.observe(seen, *counts).where(reduce(lambda a, b: a & b, rules.values()))
+    columns = ["_n", *[f"_{i}" for i in range(len(names))]]
+
+    def told() -> DataFrame:
+        schema = ", ".join(f"{c} long" for c in columns)
+        return _audit_table(df.sparkSession.createDataFrame([tuple(seen.get[c] for c in columns)], schema), names)
+
+    return kept_rows, told
+
+
 #: Alignment filter presets: (mapping quality at least, alignment length above). Fixed values.
 PRESETS = {"low": (0, 600), "high": (45, 3500), "strict": (60, 5000)}
 

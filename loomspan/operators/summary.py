@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.operators.quantiles import beside, quantile, quantiles, ranked_values
+from loomspan.operators.quantiles import beside, quantile, quantiles, ranked_values, with_quantiles
 from loomspan.session import kept
 
 
@@ -30,11 +30,11 @@ def summarised(df: DataFrame, *, keys: list[str], naive: str, algor: str, overla
         F.sum(algor).alias("algor_totbp"),
         F.count_if(best).alias("best_numele"),
         F.sum(F.when(best, F.col(naive))).alias("best_totbp"),
-        F.median(value).alias("value_median"),
         F.avg(value).alias("value_mean"),
         F.mode(F.floor(value), True).alias("mode_floor"),
     ).where("best_numele > 0")
-    return sums.join(mode_or_null(rows, keys, value), keys, "left")
+    out = with_quantiles(sums, rows, group=keys, value=value, named={"value_median": 0.5})
+    return out.join(mode_or_null(rows, keys, value), keys, "left")
 
 
 def rolled_up(df: DataFrame, *, by: list[str], levels: list[str], measures: dict[str, Column]) -> DataFrame:
@@ -257,8 +257,9 @@ def divergence_table(df: DataFrame, sizes: DataFrame, *, group: list[str], on: s
     """Per group, with overlapping rows Included and Excluded: megabases, percent of the size of `on`, and median, mean,
     deviation and maximum of a value, to two places."""
     kinds = F.array_compact(F.array(F.lit("Included"), F.when(~F.col(overlapping), F.lit("Excluded"))))
-    rows = df.withColumn("overlap", F.explode(kinds)).groupBy(*group, "overlap")
-    out = rows.agg(F.sum(bp).alias("_bp"), F.median(value).alias("median"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.max(value).alias("max"))
+    rows = df.withColumn("overlap", F.explode(kinds))
+    out = rows.groupBy(*group, "overlap").agg(F.sum(bp).alias("_bp"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.max(value).alias("max"))
+    out = with_quantiles(out, rows, group=[*group, "overlap"], value=value, named={"median": 0.5})
     out = out.join(sizes.select(on, F.col(size).alias("_size")), on).withColumns({"mb": F.col("_bp") / 1e6, "percent": 100 * F.col("_bp") / F.col("_size")})
     return out.drop("_bp", "_size").withColumns({c: F.round(c, 2) for c in ("mb", "percent", "median", "mean", "sd", "max")})
 
@@ -266,9 +267,8 @@ def divergence_table(df: DataFrame, sizes: DataFrame, *, group: list[str], on: s
 def described(df: DataFrame, *, group: list[str], value: str, drop_zero: bool = True) -> DataFrame:
     """Count, mean, deviation, minimum, quartiles and maximum of a value, zeros left out if asked."""
     rows = df.where(F.col(value) != 0) if drop_zero else df
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.groupBy(*group).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), q.alias("_q"), F.max(value).alias("max"))
-    return out.withColumns({"q25": F.col("_q")[0], "q50": F.col("_q")[1], "q75": F.col("_q")[2]}).drop("_q")
+    out = rows.groupBy(*group).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return with_quantiles(out, rows, group=group, value=value, named={"q25": 0.25, "q50": 0.5, "q75": 0.75})
 
 
 def type_frequency(df: DataFrame, *, kind: str) -> DataFrame:
@@ -304,7 +304,7 @@ def stacked_occupancy(df: DataFrame, regions: DataFrame, *, seq: str, by: list[s
 
 def weighted_divergence(df: DataFrame, *, keys: list[str], value: str, bp: str) -> DataFrame:
     """(keys, bp, value_median, weighted): resolved bases, the median divergence in percent, and the bases it stands for."""
-    out = df.groupBy(*keys).agg(F.sum(bp).alias(bp), F.median(value).alias("value_median"))
+    out = with_quantiles(df.groupBy(*keys).agg(F.sum(bp).alias(bp)), df, group=keys, value=value, named={"value_median": 0.5})
     return out.withColumn("weighted", F.col("value_median") * F.col(bp) / 100)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.operators.quantiles import beside, quantiles, ranked_values
+from loomspan.operators.quantiles import beside, quantiles, ranked_values, with_quantiles
 from loomspan.session import small
 
 
@@ -37,8 +37,10 @@ def jumping(df: DataFrame, sizes: DataFrame, *, seq: str, begin: str, length: st
     rows = df.where(inside).withColumn("window", F.floor(F.col(begin) / step).cast("int"))
     aggs = [F.count("*").alias("count"), F.sum(length).alias("bp")]
     for v in values:
-        aggs += [F.median(v).alias(f"{v}_median"), F.avg(v).alias(f"{v}_mean"), F.stddev_samp(v).alias(f"{v}_sd")]
+        aggs += [F.avg(v).alias(f"{v}_mean"), F.stddev_samp(v).alias(f"{v}_sd")]
     sums = rows.groupBy(seq, "window").agg(*aggs)
+    for v in values:
+        sums = with_quantiles(sums, rows, group=[seq, "window"], value=v, named={f"{v}_median": 0.5})
     sized = sizes.withColumn("_zero", F.lit(0))
     out = grid(sized, seq=seq, start="_zero", end=stop, step=step, width=width).join(sums, [seq, "window"], "left")
     return out.na.fill(0, [c for c in out.columns if c not in (seq, "window", "window_begin", "window_end")])
@@ -124,15 +126,15 @@ def outlier_summary(df: DataFrame, *, group: list[str], columns: list[str], fact
     rows = df.select(*group, F.expr(f"stack({len(columns)}, {', '.join(f'{c!r}, cast({c} as double)' for c in columns)}) as (column, value)"))
     keys = [*group, "column"]
     told = outliers(rows.where("value is not null"), group=keys, value="value", factor=factor)
-    return told.groupBy(*keys).agg(
+    out = told.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.sum("value").alias("sum"),
         F.avg("value").alias("mean"),
-        F.median("value").alias("median"),
         F.max("value").alias("max"),
         F.count_if(F.col("outlier") == "high").alias("high"),
         F.count_if(F.col("outlier") == "low").alias("low"),
     )
+    return with_quantiles(out, rows, group=keys, value="value", named={"median": 0.5}).select(*keys, "n", "sum", "mean", "median", "max", "high", "low")
 
 
 def relation_windows(df: DataFrame, sizes: DataFrame, *, seq: str, position: str, start: str, stop: str, width: int, relation: str, tier: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.functions import cigar
@@ -27,9 +27,10 @@ def loaded(spark: SparkSession, repeats: dict[str, str], indices: dict[str, str]
     Raises one error that lists all that is wrong: indices without repeats, species without rows, subsets that match no row.
     """
     checked(repeats, indices)
-    rows = readers.preprocessed_repeats(spark, repeats)
-    there = {r["Species"] for r in rows.select("Species").distinct().collect()}  # the species given
-    faults = [f"no repeats of {s}" for s in repeats if s not in there]
+    seen = Observation()
+    there = [F.count_if(F.col("Species") == s).alias(f"_{i}") for i, s in enumerate(repeats)]
+    rows = kept(readers.preprocessed_repeats(spark, repeats).observe(seen, *there))  # the texts are read once
+    faults = [f"no repeats of {s}" for i, s in enumerate(repeats) if not seen.get[f"_{i}"]]
     index = readers.subset_index(spark, indices) if indices else None
     if index is not None:
         ids = rows.select("Species", "sequid").distinct()
@@ -46,7 +47,10 @@ def preprocess_repeats(spark: SparkSession, path: str, sequential: bool = False)
 
     Rows are numbered once, in a table of their own: both uses see the same numbers, whatever is run again.
     """
-    rows = kept(readers.repeats(spark, path, fail=True).withColumn("_id", F.monotonically_increasing_id()))
+    rows, seen = readers.observed_repeats(spark, path)
+    rows = kept(rows.withColumn("_id", F.monotonically_increasing_id()))  # bad lines are counted in the same pass
+    if seen.get["bad"]:
+        raise ValueError(f"{seen.get['bad']} of {seen.get['lines']} lines without 15 fields and an optional mark: {seen.get['example']!r}")
     if sequential:
         won = intervals.resolve_overlap_sequential(rows, seq="sequid", begin="begin", end="end", score="score_SW", order="_id")
     else:

@@ -172,7 +172,8 @@ def job_mapped_positions(spark, d):
 
 @query(SIDES + MERGED + """, c AS (SELECT sequid, 'ali_len' AS region, ali AS bp FROM s UNION ALL SELECT sequid, 'Ins', ins FROM s UNION ALL SELECT sequid, 'Del', del FROM s UNION ALL SELECT sequid, 'unmapped', e - b FROM g WHERE region = 'unmapped'),
  t AS (SELECT sequid, region, CASE WHEN count(*) > 1 THEN CAST(CAST(median(bp) AS DOUBLE) AS VARCHAR) || ' ± ' || CAST(floor(1.96 * stddev_samp(bp)) AS BIGINT) ELSE 'NA' END AS told FROM c GROUP BY 1, 2),
- v AS (SELECT sequid, round_even(CAST(100 * sum(e - b) AS DOUBLE) / any_value(size), 2) AS percent FROM u GROUP BY 1)
+ x AS (SELECT sequid, CAST(10000 * sum(e - b) AS BIGINT) AS n, any_value(size) AS z FROM u GROUP BY 1),
+ v AS (SELECT sequid, (n // z + CASE WHEN 2 * (n % z) > z OR (2 * (n % z) = z AND n // z % 2 = 1) THEN 1 ELSE 0 END) / 100 AS percent FROM x)
  SELECT v.sequid, v.percent, coalesce(max(told) FILTER (region = 'unmapped'), 'NA') AS unmapped, coalesce(max(told) FILTER (region = 'ali_len'), 'NA') AS ali_len, coalesce(max(told) FILTER (region = 'Del'), 'NA') AS "Del", coalesce(max(told) FILTER (region = 'Ins'), 'NA') AS "Ins"
  FROM v LEFT JOIN t USING (sequid) GROUP BY 1, 2""")
 def job_coordinates(spark, d):
@@ -248,3 +249,47 @@ def streaming_closed_windows(spark, d):
     stream = running.file_stream(spark, fed(spark, d, rows, "ts"), 1)
     out = running.jumping_windows(stream, time="ts", width=3600, jump=1800, group=["event_type"], value="value", late="1 hour")
     return running.drained(out).withColumn("total", F.round("total", 4))
+
+
+@query("SELECT count(*) AS lines, count(*) FILTER (l_linenumber <> 3) AS bad FROM lineitem")
+def source_lines_observed(spark, d):
+    """Lines of 13 to 19 fields, counted while their table is written: one scan of the text."""
+    t = table(spark, d, "lineitem")
+    text = F.concat_ws(" ", F.col("l_orderkey").cast("string"), F.array_repeat(F.lit("1"), (F.col("l_linenumber") + 11).cast("int")))
+    rows, seen = readers.observed_repeats(spark, lines(spark, t, text))
+    written = kept(rows)
+    return written.agg(F.lit(seen.get["lines"]).cast("long").alias("lines"), F.lit(seen.get["bad"]).cast("long").alias("bad"))
+
+
+@query("""WITH c AS (SELECT count(*) AS n, count(*) FILTER (l_quantity < 10) AS a, count(*) FILTER (l_discount > 0.05) AS b, count(*) FILTER (l_quantity < 10 OR l_discount > 0.05) AS c FROM lineitem)
+ SELECT v.rule, v.removed, round_even(100.0 * v.removed / n, 2) AS percent FROM c, LATERAL (VALUES ('long', a), ('cheap', b), ('combined', c)) AS v(rule, removed)""")
+def filter_observed(spark, d):
+    """What two rules remove, counted while the rows that they keep are written."""
+    rows, told = recode.filtered(table(spark, d, "lineitem"), {"long": F.col("l_quantity") >= 10, "cheap": F.col("l_discount") <= 0.05})
+    kept(rows)
+    return told()
+
+
+@query("""SELECT o_orderkey % 4 AS round, 1 + o_orderkey % 2 AS replicate, count(*) AS n, round(sum(o_totalprice), 2) AS likelihood, CAST(sum(o_orderkey % 5) AS DOUBLE) AS a, CAST(sum(CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 7 END) AS DOUBLE) AS c FROM orders GROUP BY 1, 2""")
+def source_logs_typed(spark, d):
+    """Logs under two headers with different parameters; values that are numbers come as numbers."""
+    o = table(spark, d, "orders")
+    third = F.col("o_orderkey") % 3 == 0
+    head = F.concat(F.lit("Model\tReplicate\tlog-likelihood\toptimized_params("), F.when(third, "a, c)").otherwise("a, b)"))
+    last = F.concat(F.col("o_orderkey") % 5, F.lit(","), F.when(third, (F.col("o_custkey") % 7).cast("string")).otherwise("none"))
+    replicate = F.concat(F.lit("Round_"), F.col("o_orderkey") % 4, F.lit("_Replicate_"), 1 + F.col("o_orderkey") % 2)
+    rows = readers.optimisation_logs(spark, lines(spark, o, head, F.concat_ws("\t", F.lit("x_1"), replicate, "o_totalprice", last), sep="\n"))
+    value = lambda c: F.sum(F.col("numbers")[c])
+    out = rows.groupBy(F.col("round").cast("long").alias("round"), F.col("replicate").cast("long").alias("replicate"))
+    return out.agg(F.count("*").alias("n"), F.round(value("log-likelihood"), 2).alias("likelihood"), value("a").alias("a"), value("c").alias("c"))
+
+
+@query("SELECT true AS about, true AS there, true AS differ")
+def lines_sampled_twice(spark, d):
+    """Samples of 1000 lines: within five standard deviations of that, all of the text, and other ones for another seed."""
+    t = table(spark, d, "lineitem").withColumn("k", F.monotonically_increasing_id())
+    path = lines(spark, t, "k", "l_orderkey")
+    one, other = (kept(readers.sampled_lines(spark, path, 1000, seed)) for seed in (1, 2))
+    there = one.join(spark.read.text(path), "value", "left_semi").count() == one.count()
+    differ = one.join(other, "value", "left_anti").count() > 0
+    return one.agg(F.count("*").between(840, 1160).alias("about"), F.lit(there).alias("there"), F.lit(differ).alias("differ"))

@@ -5,7 +5,7 @@ Lines that don't have the fields a format asks for are given apart, by `bad_rows
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,21 +36,35 @@ def repeat_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("fields", F.split(F.trim("value"), r"\s+"))
 
 
+def _good() -> Column:
+    """Whether a repeat line has 15 fields, or a 16th that is the overlap mark."""
+    n = F.size("fields")
+    return (n == 15) | ((n == 16) & (F.element_at("fields", -1) == "*"))
+
+
 def bad_rows(spark: SparkSession, path: str) -> DataFrame:
     """(value): repeat lines without 15 fields, or a 16th that is the overlap mark."""
-    n = F.size("fields")
-    good = (n == 15) | ((n == 16) & (F.element_at("fields", -1) == "*"))
-    return repeat_lines(spark, path).where(~good).select("value")
+    return repeat_lines(spark, path).where(~_good()).select("value")
+
+
+def _repeat_table(lines: DataFrame) -> DataFrame:
+    out = lines.where(_good()).select(*_typed(F.col("fields"), REPEAT_FIELDS), (F.size("fields") == 16).alias("overlapping"))
+    return out.drop(*DROPPED).withColumn("bp_naive", F.abs(F.col("end") - F.col("begin")) + 1)
 
 
 def repeats(spark: SparkSession, path: str, fail: bool = False) -> DataFrame:
     """Raw repeat annotation: 11 kept columns without the match positions, overlapping (16th field '*'), bp_naive."""
     if fail and not (bad := bad_rows(spark, path)).isEmpty():
         raise ValueError(f"a line without 15 fields and an optional mark: {bad.first()[0]!r}")
-    rows = repeat_lines(spark, path).where(F.size("fields").isin(15, 16))
-    mark = F.size("fields") == 16
-    out = rows.where(~mark | (F.element_at("fields", -1) == "*")).select(*_typed(F.col("fields"), REPEAT_FIELDS), mark.alias("overlapping"))
-    return out.drop(*DROPPED).withColumn("bp_naive", F.abs(F.col("end") - F.col("begin")) + 1)
+    return _repeat_table(repeat_lines(spark, path))
+
+
+def observed_repeats(spark: SparkSession, path: str) -> tuple[DataFrame, Observation]:
+    """repeats' table, and what is seen of its lines while the table is first written or counted: lines, bad, example (a bad line)."""
+    seen = Observation()
+    bad = ~_good()
+    lines = repeat_lines(spark, path).observe(seen, F.count("*").alias("lines"), F.count_if(bad).alias("bad"), F.max(F.when(bad, F.col("value"))).alias("example"))
+    return _repeat_table(lines), seen
 
 
 def preprocessed_repeats(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -239,9 +253,10 @@ def excerpts(chunks: DataFrame, regions: DataFrame, width: int = 1 << 16) -> Dat
 
 
 def optimisation_logs(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, round, replicate, model, execution, values): logs whose header is repeated with other parameter names.
+    """(file, line, round, replicate, model, execution, values, numbers): logs whose header is repeated with other parameter names.
 
-    The last header field is name(p1, p2, ...), its values are comma-joined; values maps every column and parameter to text.
+    The last header field is name(p1, p2, ...), its values are comma-joined; values maps every column and parameter to text,
+    numbers those that are numbers to doubles. round, replicate and execution are numbers, null where they aren't.
     Files are small logs, one task each.
     """
     whole = spark.read.text(path, wholetext=True)
@@ -253,8 +268,9 @@ def optimisation_logs(spark: SparkSession, path: str) -> DataFrame:
     names = F.concat(F.slice(h, 1, F.size(h) - 1), params)
     values = F.concat(F.slice(v, 1, F.size(h) - 1), F.split(F.element_at(v, -1), ","))
     rows = rows.where(F.size(names) == F.size(values)).withColumn("values", F.map_from_arrays(names, F.transform(values, lambda x: F.trim(x))))
+    numbers = F.map_filter(F.transform_values("values", lambda _, x: x.try_cast("double")), lambda _, x: x.isNotNull())
     rep, mod = F.split(F.col("values")["Replicate"], "_"), F.split(F.col("values")["Model"], "_")
-    return rows.select("file", "line", F.get(rep, F.lit(1)).alias("round"), F.get(rep, F.lit(3)).alias("replicate"), mod[0].alias("model"), F.get(mod, F.lit(1)).alias("execution"), "values")
+    return rows.select("file", "line", F.get(rep, F.lit(1)).try_cast("int").alias("round"), F.get(rep, F.lit(3)).try_cast("int").alias("replicate"), mod[0].alias("model"), F.get(mod, F.lit(1)).try_cast("int").alias("execution"), "values", numbers.alias("numbers"))
 
 
 def sampled_lines(spark: SparkSession, path: str, lines: int, seed: int = 1) -> DataFrame:
