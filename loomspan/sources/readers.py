@@ -256,7 +256,7 @@ def optimisation_logs(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, round, replicate, model, execution, values, numbers): logs whose header is repeated with other parameter names.
 
     The last header field is name(p1, p2, ...), its values are comma-joined; values maps every column and parameter to text,
-    numbers those that are numbers to doubles. round, replicate and execution are numbers, null where they aren't.
+    numbers those that are numbers to doubles; round, replicate, model and execution are parts of names, so text.
     Files are small logs, one task each.
     """
     whole = spark.read.text(path, wholetext=True)
@@ -270,7 +270,7 @@ def optimisation_logs(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.where(F.size(names) == F.size(values)).withColumn("values", F.map_from_arrays(names, F.transform(values, lambda x: F.trim(x))))
     numbers = F.map_filter(F.transform_values("values", lambda _, x: x.try_cast("double")), lambda _, x: x.isNotNull())
     rep, mod = F.split(F.col("values")["Replicate"], "_"), F.split(F.col("values")["Model"], "_")
-    return rows.select("file", "line", F.get(rep, F.lit(1)).try_cast("int").alias("round"), F.get(rep, F.lit(3)).try_cast("int").alias("replicate"), mod[0].alias("model"), F.get(mod, F.lit(1)).try_cast("int").alias("execution"), "values", numbers.alias("numbers"))
+    return rows.select("file", "line", F.get(rep, F.lit(1)).alias("round"), F.get(rep, F.lit(3)).alias("replicate"), mod[0].alias("model"), F.get(mod, F.lit(1)).alias("execution"), "values", numbers.alias("numbers"))
 
 
 def sampled_lines(spark: SparkSession, path: str, lines: int, seed: int = 1) -> DataFrame:
