@@ -128,3 +128,18 @@ def test_long_and_short_intervals_meet_once(spark, monkeypatch):
         monkeypatch.setattr(intervals, "MET", few)
         got = intervals.overlapping_pairs(df, **KEYS, id="id").collect()
         assert sorted((r["id"], r["id_r"]) for r in got) == want
+
+
+def test_a_stretch_may_end_with_a_whole_block():
+    """Many short sequences: where all rows of a batch's last block begin at one place, the blocks before it end for good."""
+    import pandas as pd
+
+    parts = [[("a", 1, 9), ("a", 3, 20), ("b", 5, 8)], [("b", 5, 30), ("c", 2, 4)], [("d", 1, 2)]]
+    frames, id = [], 0
+    for part in parts:
+        rows = [(s, 0, b, e, b, 7.0, id + k) for k, (s, b, e) in enumerate(part)]
+        id += len(part)
+        frames.append(pd.DataFrame(rows, columns=["seq", "_n", "_lo", "_hi", "b", "score", "id"]))
+    for stretch in (1, 2, 3, 100):
+        out = pd.concat(intervals._resolved(iter(frames), ["seq", "b", "score", "id"], "bp", stretch))
+        assert out.groupby("id")["bp"].sum().to_dict() == {0: 2, 1: 18, 2: 0, 3: 26, 4: 3, 5: 2}
