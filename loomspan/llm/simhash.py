@@ -109,13 +109,14 @@ def _next_texts(docs: DataFrame) -> DataFrame:
     Rows of one doc_id are numbered (_k) by their texts; the next document is the first row of the next id. A window's last
     document gets the first of the next window that has any, found over the list of windows. Null ids have no place.
     """
+    bin = _windows(docs)  # told once: quantiles of many ids may come out otherwise another time
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), or_empty(F.col("text")).alias("text"))
-    rows = rows.withColumn("_bin", _windows(docs)).where("_bin is not null")  # as joins infer, so that both uses share a shuffle
+    rows = rows.withColumn("_bin", bin).where("_bin is not null")  # as joins infer, so that both uses share a shuffle
     order, same = Window.partitionBy("_bin").orderBy("doc_id", "text"), Window.partitionBy("_bin", "doc_id").orderBy("text")
     rows = rows.withColumns({"_next_id": F.lead("doc_id").over(order), "_next_text": F.lead("text").over(order), "_n": F.row_number().over(order)})
     whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     seen = rows.withColumns({"_k": F.row_number().over(same), "_next_id": F.last("_next_id").over(whole), "_next_text": F.last("_next_text").over(whole)})
-    bins = written(docs.where("doc_id is not null").select(_windows(docs).alias("_bin")).distinct())
+    bins = written(docs.where("doc_id is not null").select(bin.alias("_bin")).distinct())
     firsts = seen.where("_n = 1").select("_bin", F.col("doc_id").alias("_first_id"), F.col("text").alias("_first_text"))
     firsts = firsts.withColumnRenamed("_bin", "_next_bin").join(_next_bins(bins), "_next_bin").select("_bin", "_first_id", "_first_text")
     return seen.join(firsts, "_bin", "left").select(

@@ -56,6 +56,19 @@ def check_simhash(docs):
     return rows, after, got
 
 
+def test_simhash_windows_that_come_out_otherwise(documents, monkeypatch):
+    """Approximate quantiles depend on the order in which parts arrive; all uses of the windows see the same ones."""
+    told, widths = simhash._windows, iter([64, 3, 11])
+
+    def other(docs):
+        monkeypatch.setattr(simhash, "IDS", next(widths))
+        return told(docs)
+
+    monkeypatch.setattr(simhash, "_windows", other)
+    monkeypatch.setattr(simhash, "RANGES", 4)
+    check_simhash(documents)
+
+
 def test_simhash(spark, docs):
     rows, after, got = check_simhash(docs)
     by_text, prints = {}, [int(r["fingerprint"], 16) for r in got]
