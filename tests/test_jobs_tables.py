@@ -32,3 +32,12 @@ def test_alignment_stats(spark, monkeypatch):
     tables = jobs.alignment_stats(spark, paf_text(spark, DATA), [("all", ".")])
     assert tables["indels"].count() == 4 and tables["sizes"].count() > 2
     assert tables["regions"] is tables["regions"]
+
+
+def test_rows_are_counted_before_they_are_classified(spark, monkeypatch):
+    """What meets the taxonomy grows with labels and values, not with rows."""
+    rows = readers.repeats(spark, repeat_text(spark, DATA)).withColumns({"Species": F.lit("sp"), "bp_algor": F.col("bp_naive")})
+    seen, classified = [], jobs.recode.classified
+    monkeypatch.setattr(jobs.recode, "classified", lambda df, **how: seen.append(df.count()) or classified(df, **how))
+    jobs.repeat_distributions(rows)["divergence"]
+    assert seen == [rows.select("Species", "default_repclass", "perc_divg").distinct().count()] and seen[0] < 200 < rows.count()
