@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.operators.intervals import distance, ends_inside
 from loomspan.operators.scans import Running, dealt
+from loomspan.session import kept
 
 
 def presence(df: DataFrame, *, family: str, seq: str) -> DataFrame:
@@ -14,29 +18,69 @@ def presence(df: DataFrame, *, family: str, seq: str) -> DataFrame:
     return df.groupBy(family, seq).agg(F.count("*").alias("members"))
 
 
-#: Sequences of a family that meet in one task.
+#: Sequences of a family that meet in one row.
 MEETING = 256
+#: Pairs of sequences that a task adds up.
+PAIRS = 4_000_000
+#: Families of a sequence beyond which several tasks add up its pairs.
+OFTEN = 100_000
 
 
-def _pairs_of_sequences(df: DataFrame, family: str, seq: str) -> DataFrame:
-    """(family, seq_a, seq_b, _a, _b), seq_a <= seq_b: the sequences of each family, two by two, and the members on them.
+def _pairs_of_sequences(df: DataFrame, family: str, seq: str, counts: dict[str, Column] | None = None) -> DataFrame:
+    """(seq_a, seq_b, a, b), seq_a <= seq_b: the sequences of each family, two by two, and the counts of members on them (structs).
 
-    A family on many sequences is cut into blocks of them, and every two blocks meet on a key of their own.
+    A family's sequences are gathered in one row, in order, and sent on as one row a sequence with those behind it: far fewer
+    rows than pairs. A family on many sequences is cut into blocks of them, and every two blocks meet in a row of their own.
     """
-    p = presence(df.where(F.col(family).isNotNull() & F.col(seq).isNotNull()), family=family, seq=seq)
-    blocks = p.groupBy(family).agg(F.ceil(F.count("*") / MEETING).cast("int").alias("_blocks"))
-    p = p.join(blocks, family).withColumn("_block", F.pmod(F.xxhash64(seq), F.col("_blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    a = p.select(family, F.col(seq).alias("seq_a"), F.col("members").alias("_a"), F.col("_block").alias("_x"), every.alias("_y"))
-    b = p.select(family, F.col(seq).alias("seq_b"), F.col("members").alias("_b"), every.alias("_x"), F.col("_block").alias("_y"))
-    return a.join(b, [family, "_x", "_y"]).where("seq_a <= seq_b").drop("_x", "_y")
+    counts = counts or {"n": F.count("*")}
+    known = df.where(F.col(family).isNotNull() & F.col(seq).isNotNull())
+    p = kept(known.groupBy(F.col(family).alias("_f"), F.col(seq).alias("seq")).agg(*[c.cast("long").alias(n) for n, c in counts.items()]))
+    sizes = kept(p.groupBy("_f").agg(F.count("*").alias("_n")))
+    pairs = sizes.agg(F.coalesce(F.sum(F.col("_n").cast("double") * (F.col("_n") + 1) / 2), F.lit(0.0))).first()[0]
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, int(pairs // PAIRS) + 1)
+    large = sizes.where(F.col("_n") > MEETING).select("_f", F.ceil(F.col("_n") / MEETING).cast("int").alias("_blocks"))
+    p = p.join(large, "_f", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    p = p.withColumn("_block", F.pmod(F.xxhash64("seq"), F.col("_blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_o")
+    member = F.struct("seq", *counts, "_block")
+    cells = p.select("_f", member.alias("m"), F.col("_block"), other)
+    cells = cells.select("_f", F.least("_block", "_o").alias("_x"), F.greatest("_block", "_o").alias("_y"), "m").repartition(tasks, "_f", "_x", "_y")
+    cells = cells.groupBy("_f", "_x", "_y").agg(F.sort_array(F.collect_list("m")).alias("all"))
+    each = cells.select("*", F.posexplode("all").alias("i", "a"))
+    behind = F.slice("all", F.col("i") + 1, F.size("all") - F.col("i"))
+    behind = F.when(F.col("_x") == F.col("_y"), behind).otherwise(F.filter(behind, lambda b: b["_block"] != F.col("a._block")))
+    rows = each.select("_f", F.col("a.seq").alias("seq_a"), *[F.col(f"a.{n}").alias(f"_a_{n}") for n in counts], behind.alias("b"))
+    columns = ["seq", *counts]
+    rows = rows.where(F.size("b") > 0).select("_f", "seq_a", *[f"_a_{n}" for n in counts], *[F.col(f"b.{c}").alias(f"_b_{c}") for c in columns])
+    often = kept(p.groupBy(F.col("seq").alias("seq_a")).agg(F.ceil(F.count("*") / OFTEN).cast("int").alias("_parts")).where("_parts > 1"))
+    if often.isEmpty():
+        rows = rows.repartition(tasks, "seq_a")
+    else:  # one row for every 100,000 rows of p at most
+        rows = rows.join(F.broadcast(often), "seq_a", "left")
+        rows = rows.repartition(tasks, "seq_a", F.pmod(F.xxhash64("_f"), F.coalesce("_parts", F.lit(1))))
+    b = F.explode(F.arrays_zip(*[f"_b_{c}" for c in columns])).alias("b")
+    both = rows.select("seq_a", F.struct(*[F.col(f"_a_{n}").alias(n) for n in counts]).alias("a"), b)
+    return both.select("seq_a", F.col("b._b_seq").alias("seq_b"), "a", F.struct(*[F.col(f"b._b_{n}").alias(n) for n in counts]).alias("b"))
+
+
+def _summed_pairs(df: DataFrame, family: str, seq: str, counts: dict[str, Column], sums: dict[str, Column]) -> DataFrame:
+    """(seq_a, seq_b, *sums), seq_a <= seq_b: sums over the families that are on both sequences.
+
+    counts: of a family's members on a sequence; sums: what a family adds, from a.<count>, b.<count>, seq_a and seq_b.
+    """
+    both = _pairs_of_sequences(df, family, seq, counts)
+    return both.groupBy("seq_a", "seq_b").agg(*[F.sum(c).cast("long").alias(n) for n, c in sums.items()])
+
+
+def _pairs(count: str) -> Column:
+    """How many pairs the members on seq_a and seq_b make."""
+    return F.when(F.col("seq_a") == F.col("seq_b"), F.expr(f"a.{count} * (a.{count} - 1) div 2")).otherwise(F.col(f"a.{count}") * F.col(f"b.{count}"))
 
 
 def linkage(df: DataFrame, *, family: str, seq: str) -> DataFrame:
     """(seq_a, seq_b, links), seq_a <= seq_b: over families, n(n-1)/2 within a sequence and ceil(n1 n2 / 2) between two."""
-    both = _pairs_of_sequences(df, family, seq)
-    n = F.when(F.col("seq_a") == F.col("seq_b"), F.expr("_a * (_a - 1) div 2")).otherwise(F.ceil(F.col("_a") * F.col("_b") / 2))
-    return both.groupBy("seq_a", "seq_b").agg(F.sum(n).cast("long").alias("links")).where("links > 0")
+    n = F.when(F.col("seq_a") == F.col("seq_b"), _pairs("n")).otherwise(F.ceil(_pairs("n") / 2))
+    return _summed_pairs(df, family, seq, {"n": F.count("*")}, {"links": n}).where("links > 0")
 
 
 def family_pairs(df: DataFrame, *, family: str, id: str) -> DataFrame:
@@ -49,12 +93,15 @@ def family_pairs(df: DataFrame, *, family: str, id: str) -> DataFrame:
 NEAR = (10**4, 10**5, 10**6)
 
 
-def _pair_counts(rows: DataFrame, *, family: str, seq: str, begin: str, end: str) -> DataFrame:
-    """(seq_a, seq_b, pairs, _n<bound>..., total): pairs of members, how many are at least so far apart, and their summed distance.
+def _far_apart(rows: DataFrame, *, family: str, seq: str, begin: str, end: str) -> DataFrame:
+    """(seq_a, seq_b, _n<bound>..., total), seq_a = seq_b: how many pairs of members are at least so far apart, and their summed distance.
 
     The distance of two members is how far the later begin lies behind the earlier end, so a scan over begins and ends in
-    order, each end shifted by each bound, counts at every begin the ends that lie further back.
+    order, each end shifted by each bound, counts at every begin the ends that lie further back. Members alone with their
+    family on a sequence take no part.
     """
+    several = rows.groupBy(F.col(family).alias("_f"), F.col(seq).alias("_s")).agg(F.count("*").alias("_m")).where("_m > 1")
+    rows = rows.join(several, (F.col(family) == F.col("_f")) & (F.col(seq) == F.col("_s")), "left_semi")
     kinds = [("_begin", F.col(begin)), *[(f"_t{t}", F.col(end) + t) for t in (0, *NEAR)]]
     event = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), at.cast("long").alias("at"), F.col(end).cast("long").alias("end")) for k, at in kinds]))
     events = rows.select(family, seq, event.alias("e")).select(family, seq, (F.col("e.kind") == "_begin").alias("_start"), F.col("e.at").alias("_at"), "e.kind", "e.end")
@@ -62,10 +109,7 @@ def _pair_counts(rows: DataFrame, *, family: str, seq: str, begin: str, end: str
     counted["_ends"] = Running("sum", F.when(F.col("kind") == "_t0", F.col("end")))
     # ends at a place come before begins there
     seen = dealt(events, key=[family, seq], order=["_at", "_start"]).running(**counted).rows.where("_start").na.fill(0, [*counted])
-    sums = seen.groupBy(F.col(seq).alias("seq_a"), F.col(seq).alias("seq_b")).agg(*[F.sum(f"_n{t}").alias(f"_n{t}") for t in NEAR], F.sum(F.col("_at") * F.col("_n0") - F.col("_ends")).alias("total"))
-    n = F.when(F.col("seq_a") == F.col("seq_b"), F.expr("_a * (_a - 1) div 2")).otherwise(F.col("_a") * F.col("_b"))
-    pairs = _pairs_of_sequences(rows, family, seq).groupBy("seq_a", "seq_b").agg(F.sum(n).cast("long").alias("pairs"))
-    return pairs.join(sums, ["seq_a", "seq_b"], "left")
+    return seen.groupBy(F.col(seq).alias("seq_a"), F.col(seq).alias("seq_b")).agg(*[F.sum(f"_n{t}").alias(f"_n{t}") for t in NEAR], F.sum(F.col("_at") * F.col("_n0") - F.col("_ends")).alias("total"))
 
 
 def pair_distances(df: DataFrame, *, family: str, id: str, seq: str, begin: str, end: str) -> DataFrame:
@@ -75,15 +119,23 @@ def pair_distances(df: DataFrame, *, family: str, id: str, seq: str, begin: str,
     or coordinates take no part, and members of equal id are no pair. Pairs are counted, not made, so a family may have any
     size: it is dealt to many tasks.
     """
-    rows = df.dropna(subset=[family, id, seq, begin, end]).select(family, id, seq, begin, end)
+    rows = df.dropna(subset=[family, id, seq, begin, end])
+    return _distances(rows, _summed_pairs(rows, family, seq, {"n": F.count("*")}, {"pairs": _pairs("n")}), family=family, id=id, seq=seq, begin=begin, end=end)
+
+
+def _distances(df: DataFrame, pairs: DataFrame, *, family: str, id: str, seq: str, begin: str, end: str) -> DataFrame:
+    """pair_distances of rows without nulls, whose pairs (seq_a, seq_b, pairs) are counted."""
+    rows = df.select(family, id, seq, begin, end)
     places = {"seq": seq, "begin": begin, "end": end}
-    counts = _pair_counts(rows, family=family, **places)
-    again = rows.groupBy(family, id).agg(F.count("*").alias("_c")).where("_c > 1").drop("_c")
+    counts = pairs.join(_far_apart(rows, family=family, **places), ["seq_a", "seq_b"], "left")
+    again = kept(rows.groupBy(family, id).agg(F.count("*").alias("_c")).where("_c > 1").drop("_c"))
     if not again.isEmpty():  # what members of equal id would count is taken off
-        same = rows.join(again, [family, id]).withColumn("_same", F.struct(family, id))
+        same = kept(rows.join(again, [family, id]).withColumn("_same", F.struct(family, id)))
         names = [c for c in counts.columns if c not in ("seq_a", "seq_b")]
-        less = _pair_counts(same, family="_same", **places).select("seq_a", "seq_b", *[(-F.col(c)).alias(c) for c in names])
-        counts = counts.unionByName(less).groupBy("seq_a", "seq_b").agg(*[F.sum(c).alias(c) for c in names])
+        less = _summed_pairs(same, "_same", seq, {"n": F.count("*")}, {"pairs": _pairs("n")}).join(_far_apart(same, family="_same", **places), ["seq_a", "seq_b"], "left")
+        less = less.select("seq_a", "seq_b", *[F.col(c).alias(f"_{c}_less") for c in names])
+        counts = counts.join(less, ["seq_a", "seq_b"], "left")
+        counts = counts.withColumns({c: F.col(c) - F.coalesce(f"_{c}_less", F.lit(0)) for c in names})
     within = [F.col("pairs"), *[F.col(f"_n{t}") for t in NEAR]]
     near = [F.coalesce(a - b, F.lit(0)).alias(f"near_{len(str(t)) - 1}") for a, b, t in zip(within, within[1:], NEAR)]
     own = F.col("seq_a") == F.col("seq_b")
@@ -235,10 +287,13 @@ def presence_links(df: DataFrame, *, family: str, id: str, seq: str, begin: str,
 
     A sequence with itself counts its families of two or more members there; distances are of pairs on one sequence.
     """
-    both = _pairs_of_sequences(df, family, seq).where("seq_a < seq_b or _a > 1").groupBy("seq_a", "seq_b").agg(F.count("*").alias("families"))
-    d = pair_distances(df, family=family, id=id, seq=seq, begin=begin, end=end)
+    placed = [F.col(c).isNotNull() for c in (family, id, seq, begin, end)]
+    on_both = F.when((F.col("seq_a") < F.col("seq_b")) | (F.col("a.n") > 1), 1).otherwise(0)
+    both = _summed_pairs(df, family, seq, {"n": F.count("*"), "placed": F.count_if(reduce(and_, placed))}, {"families": on_both, "pairs": _pairs("placed")})
+    both = kept(both.where("families > 0"))
+    d = _distances(df.where(reduce(and_, placed)), both.select("seq_a", "seq_b", "pairs"), family=family, id=id, seq=seq, begin=begin, end=end)
     d = d.select(F.col(seq).alias("seq_a"), F.col(f"{seq}_r").alias("seq_b"), "pairs", F.col("total").alias("distance_sum"), F.col("mean").alias("distance_mean"))
-    return both.join(d, ["seq_a", "seq_b"], "left")
+    return both.drop("pairs").join(d, ["seq_a", "seq_b"], "left")
 
 
 def outsiders(df: DataFrame, *, family: str, seq: str) -> DataFrame:
