@@ -20,4 +20,5 @@ def family_lists(df: DataFrame, path: str, *, family: str, id: str) -> None:
 
 
 def partitioned(df: DataFrame, path: str, by: list[str]) -> None:
-    df.repartition(*by).write.partitionBy(*by).parquet(path)
+    """A folder for each value of `by`; a value of many rows is written by several tasks, each of a bounded size."""
+    df.hint("rebalance", *by).write.partitionBy(*by).parquet(path)
