@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.operators.quantiles import beside, quantiles, ranked_values, with_quantiles
-from loomspan.session import small
+from loomspan.session import kept, small
 
 
 def grid(sizes: DataFrame, *, seq: str, start: str, end: str, step: int, width: int | None = None) -> DataFrame:
@@ -20,7 +20,8 @@ def grid(sizes: DataFrame, *, seq: str, start: str, end: str, step: int, width:
 
 def by_midpoint(df: DataFrame, sizes: DataFrame, *, seq: str, begin: str, end: str, weight: str, start: str, stop: str, width: int) -> DataFrame:
     """(seq, window, window_begin, window_end, total): weights summed by the window of an interval's midpoint; 0 if none."""
-    placed = df.join(sizes.select(seq, F.col(start).alias("_s")), seq)
+    sizes = kept(sizes)  # read for its count, for the rows' places and for the grid
+    placed = df.join(small(sizes.select(seq, F.col(start).alias("_s"))), seq)
     sums = placed.groupBy(seq, F.floor(((F.col(begin) + F.col(end)) / 2 - F.col("_s")) / width).cast("int").alias("window")).agg(F.sum(weight).alias("total"))
     return grid(sizes, seq=seq, start=start, end=stop, step=width).join(sums, [seq, "window"], "left").withColumn("total", F.coalesce("total", F.lit(0)))
 
@@ -53,7 +54,8 @@ def band(mean: str, sd: str) -> tuple[Column, Column]:
 
 def counted(df: DataFrame, sizes: DataFrame, *, seq: str, position: str, start: str, stop: str, width: int, classes: dict[str, Column]) -> DataFrame:
     """(seq, window, window_begin, window_end, one count per class, total) of rows by the window of their position."""
-    placed = df.join(sizes.select(seq, F.col(start).alias("_s")), seq).withColumn("window", F.floor((F.col(position) - F.col("_s")) / width).cast("int"))
+    sizes = kept(sizes)  # read for its count, for the rows' places and for the grid
+    placed = df.join(small(sizes.select(seq, F.col(start).alias("_s"))), seq).withColumn("window", F.floor((F.col(position) - F.col("_s")) / width).cast("int"))
     sums = placed.groupBy(seq, "window").agg(*[F.count_if(c).alias(n) for n, c in classes.items()], F.count("*").alias("total"))
     out = grid(sizes, seq=seq, start=start, end=stop, step=width).join(sums, [seq, "window"], "left")
     return out.na.fill(0, [*classes, "total"])
@@ -139,7 +141,8 @@ def outlier_summary(df: DataFrame, *, group: list[str], columns: list[str], fact
 
 def relation_windows(df: DataFrame, sizes: DataFrame, *, seq: str, position: str, start: str, stop: str, width: int, relation: str, tier: str) -> DataFrame:
     """(seq, window, window_begin, window_end, relation, tier, count): points by window, relation of copy numbers and evidence tier."""
-    placed = df.join(sizes.select(seq, F.col(start).alias("_s")), seq).withColumn("window", F.floor((F.col(position) - F.col("_s")) / width).cast("int"))
+    sizes = kept(sizes)  # read for its count, for the rows' places and for the grid
+    placed = df.join(small(sizes.select(seq, F.col(start).alias("_s"))), seq).withColumn("window", F.floor((F.col(position) - F.col("_s")) / width).cast("int"))
     sums = placed.groupBy(seq, "window", relation, tier).agg(F.count("*").alias("count"))
     return grid(sizes, seq=seq, start=start, end=stop, step=width).join(sums, [seq, "window"])
 
