@@ -52,9 +52,10 @@ class _Multiset(StatefulProcessor):
         changed: dict[float, int] = {}
         for part in rows:
             known = part[part[self.value].notna()]
-            signs = known[self.sign] if self.sign else [1] * len(known)
-            for x, w in zip(known[self.value].astype(float).tolist(), signs):
-                changed[x] = changed.get(x, 0) + int(w)
+            signs = known[self.sign].astype("int64") if self.sign else pd.Series(1, index=known.index)
+            sums = signs.groupby(known[self.value].astype(float), sort=False).sum()
+            for x, w in zip(sums.index.tolist(), sums.tolist()):
+                changed[x] = changed.get(x, 0) + w
         for x, w in changed.items():
             if w:
                 n = self.counts.getValue((x,))
