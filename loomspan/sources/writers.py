@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def tsv(df: DataFrame, path: str, decimals: int | None = None) -> None:
-    """Tab-separated text with NA for null; doubles with a fixed number of decimals if asked."""
+def tsv(df: DataFrame, path: str, decimals: int | None = None, by: list[str] | None = None) -> None:
+    """Tab-separated text with NA for null; doubles with a fixed number of decimals if asked. by: a folder for each value of these columns, which the text then lacks."""
     if decimals is not None:
         df = df.withColumns({c: F.format_string(f"%.{decimals}f", F.col(c)) for c, t in df.dtypes if t in ("double", "float")})
-    df.write.option("sep", "\t").option("header", True).option("nullValue", "NA").option("emptyValue", "").csv(path)
+    df.write.partitionBy(*by or []).option("sep", "\t").option("header", True).option("nullValue", "NA").option("emptyValue", "").csv(path)
 
 
 def family_lists(df: DataFrame, path: str, *, family: str, id: str) -> None:
