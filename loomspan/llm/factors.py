@@ -175,8 +175,8 @@ def duplicates(texts: DataFrame, length: int) -> DataFrame:
                 yield pd.DataFrame({"doc": rows["doc"].to_numpy()[text], "tie": rows["tie"].to_numpy()[text], "gram": gram, "whole": whole, "low": low, "n": n})
 
     every = written(texts.mapInPandas(cut, f"{_KEY}, gram long, whole binary, low int, n int"))
-    shared = written(every.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"))
-    rows = written(every.join(sized(shared), "gram", "left_semi"))
+    shared = written(every.groupBy("gram").agg(F.count("*").alias("runs")).where("runs > 1"))
+    rows = written(_of_anchors(every, shared, "runs").drop("runs"))
     dropped(every)
     kinds = rows.groupBy("whole").agg(F.count("*").alias("c"), F.first("gram").alias("gram"), F.min(F.struct(*_PLACE, "n")).alias("at"))
     kinds = written(kinds.select("whole", "c", "gram", *[F.col(f"at.{c}").alias(c) for c in (*_PLACE, "n")]))
@@ -184,13 +184,26 @@ def duplicates(texts: DataFrame, length: int) -> DataFrame:
     # merged at every size, as texts are below: such tables grow with the corpus
     found = rows.join(twice.hint("merge"), "whole").where(F.struct(*_PLACE) != F.col("at")).select("doc", "tie", "low", (F.col("low") + F.col("n") - 1).alias("high"))
     blocks = written(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"))
-    going = written(kinds.join(sized(blocks, 16), "gram").select("doc", "tie", "gram", "low", "n", (F.col("kinds") > BLOCK).alias("hot")))
+    going = written(_of_anchors(kinds, blocks, "kinds").select("doc", "tie", "gram", "low", "n", (F.col("kinds") > BLOCK).alias("hot")))
     found = found.unionByName(_parsed(texts, going.where("not hot"), length))
     if not (hot := going.where("hot")).isEmpty():
         found = found.unionByName(_told_apart(texts, hot, length))
     return found
 
 
+def _of_anchors(rows: DataFrame, anchors: DataFrame, count: str) -> DataFrame:
+    """rows of the anchors (gram, count; written), with the count.
+
+    Hot anchors are few and meet their rows where these lie, so no task gets all of one; the others are merged at every size.
+    """
+    hot = anchors.where(F.col(count) > BLOCK)
+    if hot.isEmpty():
+        return rows.join(anchors.hint("merge"), "gram")
+    few = sized(hot, 16)
+    cold = rows.join(few.select("gram"), "gram", "left_anti").join(anchors.where(F.col(count) <= BLOCK).hint("merge"), "gram")
+    return cold.unionByName(rows.join(few, "gram"))
+
+
 def _with_text(texts: DataFrame, going: DataFrame) -> DataFrame:
     """(doc, tie, text, runs): the texts that have runs left, each with them."""
     lists = going.groupBy("doc", "tie").agg(F.collect_list(F.struct("gram", "low", "n")).alias("runs"))

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomspan.llm import factors
 
@@ -53,6 +54,20 @@ def test_few_words_repeat_often(spark, monkeypatch, block):
     check(spark.createDataFrame(rows + rows[:9], "doc_id long, text string").repartition(5), 7)
 
 
+def test_a_hot_anchor_is_in_no_single_task(spark, monkeypatch):
+    """Rows of a hot anchor stay where they lie; the others are merged, however few, so that nothing changes with size."""
+    monkeypatch.setattr(factors, "BLOCK", 50)
+    rows = factors.written(spark.range(0, 900, 1, 6).select(F.when(F.col("id") % 3 == 0, 7).otherwise(1000 + F.col("id") % 201).alias("gram"), "id"))
+    anchors = factors.written(rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
+    got = factors._of_anchors(rows, anchors, "n")
+    assert sorted(r["id"] for r in got.collect()) == list(range(900))
+    assert {r["gram"]: r["n"] for r in got.collect()} == {r["gram"]: r["n"] for r in anchors.collect()}
+    parts = got.where("gram = 7").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in parts) < 300
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == 2
+
+
 def test_ids_at_the_edge(spark):
     """Equal ids with other texts, negative and large ids, no ids."""
     text = [" ".join(f"w{k}" for k in range(a, a + 40)) for a in (0, 0, 10, 30, 5)]
