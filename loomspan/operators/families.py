@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomspan.operators.intervals import distance, ends_inside
 from loomspan.operators.scans import Running, dealt
-from loomspan.session import kept
+from loomspan.session import kept, small
 
 
 def presence(df: DataFrame, *, family: str, seq: str) -> DataFrame:
@@ -22,54 +22,82 @@ def presence(df: DataFrame, *, family: str, seq: str) -> DataFrame:
 MEETING = 256
 #: Pairs of sequences that a task adds up.
 PAIRS = 4_000_000
-#: Families of a sequence beyond which several tasks add up its pairs.
+#: Families of a sequence beyond which several ranges share it, and several tasks add up its pairs.
 OFTEN = 100_000
 
 
-def _pairs_of_sequences(df: DataFrame, family: str, seq: str, counts: dict[str, Column] | None = None) -> DataFrame:
-    """(seq_a, seq_b, a, b), seq_a <= seq_b: the sequences of each family, two by two, and the counts of members on them (structs).
+def _members(df: DataFrame, family: str, seq: str, counts: dict[str, Column], more: dict[str, Column] | None = None) -> DataFrame:
+    """(_f, seq, *counts, *more), written: what a family's members on a sequence add up to; without null families and sequences."""
+    known = df.where(F.col(family).isNotNull() & F.col(seq).isNotNull()).groupBy(F.col(family).alias("_f"), F.col(seq).alias("seq"))
+    return kept(known.agg(*[c.cast("long").alias(n) for n, c in counts.items()], *[c.alias(n) for n, c in (more or {}).items()]))
 
-    A family's sequences are gathered in one row, in order, and sent on as one row a sequence with those behind it: far fewer
-    rows than pairs. A family on many sequences is cut into blocks of them, and every two blocks meet in a row of their own.
+
+def _ranges(p: DataFrame, tasks: int) -> tuple[DataFrame, bool]:
+    """p with _r, the range of sequences in order that a row is in (as many ranges as tasks, of about as many rows), and whether a
+    sequence may be in several ranges. Ranges ascend with the sequence."""
+    per = p.groupBy("seq").agg(F.count("*").alias("_c")).withColumn("_all", F.lit(0))
+    places = dealt(per, key=["_all"], order=["seq"]).running(_before=Running("sum", F.col("_c"))).rows
+    places = kept(places.select("seq", "_c", F.coalesce("_before", F.lit(0)).alias("_before")))
+    often = F.col("_c") > OFTEN
+    several = not places.where(often).isEmpty()
+    total = places.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
+    width = min(max(1, -(-total // tasks)), OFTEN) if several else max(1, -(-total // tasks))
+    place = F.col("_before") + F.when(often, F.pmod(F.xxhash64("_f"), F.col("_c"))).otherwise(0)
+    return p.join(places, "seq").withColumn("_r", F.floor(place / width).cast("int")).drop("_c", "_before"), several
+
+
+def _pairs_of_sequences(df: DataFrame, family: str, seq: str, counts: dict[str, Column] | None = None, members: DataFrame | None = None) -> DataFrame:
+    """(seq_a, seq_b, a, b[, _r]), seq_a <= seq_b: the sequences of each family, two by two, and the counts of members on them (structs).
+
+    A family's sequences are gathered in one row, in order. It is sent once to each range of sequences that it has some in, with
+    those behind them: far fewer rows than pairs, and pairs are made where they are added up. A family on many sequences is cut
+    into blocks of them, and every two blocks meet in a row of their own. All pairs of a sequence seq_a are in its range _r; there is
+    no _r if a sequence is in so many families that several ranges share it. members: _members of df, if known.
     """
     counts = counts or {"n": F.count("*")}
-    known = df.where(F.col(family).isNotNull() & F.col(seq).isNotNull())
-    p = kept(known.groupBy(F.col(family).alias("_f"), F.col(seq).alias("seq")).agg(*[c.cast("long").alias(n) for n, c in counts.items()]))
+    p = _members(df, family, seq, counts) if members is None else members.select("_f", "seq", *counts)
     sizes = kept(p.groupBy("_f").agg(F.count("*").alias("_n")))
     pairs = sizes.agg(F.coalesce(F.sum(F.col("_n").cast("double") * (F.col("_n") + 1) / 2), F.lit(0.0))).first()[0]
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, int(pairs // PAIRS) + 1)
     large = sizes.where(F.col("_n") > MEETING).select("_f", F.ceil(F.col("_n") / MEETING).cast("int").alias("_blocks"))
-    p = p.join(large, "_f", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
-    p = p.withColumn("_block", F.pmod(F.xxhash64("seq"), F.col("_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_o")
-    member = F.struct("seq", *counts, "_block")
-    cells = p.select("_f", member.alias("m"), F.col("_block"), other)
-    cells = cells.select("_f", F.least("_block", "_o").alias("_x"), F.greatest("_block", "_o").alias("_y"), "m").repartition(tasks, "_f", "_x", "_y")
-    cells = cells.groupBy("_f", "_x", "_y").agg(F.sort_array(F.collect_list("m")).alias("all"))
-    each = cells.select("*", F.posexplode("all").alias("i", "a"))
-    behind = F.slice("all", F.col("i") + 1, F.size("all") - F.col("i"))
-    behind = F.when(F.col("_x") == F.col("_y"), behind).otherwise(F.filter(behind, lambda b: b["_block"] != F.col("a._block")))
-    rows = each.select("_f", F.col("a.seq").alias("seq_a"), *[F.col(f"a.{n}").alias(f"_a_{n}") for n in counts], behind.alias("b"))
-    columns = ["seq", *counts]
-    rows = rows.where(F.size("b") > 0).select("_f", "seq_a", *[f"_a_{n}" for n in counts], *[F.col(f"b.{c}").alias(f"_b_{c}") for c in columns])
-    often = kept(p.groupBy(F.col("seq").alias("seq_a")).agg(F.ceil(F.count("*") / OFTEN).cast("int").alias("_parts")).where("_parts > 1"))
-    if often.isEmpty():
-        rows = rows.repartition(tasks, "seq_a")
-    else:  # one row for every 100,000 rows of p at most
-        rows = rows.join(F.broadcast(often), "seq_a", "left")
-        rows = rows.repartition(tasks, "seq_a", F.pmod(F.xxhash64("_f"), F.coalesce("_parts", F.lit(1))))
-    b = F.explode(F.arrays_zip(*[f"_b_{c}" for c in columns])).alias("b")
-    both = rows.select("seq_a", F.struct(*[F.col(f"_a_{n}").alias(n) for n in counts]).alias("a"), b)
-    return both.select("seq_a", F.col("b._b_seq").alias("seq_b"), "a", F.struct(*[F.col(f"b._b_{n}").alias(n) for n in counts]).alias("b"))
-
-
-def _summed_pairs(df: DataFrame, family: str, seq: str, counts: dict[str, Column], sums: dict[str, Column]) -> DataFrame:
+    p, several = _ranges(p, tasks)
+    if large.isEmpty():
+        columns = ["seq", *counts, "_r"]
+        cells = p.select("_f", F.struct(*columns).alias("m")).repartition(tasks, "_f").groupBy("_f").agg(F.sort_array(F.collect_list("m")).alias("all"))
+        one = F.lit(True)
+    else:
+        columns = ["seq", *counts, "_r", "_block"]
+        p = p.join(large, "_f", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+        p = p.withColumn("_block", F.pmod(F.xxhash64("seq"), F.col("_blocks")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_o")
+        cells = p.select("_f", F.struct(*columns).alias("m"), F.col("_block"), other)
+        cells = cells.select("_f", F.least("_block", "_o").alias("_x"), F.greatest("_block", "_o").alias("_y"), "m").repartition(tasks, "_f", "_x", "_y")
+        cells = cells.groupBy("_f", "_x", "_y").agg(F.sort_array(F.collect_list("m")).alias("all"))
+        one = F.col("_x") == F.col("_y")
+    each = cells.select("all", one.alias("_one"), F.explode(F.array_distinct("all._r")).alias("_r"))
+    first = F.array_position("all._r", F.col("_r")).cast("int")
+    here = F.size(F.filter("all", lambda m: m["_r"] == F.col("_r")))
+    each = each.select("_r", "_one", here.alias("_here"), F.slice("all", first, F.size("all")).alias("all"))
+    sent = [c for c in columns if c != "_r"]
+    rows = each.select("_r", "_one", "_here", *[F.col(f"all.{c}").alias(f"_m_{c}") for c in sent]).repartition(tasks, "_r")
+    rows = rows.select("_r", "_one", F.arrays_zip(*[f"_m_{c}" for c in sent]).alias("all"), F.explode(F.sequence(F.lit(1), F.col("_here"))).alias("i"))
+    behind, a = F.slice("all", F.col("i"), F.size("all")), F.element_at("all", F.col("i"))
+    rows = rows.select("_r", "_one", a.alias("a"), behind.alias("b"))
+    if "_block" in sent:
+        rows = rows.withColumn("b", F.when(F.col("_one"), F.col("b")).otherwise(F.filter("b", lambda b: b["_m__block"] != F.col("a._m__block"))))
+    both = rows.select("_r", "a", F.explode("b").alias("b"))
+    side = lambda s: F.struct(*[F.col(f"{s}._m_{n}").alias(n) for n in counts]).alias(s)
+    return both.select(F.col("a._m_seq").alias("seq_a"), F.col("b._m_seq").alias("seq_b"), side("a"), side("b"), *([] if several else ["_r"]))
+
+
+def _summed_pairs(df: DataFrame, family: str, seq: str, counts: dict[str, Column], sums: dict[str, Column], members: DataFrame | None = None) -> DataFrame:
     """(seq_a, seq_b, *sums), seq_a <= seq_b: sums over the families that are on both sequences.
 
     counts: of a family's members on a sequence; sums: what a family adds, from a.<count>, b.<count>, seq_a and seq_b.
     """
-    both = _pairs_of_sequences(df, family, seq, counts)
-    return both.groupBy("seq_a", "seq_b").agg(*[F.sum(c).cast("long").alias(n) for n, c in sums.items()])
+    both = _pairs_of_sequences(df, family, seq, counts, members)
+    keys = [c for c in both.columns if c not in ("a", "b")]  # _r goes with seq_a: grouped by it, too, the rows stay where they are
+    return both.groupBy(*keys).agg(*[F.sum(c).cast("long").alias(n) for n, c in sums.items()]).drop("_r")
 
 
 def _pairs(count: str) -> Column:
@@ -93,15 +121,28 @@ def family_pairs(df: DataFrame, *, family: str, id: str) -> DataFrame:
 NEAR = (10**4, 10**5, 10**6)
 
 
-def _far_apart(rows: DataFrame, *, family: str, seq: str, begin: str, end: str) -> DataFrame:
-    """(seq_a, seq_b, _n<bound>..., total), seq_a = seq_b: how many pairs of members are at least so far apart, and their summed distance.
+def _reach(placed: Column, begin: str, end: str) -> dict[str, Column]:
+    """For _members: the last begin and first end of a family on a sequence, where two members are placed; they tell their distance."""
+    two = F.count_if(placed) == 2
+    late, early = (F.when(placed, F.col(c).cast("long")) for c in (begin, end))
+    return {"_late": F.when(two, F.max(late)), "_early": F.when(two, F.min(early))}
+
 
-    The distance of two members is how far the later begin lies behind the earlier end, so a scan over begins and ends in
+def _far_apart(rows: DataFrame, members: DataFrame, placed: str, *, family: str, seq: str, begin: str, end: str) -> DataFrame:
+    """(_s, _n<bound>..., total): how many pairs of members on a sequence are at least so far apart, and their summed distance.
+
+    members: _members with _reach; placed: the count of those that are rows here. Two members' distance is told by their reach.
+    Of three and more, the distance is how far the later begin lies behind the earlier end, so a scan over begins and ends in
     order, each end shifted by each bound, counts at every begin the ends that lie further back. Members alone with their
     family on a sequence take no part.
     """
-    several = rows.groupBy(F.col(family).alias("_f"), F.col(seq).alias("_s")).agg(F.count("*").alias("_m")).where("_m > 1")
-    rows = rows.join(several, (F.col(family) == F.col("_f")) & (F.col(seq) == F.col("_s")), "left_semi")
+    apart = F.greatest(F.col("_late") - F.col("_early"), F.lit(0))
+    two = members.where(F.col(placed) == 2).select(F.col("seq").alias("_s"), apart.alias("_d"))
+    far = two.groupBy("_s").agg(*[F.count_if(F.col("_d") >= t).alias(f"_n{t}") for t in NEAR], F.sum("_d").alias("total"))
+    several = members.where(F.col(placed) > 2).select("_f", F.col("seq").alias("_s"))
+    if several.isEmpty():
+        return far
+    rows = rows.join(small(several), (F.col(family) == F.col("_f")) & (F.col(seq) == F.col("_s")), "left_semi")
     kinds = [("_begin", F.col(begin)), *[(f"_t{t}", F.col(end) + t) for t in (0, *NEAR)]]
     event = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), at.cast("long").alias("at"), F.col(end).cast("long").alias("end")) for k, at in kinds]))
     events = rows.select(family, seq, event.alias("e")).select(family, seq, (F.col("e.kind") == "_begin").alias("_start"), F.col("e.at").alias("_at"), "e.kind", "e.end")
@@ -109,7 +150,8 @@ def _far_apart(rows: DataFrame, *, family: str, seq: str, begin: str, end: str)
     counted["_ends"] = Running("sum", F.when(F.col("kind") == "_t0", F.col("end")))
     # ends at a place come before begins there
     seen = dealt(events, key=[family, seq], order=["_at", "_start"]).running(**counted).rows.where("_start").na.fill(0, [*counted])
-    return seen.groupBy(F.col(seq).alias("seq_a"), F.col(seq).alias("seq_b")).agg(*[F.sum(f"_n{t}").alias(f"_n{t}") for t in NEAR], F.sum(F.col("_at") * F.col("_n0") - F.col("_ends")).alias("total"))
+    seen = seen.select(F.col(seq).alias("_s"), *[f"_n{t}" for t in NEAR], (F.col("_at") * F.col("_n0") - F.col("_ends")).alias("total"))
+    return far.unionByName(seen).groupBy("_s").agg(*[F.sum(c).alias(c) for c in far.columns[1:]])
 
 
 def pair_distances(df: DataFrame, *, family: str, id: str, seq: str, begin: str, end: str) -> DataFrame:
@@ -120,28 +162,43 @@ def pair_distances(df: DataFrame, *, family: str, id: str, seq: str, begin: str,
     size: it is dealt to many tasks.
     """
     rows = df.dropna(subset=[family, id, seq, begin, end])
-    return _distances(rows, _summed_pairs(rows, family, seq, {"n": F.count("*")}, {"pairs": _pairs("n")}), family=family, id=id, seq=seq, begin=begin, end=end)
+    out = _distances(rows, *_placed_pairs(rows, family, seq, begin, end), "n", family=family, id=id, seq=seq, begin=begin, end=end)
+    return out.where("pairs > 0")
+
+
+def _placed_pairs(rows: DataFrame, family: str, seq: str, begin: str, end: str) -> tuple[DataFrame, DataFrame]:
+    """The pairs (seq_a, seq_b, pairs) of rows that are all placed, written, and the rows' _members."""
+    counts = {"n": F.count("*")}
+    members = _members(rows, family, seq, counts, _reach(F.lit(True), begin, end))
+    return kept(_summed_pairs(rows, family, seq, counts, {"pairs": _pairs("n")}, members)), members
 
 
-def _distances(df: DataFrame, pairs: DataFrame, *, family: str, id: str, seq: str, begin: str, end: str) -> DataFrame:
-    """pair_distances of rows without nulls, whose pairs (seq_a, seq_b, pairs) are counted."""
+def _distances(df: DataFrame, pairs: DataFrame, members: DataFrame, placed: str, *, family: str, id: str, seq: str, begin: str, end: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """pair_distances of rows without nulls, whose pairs (seq_a, seq_b, pairs, *more) are counted; also where there are 0 pairs."""
     rows = df.select(family, id, seq, begin, end)
     places = {"seq": seq, "begin": begin, "end": end}
-    counts = pairs.join(_far_apart(rows, family=family, **places), ["seq_a", "seq_b"], "left")
+
+    def measured(pairs: DataFrame, far: DataFrame) -> DataFrame:
+        """Only a sequence with itself has distances, so no other row is joined."""
+        own = F.col("seq_a") == F.col("seq_b")
+        return pairs.where(own).join(far, F.col("seq_a") == F.col("_s"), "left").drop("_s").unionByName(pairs.where(~own), allowMissingColumns=True)
+
+    counts = measured(pairs, _far_apart(rows, members, placed, family=family, **places))
     again = kept(rows.groupBy(family, id).agg(F.count("*").alias("_c")).where("_c > 1").drop("_c"))
     if not again.isEmpty():  # what members of equal id would count is taken off
-        same = kept(rows.join(again, [family, id]).withColumn("_same", F.struct(family, id)))
-        names = [c for c in counts.columns if c not in ("seq_a", "seq_b")]
-        less = _summed_pairs(same, "_same", seq, {"n": F.count("*")}, {"pairs": _pairs("n")}).join(_far_apart(same, family="_same", **places), ["seq_a", "seq_b"], "left")
-        less = less.select("seq_a", "seq_b", *[F.col(c).alias(f"_{c}_less") for c in names])
-        counts = counts.join(less, ["seq_a", "seq_b"], "left")
+        same = kept(rows.join(small(again), [family, id]).withColumn("_same", F.struct(family, id)))
+        names = [c for c in counts.columns if c not in ("seq_a", "seq_b", *more)]
+        fewer, among = _placed_pairs(same, "_same", **places)
+        less = measured(fewer, _far_apart(same, among, "n", family="_same", **places))
+        less = kept(less.select("seq_a", "seq_b", *[F.col(c).alias(f"_{c}_less") for c in names]))
+        counts = counts.join(small(less), ["seq_a", "seq_b"], "left")
         counts = counts.withColumns({c: F.col(c) - F.coalesce(f"_{c}_less", F.lit(0)) for c in names})
     within = [F.col("pairs"), *[F.col(f"_n{t}") for t in NEAR]]
     near = [F.coalesce(a - b, F.lit(0)).alias(f"near_{len(str(t)) - 1}") for a, b, t in zip(within, within[1:], NEAR)]
     own = F.col("seq_a") == F.col("seq_b")
-    return counts.where("pairs > 0").select(
+    return counts.select(
         F.col("seq_a").alias(seq), F.col("seq_b").alias(f"{seq}_r"), "pairs", *near, F.coalesce(within[-1], F.lit(0)).alias("far"),
-        F.when(own, F.col("total")).alias("total"), F.when(own, F.col("total") / F.col("pairs")).alias("mean"),
+        F.when(own, F.col("total")).alias("total"), F.when(own, F.col("total") / F.nullif("pairs", F.lit(0))).alias("mean"), *more,
     )
 
 
@@ -287,13 +344,15 @@ def presence_links(df: DataFrame, *, family: str, id: str, seq: str, begin: str,
 
     A sequence with itself counts its families of two or more members there; distances are of pairs on one sequence.
     """
-    placed = [F.col(c).isNotNull() for c in (family, id, seq, begin, end)]
+    placed = reduce(and_, [F.col(c).isNotNull() for c in (family, id, seq, begin, end)])
+    counts = {"n": F.count("*"), "placed": F.count_if(placed)}
+    members = _members(df, family, seq, counts, _reach(placed, begin, end))
     on_both = F.when((F.col("seq_a") < F.col("seq_b")) | (F.col("a.n") > 1), 1).otherwise(0)
-    both = _summed_pairs(df, family, seq, {"n": F.count("*"), "placed": F.count_if(reduce(and_, placed))}, {"families": on_both, "pairs": _pairs("placed")})
+    both = _summed_pairs(df, family, seq, counts, {"families": on_both, "pairs": _pairs("placed")}, members)
     both = kept(both.where("families > 0"))
-    d = _distances(df.where(reduce(and_, placed)), both.select("seq_a", "seq_b", "pairs"), family=family, id=id, seq=seq, begin=begin, end=end)
-    d = d.select(F.col(seq).alias("seq_a"), F.col(f"{seq}_r").alias("seq_b"), "pairs", F.col("total").alias("distance_sum"), F.col("mean").alias("distance_mean"))
-    return both.drop("pairs").join(d, ["seq_a", "seq_b"], "left")
+    d = _distances(df.where(placed), both, members, "placed", family=family, id=id, seq=seq, begin=begin, end=end, more=("families",))
+    some = lambda c: F.when(F.col("pairs") > 0, F.col(c))
+    return d.select(F.col(seq).alias("seq_a"), F.col(f"{seq}_r").alias("seq_b"), "families", some("pairs").alias("pairs"), some("total").alias("distance_sum"), some("mean").alias("distance_mean"))
 
 
 def outsiders(df: DataFrame, *, family: str, seq: str) -> DataFrame:
